@@ -1,8 +1,12 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
+from tilelake.llm.bpe import op9_byte_bpe
 from tilelake.llm.ngram_join import op1_ngram_join
+from tilelake.llm.substring_dedup import op2_substring_dedup
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op9_byte_bpe": op9_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
