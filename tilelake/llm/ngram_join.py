@@ -88,30 +88,74 @@ def _describe(sketch, size: int, percent: int):
         counts, seen = np.frombuffer(pa.decompress(sketch.value, 4 << SKETCH_BITS, "zstd", asbytes=True), np.uint32), set()
         for batch in batches:
             for part in slices(batch):
-                n, first, second, group, prefixes = [], [], [], [], []
+                n, names, group, prefixes = [], [], [], []
                 for s in shingle_sets(part.column("text"), size):
                     length = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                     order = np.lexsort((s, counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:length]
                     n.append(len(s))
-                    first.append(_digest(s, 1))
-                    second.append(_digest(s, 2))
+                    names.append(_digest(s, 1))
                     group.append(key := _digest(np.append(s[order], np.uint64(len(s))), 3))
                     prefixes.append(s[order] if key not in seen else s[:0])  # a group's prefix once for each task
                     seen.add(key)
                     if len(seen) > 200_000:
                         seen.clear()
-                yield pa.record_batch(
-                    {"doc_id": part.column("doc_id"), "n": pa.array(n, pa.int64()), "s1": pa.array(first, pa.int64()), "s2": pa.array(second, pa.int64()), "g": pa.array(group, pa.int64()), "prefix": long_lists(prefixes)}
-                )
+                columns = {"n": n, "k": names, "g": group}
+                yield pa.record_batch({"doc_id": part.column("doc_id"), **{c: pa.array(v, pa.int64()) for c, v in columns.items()}, "prefix": long_lists(prefixes)})
 
     return run
 
 
-def _sets(size: int):
+#: Bits of the filter on document ids (8 MB) and of its blocks; full, it only lets more documents through.
+FILTER_BITS, FILTER_BLOCK = 26, 21
+
+
+def _filter_bits(ids: pa.Array) -> np.ndarray:
+    return (mix(ids.to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _partial_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    for batch in batches:
+        bits[_filter_bits(batch.column("doc_id").drop_null())] = True
+    yield _filter_blocks(bits.reshape(-1, 1 << FILTER_BLOCK), range(1 << (FILTER_BITS - FILTER_BLOCK)))
+
+
+def _filter_blocks(bits: np.ndarray, keys) -> pa.RecordBatch:
+    packed = [pa.compress(np.packbits(b).tobytes(), "zstd", asbytes=True) for b in bits]
+    return pa.record_batch({"block": pa.array(keys, pa.int32()), "bits": pa.array(packed, pa.binary())})
+
+
+def _unpack_bits(packed: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(pa.decompress(packed, (1 << FILTER_BLOCK) // 8, "zstd", asbytes=True), np.uint8)).astype(bool)
+
+
+def _join_filters(group: pa.Table) -> pa.Table:
+    bits = np.zeros(1 << FILTER_BLOCK, bool)
+    for packed in group.column("bits"):
+        bits |= _unpack_bits(packed.as_py())
+    return pa.Table.from_batches([_filter_blocks(bits[None], [group.column("block")[0].as_py()])])
+
+
+def id_filter(ids: DataFrame) -> bytes:
+    """A bitmap of fixed size in which each doc_id of ids has its bit set: what it turns away isn't among them."""
+    schema = "block int, bits binary"
+    rows = ids.mapInArrow(_partial_filter, schema).groupBy("block").applyInArrow(_join_filters, schema).collect()  # 32 blocks
+    bits = np.zeros((1 << (FILTER_BITS - FILTER_BLOCK), 1 << FILTER_BLOCK), bool)
+    for row in rows:
+        bits[row["block"]] = _unpack_bits(bytes(row["bits"]))
+    return pa.compress(np.packbits(bits).tobytes(), "zstd", asbytes=True)
+
+
+def _sets(size: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(pa.decompress(wanted.value, (1 << FILTER_BITS) // 8, "zstd", asbytes=True), np.uint8)).astype(bool)
         for batch in batches:
-            for part in slices(batch):
-                yield pa.record_batch({"rep": part.column("doc_id"), "items": long_lists(list(shingle_sets(part.column("text"), size)))})
+            ids = batch.column("doc_id")
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            known[known] = bits[_filter_bits(ids.drop_null())]
+            for part in slices(batch.filter(pa.array(known))):
+                sets = list(shingle_sets(part.column("text"), size))
+                yield pa.record_batch({"k": pa.array([_digest(s, 1) for s in sets], pa.int64()), "items": long_lists(sets)})
 
     return run
 
@@ -124,12 +168,13 @@ def _close(percent: int, n1: str = "n1", n2: str = "n2", p1: str = "p1", p2: str
     )
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Of the pairs of classes (a, b), those whose whole sets are similar enough."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.join(needed, "doc_id", "left_semi").mapInArrow(_sets(size), "rep long, items array<long>")
-    sets = stage(sets.dropDuplicates(["rep"]))
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("items").alias("y")), "b")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    wanted = docs.sparkSession.sparkContext.broadcast(id_filter(classes.join(needed, "k").select("doc_id")))
+    sets = docs.mapInArrow(_sets(size, wanted), "k long, items array<long>")
+    sets = stage(sets.join(needed, "k", "left_semi").dropDuplicates(["k"]))
+    both = pairs.join(sets.select(F.col("k").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("k").alias("b"), F.col("items").alias("y")), "b")
     shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("o"), (F.size("x") + F.size("y")).alias("t"))
     return shared.where(f"100 * o >= {percent} * (t - o)").select("a", "b")
 
@@ -139,50 +184,50 @@ def near_copies(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCE
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = spark.sparkContext.broadcast(pa.compress(shingle_sketch(docs, size).tobytes(), "zstd", asbytes=True))
-    described = stage(docs.mapInArrow(_describe(sketch, size, percent), "doc_id long, n long, s1 long, s2 long, g long, prefix array<long>"))
-    members = described.select("doc_id", "n", "s1", "s2", "g")
-    classes = stage(members.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("g").alias("g")).where("rep is not null"))
+    described = stage(docs.mapInArrow(_describe(sketch, size, percent), "doc_id long, n long, k long, g long, prefix array<long>"))
+    members = described.select("doc_id", "n", "k", "g")
+    #: Classes: k, the digest of the set, names one; doc_id is its smallest.
+    classes = stage(members.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("g").alias("g")).where("doc_id is not null"))
+    groups = classes.groupBy("g").agg(F.min("k").alias("k"))
 
-    # lists: the groups in the list of each prefix shingle, where there is more than one
+    # the list of each prefix shingle that more than one group has
     lists = described.select("g", "n", F.posexplode("prefix").alias("p", "token"))
     by_size = Window.partitionBy("token").orderBy("n", "g")
-    before, after, first = F.lag(F.struct("g", "n", "p")).over(by_size), F.lead("g").over(by_size), F.first(F.struct("g", "n", "p")).over(by_size)
-    lists = stage(lists.withColumns({"before": before, "after": after, "first": first}).where("before is not null or after is not null").drop("after"))
-    near = lists.select("g", "n", "p", F.explode(F.array("before", "first")).alias("o"))
-    near = near.where("o.g <> g").where(_close(percent, "n", "o.n", "p", "o.p"))
-    group_pairs = near.select(F.least("g", "o.g").alias("g1"), F.greatest("g", "o.g").alias("g2")).distinct()
-    groups = classes.groupBy("g").agg(F.min("rep").alias("rep"))
-    expanded = group_pairs.join(groups.select(F.col("g").alias("g1"), F.col("rep").alias("a")), "g1").join(groups.select(F.col("g").alias("g2"), F.col("rep").alias("b")), "g2")
-    inside = classes.select("g", F.col("rep").alias("b")).join(groups.select("g", F.col("rep").alias("a")), "g").where("a <> b")
-    pairs = stage(expanded.select("a", "b").union(inside.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = stage(_verified(docs, pairs, size, percent))
-    found = components(links)
-
-    # the rest: pairs whose components differ so far
-    classes = stage(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component"))
-    of_group = classes.select("g", "c").distinct()
-    entries = lists.select("token", "g", "n", "p").distinct().join(of_group, "g")
+    entry = F.struct("g", "n", "p")
+    lists = lists.withColumns({"before": F.lag(entry).over(by_size), "after": F.lead("g").over(by_size), "first": F.first(entry).over(by_size)})
+    lists = stage(lists.where("before is not null or after is not null").drop("after"))
+    near = lists.select("g", "n", "p", F.explode(F.array("before", "first")).alias("o")).where("o.g <> g").where(_close(percent, "n", "o.n", "p", "o.p"))
+    near = near.select(F.least("g", "o.g").alias("g1"), F.greatest("g", "o.g").alias("g2")).distinct()
+    one, two = (groups.select(F.col("g").alias(f"g{i}"), F.col("k").alias(k)) for i, k in ((1, "a"), (2, "b")))
+    near = near.join(one, "g1").join(two, "g2").select("a", "b")
+    inside = classes.select("g", F.col("k").alias("b")).join(groups.select("g", F.col("k").alias("a")), "g").where("a <> b").select("a", "b")
+    pairs = stage(near.union(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = components(_verified(docs, pairs, classes, size, percent))
+
+    # the rest: pairs whose components (c) differ so far
+    classes = stage(classes.join(found.withColumnRenamed("node", "k"), "k", "left").select("k", "doc_id", "g", F.coalesce("component", "k").alias("c")))
+    entries = lists.select("token", "g", "n", "p").distinct().join(classes.select("g", "c").distinct(), "g")
     mixed = entries.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
     entries = stage(entries.join(mixed, "token"))
     sides = entries.groupBy("token", "c").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    one, two = (sides.select("token", *(F.col(x).alias(f"{x}{k}") for x in ("c", "least", "most"))) for k in (1, 2))
+    one, two = (sides.select("token", *(F.col(x).alias(f"{x}{i}") for x in ("c", "least", "most"))) for i in (1, 2))
     meet = one.join(two, "token").where(f"c1 < c2 and 100 * most2 >= {percent} * least1 and 100 * most1 >= {percent} * least2").select("token", "c1", "c2")
-    one, two = (entries.select("token", *(F.col(x).alias(f"{x}{k}") for x in ("c", "g", "n", "p"))) for k in (1, 2))
+    one, two = (entries.select("token", *(F.col(x).alias(f"{x}{i}") for x in ("c", "g", "n", "p"))) for i in (1, 2))
     rest = meet.join(one, ["token", "c1"]).join(two, ["token", "c2"]).where(_close(percent)).select("c1", "c2", "g1", "g2").distinct()
-    a, b = (classes.select(F.col("g").alias(f"g{k}"), F.col("c").alias(f"c{k}"), F.col("rep").alias(r)) for k, r in ((1, "a"), (2, "b")))
-    rest = rest.join(a, ["g1", "c1"]).join(b, ["g2", "c2"]).select("a", "b")
+    one, two = (classes.select(F.col("g").alias(f"g{i}"), F.col("c").alias(f"c{i}"), F.col("k").alias(k)) for i, k in ((1, "a"), (2, "b")))
+    rest = rest.join(one, ["g1", "c1"]).join(two, ["g2", "c2"]).select("a", "b")
     split = classes.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("g")
-    own = classes.join(split, "g").select("g", "c", "rep")
-    within = own.select("g", F.col("c").alias("c1"), F.col("rep").alias("a")).join(own.select("g", F.col("c").alias("c2"), F.col("rep").alias("b")), "g").where("c1 < c2").select("a", "b")
-    rest = rest.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    own = classes.join(split, "g").select("g", "c", "k")
+    one, two = (own.select("g", F.col("c").alias(f"c{i}"), F.col("k").alias(k)) for i, k in ((1, "a"), (2, "b")))
+    rest = rest.union(one.join(two, "g").where("c1 < c2").select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = stage(rest.join(pairs, ["a", "b"], "left_anti"))
-    more = _verified(docs, rest, size, percent)
-    names = classes.select(F.col("rep"), "c")
-    joined = more.join(names.select(F.col("rep").alias("a"), F.col("c").alias("c1")), "a").join(names.select(F.col("rep").alias("b"), F.col("c").alias("c2")), "b")
-    final = components(joined.select("c1", "c2"), "c1", "c2").withColumnRenamed("node", "c")
-    named = classes.join(final, "c", "left").select("n", "s1", "s2", F.coalesce("component", "c").alias("component"))
-    out = members.join(named, ["n", "s1", "s2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    more = _verified(docs, rest, classes, size, percent)
+    one, two = (classes.select(F.col("k").alias(k), F.col("c").alias(f"c{i}")) for i, k in ((1, "a"), (2, "b")))
+    final = components(more.join(one, "a").join(two, "b").select("c1", "c2"), "c1", "c2")
+    classes = stage(classes.join(final.withColumnRenamed("node", "c"), "c", "left").select("k", "doc_id", F.coalesce("component", "c").alias("c")))
+    named = classes.join(classes.groupBy("c").agg(F.min("doc_id").alias("component")), "c").select("k", "component")
+    out = members.join(named, "k", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
