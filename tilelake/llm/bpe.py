@@ -150,7 +150,7 @@ class Spaced:
         self.encode, self.most, self.runs = encode, most, {}
 
     def __call__(self, text: str) -> bytes:
-        runs = re.split(r"(?<=\S)(?= \S)", text) if _odd.search(text) else [r if not k else " " + r for k, r in enumerate(text.split(" "))]
+        runs = text.replace(" ", "\0 ").split("\0") if "\0" not in text and not _odd.search(text) else _apart.split(text)
         memo, missing = self.runs, None
         try:
             return b"".join([memo[r] for r in runs])
@@ -166,7 +166,8 @@ class Spaced:
 
 
 #: White space next to a space, or at an end: then runs are found one by one.
-_odd = re.compile(r" \s|\s |^\s|\s$")
+_odd = re.compile(r" \s|[^\S ] |^\s|\s$")
+_apart = re.compile(r"(?<=\S)(?= \S)")
 assert array("I").itemsize == 4 and sys.byteorder == "little"
 _known: dict[str, tuple[Bpe, Spaced]] = {}
 
