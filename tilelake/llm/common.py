@@ -117,21 +117,23 @@ _byte_inverse = _powers(pow(_BASE_BYTE, -1, 1 << 64), 2 * _BLOCK)
 _byte_values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE_WORD)) | np.uint64(1)
 _is_space = np.zeros(256, bool)
 _is_space[list(SPACE)] = True
-_byte_values[_is_space] = 0
 _lower_values = _byte_values.copy()
 _lower_values[65:91] = _byte_values[97:123]
 
 
 class Words:
-    """The words (runs of bytes other than white space) of several texts that lie one after another in a buffer."""
+    """The words of several texts that lie one after another in a buffer: runs of bytes that solid has as true.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        solid = ~_is_space[data]
+    By default those are all bytes other than white space.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, solid_bytes: np.ndarray = ~_is_space):
+        solid = solid_bytes[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
         before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
         before[1:], after[:-1] = solid[:-1], solid[1:]
-        self.data = data
+        self.data, self.solid_bytes = data, solid_bytes
         self.starts = np.flatnonzero(solid & (~before | edge[:-1]))
         self.ends = np.flatnonzero(solid & (~after | edge[1:])) + 1
         #: Words of text k: from bounds[k] to bounds[k + 1].
@@ -139,7 +141,7 @@ class Words:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """A 64-bit hash of each word: a polynomial over its bytes, mixed with its length."""
-        values, out = _lower_values if lower else _byte_values, np.empty(len(self.starts), np.uint64)
+        values, out = np.where(self.solid_bytes, _lower_values if lower else _byte_values, np.uint64(0)), np.empty(len(self.starts), np.uint64)
         lo = 0
         while lo < len(self.starts):
             base = self.starts[lo]
@@ -157,6 +159,17 @@ class Words:
             lo = hi
         return mix(out ^ (self.ends - self.starts).astype(np.uint64) * _M2)
 
+    def prefix_hashes(self, sizes: tuple[int, ...]) -> list[np.ndarray]:
+        """For each size, a hash of each word's first bytes, lower case; shorter words are hashed as a whole."""
+        out, h = [], np.zeros(len(self.starts), np.uint64)
+        for k in range(max(sizes)):
+            at = self.starts + k
+            inside = at < self.ends
+            h = h + np.where(inside, _lower_values[self.data[np.where(inside, at, self.starts)]] * _byte_powers[k], np.uint64(0))
+            if k + 1 in sizes:
+                out.append(mix(h + np.uint64(k + 1) * _M1))
+        return out
+
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Rabin-Karp hashes of all windows of size consecutive word hashes."""

@@ -4,10 +4,12 @@ from tilelake.llm.bpe import op9_byte_bpe
 from tilelake.llm.ngram_join import op1_ngram_join
 from tilelake.llm.packing import op5_packing
 from tilelake.llm.substring_dedup import op2_substring_dedup
+from tilelake.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op9_byte_bpe": op9_byte_bpe,
 }
