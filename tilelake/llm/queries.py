@@ -1,6 +1,8 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
 from tilelake.llm.bpe import op9_byte_bpe
+from tilelake.llm.fingerprints import op8_fingerprints
+from tilelake.llm.media import op3_media_columns
 from tilelake.llm.ngram_join import op1_ngram_join
 from tilelake.llm.packing import op5_packing
 from tilelake.llm.substring_dedup import op2_substring_dedup
@@ -9,8 +11,10 @@ from tilelake.llm.toxicity import op4_toxicity
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_media_columns": op3_media_columns,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
+    "op8_fingerprints": op8_fingerprints,
     "op9_byte_bpe": op9_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
