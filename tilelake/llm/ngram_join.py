@@ -161,10 +161,14 @@ def _sets(size: int, wanted):
 
 
 def _close(percent: int, n1: str = "n1", n2: str = "n2", p1: str = "p1", p2: str = "p2") -> str:
-    """Sizes may differ so much, and what follows the shared shingle on either side must hold enough of both sets."""
+    """Sizes may differ so much, and what follows the first shared shingle must hold enough of both sets.
+
+    Shingles before the first shared one aren't shared, and a later shared one only bounds the overlap lower: if the
+    first one fails, all do. So a pair that no shared shingle lets pass isn't similar enough.
+    """
     return (
         f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2}) and "
-        f"(100 + {percent}) * (1 + least({n1} - {p1} - 1, {n2} - {p2} - 1) + least({p1}, {p2})) >= {percent} * ({n1} + {n2})"
+        f"(100 + {percent}) * least({n1} - {p1}, {n2} - {p2}) >= {percent} * ({n1} + {n2})"
     )
 
 
@@ -209,9 +213,11 @@ def near_copies(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCE
     entries = lists.select("token", "g", "n", "p").distinct().join(classes.select("g", "c").distinct(), "g")
     mixed = entries.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
     entries = stage(entries.join(mixed, "token"))
-    sides = entries.groupBy("token", "c").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    one, two = (sides.select("token", *(F.col(x).alias(f"{x}{i}") for x in ("c", "least", "most"))) for i in (1, 2))
-    meet = one.join(two, "token").where(f"c1 < c2 and 100 * most2 >= {percent} * least1 and 100 * most1 >= {percent} * least2").select("token", "c1", "c2")
+    # sizes and most shingles from the shared one on, for all of a component's groups in a list: no pair of them can do better
+    sides = entries.groupBy("token", "c").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("p")).alias("left"))
+    one, two = (sides.select("token", *(F.col(x).alias(f"{x}{i}") for x in ("c", "least", "most", "left"))) for i in (1, 2))
+    able = f"c1 < c2 and 100 * most2 >= {percent} * least1 and 100 * most1 >= {percent} * least2 and (100 + {percent}) * least(left1, left2) >= {percent} * (least1 + least2)"
+    meet = one.join(two, "token").where(able).select("token", "c1", "c2")
     one, two = (entries.select("token", *(F.col(x).alias(f"{x}{i}") for x in ("c", "g", "n", "p"))) for i in (1, 2))
     rest = meet.join(one, ["token", "c1"]).join(two, ["token", "c2"]).where(_close(percent)).select("c1", "c2", "g1", "g2").distinct()
     one, two = (classes.select(F.col("g").alias(f"g{i}"), F.col("c").alias(f"c{i}"), F.col("k").alias(k)) for i, k in ((1, "a"), (2, "b")))
