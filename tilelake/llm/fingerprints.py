@@ -115,9 +115,9 @@ _RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 
 def _compare(rows: list[tuple[int | None, str, str]]) -> pa.RecordBatch:
     changed = [edited(t, n) for _, t, n in rows]
-    found = fingerprints([t for _, t, _ in rows] + changed + [n for _, _, n in rows])
-    n = len(rows)
-    own, after, following = found[:n], found[n : 2 * n], found[2 * n :]
+    distinct = list(dict.fromkeys([*(t for _, t, _ in rows), *changed, *(n for _, _, n in rows)]))  # most successors are rows too
+    found = dict(zip(distinct, fingerprints(distinct)))
+    own, after, following = ([found[t] for t in texts] for texts in ([t for _, t, _ in rows], changed, [n for _, _, n in rows]))
     columns = [
         pa.array([d for d, _, _ in rows], pa.int64()), pa.array([len(t) for _, t, _ in rows], pa.int64()),
         pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]), pa.array([as_text(x) for x in own]), pa.array([as_text(x) for x in after]),
