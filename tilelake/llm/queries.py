@@ -5,6 +5,7 @@ from tilelake.llm.fingerprints import op8_fingerprints
 from tilelake.llm.media import op3_media_columns
 from tilelake.llm.ngram_join import op1_ngram_join
 from tilelake.llm.packing import op5_packing
+from tilelake.llm.secrets import op10_secret_scan
 from tilelake.llm.sharding import op7_hilbert_shards
 from tilelake.llm.substring_dedup import op2_substring_dedup
 from tilelake.llm.toxicity import op4_toxicity
@@ -18,5 +19,6 @@ QUERIES = {
     "op7_hilbert_shards": op7_hilbert_shards,
     "op8_fingerprints": op8_fingerprints,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_secret_scan": op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
