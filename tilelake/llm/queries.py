@@ -5,6 +5,7 @@ from tilelake.llm.fingerprints import op8_fingerprints
 from tilelake.llm.media import op3_media_columns
 from tilelake.llm.ngram_join import op1_ngram_join
 from tilelake.llm.packing import op5_packing
+from tilelake.llm.pii import op6_personal_data
 from tilelake.llm.secrets import op10_secret_scan
 from tilelake.llm.sharding import op7_hilbert_shards
 from tilelake.llm.substring_dedup import op2_substring_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_media_columns": op3_media_columns,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
+    "op6_personal_data": op6_personal_data,
     "op7_hilbert_shards": op7_hilbert_shards,
     "op8_fingerprints": op8_fingerprints,
     "op9_byte_bpe": op9_byte_bpe,
