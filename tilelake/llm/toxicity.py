@@ -105,17 +105,15 @@ def fit(features: list[np.ndarray], first: list[np.ndarray], toxic: np.ndarray)
     kept = np.flatnonzero(_evidence(of, toxic) >= LEAST_EVIDENCE)
     name = np.full(1 << FEATURE_BITS, len(kept), np.int64)
     name[kept] = np.arange(len(kept))
-    sentence, word, sentences, document = [], [], 0, []
+    keys, sentences, document = [], 0, []
     for k, (f, s) in enumerate(zip(features, first)):
-        words = np.repeat(np.arange(len(f) // WIDTH), WIDTH)
-        sentence.append(sentences + np.searchsorted(s, words, side="right") - 1)
-        word.append(name[f])
+        at = np.flatnonzero(name[f] < len(kept))  # few words have features that count
+        sentence = sentences + np.searchsorted(s, at // WIDTH, side="right") - 1
+        keys.append(np.unique(sentence * len(kept) + name[f[at]]))
         document.append(np.full(len(s), k))
         sentences += len(s)
-    sentence, word, document = np.concatenate(sentence), np.concatenate(word), np.concatenate(document)
-    known = word < len(kept)
-    pairs = np.unique(sentence[known] * len(kept) + word[known])
-    sentence, word = np.divmod(pairs, max(len(kept), 1))
+    sentence, word = np.divmod(np.concatenate(keys), max(len(kept), 1))
+    document = np.concatenate(document)
     w, m, v = np.zeros(len(kept)), np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     for step in range(1, STEPS + 1):
         z = np.minimum(np.bincount(sentence, w[word], sentences) + bias, 30)
@@ -154,8 +152,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
     rows = texts.mapInArrow(_featurise, "doc_id long, toxic int, features array<int>, first array<int>").dropDuplicates(["doc_id"])
     rows = rows.toArrow().sort_by("doc_id")
-    arrays = ([np.asarray(x.values, np.int64) for x in rows.column(c)] for c in ("features", "first"))
-    return fit(*arrays, rows.column("toxic").to_numpy())
+    features, first = ([x.values.to_numpy(zero_copy_only=False) for x in rows.column(c)] for c in ("features", "first"))
+    return fit(features, first, rows.column("toxic").to_numpy())
 
 
 def _score(model):
