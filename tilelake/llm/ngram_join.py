@@ -6,7 +6,7 @@ then the hash. Two sets with Jaccard similarity t or more share a shingle among
 
 1. Documents with equal sets are one class; classes with equal prefix and size are one group, indexed once.
 2. In the list of each prefix shingle, groups are paired with the list's first group and with the one before them by
-   size. Pairs pass a size and a position filter, are expanded to the groups' first classes and verified on whole sets.
+   the shingle's place in their prefix. Pairs pass a size and a position filter, are expanded to the groups' first classes and verified on whole sets.
 3. Links so far make components. What is left are pairs in a list, or members of a group, whose components differ: these
    are all taken, filtered, expanded and verified. So no link between components stays unseen, and a list of thousands
    of near copies of one text costs as many checks as it has members, not their square.
@@ -196,9 +196,10 @@ def near_copies(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCE
 
     # the list of each prefix shingle that more than one group has
     lists = described.select("g", "n", F.posexplode("prefix").alias("p", "token"))
-    by_size = Window.partitionBy("token").orderBy("n", "g")
+    # the set with the fewest rarer shingles of its own comes first: the likeliest centre of a cluster
+    by_place = Window.partitionBy("token").orderBy("p", "n", "g")
     entry = F.struct("g", "n", "p")
-    lists = lists.withColumns({"before": F.lag(entry).over(by_size), "after": F.lead("g").over(by_size), "first": F.first(entry).over(by_size)})
+    lists = lists.withColumns({"before": F.lag(entry).over(by_place), "after": F.lead("g").over(by_place), "first": F.first(entry).over(by_place)})
     lists = stage(lists.where("before is not null or after is not null").drop("after"))
     near = lists.select("g", "n", "p", F.explode(F.array("before", "first")).alias("o")).where("o.g <> g").where(_close(percent, "n", "o.n", "p", "o.p"))
     near = near.select(F.least("g", "o.g").alias("g1"), F.greatest("g", "o.g").alias("g2")).distinct()
