@@ -36,7 +36,7 @@ def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def region_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """side, layer, rx, rz, mtime_ms, size, is_zip, ord: region files as listed, several to a coordinate."""
     return table(spark, sf_dir, "orders").select(
-        F.when(F.col("o_orderkey") % 2 == 0, "A").otherwise("B").alias("side"),
+        F.when(F.floor(F.col("o_orderkey") / 97) % 2 == 0, "A").otherwise("B").alias("side"),
         F.concat(F.lit("layer"), F.substring("o_orderpriority", 1, 1)).alias("layer"),
         (F.col("o_custkey") % 96 - 48).cast("int").alias("rx"),
         (F.col("o_orderkey") % 96 - 48).cast("int").alias("rz"),
@@ -111,7 +111,7 @@ VIEWS = {
         case l_returnflag when 'A' then 'minecraft:overworld' when 'N' then 'minecraft:the_nether' else 'minecraft:the_end' end dim,
         cast(l_partkey % 256 - 128 as int) x, cast(l_suppkey % 100 - 50 as int) z, epoch_ms(l_shipdate) found_time,
         cast(l_quantity as bigint) height, l_orderkey * 10 + l_linenumber ord from lineitem""",
-    "idx": """select case when o_orderkey % 2 = 0 then 'A' else 'B' end side, 'layer' || substr(o_orderpriority, 1, 1) layer,
+    "idx": """select case when o_orderkey // 97 % 2 = 0 then 'A' else 'B' end side, 'layer' || substr(o_orderpriority, 1, 1) layer,
         cast(o_custkey % 96 - 48 as int) rx, cast(o_orderkey % 96 - 48 as int) rz, epoch_ms(o_orderdate) mtime_ms,
         case when o_orderstatus = 'P' then 0 else cast(floor(o_totalprice) as bigint) end size, o_orderstatus <> 'O' is_zip, o_orderkey ord from orders""",
     "pix": """select region, px, pz, max(r) r, max(g) g, max(b) b, max(a) a from (
