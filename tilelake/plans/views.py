@@ -123,7 +123,7 @@ VIEWS = {
         'waypoint:' || replace(c_name, '#', '§§') || case when c_custkey % 5 = 0 then ' b' else '' end || ':' || substr(c_mktsegment, 1, 2) || ':' || cast(c_custkey * 16 - 9000 as varchar)
         || ':' || case when c_custkey % 7 = 0 then '~' else cast(c_custkey % 256 as varchar) end || ':' || cast(c_nationkey * 100 - 1000 as varchar)
         || case when c_custkey % 11 = 0 then '' else ':' || cast(c_custkey % 23 as varchar) || ':' || case when c_custkey % 3 = 0 then 'true' else 'false' end || ':0:gui.default:false:0:0' end line from customer""",
-    "pos": """select event_id, user_id player, epoch_ms(ts) t_ms, case when event_type in ('click', 'view') then 'minecraft:overworld' when event_type = 'error' then 'minecraft:the_nether' else 'minecraft:the_end' end dim,
+    "pos": """select event_id, user_id player, epoch_us(ts) // 1000 t_ms, case when event_type in ('click', 'view') then 'minecraft:overworld' when event_type = 'error' then 'minecraft:the_nether' else 'minecraft:the_end' end dim,
         cast(floor(value * 10) as bigint) - 500 x, cast(json_extract_string(props, '$.k') as bigint) * 10 - 500 z from events""",
     "names": """select ord, case ord % 16 when 0 then own || '.zip' when 1 then own || '.xaero' when 2 then '+' || own || '.zip' when 3 then own || '.zip.tmp'
         when 4 then own || '.sync-conflict-20240101-AB' || cast(ord % 7 as varchar) || '.zip' when 5 then cast(ord % 9 * 65536 + ord % 25 as varchar) || '_backup_' || cast(ord % 3 as varchar)
