@@ -14,7 +14,15 @@ def _one(df, side):
     return H.normalise(df.where(F.col("side") == side), KEYS, "src", "ord")
 
 
-_NAME = F.concat(F.lit("db_"), F.element_at(F.array(*(F.lit(p[0]) for p in H.PALETTE), F.lit("Unknown")), (F.col("p_partkey") % 11 + 1).cast("int")), F.lit(".db"))
+def _named(s, d):
+    """Names of databases, and what the palette says of them."""
+    patterns = F.array(*(F.lit(p[0]) for p in H.PALETTE), F.lit("Unknown"))
+    name = F.concat(F.lit("db_"), F.element_at(patterns, (F.col("p_partkey") % 11 + 1).cast("int")), F.lit(".db"))
+    field = lambda k: H.palette_field(F.col("name"), k)
+    rows = table(s, d, "part").select("p_partkey", name.alias("name"))
+    return rows.select("p_partkey", "name", field(1).alias("label"), H.hex_colour(field(2)).alias("colour"), field(3).alias("meaning"), (field(3) == "timestamp").alias("syncable"))
+
+
 _NAMES = "db: select p_partkey, 'db_' || list_extract([{}], cast(p_partkey % 11 + 1 as int)) || '.db' as name from part".format(", ".join(f"'{p[0]}'" for p in H.PALETTE) + ", 'Unknown'")
 
 
@@ -39,7 +47,7 @@ QUERIES = {
     "highlight_overlap": lambda s, d: highlights(s, d).where("side = 'A'").select(*KEYS).distinct().join(highlights(s, d).where("side = 'B'").select(*KEYS), list(KEYS), "left_semi").agg(F.count("*").alias("n")),
     "highlight_live_upsert": lambda s, d: H.live_upsert(_one(highlights(s, d), "A"), highlights(s, d).where("side = 'B'")),
     "highlight_lava_alpha": lambda s, d: highlights(s, d).where("dim = 'minecraft:the_nether'").select("x", "z", "ord", "height", F.coalesce(H.lava_alpha(F.col("height")), F.lit(-1)).alias("alpha")),
-    "highlight_palette_of_name": lambda s, d: table(s, d, "part").select("p_partkey", _NAME.alias("name")).select("p_partkey", "name", H.palette_field(F.col("name"), 1).alias("label"), H.hex_colour(H.palette_field(F.col("name"), 2)).alias("colour"), H.palette_field(F.col("name"), 3).alias("meaning"), (H.palette_field(F.col("name"), 3) == "timestamp").alias("syncable")),
+    "highlight_palette_of_name": _named,
     "highlight_canonical_dimension": lambda s, d: table(s, d, "nation").select("n_nationkey", H.canonical_dimension((F.col("n_nationkey") % 5 - 1).cast("string")).alias("dim")),
 }
 
