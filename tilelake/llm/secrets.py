@@ -27,12 +27,16 @@ from tilelake.llm.spans import find, joined, replaced
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX = r"AKIA[A-Z0-9]{12,}", r"[0-9a-f]{32,}"
-#: Tokens that the models judge, and what an ordinary sample is made of.
-TOKEN, WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,512}+(?![A-Za-z0-9+/_=-])", r"[A-Za-z][A-Za-z0-9_]{5,}"
+#: Tokens that the models judge.
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,512}+(?![A-Za-z0-9+/_=-])"
+#: A word in one case, or such words joined as in names of variables; nothing else counts as an ordinary identifier.
+WORD = r"(?<![A-Za-z0-9+/_=-])(?:[A-Z]?[a-z]{5,}+(?:[_-][a-z]{2,}+|[A-Z][a-z]{2,}+){0,9}|[A-Z]{6,}+)(?![A-Za-z0-9+/_=-])"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 TRAIN_DOCUMENTS, DIGESTS = 2000, 2000
-#: Nats by which random must beat ordinary, in all and for each character; weight of a pair never seen.
-LEAST_EVIDENCE, LEAST_RATE, PRIOR = 12.0, 0.5, 0.5
+#: Nats by which random must beat ordinary, in all and for each character.
+LEAST_EVIDENCE, LEAST_RATE = 12.0, 0.5
+#: Occurrences that each character has beforehand, and pairs' worth of trust in single characters.
+PRIOR, BACK_OFF = 0.5, 20.0
 
 
 def rules(docs: DataFrame) -> DataFrame:
@@ -59,12 +63,16 @@ def train(docs: DataFrame) -> list[float]:
     found = known.select(F.explode(F.concat(value, F.col("access.text"), F.col("hex.text"))).alias("s"))
     digests = docs.sparkSession.range(DIGESTS).select(F.regexp_replace(F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 256))), "=+$", "").alias("s"))
     words = sample.select(F.explode(F.regexp_extract_all("rest", F.lit(WORD), F.lit(0))).alias("s"))
-    random, ordinary = _pairs(found.union(digests)), _pairs(words)
-    out = []
-    for a in ALPHABET:
-        sums = [sum(model.get((a, b), 0) + PRIOR for b in ALPHABET) for model in (random, ordinary)]
-        out += [math.log((random.get((a, b), 0) + PRIOR) / sums[0] * sums[1] / (ordinary.get((a, b), 0) + PRIOR)) for b in ALPHABET]
-    return out
+    random, ordinary = (_model(_pairs(x)) for x in (found.union(digests), words))
+    return [math.log(random(a, b) / ordinary(a, b)) for a in ALPHABET for b in ALPHABET]
+
+
+def _model(pairs: dict[tuple[str, str], int]):
+    """P(next | this) from counts of pairs; where this is rare, it leans on how common next is."""
+    seconds = {b: sum(pairs.get((a, b), 0) for a in ALPHABET) + PRIOR for b in ALPHABET}
+    firsts = {a: sum(pairs.get((a, b), 0) for b in ALPHABET) for a in ALPHABET}
+    total = sum(seconds.values())
+    return lambda a, b: (pairs.get((a, b), 0) + BACK_OFF * seconds[b] / total) / (firsts[a] + BACK_OFF)
 
 
 def evidence(token: Column, ratios: list[float]) -> Column:

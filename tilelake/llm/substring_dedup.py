@@ -22,12 +22,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tilelake.llm.common import Words, slices, table, text_buffer, window_hashes
 
 WINDOW_WORDS = 35
 #: Bytes of text in a chunk and in a bucket's windows, on average.
 CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+_FOUND = [
+    T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()),
+    T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())),
+]
 _BUCKET = "chunk int, bucket int, hashes binary, repeated binary"
 
 
@@ -133,7 +138,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW_WORDS, passed: tuple[str,
     dealt = docs.select(chunk.alias("chunk"), F.struct(*passed).alias("row"), F.col("text")).repartition("chunk")
     asked = dealt.groupBy("chunk").applyInArrow(_chunk_windows(size, buckets), _BUCKET)
     answers = asked.groupBy("bucket").applyInArrow(_count, _BUCKET).select("chunk", "bucket", "repeated").where(F.octet_length("repeated") > 0)
-    schema = f"row {dealt.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept string, starts array<long>, ends array<long>"
+    schema = T.StructType([dealt.schema["row"], *_FOUND])
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_keep(size, buckets, exact), schema)
 
 

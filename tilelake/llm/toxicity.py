@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tilelake.llm.common import Words, crc32_text, slices, table, text_buffer
 
@@ -59,7 +60,7 @@ class Sentences:
         self.first = np.flatnonzero(fresh)
         #: Sentences of text k: bounds[k] to bounds[k + 1].
         self.bounds = np.searchsorted(self.first, words.bounds)
-        after = np.append(self.first[1:], len(words.starts))
+        after = np.append(self.first[1:], len(words.starts))[: len(self.first)]
         code_points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         base = np.repeat(code_points[offsets[:-1]], np.diff(self.bounds))
         self.starts = code_points[words.starts[self.first]] - base
@@ -156,6 +157,9 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     return fit(features, first, rows.column("toxic").to_numpy())
 
 
+_SCORED = [T.StructField("score", T.DoubleType()), T.StructField("offending", T.StringType())]
+
+
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = model.value
@@ -174,14 +178,14 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """row (a struct of the columns of docs), score, and the offending sentences as start:end in code points."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
-    return rows.mapInArrow(_score(model), f"row {rows.schema['row'].dataType.simpleString()}, score double, offending string")
+    return rows.mapInArrow(_score(model), T.StructType([rows.schema["row"], *_SCORED]))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = spark.sparkContext.broadcast(train(docs, table(spark, sf_dir, "labels")))
     rows = docs.select(F.struct("doc_id").alias("row"), "text")
-    out = rows.mapInArrow(_score(model), f"row {rows.schema['row'].dataType.simpleString()}, score double, offending string")
+    out = rows.mapInArrow(_score(model), T.StructType([rows.schema["row"], *_SCORED]))
     return out.select("row.doc_id", (fold("row.doc_id") == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "offending")
 
 
