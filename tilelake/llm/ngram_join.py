@@ -109,50 +109,54 @@ def _describe(sketch, size: int, percent: int):
 FILTER_BITS, FILTER_BLOCK = 26, 21
 
 
-def _filter_bits(ids: pa.Array) -> np.ndarray:
-    return (mix(ids.to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def _filter_places(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Each id's byte in the filter and its bit there."""
+    at = (mix(ids.to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return at >> 3, np.uint8(1) << (at & 7).astype(np.uint8)
 
 
 def _partial_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(1 << FILTER_BITS, bool)
+    bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
     for batch in batches:
-        bits[_filter_bits(batch.column("doc_id").drop_null())] = True
-    yield _filter_blocks(bits.reshape(-1, 1 << FILTER_BLOCK), range(1 << (FILTER_BITS - FILTER_BLOCK)))
+        np.bitwise_or.at(bits, *_filter_places(batch.column("doc_id").drop_null()))
+    blocks = bits.reshape(-1, 1 << FILTER_BLOCK - 3)
+    yield _filter_blocks(range(len(blocks)), blocks)
 
 
-def _filter_blocks(bits: np.ndarray, keys) -> pa.RecordBatch:
-    packed = [pa.compress(np.packbits(b).tobytes(), "zstd", asbytes=True) for b in bits]
+def _filter_blocks(keys, blocks) -> pa.RecordBatch:
+    packed = [pa.compress(b.tobytes(), "zstd", asbytes=True) for b in blocks]
     return pa.record_batch({"block": pa.array(keys, pa.int32()), "bits": pa.array(packed, pa.binary())})
 
 
-def _unpack_bits(packed: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(pa.decompress(packed, (1 << FILTER_BLOCK) // 8, "zstd", asbytes=True), np.uint8)).astype(bool)
+def _unpack_bits(packed: bytes, bits: int = FILTER_BLOCK) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed, 1 << bits - 3, "zstd", asbytes=True), np.uint8)
 
 
 def _join_filters(group: pa.Table) -> pa.Table:
-    bits = np.zeros(1 << FILTER_BLOCK, bool)
+    bits = np.zeros(1 << FILTER_BLOCK - 3, np.uint8)
     for packed in group.column("bits"):
         bits |= _unpack_bits(packed.as_py())
-    return pa.Table.from_batches([_filter_blocks(bits[None], [group.column("block")[0].as_py()])])
+    return pa.Table.from_batches([_filter_blocks([group.column("block")[0].as_py()], [bits])])
 
 
 def id_filter(ids: DataFrame) -> bytes:
     """A bitmap of fixed size in which each doc_id of ids has its bit set: what it turns away isn't among them."""
     schema = "block int, bits binary"
     rows = ids.mapInArrow(_partial_filter, schema).groupBy("block").applyInArrow(_join_filters, schema).collect()  # 32 blocks
-    bits = np.zeros((1 << (FILTER_BITS - FILTER_BLOCK), 1 << FILTER_BLOCK), bool)
+    bits = np.zeros((1 << FILTER_BITS - FILTER_BLOCK, 1 << FILTER_BLOCK - 3), np.uint8)
     for row in rows:
         bits[row["block"]] = _unpack_bits(bytes(row["bits"]))
-    return pa.compress(np.packbits(bits).tobytes(), "zstd", asbytes=True)
+    return pa.compress(bits.tobytes(), "zstd", asbytes=True)
 
 
 def _sets(size: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(pa.decompress(wanted.value, (1 << FILTER_BITS) // 8, "zstd", asbytes=True), np.uint8)).astype(bool)
+        bits = _unpack_bits(wanted.value, FILTER_BITS)
         for batch in batches:
             ids = batch.column("doc_id")
             known = ids.is_valid().to_numpy(zero_copy_only=False)
-            known[known] = bits[_filter_bits(ids.drop_null())]
+            byte, bit = _filter_places(ids.drop_null())
+            known[known] = bits[byte] & bit > 0
             for part in slices(batch.filter(pa.array(known))):
                 sets = list(shingle_sets(part.column("text"), size))
                 yield pa.record_batch({"k": pa.array([_digest(s, 1) for s in sets], pa.int64()), "items": long_lists(sets)})
