@@ -56,7 +56,8 @@ def _pairs(strings: DataFrame) -> dict[tuple[str, str], int]:
 
 def train(docs: DataFrame) -> list[float]:
     """Log-likelihood ratios of all pairs of characters, row by row of the alphabet."""
-    sample = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCUMENTS)
+    chosen = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCUMENTS).distinct()
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")  # 2000 ids: texts stay where they are
     sample = sample.select("text", F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{HEX}", " ").alias("rest"))
     known = rules(sample.select("text"))
     value = F.transform("assign", lambda s: F.regexp_extract(s["text"], ASSIGN, 1))
