@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tilelake.operators import highlights as H
 from tilelake.plans.highlight_queries import KEYS
-from tilelake.plans.views import highlights, table, with_views
-from tilelake.sources import files, sinks
+from tilelake.plans.views import highlights, pixels, table, with_views
+from tilelake.sources import files, regions, sinks
 from tilelake.streaming import live as stream
 
 
@@ -53,6 +53,25 @@ def _settings(s, d):
     return files.dimension_settings(lines).select("ord", "kind", F.coalesce("id", F.lit("-")).alias("id"), "value")
 
 
+def _codec(s, d):
+    """Pixels as tiles of binary regions, written, read back and exploded again."""
+    p = pixels(s, d)
+    at = ((F.col("px") % 16) * 16 + F.col("pz") % 16).cast("int")
+    place = {"tx": F.floor(F.col("px") / 16).cast("int"), "tz": F.floor(F.col("pz") / 16).cast("int")}
+    known = p.groupBy(F.concat(F.lit("r"), F.col("region").cast("string")).alias("path"), *(v.alias(k) for k, v in place.items())).agg(F.map_from_entries(F.collect_list(F.struct(at.alias("k"), F.struct(F.col("r").cast("int").alias("h"), (F.col("g") % 3).cast("int").alias("s")).alias("v")))).alias("m"))
+    every = F.sequence(F.lit(0), F.lit(255))
+    field = lambda f, none: F.transform(every, lambda k: F.coalesce(F.try_element_at(F.col("m"), k)[f], F.lit(none).cast("int")))
+    fixed = {"chunk_ord": 0, "cx": 0, "cz": 0, "interp_version": 1, "cave_start": 0, "cave_depth": 0}
+    nothing = F.array_repeat(F.lit(None).cast("int"), 256)
+    tiles = known.select("path", "tx", "tz", *(F.lit(v).alias(k) for k, v in fixed.items()), F.array_repeat(F.lit(0).cast("long"), 256).alias("params"), field("s", None).alias("state"), field("h", -1).alias("height"), nothing.alias("top"), nothing.alias("biome"), F.array_repeat(F.expr("cast(array() as array<struct<params: bigint, state: int, opacity: int>>)"), 256).alias("overlays"))
+    names = s.createDataFrame([(k, f"minecraft:b{k}", bytearray(regions.name_entry(f"minecraft:b{k}"))) for k in range(3)], "idx int, name string, raw binary")
+    palette = tiles.select("path").distinct().select("path", F.explode(F.array(*map(F.lit, range(3)))).alias("idx")).join(F.broadcast(names), "idx").select("path", F.lit("state").alias("kind"), "idx", "raw", "name")
+    written = sinks.containers(regions.regions(tiles, palette))
+    back = regions.named(regions.tiles(written), regions.palettes(written))
+    each = back.select("path", "tx", "tz", F.posexplode(F.arrays_zip("height", "state_name")).alias("k", "v")).where("v.height >= 0")
+    return each.select("path", (F.col("tx") * 16 + F.shiftright("k", 4)).alias("px"), (F.col("tz") * 16 + F.col("k") % 16).alias("pz"), F.col("v.height").alias("height"), F.col("v.state_name").alias("state"))
+
+
 def _stream_source(s: SparkSession, path: str) -> DataFrame:
     """A stream of one table; as a pattern, since a stream's path must not be a plain file."""
     return s.readStream.schema(s.read.parquet(path).schema).parquet(path.replace(".parquet", ".parque[t]"))
@@ -89,6 +108,7 @@ QUERIES = {
     "file_pearls": _pearls,
     "file_dimension_settings": _settings,
     "file_json_report": lambda s, d: files.report(H.merge_report(highlights(s, d).where("side = 'A'"), highlights(s, d).where("side = 'B'"))),
+    "region_codec_round_trip": _codec,
     "stream_highlight_merge": stream_merge,
 }
 _DUP = "one: select dim, x, z, found_time from (select *, row_number() over (partition by dim, x, z order by src, ord) n from hl) where n = 1"
@@ -97,5 +117,6 @@ ORACLES = {
     "file_highlight_databases": with_views("select * from one", "hl", _DUP),
     "file_pearls": "select 'u' || user_id as owner, 'p' || event_id as pearl, event_type uuid, cast(floor(value) as int) x, 64 y, cast(event_id % 7 as int) z from events",
     "file_dimension_settings": "select ord, kind, case kind when 'name' then split_part(rest, ':', 1) else '-' end id, case kind when 'name' then replace(substr(rest, instr(rest, ':') + 1), '^col^', ':') when 'other' then line else rest end as value from (select *, substr(line, instr(line, ':') + 1) rest, case ord % 5 when 0 then 'name' when 1 then 'cave_mode' when 3 then 'type' else 'other' end kind from (select c_custkey ord, list_extract(['MWName:mw$', 'caveModeType:', 'caveModeType:x', 'dimensionTypeId:', 'note '], c_custkey % 5 + 1) || c_nationkey || case when c_custkey % 5 = 0 then ':a^col^b:' || c_mktsegment else '' end line from customer))",
+    "region_codec_round_trip": with_views("select 'r' || region path, cast(px as int) px, cast(pz as int) pz, cast(r as int) height, 'minecraft:b' || g % 3 state from pix", "pix"),
     "stream_highlight_merge": with_views("select dim, x, z, min(found_time) found_time from hl group by 1, 2, 3", "hl"),
 }

@@ -28,7 +28,7 @@ ROWS_A_BATCH = 50_000
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """path, folder, name, mtime_ms, size of all files below root; contents aren't read."""
+    """path, folder, name, mtime_ms, size of all files below root that aren't empty; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return files.select(
         "path", F.regexp_extract("path", "([^/]*)/[^/]*$", 1).alias("folder"), F.regexp_extract("path", "[^/]*$", 0).alias("name"),
