@@ -36,3 +36,39 @@ def test_same_rows(spark, duck, small, name):
 
 def test_each_sql_has_its_query():
     assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_queries_without_sql(spark, small):
+    """What SQL doesn't return here: streams of a token bucket, containers, JSON."""
+    import json
+    import zlib
+
+    texts = {r["doc_id"]: r["text"].encode() for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    got = {r["doc_id"]: (r["bytes"], r["crc"]) for r in QUERIES["file_region_containers"](spark, small).collect()}
+    assert got == {k: (len(t), zlib.crc32(t)) for k, t in texts.items()}
+    lines = [json.loads(r[0]) for r in QUERIES["file_json_report"](spark, small).collect()]
+    assert {x["dim"] for x in lines} == {r["dim"] for r in QUERIES["highlight_merge_report"](spark, small).collect()}
+    passed, state = {}, {}
+    from tilelake.plans.views import positions
+
+    for r in sorted(positions(spark, small).collect(), key=lambda r: (r["player"], r["t_ms"], r["event_id"])):
+        tokens, last = state.get(r["player"], (3, r["t_ms"]))
+        tokens = min(3, tokens + (r["t_ms"] - last) / 1000 * 0.00005)
+        passed[r["event_id"]] = tokens >= 1
+        state[r["player"]] = (tokens - (tokens >= 1), r["t_ms"])
+    assert {r["event_id"]: r["passed"] for r in QUERIES["live_rate_limit"](spark, small).collect()} == passed
+
+
+def test_entry(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count() > 0
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_rest_stands_without_text_operators():
+    """Nothing but the entry and the pipeline names the text operators' subpackage."""
+    root = Path(__file__).resolve().parents[1]
+    for path in (root / "tilelake").rglob("*.py"):
+        if "llm" not in path.relative_to(root).parts:
+            assert "llm" not in path.read_text(encoding="utf-8").replace("fulltext", ""), path
