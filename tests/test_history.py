@@ -83,3 +83,19 @@ def test_streams_agree_with_batches(spark, small, tmp_path):
     q = S.rate_limited(source(), 0.00005, 3).writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("limited").count() == events.count()
+
+
+def test_flushes_wait(spark):
+    few = [("d", 0, "a"), ("d", 1000, "b"), ("d", 1500, "b"), ("d", 2000, "c"), ("e", 100, "x")]
+    many = [("f", 0, "0")] + [("f", 1 + k, f"p{k}") for k in range(600)] + [("f", 3000, "q"), ("f", 10_000, "r")]
+    got = sorted(map(tuple, L.flushes(spark.createDataFrame(few + many, "dim string, t_ms long, place string")).collect()))
+    assert got == [("d", 0, 1), ("d", 2000, 2), ("e", 100, 1), ("f", 0, 1), ("f", 10_000, None)]
+
+
+def test_canvas_keeps_the_latest(spark):
+    schema = "dim string, cx int, cz int, first long, last long, value string"
+    stored = spark.createDataFrame([("d", 0, 0, 1, 1, "old"), ("d", 1, 0, 2, 2, "b")], schema)
+    after = L.preview_canvas(stored, spark.createDataFrame([("d", 0, 0, 5, 5, "new"), ("d", 2, 0, 6, 6, "c")], schema), 2)
+    assert {tuple(r) for r in after.collect()} == {("d", 1, 0, 2, 2, "b"), ("d", 2, 0, 6, 6, "c")}
+    gone = L.evict_regions(after, spark.createDataFrame([("d", 0, 0)], "dim string, rx int, rz int"))
+    assert gone.count() == 0

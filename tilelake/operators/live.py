@@ -87,3 +87,54 @@ def rate_limit(events: DataFrame, rate: float, burst: float) -> DataFrame:
 
     ordered = events.select("event_id", "player", "t_ms").repartition("player").sortWithinPartitions("player", "t_ms", "event_id")
     return ordered.mapInPandas(fold, "event_id long, player long, t_ms long, passed boolean")
+
+
+PREVIEW_CHUNKS = 300_000
+FLUSH_MS, QUICK_FLUSH_MS, QUICK_PLACES, MOST_PLACES = 10_000, 2_000, 64, 512
+
+
+def preview_canvas(stored: DataFrame, batch: DataFrame, most: int = PREVIEW_CHUNKS) -> DataFrame:
+    """Chunks (dim, cx, cz, first, last, value) of a live preview after a batch of the same columns.
+
+    A chunk keeps when it first came and what came last; of each dimension the most chunks that came first latest stay.
+    Chunks are ranked within squares of 64 x 64 before the dimension, so no task orders more than its squares' best.
+    """
+    both = stored.unionByName(batch.select(*stored.columns))
+    each = both.groupBy("dim", "cx", "cz").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max_by("value", "last").alias("value"))
+    square = [F.shiftright("cx", 6), F.shiftright("cz", 6)]
+    order = [F.desc("first"), "cx", "cz"]
+    near = each.withColumn("n", F.row_number().over(Window.partitionBy("dim", *square).orderBy(*order))).where(F.col("n") <= most)
+    return near.withColumn("n", F.row_number().over(Window.partitionBy("dim").orderBy(*order))).where(F.col("n") <= most).drop("n")
+
+
+def evict_regions(canvas: DataFrame, regions: DataFrame) -> DataFrame:
+    """The canvas without the chunks of regions (dim, rx, rz) whose own files are there now."""
+    placed = canvas.withColumns({"rx": F.shiftright("cx", 5), "rz": F.shiftright("cz", 5)})
+    return placed.join(regions.select("dim", "rx", "rz").distinct(), ["dim", "rx", "rz"], "left_anti").drop("rx", "rz")
+
+
+def flushes(changes: DataFrame) -> DataFrame:
+    """dim, t_ms, n of each flush of changed places (dim, t_ms, place): the first at once, later ones ten seconds after the
+    last, or two where at most 64 places wait; n is null where more than 512 wait, which means all.
+
+    When a flush is due depends on the flushes before it, so rows are folded in order, each dimension by the task that
+    holds it; a task keeps at most 513 waiting places.
+    """
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        dim, last, waiting = None, None, set()
+        for rows in batches:
+            out = []
+            for who, t, place in rows.itertuples(index=False):
+                if who != dim:
+                    dim, last, waiting = who, None, set()
+                if len(waiting) <= MOST_PLACES:
+                    waiting.add(place)
+                if last is None or t - last >= (QUICK_FLUSH_MS if len(waiting) <= QUICK_PLACES else FLUSH_MS):
+                    out.append((dim, t, len(waiting) if len(waiting) <= MOST_PLACES else None))
+                    last, waiting = t, set()
+            if out:
+                yield pd.DataFrame(out, columns=["dim", "t_ms", "n"])
+
+    ordered = changes.select("dim", "t_ms", "place").repartition("dim").sortWithinPartitions("dim", "t_ms", "place")
+    return ordered.mapInPandas(fold, "dim string, t_ms long, n long")

@@ -39,7 +39,19 @@ def _newer(s, d):
     return W.newer_file(o.select((F.col("o_custkey") % 50).alias("file"), F.when(F.col("o_orderkey") % 2 == 0, "A").otherwise("B").alias("side"), (F.col("o_orderkey") % 2000 * 4 + F.col("o_custkey") % 2).alias("mtime_ms")).groupBy("file", "side").agg(F.max("mtime_ms").alias("mtime_ms")), "file")
 
 
+def _canvas(s, d):
+    p = positions(s, d).select("dim", F.floor(F.col("x") / 16).cast("int").alias("cx"), F.floor(F.col("z") / 16).cast("int").alias("cz"), F.col("event_id").alias("first"), F.col("event_id").alias("last"), F.col("player").alias("value"))
+    return L.preview_canvas(p.where("first % 2 = 0"), p.where("first % 2 = 1"), 500)
+
+
+def _evicted(s, d):
+    return L.evict_regions(_canvas(s, d), positions(s, d).where("event_id % 50 = 0").select("dim", F.floor(F.col("x") / 512).cast("int").alias("rx"), F.floor(F.col("z") / 512).cast("int").alias("rz")))
+
+
 QUERIES = {
+    "live_preview_canvas": _canvas,
+    "live_preview_evicted": _evicted,
+    "live_flushes": lambda s, d: L.flushes(positions(s, d).select("dim", F.floor(F.col("t_ms") / 100).alias("t_ms"), F.concat_ws("_", "x", "z").alias("place"))),
     "waypoint_parse": lambda s, d: _records(s, d).select("ord", "name", "initials", "x", F.coalesce("y", F.lit(-1)).alias("y"), "z", "color", "disabled", "wp_set", "y_key", W.colour(F.col("color")).alias("rgb")),
     "waypoint_format": lambda s, d: _records(s, d).select("ord", W.format_line().alias("line")),
     "waypoint_union": lambda s, d: W.union_lines(waypoint_lines(s, d).select("side", "world", "ord", F.concat(F.substring("line", 1, 9), F.substring("line", 26, 40)).alias("line")), ["world"]),
@@ -68,7 +80,10 @@ _S = f"""sy: select world, dim, mw_file, name, x, y_key, z, coalesce(b.initials,
     from v full join b using (world, dim, mw_file, name, x, y_key, z)"""
 _LINE = "'waypoint:' || replace(name, ':', '§§') || ':' || initials || ':' || x || ':' || case when y_key = -100000 then '~' else cast(y_key as varchar) end || ':' || z || ':' || color || ':' || disabled || ':0:' || wp_set || ':false:0:0:false'"
 _STEP = "sqrt((x - lag(x) over w)::double ** 2 + (z - lag(z) over w)::double ** 2)"
+_CANVAS = "cv: select dim, cx, cz, first, last, value from (select *, row_number() over (partition by dim order by first desc, cx, cz) n from (select dim, cast(floor(x / 16.0) as int) cx, cast(floor(z / 16.0) as int) cz, min(event_id) as first, max(event_id) as last, max_by(player, event_id) as value from pos group by 1, 2, 3)) where n <= 500"
 ORACLES = {
+    "live_preview_canvas": with_views("select * from cv", "pos", _CANVAS),
+    "live_preview_evicted": with_views("select * from cv where not exists (select 1 from pos p where p.event_id % 50 = 0 and p.dim = cv.dim and floor(p.x / 512.0) = floor(cv.cx / 32.0) and floor(p.z / 512.0) = floor(cv.cz / 32.0))", "pos", _CANVAS),
     "waypoint_parse": with_views("select ord, name, initials, x, coalesce(y, -1) y, z, color, disabled, wp_set, y_key, list_extract(['#000000', '#0000aa', '#00aa00', '#00aaaa', '#aa0000', '#aa00aa', '#ffaa00', '#aaaaaa', '#555555', '#5555ff', '#55ff55', '#55ffff', '#ff5555', '#ff55ff', '#ffff55', '#ffffff', '#c74ebd', '#3ab3da', '#80c71f', '#f38baa'], color % 20 + 1) rgb from r", "wp", _WP),
     "waypoint_format": with_views(f"select ord, {_LINE} as line from r", "wp", _WP),
     "waypoint_union": with_views("select world, line, side, ord from (select *, row_number() over (partition by world, line order by side, ord) n from (select side, world, ord, substr(line, 1, 9) || substr(line, 26, 40) line from wp)) where n = 1", "wp"),
