@@ -35,8 +35,8 @@ from tilelake.llm.common import stage, table
 TOKENIZER = "byte_bpe_50k.json"
 SEQUENCE, END_ID = 1024, 0
 OPEN_WINDOWS, SHORTEST_CUT = 64, 16
-#: Runs of words for which a worker compares the two libraries.
-TRIED_RUNS = 2000
+#: Runs of words for which a worker compares the two libraries, and that it remembers (about 200 bytes each).
+TRIED_RUNS, KNOWN_RUNS = 2000, 250_000
 #: Partitions whose leftovers one group merges; its windows' rows are at most so many times OPEN_WINDOWS windows' pieces.
 MERGED_PARTITIONS = 32
 #: Sequence ids hold a partition's number above so many bits; merged sequences count partitions from FIRST_MERGED.
@@ -98,7 +98,7 @@ def encoder(path: str) -> Spaced:
                         fast = None
             return [array("I", i).tobytes() for i in ids]
 
-        _encoders[path] = Spaced(encode)
+        _encoders[path] = Spaced(encode, KNOWN_RUNS)
     return _encoders[path]
 
 

@@ -15,7 +15,6 @@ an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
