@@ -60,7 +60,7 @@ QUERIES = {
     "block_colours": _colours,
     "block_states": _states,
     "pyramid_levels": lambda s, d: C.pyramid_levels(table(s, d, "nation").select(F.col("n_name").alias("dataset"), F.lit(0).alias("z_min"), (F.col("n_nationkey") % 5 + 1).alias("z_max"), (F.col("n_nationkey") * 7 + 3).alias("rows"), (F.col("n_nationkey") + 1).alias("cols"))),
-    "guide_diagonals": lambda s, d: C.diagonal_in_view(table(s, d, "customer").select("c_custkey", (F.col("c_custkey") * 100 - 90000).alias("x0"), (F.col("c_nationkey") * 3000 - 30000).cast("bigint").alias("z0"), (F.col("c_custkey") * 100 - 70000).alias("x1"), (F.col("c_nationkey") * 3000 - 10000).cast("bigint").alias("z1")), 30_000, -1).select("c_custkey", "lo", "hi"),
+    "guide_diagonals": lambda s, d: C.diagonal_in_view(table(s, d, "customer").select("c_custkey", (F.col("c_custkey") * 100 - 90000).alias("x0"), (F.col("c_nationkey") * 3000 - 30000).cast("bigint").alias("z0"), (F.col("c_custkey") * 100 - 70000).alias("x1"), (F.col("c_nationkey") * 3000 - 10000).cast("bigint").alias("z1")), 30_000_000, -1).select("c_custkey", "lo", "hi"),
     "region_box": _boxes,
     "bitset_cells": _bits,
 }
