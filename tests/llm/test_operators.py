@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -358,6 +359,22 @@ def test_random_strings_are_found(spark):
     assert not any(r["random"] for k, r in got.items() if k != 100)
 
 
+def test_random_strings_of_any_length_are_found(spark):
+    rng = random.Random(8)
+    tokens = {n: "".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(n)) for n in (20, 512, 513, 1000, 1001, 1002, 2000, 50_000)}
+    rows = [(k, prose(rng, 40)) for k in range(60)] + [(n + 100, f"KEEP {t} here") for n, t in tokens.items()] + [(99, "abcde" * 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(secrets.scan(docs).collect())
+    assert all([(s["start"], s["end"]) for s in got[n + 100]["random"]] == [(5, 5 + n)] for n in tokens)
+    assert not any(r["random"] for k, r in got.items() if k < 100)
+    cut = by_id(secrets.stage_secrets(spark, docs, "").collect())
+    assert all(cut[n + 100]["text"] == "KEEP [SECRET] here" for n in tokens)
+    ratios = [rng.uniform(-1, 1) for _ in range(len(secrets.ALPHABET) ** 2)]
+    plain = {n: sum(ratios[secrets.ALPHABET.index(a) * len(secrets.ALPHABET) + secrets.ALPHABET.index(b)] for a, b in zip(t, t[1:])) for n, t in tokens.items()}
+    sums = spark.createDataFrame(list(tokens.items()), "n int, t string").select("n", secrets.evidence(F.col("t"), ratios).alias("e")).collect()
+    assert {r["n"]: round(r["e"], 6) for r in sums} == {n: round(e, 6) for n, e in plain.items()}
+
+
 def test_labelers_are_rated():
     rng = random.Random(6)
     counts = Counter()

@@ -1,11 +1,11 @@
 """Secret scans: fixed rules, and two character Markov models compared by log-likelihood ratio.
 
-Rules find assignments of keys, access ids and long hexadecimal runs. Beyond them, each long token is scored by the sum
-over its neighbouring characters of log P(next | this, random) - log P(next | this, ordinary). The model of random
-strings is trained on the values that rules found in the corpus and on as many digests in base 64; the model of ordinary
-identifiers on the words of a sample of documents. Both samples are labelled by where they come from, and bounded:
-TRAIN_DOCUMENTS documents with the smallest hashes of their ids, DIGESTS digests. Tokens above LEAST_EVIDENCE nats that
-touch no rule's span are added, as kind random.
+Rules find assignments of keys, access ids and long hexadecimal runs. Beyond them, each token of 20 characters or more,
+without an upper bound, is scored by the sum over its neighbouring characters of log P(next | this, random) -
+log P(next | this, ordinary). The model of random strings is trained on the values that rules found in the corpus and on
+as many digests in base 64; the model of ordinary identifiers on the words of a sample of documents. Both samples are
+labelled by where they come from, and bounded: TRAIN_DOCUMENTS documents with the smallest hashes of their ids, DIGESTS
+digests. Tokens above LEAST_EVIDENCE nats that touch no rule's span are added, as kind random.
 
 All of it is DataFrame functions: matches, their positions, counts of character pairs, and scores by array lookups. Counts
 of at most 2 x 66^2 pairs come to the driver. Rows don't need each other, so texts are never shuffled.
@@ -28,7 +28,9 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX = r"AKIA[A-Z0-9]{12,}", r"[0-9a-f]{32,}"
 #: Tokens that the models judge.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,512}+(?![A-Za-z0-9+/_=-])"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+(?![A-Za-z0-9+/_=-])"
+#: Parts of a token, each with the first character of the next: no array grows with a token's length.
+PART = r"(?s)(?=(.{1,1001})).{1,1000}"
 #: A word in one case, or such words joined as in names of variables; nothing else counts as an ordinary identifier.
 WORD = r"(?<![A-Za-z0-9+/_=-])(?:[A-Z]?[a-z]{5,}+(?:[_-][a-z]{2,}+|[A-Z][a-z]{2,}+){0,9}|[A-Z]{6,}+)(?![A-Za-z0-9+/_=-])"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -77,11 +79,15 @@ def _model(pairs: dict[tuple[str, str], int]):
 
 
 def evidence(token: Column, ratios: list[float]) -> Column:
-    """The log-likelihood ratio of a token."""
+    """The log-likelihood ratio of a token, whatever its length: the sum over its parts."""
     letters, table_ = F.lit(ALPHABET), F.array(*map(F.lit, ratios))
-    codes = F.transform(F.split(token, "(?!^)(?!$)"), lambda c: F.instr(letters, c) - 1)
-    steps = F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes) - 1), lambda a, b: F.element_at(table_, (a * len(ALPHABET) + b + 1).cast("int")))
-    return F.aggregate(steps, F.lit(0.0), lambda s, x: s + x)
+
+    def of(part: Column) -> Column:
+        codes = F.transform(F.split(part, "(?!^)(?!$)"), lambda c: F.instr(letters, c) - 1)
+        steps = F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes) - 1), lambda a, b: F.element_at(table_, (a * len(ALPHABET) + b + 1).cast("int")))
+        return F.aggregate(steps, F.lit(0.0), lambda s, x: s + x)
+
+    return F.aggregate(F.regexp_extract_all(token, F.lit(PART), F.lit(1)), F.lit(0.0), lambda s, part: s + of(part))
 
 
 def scan(docs: DataFrame) -> DataFrame:
