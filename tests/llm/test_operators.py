@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import string
@@ -225,6 +226,19 @@ def test_toxicity(spark, monkeypatch):
     assert kept.columns == docs.columns and kept.count() == sum(not r["predicted"] for r in rows.values())
 
 
+@pytest.mark.parametrize("labelled", [True, False])
+def test_length_alone_is_not_toxic(spark, monkeypatch, labelled):
+    docs, labels = insults(spark)
+    monkeypatch.setattr(toxicity, "table", lambda s, d, name: labels if labelled else labels.limit(0))
+    clean = [r["text"] for r in docs.where("doc_id % 5 <> 0").collect()]
+    sentences = [s for t in clean for s in t.split(". ")]
+    ids = {1000 + n for n in (0, 1, 300, 3000, 30_000)}  # without labels
+    long = spark.createDataFrame([(k, ". ".join(itertools.islice(itertools.cycle(sentences), k - 1000))) for k in ids], "doc_id long, text string")
+    kept = lambda x: {r["doc_id"] for r in toxicity.stage_toxicity(spark, docs.union(x), "").where("doc_id >= 1000").collect()}
+    assert kept(long) == ids
+    assert kept(long.withColumn("text", F.concat("text", F.lit(". abc grumblo cab")))) == (set() if labelled else ids)
+
+
 def test_labels_do_not_leak(spark):
     docs, labels = insults(spark, 100)
     turned = labels.withColumn("toxic", F.when(toxicity.fold() == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))

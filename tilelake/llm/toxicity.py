@@ -1,7 +1,9 @@
 """Toxicity by multiple-instance learning: sentence scores, combined by noisy-or, are trained from document labels.
 
 A sentence's probability is a logistic function of its words' weights; a document is toxic unless all of its sentences
-are clean: p = 1 - product(1 - p_sentence). Only documents carry labels, so the gradient of a document's loss is shared
+are clean. The background, the probability p0 of a sentence without weighted words, counts once in a document, and a
+sentence counts by what its words add to it: p = 1 - (1 - p0) * product((1 - p_sentence) / (1 - p0)) over the sentences
+whose words' weights sum to more than 0. So a score doesn't grow with the number of sentences that say nothing. Only documents carry labels, so the gradient of a document's loss is shared
 among its sentences by how likely each is the offender. The trained model then scores every sentence of every document
 and locates the offending ones.
 
@@ -78,11 +80,15 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
+def _added(z: np.ndarray, bias: float) -> np.ndarray:
+    """What sentences add to their documents' -log(1 - p): nothing, if their words don't raise the logit above the bias."""
+    return np.maximum(_softplus(z) - _softplus(bias), 0)
+
+
 def _noisy_or(z: np.ndarray, bounds: np.ndarray, bias: float) -> np.ndarray:
-    """Documents' probabilities from their sentences' logits."""
-    sums = np.concatenate([[0.0], np.cumsum(_softplus(z))])
-    total = sums[bounds[1:]] - sums[bounds[:-1]]
-    return -np.expm1(-np.where(bounds[1:] > bounds[:-1], total, _softplus(bias)))
+    """Documents' probabilities from their sentences' logits and one background."""
+    sums = np.concatenate([[0.0], np.cumsum(_added(z, bias))])
+    return -np.expm1(-(_softplus(bias) + sums[bounds[1:]] - sums[bounds[:-1]]))
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,11 +123,14 @@ def fit(features: list[np.ndarray], first: list[np.ndarray], toxic: np.ndarray)
     document = np.concatenate(document)
     w, m, v = np.zeros(len(kept)), np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     for step in range(1, STEPS + 1):
-        z = np.minimum(np.bincount(sentence, w[word], sentences) + bias, 30)
-        total = np.clip(np.bincount(document, _softplus(z), len(toxic)), 1e-9, 30)
+        raised = np.bincount(sentence, w[word], sentences)
+        z = np.minimum(raised + bias, 30)
+        total = np.clip(_softplus(bias) + np.bincount(document, _added(z, bias), len(toxic)), 1e-9, 30)
         pull = np.where(toxic == 1, -1 / np.expm1(total), 1.0) / len(toxic)
-        gz = pull[document] / (1 + np.exp(-z))
-        g = np.append(np.bincount(word, gz[sentence], len(kept)) + DECAY * w / len(toxic), gz.sum())
+        background = 1 / (1 + np.exp(-bias))
+        own = pull[document] * (raised >= 0)  # weights begin at 0 and must be able to leave it
+        gz = own / (1 + np.exp(-z))
+        g = np.append(np.bincount(word, gz[sentence], len(kept)) + DECAY * w / len(toxic), pull.sum() * background + (gz - own * background).sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w -= move[:-1]
