@@ -99,3 +99,26 @@ def test_canvas_keeps_the_latest(spark):
     assert {tuple(r) for r in after.collect()} == {("d", 1, 0, 2, 2, "b"), ("d", 2, 0, 6, 6, "c")}
     gone = L.evict_regions(after, spark.createDataFrame([("d", 0, 0)], "dim string, rx int, rz int"))
     assert gone.count() == 0
+
+
+def test_settings_of_all_orders(spark, tmp_path):
+    """The queries on all orders lose none, whatever their keys; the numbers of files grow with the table."""
+    from tilelake.queries import QUERIES
+
+    orders = [(k, k * 7 % 501) for k in [*range(0, 700), *range(5500, 7000), *range(90_000, 92_500), *range(200_000, 200_060)]]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    files, newest = {}, {}
+    for k, c in orders:
+        name = f"mw{c % 13}" if c % 3 == 0 else None
+        files.setdefault(k // 1000, {"A": [], "B": []})["AB"[k // 40 % 2]].append((f"MWName:{name}:n" if name else f"note {c}", name))
+        newest.setdefault(c, []).append((k % 2000 * 4 + c % 2, "BA"[k % 2 == 0]))
+    want = {}
+    for file, sides in files.items():
+        own, other = (sides["B"], sides["A"]) if file % 3 > 0 else (sides["A"], sides["B"])
+        at = max((n + 1 for n, (_, name) in enumerate(own) if name), default=0)
+        added = [x for x in other if x[1] and x[1] not in {name for _, name in own}]
+        assert file != 200 or added
+        want |= {(file, n): x[0] for n, x in enumerate(own[:at] + added + own[at:])}
+    assert {(r["file"], r["ord"]): r["line"] for r in QUERIES["merge_settings_all"](spark, str(tmp_path)).collect()} == want
+    top = {c: max(x, key=lambda y: (y[0], y[1] == "A")) for c, x in newest.items()}
+    assert {r["file"]: (r["mtime_ms"], r["side"]) for r in QUERIES["settings_newer_file_all"](spark, str(tmp_path)).collect()} == top

@@ -34,9 +34,18 @@ def _settings(s, d):
     return W.first_values(W.key_values(lines.withColumn("line", F.translate(F.substring("line", 1, 60), ".", ":"))), ["doc_id"], "ord")
 
 
+def _newer_of(o, file):
+    return W.newer_file(o.select(file.alias("file"), F.when(F.col("o_orderkey") % 2 == 0, "A").otherwise("B").alias("side"), (F.col("o_orderkey") % 2000 * 4 + F.col("o_custkey") % 2).alias("mtime_ms")).groupBy("file", "side").agg(F.max("mtime_ms").alias("mtime_ms")), "file")
+
+
 def _newer(s, d):
-    o = table(s, d, "orders").where("o_orderkey < 4000")
-    return W.newer_file(o.select((F.col("o_custkey") % 50).alias("file"), F.when(F.col("o_orderkey") % 2 == 0, "A").otherwise("B").alias("side"), (F.col("o_orderkey") % 2000 * 4 + F.col("o_custkey") % 2).alias("mtime_ms")).groupBy("file", "side").agg(F.max("mtime_ms").alias("mtime_ms")), "file")
+    """50 files of a fixed part of orders: its SQL reads that part alone. The whole table: _newer_all."""
+    return _newer_of(table(s, d, "orders").where("o_orderkey < 4000"), F.col("o_custkey") % 50)
+
+
+def _newer_all(s, d):
+    """All orders, a file for each customer: their number grows with the table."""
+    return _newer_of(table(s, d, "orders"), F.col("o_custkey"))
 
 
 def _canvas(s, d):
@@ -62,6 +71,7 @@ QUERIES = {
     "waypoint_visible": lambda s, d: W.visible(_synced(s, d), "minecraft:overworld", "B").select("name", "x", "z"),
     "settings_first_values": _settings,
     "settings_newer_file": _newer,
+    "settings_newer_file_all": _newer_all,
     "live_latest": lambda s, d: L.latest(positions(s, d)),
     "live_in_order": lambda s, d: L.in_order(positions(s, d).withColumn("t_ms", F.col("t_ms") + F.col("x") * 100)).select("event_id", "player", "t_ms"),
     "live_trails": lambda s, d: L.trails(positions(s, d).withColumn("t_ms", F.floor(F.col("t_ms") / 1000))),
@@ -94,6 +104,7 @@ ORACLES = {
     "waypoint_visible": with_views("select name, x, z from sy where not disabled and present and contains(lower(name), 'b')", "wp", _WP, _V, _B, _S),
     "settings_first_values": "select doc_id, key, value from (select doc_id, ord, split_part(line, ':', 1) as key, case when contains(line, ':') then substr(line, instr(line, ':') + 1) else '' end as value, row_number() over (partition by doc_id, split_part(line, ':', 1) order by ord) n from (select doc_id, ord, replace(substr(line, 1, 60), '.', ':') line from (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) ord from documents)) where trim(line) <> '' and not starts_with(line, '//')) where n = 1",
     "settings_newer_file": "select file, side, mtime_ms from (select *, row_number() over (partition by file order by mtime_ms desc, side) n from (select o_custkey % 50 file, case when o_orderkey % 2 = 0 then 'A' else 'B' end side, max(o_orderkey % 2000 * 4 + o_custkey % 2) mtime_ms from orders where o_orderkey < 4000 group by 1, 2)) where n = 1",
+    "settings_newer_file_all": "select file, side, mtime_ms from (select *, row_number() over (partition by file order by mtime_ms desc, side) n from (select o_custkey file, case when o_orderkey % 2 = 0 then 'A' else 'B' end side, max(o_orderkey % 2000 * 4 + o_custkey % 2) mtime_ms from orders group by 1, 2)) where n = 1",
     "live_latest": with_views("select player, event_id, t_ms, dim, x, z from (select *, row_number() over (partition by player order by t_ms desc, event_id desc) n from pos) where n = 1", "pos"),
     "live_in_order": with_views("select event_id, player, t_ms from (select event_id, player, t_ms + x * 100 t_ms, max(t_ms + x * 100) over (partition by player order by event_id rows between unbounded preceding and 1 preceding) m from pos) where m is null or t_ms >= m", "pos"),
     "live_trails": with_views("select player, event_id, t_ms, x, z from (select *, row_number() over (partition by player order by t_ms desc, event_id desc) back, first_value(part) over (partition by player order by t_ms desc, event_id desc) lp, first_value(t_ms) over (partition by player order by t_ms desc, event_id desc) lm from q2) where back <= 30 and part = lp and lm - t_ms <= 60000", "pos", "q0: select event_id, player, t_ms // 1000 t_ms, dim, x, z from pos", f"q1: select *, case when dim <> lag(dim) over w or {_STEP} > greatest(1.0, (t_ms - lag(t_ms) over w) / 1000.0::double) * 150 then 1 else 0 end reset from q0 window w as (partition by player order by t_ms, event_id)", "q2: select *, sum(reset) over (partition by player order by t_ms, event_id) part from q1"),

@@ -19,19 +19,29 @@ def _worlds(s, d):
     return M.pair_worlds(w.where("c_custkey % 5 < 2"), w.where("c_custkey % 5 in (2, 3)"), aliases)
 
 
-def _settings(s, d):
-    o = table(s, d, "orders").where("o_orderkey < 6000")
+def _settings_files(o, file):
+    """Lines of orders as settings files of two sides, merged."""
     line = F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("MWName:mw"), (F.col("o_custkey") % 13).cast("string"), F.lit(":n"))).otherwise(F.concat(F.lit("note "), F.col("o_custkey").cast("string")))
     side = F.when(F.floor(F.col("o_orderkey") / 40) % 2 == 0, "A").otherwise("B")
-    file = F.col("o_orderkey") % 40
-    lines = o.select(file.alias("file"), side.alias("side"), (F.col("o_orderkey") % 40 % 3 * F.when(side == "B", 1).otherwise(0)).alias("mtime_ms"), F.col("o_orderkey").alias("ord"), line.alias("line"))
+    lines = o.select(file.alias("file"), side.alias("side"), (file % 3 * F.when(side == "B", 1).otherwise(0)).alias("mtime_ms"), F.col("o_orderkey").alias("ord"), line.alias("line"))
     return M.merge_settings(lines, "file", F.when(F.col("line").startswith("MWName:"), F.regexp_extract("line", "^MWName:([^:]*)", 1)))
 
 
+def _settings(s, d):
+    """40 files of a fixed part of orders: its SQL reads that part alone. The whole table: _settings_all."""
+    return _settings_files(table(s, d, "orders").where("o_orderkey < 6000"), F.col("o_orderkey") % 40)
+
+
+def _settings_all(s, d):
+    """All orders, in files of up to 1000 lines: their number grows with the table."""
+    return _settings_files(table(s, d, "orders"), F.floor(F.col("o_orderkey") / 1000))
+
+
 QUERIES = {
     "merge_plan": _plan,
     "merge_plan_report": lambda s, d: M.plan_report(_plan(s, d)),
     "merge_settings": _settings,
+    "merge_settings_all": _settings_all,
     "merge_world_pairs": _worlds,
 }
 
@@ -39,11 +49,20 @@ _PLAN = "p: select layer, rx, rz, case when b.size is null then 'copy_a' when a.
 _L = "l: select o_orderkey % 40 file, case when o_orderkey // 40 % 2 = 0 then 'A' else 'B' end side, o_orderkey ord, case when o_custkey % 3 = 0 then 'MWName:mw' || o_custkey % 13 || ':n' else 'note ' || o_custkey end line, case when o_custkey % 3 = 0 then 'mw' || o_custkey % 13 end id from orders where o_orderkey < 6000"
 _T = "t: select *, side = case when file % 3 > 0 then 'B' else 'A' end own from l"
 _AD = "ad: select file, coalesce((select max(ord) from t u where u.file = t.file and u.own and u.id is not null), -1) aft, 1 late, ord, line from t where not own and id is not null and not exists (select 1 from t u where u.file = t.file and u.own and u.id = t.id)"
+_ALL = [
+    "l: select o_orderkey // 1000 file, case when o_orderkey // 40 % 2 = 0 then 'A' else 'B' end side, o_orderkey ord, case when o_custkey % 3 = 0 then 'MWName:mw' || o_custkey % 13 || ':n' else 'note ' || o_custkey end line, case when o_custkey % 3 = 0 then 'mw' || o_custkey % 13 end id from orders",
+    "sides: select file, case when bool_or(side = 'B') and (file % 3 > 0 or not bool_or(side = 'A')) then 'B' else 'A' end own_side from l group by file",
+    "t: select l.*, side = own_side own from l join sides using (file)",
+    "known: select file, id, max(ord) ord from t where own and id is not null group by 1, 2",
+    "lasts: select file, max(ord) aft from known group by 1",
+    "ad: select file, coalesce(aft, -1) aft, 1 late, t.ord, line from t left join lasts using (file) left join known using (file, id) where not own and id is not null and known.ord is null",
+]
 _CW = "w: select distinct c_custkey % 5 k, case when c_custkey % 3 = 0 then 'Multiplayer_' else '' end || 'play' || c_custkey % 37 || case when c_custkey % 2 = 0 then '.net' else '.com' end world from customer"
 ORACLES = {
     "merge_plan": with_views("select * from p", "idx", _A, _B, _PLAN),
     "merge_plan_report": with_views("select layer, count(*) filter (action = 'copy_a') only_a, count(*) filter (action = 'copy_b') only_b, count(*) filter (action = 'merge') conflicts, count(*) regions_out, cast(sum(bytes) as bigint) bytes from p group by layer", "idx", _A, _B, _PLAN),
     "merge_settings": with_views("select file, row_number() over (partition by file order by aft, late, ord) - 1 ord, line from (select file, ord aft, 0 late, ord, line from t where own union all select * from ad)", _L, _T, _AD),
+    "merge_settings_all": with_views("select file, row_number() over (partition by file order by aft, late, ord) - 1 ord, line from (select file, ord aft, 0 late, ord, line from t where own union all select * from ad)", *_ALL),
     "merge_world_pairs": with_views("""select * from e union all select world_a, world_b, 'alias' from al2 union all select x.world_a, y.world_b, 'suggested' from (select *, row_number() over (partition by server order by world_a) n from ra) x join (select *, row_number() over (partition by server order by world_b) n from rb) y using (server, n)""",
         _CW, "a: select distinct world world_a from w where k < 2", "b: select distinct world world_b from w where k in (2, 3)", "e: select world_a, world_b, 'exact' how from a join b on world_a = world_b",
         "al: select 'play' || i || '.net' x, 'play' || (i + 1) || '.com' y from range(12) r(i)", "al0: select x world_a, y world_b from al union select y, x from al",
