@@ -122,3 +122,18 @@ def test_settings_of_all_orders(spark, tmp_path):
     assert {(r["file"], r["ord"]): r["line"] for r in QUERIES["merge_settings_all"](spark, str(tmp_path)).collect()} == want
     top = {c: max(x, key=lambda y: (y[0], y[1] == "A")) for c, x in newest.items()}
     assert {r["file"]: (r["mtime_ms"], r["side"]) for r in QUERIES["settings_newer_file_all"](spark, str(tmp_path)).collect()} == top
+
+
+def test_settings_of_whole_lines(spark, tmp_path):
+    """Keys and values lie anywhere in a line, however long."""
+    from tilelake.queries import QUERIES
+
+    texts = {1: "k" * 90 + ":" + "v" * 25_000 + "\nshort:" + "w" * 61 + "\nshort:later", 2: "a" * 59 + ".b:c\n" + "a" * 59 + "x.y\n\n// no:thing", 3: "no separator " * 9, 4: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for k, t in texts.items():
+        for line in (t or "").split("\n"):
+            if line.strip(" ") and not line.startswith("//"):
+                key, _, value = line.replace(".", ":").partition(":")
+                want.setdefault((k, key), value)
+    assert {(r["doc_id"], r["key"]): r["value"] for r in QUERIES["settings_whole_lines"](spark, str(tmp_path)).collect()} == want

@@ -29,9 +29,15 @@ def _synced(s, d):
     return W.sync(_vault(s, d), _batch(s, d), _records(s, d).where("side = 'A'"), NOW_MS)
 
 
-def _settings(s, d):
+def _first_settings(s, d, line):
+    """The first value of each key that a document's lines set, a dot or colon between them."""
     lines = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
-    return W.first_values(W.key_values(lines.withColumn("line", F.translate(F.substring("line", 1, 60), ".", ":"))), ["doc_id"], "ord")
+    return W.first_values(W.key_values(lines.withColumn("line", F.translate(line, ".", ":"))), ["doc_id"], "ord")
+
+
+def _settings(s, d):
+    """From the first 60 characters of a line: its SQL cuts there. Whole lines: settings_whole_lines."""
+    return _first_settings(s, d, F.substring("line", 1, 60))
 
 
 def _newer_of(o, file):
@@ -70,6 +76,7 @@ QUERIES = {
     "waypoint_export": lambda s, d: W.export(_synced(s, d)).select("world", "mw_file", "line"),
     "waypoint_visible": lambda s, d: W.visible(_synced(s, d), "minecraft:overworld", "B").select("name", "x", "z"),
     "settings_first_values": _settings,
+    "settings_whole_lines": lambda s, d: _first_settings(s, d, F.col("line")),
     "settings_newer_file": _newer,
     "settings_newer_file_all": _newer_all,
     "live_latest": lambda s, d: L.latest(positions(s, d)),
@@ -103,6 +110,7 @@ ORACLES = {
     "waypoint_export": with_views(f"select world, mw_file, {_LINE} as line from sy where present", "wp", _WP, _V, _B, _S),
     "waypoint_visible": with_views("select name, x, z from sy where not disabled and present and contains(lower(name), 'b')", "wp", _WP, _V, _B, _S),
     "settings_first_values": "select doc_id, key, value from (select doc_id, ord, split_part(line, ':', 1) as key, case when contains(line, ':') then substr(line, instr(line, ':') + 1) else '' end as value, row_number() over (partition by doc_id, split_part(line, ':', 1) order by ord) n from (select doc_id, ord, replace(substr(line, 1, 60), '.', ':') line from (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) ord from documents)) where trim(line) <> '' and not starts_with(line, '//')) where n = 1",
+    "settings_whole_lines": "select doc_id, key, value from (select doc_id, ord, split_part(line, ':', 1) as key, case when contains(line, ':') then substr(line, instr(line, ':') + 1) else '' end as value, row_number() over (partition by doc_id, split_part(line, ':', 1) order by ord) n from (select doc_id, ord, replace(line, '.', ':') line from (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) ord from documents)) where trim(line) <> '' and not starts_with(line, '//')) where n = 1",
     "settings_newer_file": "select file, side, mtime_ms from (select *, row_number() over (partition by file order by mtime_ms desc, side) n from (select o_custkey % 50 file, case when o_orderkey % 2 = 0 then 'A' else 'B' end side, max(o_orderkey % 2000 * 4 + o_custkey % 2) mtime_ms from orders where o_orderkey < 4000 group by 1, 2)) where n = 1",
     "settings_newer_file_all": "select file, side, mtime_ms from (select *, row_number() over (partition by file order by mtime_ms desc, side) n from (select o_custkey file, case when o_orderkey % 2 = 0 then 'A' else 'B' end side, max(o_orderkey % 2000 * 4 + o_custkey % 2) mtime_ms from orders group by 1, 2)) where n = 1",
     "live_latest": with_views("select player, event_id, t_ms, dim, x, z from (select *, row_number() over (partition by player order by t_ms desc, event_id desc) n from pos) where n = 1", "pos"),
