@@ -1,12 +1,13 @@
 """Substring dedup: words covered by a window of words that also starts elsewhere are removed.
 
 Documents are dealt into chunks by a hash of their rows, and every chunk's distinct Rabin-Karp window hashes into buckets
-by other bits of the hash, so that a bucket holds all chunks' copies of a window. A bucket counts its hashes and answers
+by a function of the hash, so that a bucket holds all chunks' copies of a window. A bucket counts its hashes and answers
 each chunk with the windows that occur twice or more, as bits in the order of the chunk's sorted hashes. Each chunk then
 meets its answers, marks repeated windows on its documents and merges them into maximal intervals. A window that half of
 all documents hold comes once from each chunk, so no bucket grows with the copies of a window.
 
-Hashes have 64 bits besides the bucket's number; at 10^13 windows that leaves about one false repeat in all.
+Hashes have 64 bits, from which the bucket's number comes too, and words aren't compared: n distinct windows have about
+n^2 / 2^65 false repeats, 0.4 at 4 * 10^9 windows (some 30 GB) and 2.7 million at 10^13.
 
 Defined results: a null text has no words, n_removed 0 and the hash of the empty string; texts shorter than a window keep
 all; repeated rows are copies of each other, so their windows go in each of them; rows with null ids are treated alike;
