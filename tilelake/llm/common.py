@@ -5,7 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +36,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-_staged: list[tuple[SparkSession, str]] = []
+_staged: dict[str, SparkSession] = {}
+
+
+def _delete(path: str, spark: SparkSession) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @atexit.register
 def _drop_staged() -> None:
-    for spark, path in _staged:
+    for path, spark in _staged.items():
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(path, spark)
         except Exception:  # the session has ended: its owner clears the shared folder
             return
 
@@ -54,8 +58,26 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tilelake-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _staged.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _staged[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def drop_staged(*frames: DataFrame) -> None:
+    """Delete staged tables that nothing will read again; the rest go when the driver ends."""
+    for df in frames:
+        if (spark := _staged.pop(df._staged_at, None)) is not None:
+            _delete(df._staged_at, spark)
+
+
+@contextmanager
+def staging() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables staged in this block are deleted after it, but for those that it hands to what it gets."""
+    known, kept = set(_staged), set()
+    yield lambda df: kept.add(df._staged_at) or df
+    for path in [p for p in _staged if p not in known and p not in kept]:
+        _delete(path, _staged.pop(path))
 
 
 def crc32_text(col) -> F.Column:
@@ -167,7 +189,7 @@ class Words:
             inside = at < self.ends
             h = h + np.where(inside, _lower_values[self.data[np.where(inside, at, self.starts)]] * _byte_powers[k], np.uint64(0))
             if k + 1 in sizes:
-                out.append(mix(h + np.uint64(k + 1) * _M1))
+                out.append(mix(h + np.uint64((k + 1) * int(_M1) % (1 << 64))))
         return out
 
 
@@ -217,7 +239,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
         large = both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").distinct()
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v"))
-        edges, now = seal(small.where("u <> v").distinct())
+        before, (edges, now) = edges, seal(small.where("u <> v").distinct())
+        drop_staged(before)
         if now == seen:
             break
         seen = now
