@@ -1,13 +1,18 @@
 """Substring dedup: words covered by a window of words that also starts elsewhere are removed.
 
-Documents are dealt into chunks by a hash of their rows, and every chunk's distinct Rabin-Karp window hashes into buckets
+Documents are dealt into chunks by a hash of id and text, and every chunk's distinct Rabin-Karp window hashes into buckets
 by a function of the hash, so that a bucket holds all chunks' copies of a window. A bucket counts its hashes and answers
-each chunk with the windows that occur twice or more, as bits in the order of the chunk's sorted hashes. Each chunk then
-meets its answers, marks repeated windows on its documents and merges them into maximal intervals. A window that half of
-all documents hold comes once from each chunk, so no bucket grows with the copies of a window.
+each chunk with the windows that occur twice or more, as bits in the order of the chunk's sorted hashes. A window that half
+of all documents hold comes once from each chunk, so no bucket grows with the copies of a window. Equal rows that would
+fill one chunk are given numbers first, in a table in the shared folder, and dealt by these too.
 
-Hashes have 64 bits, from which the bucket's number comes too, and words aren't compared: n distinct windows have about
-n^2 / 2^65 false repeats, 0.4 at 4 * 10^9 windows (some 30 GB) and 2.7 million at 10^13.
+This is done twice. The first time FIRST_BITS of each window's hash are counted: a filter that only windows without any
+equal pass unseen. The second time only windows that it marked come, with 64 bits of a second hash. Each chunk then meets
+the answers, marks repeated windows on its documents and merges them into maximal intervals. A window is removed wrongly if
+both hashes meet others of its bucket by chance: of 10^13 windows in buckets of 3 * 10^6, some 10^13 * (3 * 10^6 / 2^40) *
+(3 * 10^6 / 2^64), or 5 * 10^-6 in all. (Words enter as hashes of 64 bits: two words that share one would count as equal.)
+
+Chunks and buckets widen with the root of the input, so that a row between the two holds 32 windows or more at any size.
 
 Defined results: a null text has no words, n_removed 0 and the hash of the empty string; texts shorter than a window keep
 all; repeated rows are copies of each other, so their windows go in each of them; rows with null ids are treated alike;
@@ -16,6 +21,7 @@ an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,16 +30,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilelake.llm.common import Words, slices, table, text_buffer, window_hashes
+from tilelake.llm.common import Words, mix, slices, stage, table, text_buffer, window_hashes
 
 WINDOW_WORDS = 35
-#: Bytes of text in a chunk and in a bucket's windows, on average.
-CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+#: Bytes of text in a chunk on average, at least and at most; a bucket's windows come from twice as many.
+CHUNK_BYTES = 8 << 20, 256 << 20
+#: Bytes of text for a window, about, and fewest windows that one chunk sends one bucket on average.
+WINDOW_BYTES, ROW_WINDOWS = 6, 32
+#: Bits of the first pass's values; rows are dealt by numbers too where one of CLASSES holds SPLIT_BYTES more than four shares.
+FIRST_BITS, CLASSES, SPLIT_BYTES = 40, 1024, 64 << 20
 _FOUND = [
     T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()),
     T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())),
 ]
-_BUCKET = "chunk int, bucket int, hashes binary, repeated binary"
+#: values: a chunk's distinct hashes in one bucket, ascending; twice: bits of those that occur twice; first: the first answer.
+_BUCKET = "chunk int, bucket int, values binary, twice binary, first binary"
 
 
 def _texts(group: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -41,46 +52,127 @@ def _texts(group: pa.Table) -> Iterator[pa.RecordBatch]:
         yield from slices(batch)
 
 
-def _windows(part: pa.RecordBatch, size: int) -> tuple[Words, list[np.ndarray]]:
-    words = Words(*text_buffer(part.column("text")))
-    hashes = words.hashes()
-    return words, [window_hashes(hashes[lo:hi], size) for lo, hi in zip(words.bounds[:-1], words.bounds[1:])]
+def _windows(group: pa.Table, size: int, seconds: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Both hashes of all windows of a chunk's texts, one text after another."""
+    one, two = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for part in _texts(group):
+        words = Words(*text_buffer(part.column("text")))
+        hashes = words.hashes()
+        other = mix(hashes ^ _SECOND) if seconds else None
+        for lo, hi in zip(words.bounds[:-1], words.bounds[1:]):
+            if hi - lo >= size:
+                one.append(window_hashes(hashes[lo:hi], size))
+                if seconds:
+                    two.append(window_hashes(other[lo:hi], size))
+    return np.concatenate(one), np.concatenate(two) if seconds else None
+
+
+_SECOND = np.uint64(0x5851F42D4C957F2D)
+
 
+def _keys(hashes: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+    """A window's bucket, from its hash's high bits, above its value, the low ones."""
+    bucket = (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)
+    return bucket << np.uint64(bits) | hashes & np.uint64((1 << bits) - 1)
 
-def _split(distinct: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Of a chunk's distinct hashes, those of each bucket, in order, and which of them it holds twice."""
-    bucket = (distinct * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
+
+def _runs(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each bucket and where its entries lie, of ascending buckets."""
+    edges = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1, append=-1)) if len(bucket) else []
     for lo, hi in zip(edges[:-1], edges[1:]):
-        at = order[lo:hi]
-        yield int(bucket[at[0]]), distinct[at], counts[at] > 1
+        yield int(bucket[lo]), slice(lo, hi)
+
+
+def _packed(values: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpacked(packed: pa.Scalar, width: int) -> np.ndarray:
+    own = np.frombuffer(packed.as_buffer(), np.uint8).reshape(-1, width)
+    out = np.zeros((len(own), 8), np.uint8)
+    out[:, :width] = own
+    return out.view(np.uint64).reshape(-1)
+
+
+def _bits(packed: pa.Scalar, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed.as_buffer(), np.uint8), count=n).astype(bool)
+
+
+def _rows(chunk: int, rows: list[tuple[int, bytes, np.ndarray, bytes | None]]) -> pa.Table:
+    bucket, values, twice, first = zip(*rows) if rows else ((), (), (), ())
+    twice = [np.packbits(t).tobytes() for t in twice]
+    return pa.table({"chunk": pa.array([chunk] * len(rows), pa.int32()), "bucket": pa.array(bucket, pa.int32()), "values": pa.array(values, pa.binary()), "twice": pa.array(twice, pa.binary()), "first": pa.array(first, pa.binary())})
 
 
-def _chunk_windows(size: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
+def _ask(size: int, buckets: int, bits: int) -> Callable[[pa.Table], pa.Table]:
+    """A chunk's first values for each bucket."""
+
     def run(group: pa.Table) -> pa.Table:
-        found = [w for part in _texts(group) for w in _windows(part, size)[1]]
-        split = list(_split(*np.unique(np.concatenate(found), return_counts=True), buckets)) if found else []
-        chunk = [group.column("chunk")[0].as_py()] * len(split)
-        return pa.table(
-            {"chunk": pa.array(chunk, pa.int32()), "bucket": pa.array([b for b, _, _ in split], pa.int32()), "hashes": pa.array([h.tobytes() for _, h, _ in split], pa.binary()), "repeated": pa.array([np.packbits(r).tobytes() for _, _, r in split], pa.binary())}
-        )
+        keys, counts = np.unique(_keys(_windows(group, size, False)[0], buckets, bits), return_counts=True)
+        values = keys & np.uint64((1 << bits) - 1)
+        return _rows(group.column("chunk")[0].as_py(), [(b, _packed(values[at], -(-bits // 8)), counts[at] > 1, None) for b, at in _runs(keys >> np.uint64(bits))])
 
     return run
 
 
-def _count(group: pa.Table) -> pa.Table:
-    """For each chunk's hashes in one bucket, which occur twice or more in all chunks."""
-    parts = [np.frombuffer(h.as_buffer(), np.uint64) for h in group.column("hashes")]
-    ordered = np.sort(np.concatenate(parts))
-    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    out = []
-    for hashes, own in zip(parts, group.column("repeated")):
-        marks = np.unpackbits(np.frombuffer(own.as_buffer(), np.uint8), count=len(hashes)).astype(bool)
-        if len(twice):
-            marks |= twice[np.minimum(np.searchsorted(twice, hashes), len(twice) - 1)] == hashes
-        out.append(np.packbits(marks).tobytes() if marks.any() else b"")
-    return pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "hashes": pa.nulls(len(out), pa.binary()), "repeated": pa.array(out, pa.binary())})
+def _count(width: int) -> Callable[[pa.Table], pa.Table]:
+    """For each chunk's values in one bucket, which occur twice or more in all chunks."""
+
+    def run(group: pa.Table) -> pa.Table:
+        parts = [_unpacked(v, width) for v in group.column("values")]
+        ordered = np.sort(np.concatenate(parts))
+        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        out = []
+        for values, own in zip(parts, group.column("twice")):
+            marks = _bits(own, len(values))
+            if len(twice):
+                marks |= twice[np.minimum(np.searchsorted(twice, values), len(twice) - 1)] == values
+            out.append(np.packbits(marks).tobytes() if marks.any() else b"")
+        return pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "values": pa.nulls(len(out), pa.binary()), "twice": pa.array(out, pa.binary()), "first": group.column("first")})
+
+    return run
+
+
+class _Marked:
+    """The windows of a chunk that the first answer marked: their places, and their distinct (bucket, second hash)."""
+
+    def __init__(self, group: pa.Table, told: dict[int, pa.Scalar], size: int, buckets: int, bits: int):
+        one, two = _windows(group, size, True)
+        own = _keys(one, buckets, bits)
+        keys, marked = np.unique(own), [np.zeros(0, np.uint64)]
+        for b, at in _runs(keys >> np.uint64(bits)):
+            if b in told:
+                marked.append(keys[at][_bits(told[b], at.stop - at.start)])
+        marked = np.concatenate(marked)  # buckets ascend, and values in each
+        self.windows = len(own)
+        self.at = np.flatnonzero(marked[np.minimum(np.searchsorted(marked, own), len(marked) - 1)] == own) if len(marked) else np.zeros(0, np.int64)
+        bucket, second = own[self.at] >> np.uint64(bits), two[self.at]
+        self.order = np.lexsort((second, bucket))
+        bucket, second = bucket[self.order], second[self.order]
+        fresh = np.ones(len(bucket), bool)
+        fresh[1:] = (bucket[1:] != bucket[:-1]) | (second[1:] != second[:-1])
+        first = np.flatnonzero(fresh)
+        self.place = np.cumsum(fresh) - 1
+        self.bucket, self.second, self.counts = bucket[first], second[first], np.diff(np.append(first, len(bucket)))
+
+    def hits(self, confirmed: np.ndarray) -> np.ndarray:
+        """For each window of the chunk, whether its (bucket, second hash) is confirmed."""
+        out = np.zeros(self.windows, bool)
+        out[self.at[self.order]] = confirmed[self.place]
+        return out
+
+
+def _ask_again(size: int, buckets: int, bits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The second hashes of a chunk's marked windows for each bucket."""
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        told = {b.as_py(): t for b, t in zip(answers.column("bucket"), answers.column("twice"))}
+        if not told:
+            return _rows(0, [])
+        own = _Marked(docs, told, size, buckets, bits)
+        return _rows(docs.column("chunk")[0].as_py(), [(b, _packed(own.second[at], 8), own.counts[at] > 1, told[b].as_py()) for b, at in _runs(own.bucket)])
+
+    return run
 
 
 def _removed(repeated: np.ndarray, words: int, size: int) -> np.ndarray:
@@ -96,22 +188,24 @@ def _intervals(removed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _keep(size: int, buckets: int, exact: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _keep(size: int, buckets: int, bits: int, exact: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        found = [w for part in _texts(docs) for w in _windows(part, size)[1]]
-        told = {b.as_py(): r for b, r in zip(answers.column("bucket"), answers.column("repeated")) if len(r.as_buffer())}
-        twice = []
-        for bucket, hashes, _ in _split(*np.unique(np.concatenate(found), return_counts=True), buckets):
-            if bucket in told:
-                twice.append(hashes[np.unpackbits(np.frombuffer(told[bucket].as_buffer(), np.uint8), count=len(hashes)).astype(bool)])
-        twice = np.sort(np.concatenate(twice)) if twice else np.zeros(0, np.uint64)
+        told = {b.as_py(): (f, t) for b, f, t in zip(*map(answers.column, ("bucket", "first", "twice")))}
+        hits, at = None, 0
+        if told:
+            own = _Marked(docs, {b: f for b, (f, _) in told.items()}, size, buckets, bits)
+            confirmed = np.zeros(len(own.bucket), bool)
+            for b, where in _runs(own.bucket):
+                confirmed[where] = _bits(told[b][1], where.stop - where.start)
+            hits = own.hits(confirmed)
         n_words, n_removed, kept, starts, ends = [], [], [], [], []
         for part in _texts(docs):
-            words, windows = _windows(part, size)
+            words = Words(*text_buffer(part.column("text")))
             text = words.data.tobytes()
-            for original, lo, hi, own in zip(part.column("text"), words.bounds[:-1], words.bounds[1:], windows):
-                hit = twice[np.minimum(np.searchsorted(twice, own), len(twice) - 1)] == own if len(twice) else np.zeros(len(own), bool)
-                gone = _removed(hit, hi - lo, size)
+            for original, lo, hi in zip(part.column("text"), words.bounds[:-1], words.bounds[1:]):
+                n = max(hi - lo - size + 1, 0)
+                gone = _removed(hits[at : at + n] if told else np.zeros(n, bool), hi - lo, size)
+                at += n
                 first, last = _intervals(gone)
                 if exact and not len(first):
                     kept.append(original.as_py())
@@ -127,19 +221,32 @@ def _keep(size: int, buckets: int, exact: bool) -> Callable[[pa.Table, pa.Table]
     return run
 
 
-def remove_repeats(docs: DataFrame, size: int = WINDOW_WORDS, passed: tuple[str, ...] = ("doc_id",), exact: bool = False) -> DataFrame:
+def _sizes(nbytes: int) -> tuple[int, int]:
+    """How many chunks and buckets."""
+    least, most = CHUNK_BYTES
+    chunk = min(max(math.isqrt(nbytes * WINDOW_BYTES * ROW_WINDOWS), least), most)
+    return nbytes // chunk + 1, nbytes // (2 * chunk) + 1
+
+
+def remove_repeats(docs: DataFrame, size: int = WINDOW_WORDS, passed: tuple[str, ...] = ("doc_id",), exact: bool = False, first_bits: int = FIRST_BITS) -> DataFrame:
     """row (a struct of the passed columns), n_words, n_removed, kept (the text left), starts, ends (intervals, in words).
 
     exact: a text that loses nothing keeps its white space and null; otherwise its words are joined by one space too.
     """
-    nbytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks, buckets = -(-nbytes // CHUNK_BYTES) + 1, -(-nbytes // BUCKET_BYTES) + 1
-    chunk = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("int")
-    dealt = docs.select(chunk.alias("chunk"), F.struct(*passed).alias("row"), F.col("text")).repartition("chunk")
-    asked = dealt.groupBy("chunk").applyInArrow(_chunk_windows(size, buckets), _BUCKET)
-    answers = asked.groupBy("bucket").applyInArrow(_count, _BUCKET).select("chunk", "bucket", "repeated").where(F.octet_length("repeated") > 0)
+    place = F.xxhash64("doc_id", "text")
+    shares = docs.groupBy(F.pmod(place, F.lit(CLASSES)).alias("class")).agg(F.sum(F.octet_length("text")).alias("size"))
+    nbytes, largest = (x or 0 for x in shares.agg(F.sum("size"), F.max("size")).first())
+    chunks, buckets = _sizes(nbytes)
+    rows = docs.select(F.struct(*passed).alias("row"), "text", place.alias("place"))
+    if largest > SPLIT_BYTES + 4 * nbytes // CLASSES:
+        rows = stage(rows.withColumn("number", F.monotonically_increasing_id())).withColumn("place", F.xxhash64("place", "number"))
+    dealt = rows.select(F.pmod("place", F.lit(chunks)).cast("int").alias("chunk"), "row", "text").repartition("chunk")
+    asked = dealt.groupBy("chunk").applyInArrow(_ask(size, buckets, first_bits), _BUCKET)
+    answers = asked.groupBy("bucket").applyInArrow(_count(-(-first_bits // 8)), _BUCKET).where(F.octet_length("twice") > 0)
+    again = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_ask_again(size, buckets, first_bits), _BUCKET)
+    answers = again.groupBy("bucket").applyInArrow(_count(8), _BUCKET).where(F.octet_length("twice") > 0)
     schema = T.StructType([dealt.schema["row"], *_FOUND])
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_keep(size, buckets, exact), schema)
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_keep(size, buckets, first_bits, exact), schema)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
