@@ -1,7 +1,8 @@
 """PII spans by weak supervision: labelers vote, expectation-maximisation rates them, and a span classifier is trained.
 
 Patterns find base spans and, beyond them, candidates: near misses of the same kinds (numbers of a card's length that
-fail its checksum, addresses out of range, national phone numbers, spelt-out e-mail addresses). On each candidate four
+fail its checksum, addresses out of range, national phone numbers, spelt-out e-mail addresses; the bounds on lengths in
+their patterns and in _TESTS are what near means: longer ones are no candidates). On each candidate four
 labelers vote yes, no or nothing: the kind's rule, its shape, a gazetteer (top-level domains, issuers' prefixes, country
 codes, public networks) and the words before it. Votes are counted over all documents by kind and pattern; from these
 counts expectation-maximisation estimates each labeler's reliability and, for each pattern, how likely it is personal
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilelake.llm.common import stage, table
-from tilelake.llm.spans import MARK, find, joined, marked
+from tilelake.llm.spans import MARK, blocks, cut, find, free, joined, let, marked
 
 KINDS = ("email", "ip", "card", "phone")
 #: Base patterns, on texts in which separators within a match are marked: single-character loops never recurse.
@@ -100,7 +101,8 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
 
 
 def _class(char: Column) -> Column:
-    return F.when(char == "", "none").when(char.rlike("[0-9]"), "digit").when(char.rlike(r"\s"), "space").when(char.rlike(r"[A-Za-z\u0080-\uffff]"), "letter").otherwise("mark")
+    kinds = lambda c: F.when(c == "", "none").when(c.rlike("[0-9]"), "digit").when(c.rlike(r"\s"), "space").when(c.rlike(r"[A-Za-z\u0080-\uffff]"), "letter").otherwise("mark")
+    return let(char, kinds)
 
 
 def _candidate(kind: str, base: bool):
@@ -108,14 +110,20 @@ def _candidate(kind: str, base: bool):
 
     def of(s: Column) -> Column:
         t, start, end = s["text"], s["start"], s["end"]
-        before = F.substring(F.col("text"), F.greatest(start - (CONTEXT_CHARS - 1), F.lit(1)), F.least(start, F.lit(CONTEXT_CHARS)))
-        last, following = F.right(before, F.lit(1)), F.substring(F.col("text"), end + 1, F.lit(1))
         key = _digits(t) if kind == "card" else t
-        votes = F.concat(F.lit("1" if base else "0"), _vote(t.rlike(_SHAPES[kind])), _vote(key.rlike(GAZETTEER[kind])), _vote(before.rlike(CONTEXT[kind]), before.rlike(AGAINST)))
         marks = F.array_join(F.array_sort(F.array_distinct(F.split(F.regexp_replace(t, "[A-Za-z0-9]", ""), ""))), "")
-        features = [F.concat(F.lit("long "), F.least(F.length(t), F.lit(40)).cast("string")), F.concat(F.lit("marks "), marks), F.concat(F.lit("after "), _class(last)), F.concat(F.lit("before "), _class(following))]
-        features += [F.concat(F.lit(f"{name} "), F.substring(votes, k + 1, 1)) for k, name in enumerate(LABELERS) if k]
-        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), F.lit(base).alias("base"), votes.alias("votes"), F.array(*features).alias("features"))
+
+        def voted(before: Column) -> Column:
+            votes = F.concat(F.lit("1" if base else "0"), _vote(t.rlike(_SHAPES[kind])), _vote(key.rlike(GAZETTEER[kind])), _vote(before.rlike(CONTEXT[kind]), before.rlike(AGAINST)))
+            return let(votes, lambda v: described(before, v))
+
+        def described(before: Column, votes: Column) -> Column:
+            features = [F.concat(F.lit("long "), F.least(F.length(t), F.lit(40)).cast("string")), F.concat(F.lit("marks "), marks)]
+            features += [F.concat(F.lit("after "), _class(F.right(before, F.lit(1)))), F.concat(F.lit("before "), _class(cut(F.col("__blocks"), end, end + 1)))]
+            features += [F.concat(F.lit(f"{name} "), F.substring(votes, k + 1, 1)) for k, name in enumerate(LABELERS) if k]
+            return F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), F.lit(base).alias("base"), votes.alias("votes"), F.array(*features).alias("features"))
+
+        return let(cut(F.col("__blocks"), F.greatest(start - CONTEXT_CHARS, F.lit(0)), start), voted)
 
     return of
 
@@ -123,6 +131,7 @@ def _candidate(kind: str, base: bool):
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id and all candidates of each document, base spans among them."""
     out = base_spans(docs.select("doc_id", "text"))
+    out = out.withColumn("__blocks", F.when(sum((F.size(c) for k in KINDS for c in (k, f"{k}_")), F.lit(0)) > 0, blocks("text")))
     return out.select("doc_id", F.concat(*chain.from_iterable((F.transform(k, _candidate(k, True)), F.transform(f"{k}_", _candidate(k, False))) for k in KINDS)).alias("found"))
 
 
@@ -177,9 +186,9 @@ def personal_spans(docs: DataFrame) -> DataFrame:
     weights = classifier(found)
     named = F.create_map(*chain.from_iterable((F.lit(k), F.lit(w)) for k, w in weights.items())) if weights else F.create_map(F.lit(""), F.lit(0.0))
     weigh = lambda c: F.aggregate(c["features"], F.coalesce(named[c["kind"]], F.lit(0.0)), lambda s, f: s + F.coalesce(named[F.concat_ws(" ", c["kind"], f)], F.lit(0.0)))
-    out = found.select("doc_id", F.filter("found", lambda c: c["base"]).alias("base"), F.filter("found", lambda c: ~c["base"]).alias("others"))
-    free = F.filter("others", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])) & (weigh(c) > 0))
-    return out.select("doc_id", *(F.transform(x, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))).alias(n) for x, n in (("base", "base"), (free, "added"))))
+    out = found.select("doc_id", F.filter("found", lambda c: c["base"]).alias("base"), F.filter("found", lambda c: ~c["base"] & (weigh(c) > 0)).alias("others"))
+    out = out.withColumn("others", free("others", "base"))
+    return out.select("doc_id", *(F.transform(x, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))).alias(n) for x, n in (("base", "base"), ("others", "added"))))
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,4 +197,4 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return out.select("doc_id", *map(count, KINDS), F.sha2(joined(F.col("base"), KINDS), 256).alias("base_sha256"), joined(F.array_distinct(F.concat("base", "added")), KINDS).alias("spans"))
+    return out.select("doc_id", *map(count, KINDS), F.sha2(joined(F.col("base"), KINDS), 256).alias("base_sha256"), joined(F.concat("base", "added"), KINDS).alias("spans"))

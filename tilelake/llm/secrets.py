@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilelake.llm.common import table
-from tilelake.llm.spans import find, joined, replaced
+from tilelake.llm.spans import find, free, joined, replaced
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -95,9 +95,8 @@ def scan(docs: DataFrame) -> DataFrame:
     ratios = train(docs)
     out = find(rules(docs), "random", "text", TOKEN, F.col("text").rlike("[A-Za-z0-9+/_=-]{20}"))
     out = out.withColumn("__rule", F.concat("assign", "access", "hex"))
-    free = F.filter("random", lambda t: ~F.exists("__rule", lambda r: (r["start"] < t["end"]) & (t["start"] < r["end"])))
     judged = F.filter("__free", lambda t: evidence(t["text"], ratios) >= F.greatest(F.lit(LEAST_EVIDENCE), LEAST_RATE * F.length(t["text"])))
-    return out.withColumn("__free", free).withColumn("random", judged).drop("__rule", "__free")
+    return out.withColumn("__free", free("random", "__rule")).withColumn("random", judged).drop("__rule", "__free")
 
 
 def _kinds(names: tuple[str, ...]) -> Column:
@@ -117,7 +116,7 @@ def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents keep their rows; the characters of secrets are replaced by [SECRET]."""
     plain = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"), F.col("doc_id"))
     found = scan(plain).withColumn("__all", F.concat("assign", "access", "hex", "random"))
-    found = found.withColumn("__new", F.when(F.size("__all") > 0, replaced("text", "__all", "[SECRET]")).otherwise(F.col("text")))
+    found = replaced(found, "__new", "text", "__all", "[SECRET]")
     own = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("__new")}
     if "n_chars" in own:
         own["n_chars"] = F.when(F.size("__all") > 0, F.length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
