@@ -5,8 +5,9 @@ short-time Fourier transforms (Hann window, WINDOW samples, HOP apart) give a sp
 frequency are peaks, and each peak is paired with the next FAN peaks within REACH frames. A pair's code holds both
 frequencies and their distance in time; the fingerprint is the array of (time, code), in order of time.
 
-A document is transformed in blocks of BLOCK_FRAMES frames, so that memory does not grow with its length apart from the
-stored bytes themselves; no row needs another, and the scan needs no shuffle.
+A document is transformed in blocks of BLOCK_FRAMES frames, each with NEAR_FRAMES more to both sides, and only its peaks
+are kept: some 7 bytes of memory for each byte of a long text, the stored bytes included. No row needs another, and the
+scan needs no shuffle.
 
 Defined results: a null text is stored like an empty one, as one run of padding; repeated rows and equal texts have equal
 values; null ids pass through; a payload shorter than a window is padded with silence for the transform only; an empty
@@ -26,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilelake.llm.common import table
+from tilelake.llm.common import slices, table
 
 RATE, UNIT, PAD = 8000, 192, b" "
-WINDOW, HOP, BLOCK_FRAMES = 256, 128, 2048
+WINDOW, HOP, BLOCK_FRAMES = 256, 128, 1024
 #: Peaks: largest among so many frames and bins to each side; loudness in steps of log2; pairs.
 NEAR_FRAMES, NEAR_BINS, LEVELS, FAN, REACH = 2, 6, 8, 3, 32
 SILENCE = 128
@@ -52,17 +53,17 @@ def from_wav(media: bytes) -> bytes:
         return r.readframes(r.getnframes())
 
 
-def spectrogram(samples: np.ndarray) -> np.ndarray:
-    """Loudness of each frame and frequency bin, in whole steps."""
+def frames(samples: np.ndarray) -> np.ndarray:
+    """A view of all windows; less than one window is filled up with silence."""
     if len(samples) < WINDOW:
         samples = np.concatenate([samples, np.full(WINDOW - len(samples), SILENCE, samples.dtype)])
-    frames = np.lib.stride_tricks.sliding_window_view(samples, WINDOW)[::HOP]
-    out = np.empty((len(frames), WINDOW // 2 + 1), np.int16)
-    for lo in range(0, len(frames), BLOCK_FRAMES):
-        block = (frames[lo : lo + BLOCK_FRAMES].astype(np.float64) - SILENCE) * _taper
-        power = np.abs(np.fft.rfft(block, axis=1))
-        out[lo : lo + BLOCK_FRAMES] = np.floor(LEVELS * np.log2(1 + power) + 1e-6)
-    return out
+    return np.lib.stride_tricks.sliding_window_view(samples, WINDOW)[::HOP]
+
+
+def loudness(block: np.ndarray) -> np.ndarray:
+    """Loudness of each frame and frequency bin, in whole steps."""
+    power = np.abs(np.fft.rfft((block.astype(np.float64) - SILENCE) * _taper, axis=1))
+    return np.floor(LEVELS * np.log2(1 + power) + 1e-6).astype(np.int16)
 
 
 def _largest_near(x: np.ndarray, reach: int, axis: int) -> np.ndarray:
@@ -101,8 +102,20 @@ def pairs(time: np.ndarray, bin_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return when[order].astype(np.int32), code[order].astype(np.int32)
 
 
+def all_peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Peaks of the whole spectrogram, of which only a block at a time exists."""
+    every, found = frames(samples), []
+    for lo in range(0, len(every), BLOCK_FRAMES):
+        first = max(lo - NEAR_FRAMES, 0)
+        time, bin_ = peaks(loudness(every[first : lo + BLOCK_FRAMES + NEAR_FRAMES]))
+        time += first
+        own = (time >= lo) & (time < lo + BLOCK_FRAMES)
+        found.append((time[own].astype(np.int32), bin_[own].astype(np.int32)))
+    return tuple(map(np.concatenate, zip(*found)))
+
+
 def fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return pairs(*peaks(spectrogram(np.frombuffer(samples, np.uint8))))
+    return pairs(*all_peaks(np.frombuffer(samples, np.uint8)))
 
 
 _COLUMNS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media binary, media_sha256 string, times array<int>, codes array<int>"
@@ -110,15 +123,17 @@ _COLUMNS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo in range(0, len(batch), 128):
-            part = batch.slice(lo, 128)
+        for part in slices(batch):
             out: dict[str, list] = {c.split()[0]: [] for c in _COLUMNS.split(", ")}
             for text in part.column("text").to_pylist():
-                raw = (text or "").encode()
-                media = to_wav(raw + PAD * (max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw)))
+                payload = (text or "").encode()
+                n = len(payload)
+                payload += PAD * (max(UNIT, -(-n // UNIT) * UNIT) - n)
+                media = to_wav(payload)
+                del payload
                 payload = from_wav(media)
                 times, codes = fingerprint(payload)
-                row = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), media, hashlib.sha256(media).hexdigest(), times, codes)
+                row = (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), media, hashlib.sha256(media).hexdigest(), times, codes)
                 for c, v in zip(out.values(), row):
                     c.append(v)
             types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))
