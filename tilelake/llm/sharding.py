@@ -5,10 +5,12 @@ A cell of that grid has an index on the Hilbert curve; documents are ordered by
 (so equal texts lie together), and the order is cut into runs of equal counts: shards. Each shard then covers a compact
 part of the grid, and its files' minima and maxima, or value lists, exclude most others.
 
-No window runs over all rows: documents are counted by curve index, by 10 bits of the text's hash and by 6 bits of the
-id's hash; counts are summed up along the curve over 2^12 cells, and within a cell over at most 2^16 buckets; only the
-rows of one bucket are numbered by a window. A third of all rows with one text so falls into 64 buckets. All of it is
-DataFrame functions on a narrow table, and texts are read once and never shuffled.
+No window runs over all rows. The order is: curve index, TEXT_BITS of the text's hash, the hash. Documents are counted by
+index and bits, and a group of equal texts that holds more than 1 / LARGE of all rows is counted apart, by ID_BITS of its
+ids' hashes. These counts are summed up along the curve over 2^12 cells, and within a cell over at most 2^10 buckets and
+LARGE groups' 2^10 parts; only the rows of one bucket or part are numbered by a window. What a group shares is found from
+one row for each (text, bits of the id) and joined to rows by these two. All of it is DataFrame functions on a narrow
+table, and texts are read once and never shuffled.
 
 The law is rows: shard counts differ by one at most. Groups are equal texts: they are adjacent in the order, so at most
 one group at each of the cuts lies in more than one shard.
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from tilelake.llm.common import crc32_text, stage, table
 
 SHARDS, BITS, DIMENSIONS = 8, 4, 3
-TEXT_BITS, ID_BITS = 10, 6
+TEXT_BITS, ID_BITS, LARGE = 10, 10, 4096
 
 
 def hilbert_index(point: tuple[int, ...], bits: int) -> int:
@@ -65,28 +67,33 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     steps = 1 << BITS
     text = F.coalesce("text", F.lit(""))
     size = (F.octet_length(text) + 1).cast("long")
-    quantiles = docs.agg(F.percentile_approx(size, [k / steps for k in range(1, steps)], 10_000)).first()[0] or [0] * (steps - 1)
+    quantiles, total = docs.agg(F.percentile_approx(size, [k / steps for k in range(1, steps)], 10_000), F.count("*")).first()
+    quantiles = quantiles or [0] * (steps - 1)
     by_size = sum(((F.col("size") > F.lit(q)).cast("int") for q in quantiles), F.lit(0))
     named = {c: F.pmod(F.crc32(F.encode(F.coalesce(F.col(c).cast("string"), F.lit("")), "UTF-8")), F.lit(steps)).cast("int") if c in docs.columns else F.lit(0) for c in ("lang", "source")}
     cell = ((by_size * steps + F.col("by_lang")) * steps + F.col("by_source")).cast("int")
-    hashed = F.xxhash64(text)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), crc32_text(text).alias("text_crc32"), hashed.alias("hash"), named["lang"].alias("by_lang"), named["source"].alias("by_source"))
+    hashed, u = F.xxhash64(text), F.pmod(F.xxhash64("doc_id"), F.lit(1 << ID_BITS)).cast("int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), crc32_text(text).alias("text_crc32"), hashed.alias("hash"), named["lang"].alias("by_lang"), named["source"].alias("by_source"), u.alias("u"))
     index = F.element_at(F.array(*map(F.lit, curve())), cell + 1)
-    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << ID_BITS)).cast("int")
     # copies of one text may come from several sources: the whole group takes its least language and source
-    groups = rows.groupBy("hash").agg(F.min("by_lang").alias("by_lang"), F.min("by_source").alias("by_source"))
-    rows = rows.drop("by_lang", "by_source").join(groups, "hash")
-    rows = stage(rows.select("doc_id", "size", "text_crc32", "hash", index.alias("h"), F.shiftrightunsigned("hash", 64 - TEXT_BITS).cast("int").alias("t"), u.alias("u")))
-
-    counts = rows.groupBy("h", "t", "u").agg(F.count("*").alias("n"))
-    along = Window.partitionBy("h").orderBy("t", "u").rowsBetween(Window.unboundedPreceding, -1)
+    least = F.min("by_lang").alias("by_lang"), F.min("by_source").alias("by_source")
+    parts = rows.groupBy("hash", "u").agg(*least, F.count("*").alias("n"))
+    large = (F.sum("n") * LARGE > total).alias("large")
+    parts = parts.select("hash", "u").join(parts.groupBy("hash").agg(*least, large), "hash")
+    rows = rows.drop("by_lang", "by_source").join(parts, ["hash", "u"])
+    apart = {c: F.when(F.col("large"), F.col(of)).otherwise(0).alias(c) for c, of in (("g", "hash"), ("u", "u"))}
+    bits = F.shiftrightunsigned("hash", 64 - TEXT_BITS).cast("int")
+    rows = stage(rows.select("doc_id", "size", "text_crc32", "hash", index.alias("h"), bits.alias("t"), apart["g"], apart["u"]))
+
+    buckets = ["h", "t", "g", "u"]
+    counts = rows.groupBy(buckets).agg(F.count("*").alias("n"))
+    along = Window.partitionBy("h").orderBy("t", "g", "u").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("inside", F.coalesce(F.sum("n").over(along), F.lit(0)))
     cells = rows.groupBy("h").agg(F.count("*").alias("n"))  # 4096 rows at most
     over = Window.orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("h", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("before"))
-    total = rows.count()
-    place = Window.partitionBy("h", "t", "u").orderBy("hash", "doc_id", "text_crc32")
-    ranked = rows.withColumn("own", F.row_number().over(place) - 1).join(counts, ["h", "t", "u"]).join(F.broadcast(cells), "h")
+    place = Window.partitionBy(buckets).orderBy("hash", "doc_id", "text_crc32")
+    ranked = rows.withColumn("own", F.row_number().over(place) - 1).join(counts, buckets).join(F.broadcast(cells), "h")
     ranked = ranked.withColumn("rank", F.col("before") + F.col("inside") + F.col("own"))
     ranked = ranked.withColumn("shard", F.expr(f"rank * {shards} div {max(total, 1)}").cast("int"))
     first = F.expr(f"(shard * {total}L + {shards - 1}) div {shards}")
