@@ -8,7 +8,7 @@ phrases in their interior whatever their offset. Per level the fingerprint keeps
 the Jaccard similarity that these estimate, at the longest phrases of which both texts have FEW or more.
 
 The document after each one is found without a global window: ids are cut into ranges, the first document of a range is
-sent to the range before it too, and each range is read in order with one row of look-ahead. Texts are shuffled once.
+sent to the range before it too, and each range is one task, read in order with one row of look-ahead. Texts are shuffled once.
 
 Defined results: a null text is empty; the empty text's fingerprint has no names, and two empty fingerprints have likeness
 1, an empty and another 0; rows with a null id come before all others; repeated ids are ordered by text; a single
@@ -166,7 +166,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     extra = spark.createDataFrame(ahead, T.StructType([T.StructField("place", T.LongType()), T.StructField("before", T.IntegerType())]))
     copies = F.array(F.struct(F.col("bucket"), F.lit(False).alias("ahead")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("ahead")))
     copies = placed.join(F.broadcast(extra), "place", "left").select("place", "doc_id", "text", F.explode(F.slice(copies, 1, F.when(F.col("before").isNull(), 1).otherwise(2))).alias("to"))
-    dealt = copies.select("to.bucket", "to.ahead", "place", "doc_id", "text").repartition("bucket").sortWithinPartitions("bucket", "ahead", "place", "text")
+    dealt = copies.select("to.bucket", "to.ahead", "place", "doc_id", "text").repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "ahead", "place", "text")
     return dealt.drop("place").mapInArrow(_in_order, _RESULT)
 
 
