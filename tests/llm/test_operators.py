@@ -6,16 +6,19 @@ import itertools
 import random
 import re
 import string
+import time
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tilelake.llm import bpe, fingerprints, media, ngram_join, packing, pii, secrets, sharding, substring_dedup, toxicity
+from tilelake.llm import bpe, fingerprints, media, ngram_join, packing, pii, secrets, sharding, spans, substring_dedup, toxicity
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LONG = " ".join(f"w{k % 977}x{k % 13}" for k in range(30_000))
@@ -128,28 +131,78 @@ def test_ngram_join_odd(spark, odd):
     assert got == sorted([("None", 0, "None"), ("7", 4, "7"), ("7", 4, "7"), ("7", 1, "7"), ("None", 1, "None")])
     assert ngram_join.near_copies(odd.limit(0)).count() == 0
     kept = ngram_join.stage_near_copies(spark, odd, "")
-    assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["7", "None", "None"]
+    assert kept.columns == odd.columns and sorted(str((r["doc_id"], r["text"])) for r in kept.collect()) == sorted(map(str, [(7, "same text of more words than five here"), (7, "another"), (None, None), (None, "x y")]))
+
+
+def test_near_copies_of_repeated_ids(spark):
+    """One row of each group stays whatever ids repeat: unlike texts of one id are documents of their own."""
+    rng = random.Random(12)
+    texts = [prose(rng, 40) for _ in range(8)]
+    near = " ".join([*texts[0].split(" ")[:-1], "other"])
+    rows = [(k % 3, t, "a") for k, t in enumerate(texts)] + [(0, texts[0], "b"), (0, texts[0], "a"), (None, texts[1], "a"), (None, "own " + prose(rng, 9), "a"), (9, near, "a"), (4, "", "a"), (4, "", "a"), (None, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sets = {k: shingles(t) for k, (_, t, _) in enumerate(rows)}
+    groups = {}
+    for k, c in classes(sets).items():
+        groups.setdefault(c, []).append(k)
+    least = lambda k: (rows[k][0] is None, rows[k][0] or 0)
+    kept = [(r["doc_id"], r["text"], r["lang"]) for r in ngram_join.stage_near_copies(spark, docs, "").collect()]
+    assert len(kept) == len(groups)
+    for members in groups.values():
+        best = [rows[k] for k in members if least(k) == min(map(least, members))]
+        assert sum(r in kept for r in dict.fromkeys(best)) == 1
+    assert (0, texts[0], "a") in kept and (0, texts[0], "b") not in kept
+
+
+@pytest.mark.parametrize("part", [2, 50_000])
+def test_ngram_join_of_long_lists(spark, monkeypatch, part):
+    """Families that share one passage: near copies in each, and less than the least similarity between them."""
+    monkeypatch.setattr(ngram_join, "LIST_PART", part)
+    rng = random.Random(3)
+    shared, texts = prose(rng, 40), []
+    for _ in range(25):
+        own = f"{prose(rng, 12)} {shared}"
+        texts += [own, own + " end", "start " + own]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.near_copies(frame).collect()} == classes({k: shingles(t) for k, t in enumerate(texts)})
 
 
 # --- 2 ----------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("size", [1 << 12, 8 << 20])
-def test_substring_dedup(spark, table_of, monkeypatch, size):
-    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", size)
-    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", size)
-    table_of(substring_dedup)
-    found = {k * 3: WORD.findall(t or "") for k, t in enumerate(TEXTS)}
+def without_repeats(texts):
+    """Words, words removed and words kept of each text, by comparing all windows."""
+    found = {k: WORD.findall(t or "") for k, t in texts.items()}
     n = Counter(tuple(w[k : k + 35]) for w in found.values() for k in range(len(w) - 34))
+    for i, w in found.items():
+        gone = {j for k in range(len(w) - 34) if n[tuple(w[k : k + 35])] > 1 for j in range(k, k + 35)}
+        yield i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)
+
+
+@pytest.mark.parametrize(("size", "split"), [(1 << 12, 64 << 20), (8 << 20, 64 << 20), (1 << 12, 0)])
+def test_substring_dedup(spark, table_of, monkeypatch, size, split):
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", (size, size))
+    monkeypatch.setattr(substring_dedup, "SPLIT_BYTES", split)
+    table_of(substring_dedup)
     rows = by_id(substring_dedup.op2_substring_dedup(spark, "").collect())
     assert len(rows) == len(TEXTS)
-    for i, w in found.items():
-        gone = set()
-        for k in range(len(w) - 34):
-            if n[tuple(w[k : k + 35])] > 1:
-                gone.update(range(k, k + 35))
-        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
-        assert (rows[i]["n_words"], rows[i]["n_removed"], rows[i]["kept_sha256"]) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+    for i, words, removed, kept in without_repeats({k * 3: t for k, t in enumerate(TEXTS)}):
+        assert (rows[i]["n_words"], rows[i]["n_removed"], rows[i]["kept_sha256"]) == (words, removed, hashlib.sha256(kept.encode()).hexdigest())
+
+
+@pytest.mark.parametrize("bits", [1, 8])
+def test_windows_that_share_a_hash_stay(spark, docs, monkeypatch, bits):
+    """With so few bits the first pass marks nearly all windows; the second hash tells them apart."""
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", (1 << 14, 1 << 14))
+    rows = {r["row"]["doc_id"]: r for r in substring_dedup.remove_repeats(docs, first_bits=bits).collect()}
+    for i, words, removed, kept in without_repeats({k * 3: t for k, t in enumerate(TEXTS)}):
+        assert (rows[i]["n_words"], rows[i]["n_removed"], rows[i]["kept"]) == (words, removed, kept)
+
+
+def test_rows_between_chunks_and_buckets_stay_linear():
+    for nbytes in (0, 1, 10**6, 10**9, 10**12, 10**14):
+        chunks, buckets = substring_dedup._sizes(nbytes)
+        assert chunks * buckets <= max(2 * nbytes / (substring_dedup.WINDOW_BYTES * substring_dedup.ROW_WINDOWS), 2 + nbytes / 2**20)
 
 
 def test_substring_dedup_odd(spark, odd):
@@ -181,14 +234,48 @@ def test_media(spark, table_of):
 def test_peaks_of_tones():
     t = np.arange(4096)
     tone = (128 + 60 * np.sin(2 * np.pi * 32 * t / media.WINDOW)).astype(np.uint8)
-    loud = media.spectrogram(tone)
-    assert (loud.argmax(axis=1) == 32).all()
+    assert (media.loudness(media.frames(tone)).argmax(axis=1) == 32).all()
     when, code = media.fingerprint(tone.tobytes() * 3)
     assert 32 in set((code >> 13) + 1) and (np.diff(when) >= 0).all()
 
 
+def plain_fingerprint(samples):
+    """Peaks and pairs, one value after another."""
+    samples = list(samples) + [media.SILENCE] * (media.WINDOW - len(samples))
+    loud = []
+    for lo in range(0, len(samples) - media.WINDOW + 1, media.HOP):
+        power = np.abs(np.fft.rfft([(samples[lo + k] - media.SILENCE) * media._taper[k] for k in range(media.WINDOW)]))
+        loud.append([int(np.floor(media.LEVELS * np.log2(1 + p) + 1e-6)) for p in power])
+    peaks = []
+    for t in range(len(loud)):
+        for f in range(1, media.WINDOW // 2 + 1):
+            near = [(loud[a][b], -a, -b) for a in range(max(t - media.NEAR_FRAMES, 0), min(t + media.NEAR_FRAMES + 1, len(loud))) for b in range(max(f - media.NEAR_BINS, 1), min(f + media.NEAR_BINS, media.WINDOW // 2) + 1)]
+            if loud[t][f] > 0 and max(near) == (loud[t][f], -t, -f):
+                peaks.append((t, f))
+    pairs = [(t, ((f - 1) << 13) | ((g - 1) << 6) | (u - t)) for k, (t, f) in enumerate(peaks) for u, g in peaks[k + 1 : k + 1 + media.FAN] if u - t < media.REACH]
+    return sorted(pairs)
+
+
+@pytest.mark.parametrize("block", [3, 7, 1024])
+def test_fingerprint_of_blocks(monkeypatch, block):
+    monkeypatch.setattr(media, "BLOCK_FRAMES", block)
+    for n in (1, 192, 300, 4000):
+        samples = random.Random(n).randbytes(n // 2) + b"abab cdcd " * (n // 20)
+        assert list(zip(*(x.tolist() for x in media.fingerprint(samples)))) == plain_fingerprint(samples)
+
+
+def test_media_memory_is_bounded():
+    text = random.Random(1).randbytes(3 << 20).hex().encode()
+    tracemalloc.start()
+    media.fingerprint(media.from_wav(media.to_wav(text)))
+    assert tracemalloc.get_traced_memory()[1] < 8 * len(text)
+    tracemalloc.stop()
+
+
 def test_media_odd(odd):
-    assert media.media_columns(odd).count() == 5 and media.media_columns(odd.limit(0)).count() == 0
+    rows = media.media_columns(odd).collect()
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["payload_bytes"]) for r in rows) == sorted([("None", 0, 192), ("7", 38, 192), ("7", 38, 192), ("7", 7, 192), ("None", 3, 192)])
+    assert len({r["media_sha256"] for r in rows if r["n_bytes"] == 38}) == 1 and media.media_columns(odd.limit(0)).count() == 0
 
 
 # --- 4 ----------------------------------------------------------------------------------------------------------------
@@ -246,6 +333,61 @@ def test_labels_do_not_leak(spark):
     assert (one[0] == two[0]).all() and one[1] == two[1]
 
 
+def test_toxicity_scores_by_plain_loops(spark, monkeypatch):
+    """Features, their evidence, sentence scores and the noisy-or, one sentence after another."""
+    docs, labels = insults(spark, 120)
+    weights, bias = toxicity.train(docs, labels)
+    assert np.count_nonzero(weights) and bias <= toxicity.MOST_BIAS
+    texts = [r["text"] for r in docs.orderBy("doc_id").collect()] + ["", "123 .. !", "Grumblo. grumblo grumblo! snarkish?"]
+    scores = {r["row"]["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), labels.limit(0)).collect()}
+    assert len(set(scores.values())) == 1  # no labels: the prior
+    whole = toxicity.Sentences(pa.array(texts))
+    got = toxicity._noisy_or(whole.scores(weights, bias), whole.bounds, bias)
+    for text, score in zip(texts, got):
+        clean = 1 / (1 + np.exp(bias))
+        for sentence in re.split("[.!?\n]", text):
+            words = re.findall("[A-Za-z\u0080-\uffff]+", sentence)
+            if words:
+                own = toxicity.Sentences(pa.array([" ".join(words)]))
+                z = bias + sum(float(weights[f]) for f in set(own.features.reshape(-1).tolist()))
+                clean *= min((1 / (1 + np.exp(z))) / (1 / (1 + np.exp(bias))), 1)
+        assert abs(score - (1 - clean)) < 1e-6
+
+
+def test_toxicity_pulls_downhill():
+    """The fitted weights are a minimum of the loss, counted by a plain loop: no small step along a weight helps much."""
+    hits, toxic = [np.array(h, np.int64) for h in ([0, 3], [0, 2], [1], [1, 3], [3], [0, 4, 5], [1, 5], [])], np.array([1, 1, 0, 0, 0, 1, 0, 0])
+    weights, bias = toxicity.fit(hits, toxic, 2)
+
+    def loss(w, b):
+        total = toxicity.DECAY * (w**2).sum() / 2
+        for h, y in zip(hits, toxic):
+            add = np.logaddexp(0, b)
+            for s in {k // 2 for k in h}:
+                add += max(np.logaddexp(0, b + sum(w[k % 2] for k in h if k // 2 == s)) - np.logaddexp(0, b), 0)
+            total -= np.log(-np.expm1(-add)) if y else -add
+        return total
+
+    here = loss(weights, bias)
+    assert here < loss(np.zeros(2), toxicity.BIAS) and weights[0] > weights[1] + 1
+    assert all(loss(weights + step, bias) > here - 0.02 for step in (np.array([0.1, 0]), np.array([-0.1, 0])))
+
+
+def test_evidence_by_a_plain_formula(spark):
+    seen, n, others, m = 9, 20, 3, 70
+    both = (seen + others) / (n + m)
+    plain = 2 * sum(k * np.log(k / (of * p)) for k, of, p in ((seen, n, both), (n - seen, n, 1 - both), (others, m, both), (m - others, m, 1 - both)))
+    got = spark.range(1).select(toxicity._evidence(*map(F.lit, (seen, n, others, m))).alias("e"), toxicity._evidence(*map(F.lit, (0, 5, 3, 9))).alias("f")).first()
+    assert abs(got["e"] - plain**0.5) < 1e-9 and got["f"] < 0
+
+
+def test_training_sample_is_bounded(spark, monkeypatch):
+    docs, labels = insults(spark, 200)
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 64 << 10)
+    weights, _ = toxicity.train(docs.union(spark.createDataFrame([(1001, "grumblo " * 9000)], docs.schema)), labels.union(spark.createDataFrame([(1001, 1, 0)], labels.schema)))
+    assert np.count_nonzero(weights)
+
+
 def test_toxicity_odd(spark, odd, labels):
     got = toxicity.score(odd, labels.limit(0)).collect()
     assert len(got) == 5 and all(0 <= r["score"] < 0.5 for r in got)
@@ -308,6 +450,12 @@ def test_packing_closes_windows():
     assert sum(lengths) / (64 * len(out)) > 0.9
 
 
+def test_runs_of_white_space_are_packed(spark, reference):
+    texts = {1: " " * 200_000 + "a", 2: "x" + "\n" * 150_000, 3: "a \t" * 999 + " \n" * 80_000, 4: "a" * 300_000, 5: "q " * 999 + "\u3000" * 70_000}
+    rows = packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    check_packing(rows, texts, reference)
+
+
 def test_packing_odd(odd):
     rows = packing.pack(odd).collect()
     assert len({r["sequence_id"] for r in rows}) == 1 and len(rows) == 5
@@ -400,6 +548,82 @@ def test_labelers_are_rated():
     assert abs(share - 0.3) < 0.06 and rates[0][0] > rates[2][0] and likely["1111"] > 0.95 > 0.05 > likely["0000"]
 
 
+def test_near_misses_are_added(spark):
+    """Labelers that mostly agree make the classifier accept near misses in telling places, and only those."""
+    rows = [(k, f"please call phone +1 (234) 555-{k:04d} or mail user{k}@example.com now") for k in range(200)]
+    rows += [(1000 + k, f"please call phone (234) 555-{k:04d} now") for k in range(40)] + [(2000 + k, f"version 999.{k}.3.4 of the build") for k in range(40)]
+    got = by_id(pii.personal_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert all([(s["kind"], s["start"], s["end"]) for s in got[1000 + k]["added"]] == [("phone", 18, 32)] for k in range(40))
+    assert not any(got[2000 + k]["added"] for k in range(40)) and not any(got[k]["added"] for k in range(200))
+
+
+def test_classifier_by_plain_counts(spark):
+    rng = random.Random(3)
+    texts = [f"phone {rng.choice(['+1 (234) 555-6789', '(234) 555-6789', '+49 30 12', '234-555-6789'])} and {rng.choice(['10.0.0.1', '300.1.2.3'])} id" for _ in range(60)]
+    found = pii.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    each = [c for r in found.collect() for c in r["found"]]
+    counts = Counter((c["kind"], c["votes"]) for c in each)
+    likely = {(k, v): p for k in pii.KINDS for v, p in pii.reliabilities(counts, k)[0].items()}
+    weights = pii.classifier(found)
+    for kind in ("ip", "phone"):
+        own = [c for c in each if c["kind"] == kind]
+        yes = sum(likely[kind, c["votes"]] for c in own)
+        assert abs(weights[kind] - np.log((yes + 1) / (len(own) - yes + 1))) < 1e-9
+        for f in {f for c in own for f in c["features"]}:
+            a = sum(likely[kind, c["votes"]] for c in own if f in c["features"])
+            b = sum(1 - likely[kind, c["votes"]] for c in own if f in c["features"])
+            assert abs(weights[f"{kind} {f}"] - np.log((a + 1) / (yes + 2)) + np.log((b + 1) / (len(own) - yes + 2))) < 1e-9
+
+
+def test_markov_models_by_plain_counts(spark):
+    rows = [(k, prose(random.Random(k), 30) + f" identifierName token={k:032x}") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    strings = ["abcab", "b+/b", "x"]
+    pairs = secrets._pairs(spark.createDataFrame([(x,) for x in strings], "s string"))
+    assert pairs == Counter(x[k : k + 2] and (x[k], x[k + 1]) for x in strings for k in range(len(x) - 1))
+    model, n = secrets._model(pairs), len(secrets.ALPHABET)
+    assert abs(sum(model("a", b) for b in secrets.ALPHABET) - 1) < 1e-9 and model("a", "b") > model("a", "c")
+    assert abs(model("a", "b") - (2 + secrets.BACK_OFF * (3 + secrets.PRIOR) / (7 + n * secrets.PRIOR)) / (2 + secrets.BACK_OFF)) < 1e-9
+    assert len(secrets.train(docs)) == n * n
+
+
+def test_numbers_are_folded(spark):
+    rng = random.Random(7)
+    rows = [(n, [rng.randint(-50, 50) for _ in range(n)]) for n in (0, 1, 2, 3, 4, 5, 9, 10, 99, 100, 101, 1000)]
+    got = spark.createDataFrame(rows, "n int, v array<int>").select("n", "v", spans.running(F.col("v"), lambda a, b: a + b, 0).alias("s"), spans.running(F.col("v"), F.greatest, -99).alias("m")).collect()
+    for r in got:
+        assert r["s"] == [0, *itertools.accumulate(r["v"])] and r["m"] == [-99, *itertools.accumulate(r["v"], max)]
+
+
+def test_free_and_replaced_spans(spark):
+    rng = random.Random(9)
+    span = lambda n: [(a, a + rng.randint(1, 9), "") for a in (rng.randint(0, 1990) for _ in range(n))]
+    rows = [(k, "".join(rng.choice("aé🎉 ") for _ in range(2000)), span(rng.choice([0, 1, 30])), span(rng.choice([0, 1, 30]))) for k in range(30)]
+    kind = "array<struct<start:int,end:int,text:string>>"
+    df = spans.replaced(spark.createDataFrame(rows, f"k int, text string, a {kind}, b {kind}").withColumn("free", spans.free("a", "b")), "new", "text", "a", "[X]")
+    for r in df.collect():
+        over = lambda x: any(y["start"] < x["end"] and x["start"] < y["end"] for y in r["b"])  # noqa: B023, E731
+        assert sorted(map(tuple, r["free"])) == sorted(tuple(x) for x in r["a"] if not over(x))
+        out, at = "", 0
+        for x in sorted(r["a"]):
+            if x["start"] >= at:
+                out += r["text"][at : x["start"]] + "[X]"
+            at = max(at, x["end"])
+        assert r["new"] == out + r["text"][at:]
+
+
+def test_many_spans_in_one_text(spark):
+    """A megabyte with tens of thousands of spans: positions and added spans as in a plain version, in seconds."""
+    text = " ".join(f"é user{k}@ex.com (234) 555-{k % 9999:04d} {k:032x}" for k in range(14_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    (row,) = pii.personal_spans(docs).collect()
+    (cut,) = secrets.stage_secrets(spark, docs, "").collect()
+    assert time.perf_counter() - began < 120  # squares of these numbers would take hours
+    assert [(s["start"], s["end"]) for s in sorted(row["base"]) if s["kind"] == "email"] == [m.span() for m in re.finditer(r"user\d+@ex\.com", text)]
+    assert cut["text"] == re.sub("[0-9a-f]{32}", "[SECRET]", text)
+
+
 def test_spans_odd(spark, odd):
     assert pii.personal_spans(odd).count() == 5 and pii.personal_spans(odd.limit(0)).count() == 0
     out = secrets.stage_secrets(spark, odd, "")
@@ -434,6 +658,24 @@ def test_sharding(spark, table_of):
     assert ordered == sorted(ordered)
 
 
+def test_sharding_of_copies(spark):
+    """A group of equal texts lies together whatever its size and sources, and is split at most at one cut."""
+    rows = [(k, "copy", "en", f"s{k % 5}") for k in range(300)] + [(k, f"text {k // 3}", "de", f"s{k % 2}") for k in range(300, 900)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 8).collect()
+    place = sorted((r["shard"], r["slot"], r["text_crc32"]) for r in got)
+    assert len(place) == 900 and len(list(itertools.groupby(place, key=lambda p: p[2]))) == 201
+    split = Counter(c for c, s in {(p[2], p[0]) for p in place})
+    assert sum(n > 1 for c, n in split.items() if c != zlib.crc32(b"copy")) <= 7
+
+
+def test_shards_prune_better_than_ids(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    by_curve = sharding.shard(docs, 16).select("doc_id", "shard").join(docs, "doc_id")
+    by_order = docs.withColumn("shard", F.expr(f"row_number() over (order by doc_id) * 16 div {docs.count() + 1}"))
+    read = lambda d: sum(d.select("shard", c).distinct().count() for c in ("lang", "source"))
+    assert read(by_curve) < 0.8 * read(by_order)
+
+
 def test_sharding_odd(odd):
     assert sorted((r["shard"], r["slot"]) for r in sharding.shard(odd, 2).collect()) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1)]
     assert sharding.shard(odd.limit(0)).count() == 0
@@ -465,6 +707,59 @@ def test_phrases_do_not_depend_on_offset():
     assert fingerprints.likeness(one, two) > 0.8
 
 
+def plain_mix(h):
+    for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = (h ^ (h >> 33)) * m % 2**64
+    return h ^ (h >> 33)
+
+
+def plain_parse(symbols, level):
+    """One level of locally consistent parsing, symbol after symbol."""
+    runs = [(s, len(list(g))) for s, g in itertools.groupby(symbols)]
+    x = [plain_mix((s + n * 0x9E3779B97F4A7C15) % 2**64) for s, n in runs]
+    labels = x
+    for _ in range(fingerprints.ROUNDS):
+        new = []
+        for k, v in enumerate(labels):
+            differ = v ^ (labels[k - 1] if k else v ^ 1)
+            place = (differ & -differ).bit_length() - 1 if differ else 64
+            new.append(2 * place + (v >> place & 1))
+        labels = new
+    begins = [k for k in range(len(x)) if k == 0 or (labels[k] > labels[k - 1] and k + 1 < len(x) and labels[k] > labels[k + 1])]
+    names = []
+    for a, b in zip(begins, [*begins[1:], len(x)]):
+        names.append(plain_mix((sum(x[k] * pow(0xD1342543DE82EF95, (k - a & 63) + 1, 2**64) for k in range(a, b)) + level) % 2**64))
+    return names
+
+
+def test_parsing_symbol_by_symbol():
+    rng = random.Random(13)
+    texts = ["", "a", "aaaa", "ab" * 50, prose(rng, 300), "é🎉" * 9 + prose(rng, 40), " " * 99 + "x" + " " * 98]
+    for text, got in zip(texts, fingerprints.fingerprints(texts)):
+        symbols = [plain_mix(ord(c) + 1) for c in text]
+        for level in range(1, fingerprints.LEVELS + 1):
+            symbols = plain_parse(symbols, level)
+            assert got[level - 1].tolist() == sorted({s >> 32 for s in symbols})[: fingerprints.KEPT]
+
+
+def test_likeness_by_sets():
+    rng = random.Random(14)
+    for _ in range(50):
+        a, b = ([np.array(sorted(rng.sample(range(99), rng.choice([0, 5, 20, 48]))), np.uint32) for _ in range(3)] for _ in range(2))
+        x, y = next(((set(p.tolist()), set(q.tolist())) for p, q in zip(a[::-1], b[::-1]) if min(len(p), len(q)) >= fingerprints.FEW), (set(a[0].tolist()), set(b[0].tolist())))
+        union = sorted(x | y)[: fingerprints.KEPT if max(len(x), len(y)) == fingerprints.KEPT else None]
+        assert fingerprints.likeness(a, b) == (len(x & y & set(union)) / len(union) if union else 1.0)
+
+
+def test_documents_follow_by_id(spark):
+    """Repeated ids are ordered by text, null ids come first, and the last document is followed by the first."""
+    rows = [(5, "bb" * 40), (5, "aa" * 40), (None, "zz" * 40), (2, "cc" * 40), (9, "dd" * 40), (2, "cc" * 40)]
+    got = fingerprints.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    plain = Counter(hashlib.sha256(fingerprints.edited(t, n).encode()).hexdigest() for (_, t), (_, n) in zip(ordered, [*ordered[1:], ordered[0]]))
+    assert Counter(r["edited_sha256"] for r in got) == plain
+
+
 def test_fingerprints_odd(odd):
     assert fingerprints.fingerprint_documents(odd).count() == 5
     assert fingerprints.fingerprint_documents(odd.limit(0)).count() == 0
