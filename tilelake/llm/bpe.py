@@ -16,7 +16,6 @@ import sys
 from array import array
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -37,6 +36,8 @@ class Bpe:
             ranks = {base64.b64decode(a).decode("latin-1"): int(b) for a, b in map(bytes.split, f)}
         self.ranks, self.tokens = ranks, {i: t for t, i in ranks.items()}
         self.pattern = regex.compile(pattern)
+        import ahocorasick  # in workers only
+
         self.automaton = ahocorasick.Automaton()
         for text, i in ranks.items():
             self.automaton.add_word(text, (i, len(text) - 1))
