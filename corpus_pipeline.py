@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilelake.llm.common import stage
+from tilelake.llm.common import drop_staged, stage, staging
 from tilelake.llm.ngram_join import stage_near_copies
 from tilelake.llm.packing import stage_packing
 from tilelake.llm.secrets import stage_secrets
@@ -28,7 +28,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir))
+        with staging() as keep:
+            docs = keep(stage(function(spark, docs, sf_dir)))
+        if before is not None:
+            drop_staged(before)
+        before = docs
     return docs
