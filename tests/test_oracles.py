@@ -1,5 +1,6 @@
 """Every query with SQL returns the rows that DuckDB returns for it."""
 
+import subprocess
 import sys
 from pathlib import Path
 
@@ -67,8 +68,28 @@ def test_entry(spark):
 
 
 def test_rest_stands_without_text_operators():
-    """Nothing but the entry and the pipeline names the text operators' subpackage."""
+    """Without the text operators' subpackage and the pipeline the entry still gives all other queries."""
+    hidden = """
+import importlib.abc, importlib.machinery, sys
+class Hidden(importlib.machinery.PathFinder):
+    @classmethod
+    def find_spec(cls, name, path=None, target=None):
+        return None if name.startswith("tilelake.llm") or name == "corpus_pipeline" else super().find_spec(name, path, target)
+sys.meta_path[:] = [Hidden if f is importlib.machinery.PathFinder else f for f in sys.meta_path]
+import __spark_entry__
+names, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+import tilelake.queries, tilelake.streaming.live, tilelake.sources.sinks
+assert set(names) == set(tilelake.queries.QUERIES) and set(sql) == set(tilelake.queries.ORACLE_SQL)
+assert not any(m.startswith("tilelake.llm") for m in sys.modules)
+"""
     root = Path(__file__).resolve().parents[1]
+    subprocess.run([sys.executable, "-c", hidden], cwd=root, check=True)
     for path in (root / "tilelake").rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert "llm" not in path.read_text(encoding="utf-8").replace("fulltext", ""), path
+
+
+def test_plans(spark, small):
+    """One row for each key without a window over keys; each cause's files are ranked in parts."""
+    plan = lambda name: QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan("highlight_normalise") and "pmod" in plan("region_issues")

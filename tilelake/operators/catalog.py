@@ -33,7 +33,7 @@ def layers(paths: DataFrame, root: str = "") -> DataFrame:
 def select_worlds(worlds: DataFrame, wanted: str) -> DataFrame:
     """Worlds of exactly this name, else those whose name contains it."""
     exact = worlds.where(F.col("world") == wanted)
-    return exact if exact.limit(1).count() else worlds.where(F.contains("world", F.lit(wanted)))
+    return worlds.where((F.col("world") == wanted) | (F.contains("world", F.lit(wanted)) & ~exact.exists()))
 
 
 def merge_drawings(dest: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
@@ -69,9 +69,9 @@ def colours(blocks: DataFrame, table: DataFrame, aliases: DataFrame) -> DataFram
     for pattern, stand_in in KINDS:
         kind = F.when(short.rlike(pattern), stand_in) if kind is None else kind.when(short.rlike(pattern), stand_in)
     shaped = lambda end: F.when(F.col("suffix") != "", F.concat(base, F.lit(end)))
-    named = blocks.select("name").distinct().join(F.broadcast(aliases.select(F.col("name"), F.col("target"))), "name", "left").withColumn("suffix", suffix)
+    named = blocks.select("name").distinct().join(aliases.select(F.col("name"), F.col("target")), "name", "left").withColumn("suffix", suffix)
     tried = named.select("name", F.posexplode(F.array("name", "target", shaped(""), shaped("_planks"), shaped("_block"), kind)).alias("rank", "candidate"))
-    found = tried.where("candidate is not null").join(F.broadcast(table.select(F.col("name").alias("candidate"), "rgba")), "candidate")
+    found = tried.where("candidate is not null").join(table.select(F.col("name").alias("candidate"), "rgba"), "candidate")
     best = found.groupBy("name").agg(F.min_by(F.struct("rgba", "rank"), "rank").alias("b"))
     return blocks.select("name").distinct().join(best, "name", "left").select("name", F.coalesce("b.rgba", F.lit(UNKNOWN_COLOUR).cast("long")).alias("rgba"), F.coalesce(F.col("b.rank") == 5, F.lit(True)).alias("missing"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed values of the file format, in the order in which names are tried: part of the name, label, colour, meaning.
@@ -77,9 +77,9 @@ def row_cap(df: DataFrame, cap: int) -> DataFrame:
 
 
 def normalise(df: DataFrame, keys: tuple[str, ...], priority: str, order: str) -> DataFrame:
-    """One row for each key: that of the highest priority (least number), then the first in order."""
-    first = Window.partitionBy(*keys).orderBy(priority, order)
-    return df.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    """One row for each key: that of the highest priority (least number), then the first in order, then by its other columns."""
+    others = [c for c in df.columns if c not in (*keys, priority, order)]
+    return df.groupBy(*keys).agg(F.min(F.struct(priority, order, *others)).alias("__row")).select(*keys, "__row.*").select(*df.columns)
 
 
 def merge(*sides: DataFrame, value: str = "found_time", largest: bool = False, keys: tuple[str, ...] = ("dim", "x", "z")) -> DataFrame:

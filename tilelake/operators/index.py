@@ -86,11 +86,19 @@ def explored_estimate(sampled: Column, chunks: Column, sampleable: Column) -> Co
     return F.when(sampled > 0, F.round(chunks / sampled * sampleable).cast("bigint"))
 
 
+#: Parts that a cause's files are dealt into.
+ISSUE_PARTS = 64
+
+
 def issues(files: DataFrame) -> DataFrame:
-    """Issues (kind, detail, path, ord) grouped by cause, with how many and the first three paths."""
-    first = Window.partitionBy("kind", "detail").orderBy("ord")
-    top = files.withColumn("n", F.row_number().over(first)).where("n <= 3").groupBy("kind", "detail").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "path"))), lambda s: s["path"]), ",").alias("examples"))
-    return files.groupBy("kind", "detail").agg(F.count("*").alias("n")).join(top, ["kind", "detail"])
+    """Issues (kind, detail, path, ord) grouped by cause, with how many and the first three paths.
+
+    A cause's files are ranked in ISSUE_PARTS parts first; three of each part are left for the cause itself.
+    """
+    part = Window.partitionBy("kind", "detail", F.pmod(F.xxhash64("ord", "path"), F.lit(ISSUE_PARTS)))
+    first = files.withColumns({"n": F.row_number().over(part.orderBy("ord")), "all": F.count("*").over(part)}).where("n <= 3")
+    examples = F.slice(F.array_sort(F.collect_list(F.struct("ord", "path"))), 1, 3)["path"]
+    return first.groupBy("kind", "detail").agg(F.sum(F.when(F.col("n") == 1, F.col("all"))).alias("n"), F.array_join(examples, ",").alias("examples"))
 
 
 def alternates_issue(others: DataFrame) -> DataFrame:

@@ -26,15 +26,20 @@ def in_order(events: DataFrame) -> DataFrame:
 
 
 def trails(events: DataFrame) -> DataFrame:
-    """The points of each player's trail: the last 30 within 60 seconds of the last, since a change of dimension or a teleport."""
+    """The points of each player's trail: the last 30 within 60 seconds of the last, since a change of dimension or a teleport.
+
+    Only those 60 seconds of each player are put in order: what came before cannot reset what follows it.
+    """
+    last = events.groupBy("player").agg(F.max("t_ms").alias("last_ms"))
+    events = events.join(last, "player").where(F.col("last_ms") - F.col("t_ms") <= TRAIL_MS)
     order = Window.partitionBy("player").orderBy("t_ms", "event_id")
     gap = F.greatest(F.lit(1.0), (F.col("t_ms") - F.lag("t_ms").over(order)) / 1000)
     far = F.hypot(F.col("x") - F.lag("x").over(order), F.col("z") - F.lag("z").over(order)) > gap * TELEPORT_BLOCKS_A_SECOND
     reset = F.when((F.col("dim") != F.lag("dim").over(order)) | far, 1).otherwise(0)
     parts = events.withColumn("reset", reset).withColumn("part", F.sum("reset").over(order))
     back = Window.partitionBy("player").orderBy(F.desc("t_ms"), F.desc("event_id"))
-    ranked = parts.withColumns({"back": F.row_number().over(back), "last_part": F.first("part").over(back), "last_ms": F.first("t_ms").over(back)})
-    return ranked.where((F.col("back") <= TRAIL_POINTS) & (F.col("part") == F.col("last_part")) & (F.col("last_ms") - F.col("t_ms") <= TRAIL_MS)).select("player", "event_id", "t_ms", "x", "z")
+    ranked = parts.withColumns({"back": F.row_number().over(back), "last_part": F.first("part").over(back)})
+    return ranked.where((F.col("back") <= TRAIL_POINTS) & (F.col("part") == F.col("last_part"))).select("player", "event_id", "t_ms", "x", "z")
 
 
 def path_length(events: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ QUERIES = {
     "place_filter": lambda s, d: C.places_in_view(table(s, d, "part").select(F.col("p_name").alias("name"), F.lower("p_type").alias("tags"), (F.col("p_size") % 3 - 1).cast("double").alias("dimension"), F.col("p_retailprice").alias("x"), F.col("p_partkey").cast("double").alias("z")), 0, "RING", 900, 0, 1000, 500),
     "block_colours": _colours,
     "block_states": _states,
-    "pyramid_levels": lambda s, d: C.pyramid_levels(table(s, d, "nation").select(F.col("n_name").alias("dataset"), F.lit(0).alias("z_min"), (F.col("n_nationkey") % 5 + 1).alias("z_max"), (F.col("n_nationkey") * 7 + 3).alias("rows"), (F.col("n_nationkey") + 1).alias("cols"))),
+    "pyramid_levels": lambda s, d: C.pyramid_levels(table(s, d, "part").select(F.concat(F.lit("d"), F.col("p_partkey").cast("string")).alias("dataset"), F.lit(0).alias("z_min"), ((F.col("p_partkey") % 25).cast("int") % 5 + 1).alias("z_max"), ((F.col("p_partkey") % 25).cast("int") * 7 + 3).alias("rows"), ((F.col("p_partkey") % 25).cast("int") + 1).alias("cols"))),
     "guide_diagonals": lambda s, d: C.diagonal_in_view(table(s, d, "customer").select("c_custkey", (F.col("c_custkey") * 100 - 90000).alias("x0"), (F.col("c_nationkey") * 3000 - 30000).cast("bigint").alias("z0"), (F.col("c_custkey") * 100 - 70000).alias("x1"), (F.col("c_nationkey") * 3000 - 10000).cast("bigint").alias("z1")), 30_000_000, -1).select("c_custkey", "lo", "hi"),
     "region_box": _boxes,
     "bitset_cells": _bits,
@@ -79,7 +79,7 @@ ORACLES = {
         "t: select * from (values ('minecraft:stone', 1::bigint), ('minecraft:oak_planks', 2::bigint), ('minecraft:brick_block', 3::bigint), ('minecraft:oak_leaves', 4::bigint), ('minecraft:water', 5::bigint), ('minecraft:sand', 6::bigint)) v(name, rgba)",
         f"c: select b.name, t.rgba, 0 rank from b join t on t.name = b.name union all select name, 6, 1 from b where name = 'minecraft:odd' union all select b.name, t.rgba, 2 + r from (select *, regexp_extract(name, '(_stairs|_slab|_door)$', 1) suf from b) b, (values (0, ''), (1, '_planks'), (2, '_block')) e(r, s), t where suf <> '' and t.name = substr(b.name, 1, length(b.name) - length(suf)) || s union all select name, {_CASE_KIND}, 5 from b where {_CASE_KIND} is not null"),
     "block_states": "select p_partkey, case when p_partkey % 3 = 0 then p_type else p_type || '[a=' || p_brand || ',z=' || p_size || ']' end state from part",
-    "pyramid_levels": 'select dataset, z, cast(ceil(r / 2.0::double ** (zm - z)) as bigint) as "rows", cast(ceil(c / 2.0::double ** (zm - z)) as bigint) cols, cast(ceil(r / 2.0::double ** (zm - z)) as bigint) * cast(ceil(c / 2.0::double ** (zm - z)) as bigint) tiles from (select n_name dataset, n_nationkey % 5 + 1 zm, n_nationkey * 7 + 3 r, n_nationkey + 1 c, unnest(cast(range(n_nationkey % 5 + 2) as int[])) z from nation)',
+    "pyramid_levels": 'select dataset, z, cast(ceil(r / 2.0::double ** (zm - z)) as bigint) as "rows", cast(ceil(c / 2.0::double ** (zm - z)) as bigint) cols, cast(ceil(r / 2.0::double ** (zm - z)) as bigint) * cast(ceil(c / 2.0::double ** (zm - z)) as bigint) tiles from (select concat(chr(100), p_partkey) dataset, (p_partkey % 25) % 5 + 1 zm, (p_partkey % 25) * 7 + 3 r, (p_partkey % 25) + 1 c, unnest(cast(range((p_partkey % 25) % 5 + 2) as int[])) z from part)',
     "guide_diagonals": "select * from (select c_custkey, greatest(c_custkey * 100 - 90000, -(c_nationkey * 3000 - 10000)::bigint, -30000000) lo, least(c_custkey * 100 - 70000, -(c_nationkey * 3000 - 30000)::bigint, 30000000) hi from customer) where lo <= hi",
     "region_box": with_views("select * from (select id, layer, greatest(cast(floor(least(x1, x2) / 512.0) as bigint), rx0) rx0, greatest(cast(floor(least(z1, z2) / 512.0) as bigint), rz0) rz0, least(cast(floor(greatest(x1, x2) / 512.0) as bigint), rx1) rx1, least(cast(floor(greatest(z1, z2) / 512.0) as bigint), rz1) rz1 from bx join (select layer, min(rx) rx0, min(rz) rz0, max(rx) rx1, max(rz) rz1 from f group by layer) using (layer)) where rx0 <= rx1 and rz0 <= rz1", "idx", _ALL, "bx: select s_suppkey id, 'layer' || s_suppkey % 5 + 1 layer, s_suppkey * 611 - 30000 x1, s_nationkey * 900 - 9000 z1, s_nationkey * 333 - 4000 x2, s_suppkey * 77 - 3000 z2 from supplier".replace("'layer' || s_suppkey % 5 + 1 layer", "'layer' || cast(s_suppkey % 5 + 1 as varchar) layer")),
     "bitset_cells": "select c_custkey, (ascii(substr(c_name, (c_custkey // 8 % 8 + 1)::bigint, 1)) >> cast(7 - c_custkey % 8 as int)) & 1 = 1 as set from customer",

@@ -111,7 +111,7 @@ QUERIES = {
     "region_codec_round_trip": _codec,
     "stream_highlight_merge": stream_merge,
 }
-_DUP = "one: select dim, x, z, found_time from (select *, row_number() over (partition by dim, x, z order by src, ord) n from hl) where n = 1"
+_DUP = "one: select dim, x, z, found_time from (select *, row_number() over (partition by dim, x, z order by src, ord, side, found_time, height) n from hl) where n = 1"
 ORACLES = {
     "file_highlight_batches": with_views("select dim, count(*) n, cast(sum(found_time) as bigint) as time, cast(sum(x * 1000 + z) as bigint) place from hl group by dim", "hl"),
     "file_highlight_databases": with_views("select * from one", "hl", _DUP),

@@ -48,10 +48,10 @@ QUERIES = {
     "highlight_live_upsert": lambda s, d: H.live_upsert(_one(highlights(s, d), "A"), highlights(s, d).where("side = 'B'")),
     "highlight_lava_alpha": lambda s, d: highlights(s, d).where("dim = 'minecraft:the_nether'").select("x", "z", "ord", "height", F.coalesce(H.lava_alpha(F.col("height")), F.lit(-1)).alias("alpha")),
     "highlight_palette_of_name": _named,
-    "highlight_canonical_dimension": lambda s, d: table(s, d, "nation").select("n_nationkey", H.canonical_dimension((F.col("n_nationkey") % 5 - 1).cast("string")).alias("dim")),
+    "highlight_canonical_dimension": lambda s, d: table(s, d, "part").select("p_partkey", H.canonical_dimension((F.col("p_partkey") % 5 - 1).cast("string")).alias("dim")),
 }
 
-_SIDE = "{0}: select dim, x, z, found_time, ord from (select *, row_number() over (partition by dim, x, z order by src, ord) n from hl where side = '{1}') where n = 1"
+_SIDE = "{0}: select dim, x, z, found_time, ord from (select *, row_number() over (partition by dim, x, z order by src, ord, side, found_time, height) n from hl where side = '{1}') where n = 1"
 ORACLES = {
     "highlight_tile_grid": with_views("select cast((x + 128) * 16 // 256 as int) cell_x, cast((z + 128) * 16 // 256 as int) cell_z, count(*) n, min(found_time) as value from hl where dim = 'minecraft:overworld' and x >= -128 and x < 128 and z >= -128 and z < 128 group by 1, 2", "hl"),
     "highlight_tile_counts": with_views("select cast((x + 64) * 64 // 64 as int) cell_x, cast((z + 64) * 64 // 64 as int) cell_z, count(*) n from hl where dim = 'minecraft:the_end' and x >= -64 and x < 0 and z >= -64 and z < 0 group by 1, 2", "hl"),
@@ -69,5 +69,5 @@ ORACLES = {
     "highlight_live_upsert": with_views("select dim, x, z, case when old is null then new when new is null then old else least(old, new) end found_time, old is null or coalesce(new < old, false) changed from (select dim, x, z, found_time as old from a) full join (select dim, x, z, min(found_time) as new from hl where side = 'B' group by 1, 2, 3) using (dim, x, z)", "hl", _SIDE.format("a", "A")),
     "highlight_lava_alpha": with_views("select x, z, ord, height, case when height >= 5 then cast(greatest(0, least(255, height * 8)) as int) else -1 end alpha from hl where dim = 'minecraft:the_nether'", "hl"),
     "highlight_palette_of_name": with_views(f"select p_partkey, name, {_case(1)} as label, '#' || lower(lpad(printf('%x', cast({_case(2)} as bigint)), 6, '0')) colour, coalesce({_case(3)}, 'timestamp') meaning, coalesce({_case(3)}, 'timestamp') = 'timestamp' syncable from db", _NAMES),
-    "highlight_canonical_dimension": "select n_nationkey, case n_nationkey % 5 - 1 when 0 then 'minecraft:overworld' when -1 then 'minecraft:the_nether' when 1 then 'minecraft:the_end' else cast(n_nationkey % 5 - 1 as varchar) end dim from nation",
+    "highlight_canonical_dimension": "select p_partkey, case p_partkey % 5 - 1 when 0 then 'minecraft:overworld' when -1 then 'minecraft:the_nether' when 1 then 'minecraft:the_end' else cast(p_partkey % 5 - 1 as varchar) end dim from part",
 }

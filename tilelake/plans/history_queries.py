@@ -35,18 +35,13 @@ def _first_settings(s, d, line):
     return W.first_values(W.key_values(lines.withColumn("line", F.translate(line, ".", ":"))), ["doc_id"], "ord")
 
 
-def _settings(s, d):
-    """From the first 60 characters of a line: its SQL cuts there. Whole lines: settings_whole_lines."""
-    return _first_settings(s, d, F.substring("line", 1, 60))
-
-
 def _newer_of(o, file):
     return W.newer_file(o.select(file.alias("file"), F.when(F.col("o_orderkey") % 2 == 0, "A").otherwise("B").alias("side"), (F.col("o_orderkey") % 2000 * 4 + F.col("o_custkey") % 2).alias("mtime_ms")).groupBy("file", "side").agg(F.max("mtime_ms").alias("mtime_ms")), "file")
 
 
 def _newer(s, d):
-    """50 files of a fixed part of orders: its SQL reads that part alone. The whole table: _newer_all."""
-    return _newer_of(table(s, d, "orders").where("o_orderkey < 4000"), F.col("o_custkey") % 50)
+    """All orders, a file for each four customers."""
+    return _newer_of(table(s, d, "orders"), F.floor(F.col("o_custkey") / 4))
 
 
 def _newer_all(s, d):
@@ -69,13 +64,13 @@ QUERIES = {
     "live_flushes": lambda s, d: L.flushes(positions(s, d).select("dim", F.floor(F.col("t_ms") / 100).alias("t_ms"), F.concat_ws("_", "x", "z").alias("place"))),
     "waypoint_parse": lambda s, d: _records(s, d).select("ord", "name", "initials", "x", F.coalesce("y", F.lit(-1)).alias("y"), "z", "color", "disabled", "wp_set", "y_key", W.colour(F.col("color")).alias("rgb")),
     "waypoint_format": lambda s, d: _records(s, d).select("ord", W.format_line().alias("line")),
-    "waypoint_union": lambda s, d: W.union_lines(waypoint_lines(s, d).select("side", "world", "ord", F.concat(F.substring("line", 1, 9), F.substring("line", 26, 40)).alias("line")), ["world"]),
+    "waypoint_union": lambda s, d: W.union_lines(waypoint_lines(s, d).select("side", "world", "ord", F.regexp_replace("line", "[0-9]", "").alias("line")), ["world"]),
     "waypoint_sync": lambda s, d: _synced(s, d).select("world", "mw_file", "name", "x", "y_key", "z", "color", "present", "first_seen", "last_seen"),
     "waypoint_sync_report": lambda s, d: W.sync_report(_synced(s, d), 0, NOW_MS).drop("seen"),
     "waypoint_world_counts": lambda s, d: W.world_counts(_synced(s, d)),
     "waypoint_export": lambda s, d: W.export(_synced(s, d)).select("world", "mw_file", "line"),
     "waypoint_visible": lambda s, d: W.visible(_synced(s, d), "minecraft:overworld", "B").select("name", "x", "z"),
-    "settings_first_values": _settings,
+    "settings_first_values": lambda s, d: _first_settings(s, d, F.lower("line")),
     "settings_whole_lines": lambda s, d: _first_settings(s, d, F.col("line")),
     "settings_newer_file": _newer,
     "settings_newer_file_all": _newer_all,
@@ -103,15 +98,15 @@ ORACLES = {
     "live_preview_evicted": with_views("select * from cv where not exists (select 1 from pos p where p.event_id % 50 = 0 and p.dim = cv.dim and floor(p.x / 512.0) = floor(cv.cx / 32.0) and floor(p.z / 512.0) = floor(cv.cz / 32.0))", "pos", _CANVAS),
     "waypoint_parse": with_views("select ord, name, initials, x, coalesce(y, -1) y, z, color, disabled, wp_set, y_key, list_extract(['#000000', '#0000aa', '#00aa00', '#00aaaa', '#aa0000', '#aa00aa', '#ffaa00', '#aaaaaa', '#555555', '#5555ff', '#55ff55', '#55ffff', '#ff5555', '#ff55ff', '#ffff55', '#ffffff', '#c74ebd', '#3ab3da', '#80c71f', '#f38baa'], color % 20 + 1) rgb from r", "wp", _WP),
     "waypoint_format": with_views(f"select ord, {_LINE} as line from r", "wp", _WP),
-    "waypoint_union": with_views("select world, line, side, ord from (select *, row_number() over (partition by world, line order by side, ord) n from (select side, world, ord, substr(line, 1, 9) || substr(line, 26, 40) line from wp)) where n = 1", "wp"),
+    "waypoint_union": with_views("select world, line, side, ord from (select *, row_number() over (partition by world, line order by side, ord) n from (select side, world, ord, regexp_replace(line, '[0-9]', '', 'g') line from wp)) where n = 1", "wp"),
     "waypoint_sync": with_views("select world, mw_file, name, x, y_key, z, color, present, first_seen, last_seen from sy", "wp", _WP, _V, _B, _S),
     "waypoint_sync_report": with_views("select count(*) filter (was is null) added, count(*) filter (last_seen = 1700000000000 and not was) revived, count(*) filter (was and not present) newly_archived, count(*) total, count(*) filter (not present) archived_total from sy", "wp", _WP, _V, _B, _S),
     "waypoint_world_counts": with_views("select world, count(*) total, count(*) filter (not present) archived from sy group by world", "wp", _WP, _V, _B, _S),
     "waypoint_export": with_views(f"select world, mw_file, {_LINE} as line from sy where present", "wp", _WP, _V, _B, _S),
     "waypoint_visible": with_views("select name, x, z from sy where not disabled and present and contains(lower(name), 'b')", "wp", _WP, _V, _B, _S),
-    "settings_first_values": "select doc_id, key, value from (select doc_id, ord, split_part(line, ':', 1) as key, case when contains(line, ':') then substr(line, instr(line, ':') + 1) else '' end as value, row_number() over (partition by doc_id, split_part(line, ':', 1) order by ord) n from (select doc_id, ord, replace(substr(line, 1, 60), '.', ':') line from (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) ord from documents)) where trim(line) <> '' and not starts_with(line, '//')) where n = 1",
+    "settings_first_values": "select doc_id, key, value from (select doc_id, ord, split_part(line, ':', 1) as key, case when contains(line, ':') then substr(line, instr(line, ':') + 1) else '' end as value, row_number() over (partition by doc_id, split_part(line, ':', 1) order by ord) n from (select doc_id, ord, replace(lower(line), '.', ':') line from (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) ord from documents)) where trim(line) <> '' and not starts_with(line, '//')) where n = 1",
     "settings_whole_lines": "select doc_id, key, value from (select doc_id, ord, split_part(line, ':', 1) as key, case when contains(line, ':') then substr(line, instr(line, ':') + 1) else '' end as value, row_number() over (partition by doc_id, split_part(line, ':', 1) order by ord) n from (select doc_id, ord, replace(line, '.', ':') line from (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) ord from documents)) where trim(line) <> '' and not starts_with(line, '//')) where n = 1",
-    "settings_newer_file": "select file, side, mtime_ms from (select *, row_number() over (partition by file order by mtime_ms desc, side) n from (select o_custkey % 50 file, case when o_orderkey % 2 = 0 then 'A' else 'B' end side, max(o_orderkey % 2000 * 4 + o_custkey % 2) mtime_ms from orders where o_orderkey < 4000 group by 1, 2)) where n = 1",
+    "settings_newer_file": "select file, side, mtime_ms from (select *, row_number() over (partition by file order by mtime_ms desc, side) n from (select o_custkey // 4 file, case when o_orderkey % 2 = 0 then 'A' else 'B' end side, max(o_orderkey % 2000 * 4 + o_custkey % 2) mtime_ms from orders group by 1, 2)) where n = 1",
     "settings_newer_file_all": "select file, side, mtime_ms from (select *, row_number() over (partition by file order by mtime_ms desc, side) n from (select o_custkey file, case when o_orderkey % 2 = 0 then 'A' else 'B' end side, max(o_orderkey % 2000 * 4 + o_custkey % 2) mtime_ms from orders group by 1, 2)) where n = 1",
     "live_latest": with_views("select player, event_id, t_ms, dim, x, z from (select *, row_number() over (partition by player order by t_ms desc, event_id desc) n from pos) where n = 1", "pos"),
     "live_in_order": with_views("select event_id, player, t_ms from (select event_id, player, t_ms + x * 100 t_ms, max(t_ms + x * 100) over (partition by player order by event_id rows between unbounded preceding and 1 preceding) m from pos) where m is null or t_ms >= m", "pos"),

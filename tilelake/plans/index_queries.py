@@ -76,7 +76,7 @@ QUERIES = {
     "nether_regions": lambda s, d: highlights(s, d).where("dim = 'minecraft:overworld'").select(F.floor(F.col("x") * 16 / 8).cast("int").alias("nx")).groupBy(region_of_block(F.col("nx")).alias("rx")).agg(F.count("*").alias("n")),
     "packed_numbers": lambda s, d: table(s, d, "orders").select("o_orderkey", signed12(F.col("o_orderkey") % 4096).alias("height"), *(v.alias(k) for k, v in rgb565((F.col("o_custkey") * 37 % 65536).cast("int")).items())),
     "dimension_names": lambda s, d: names(s, d).where("name like 'minecraft$%'").select("ord", N.unescape_id(F.col("name")).alias("dim")).select("ord", "dim", N.escape_id(F.col("dim")).alias("folder"), N.display_name(F.col("dim")).alias("shown"), F.coalesce(N.normalise_dimension(F.concat(F.lit(" "), F.replace("dim", F.lit("$"), F.lit("x")), F.lit(" "))), F.lit("-")).alias("normal")),
-    "cave_labels": lambda s, d: table(s, d, "nation").select("n_nationkey", N.cave_label(F.when(F.col("n_nationkey") == 7, N.FULL_CAVE).otherwise(F.col("n_nationkey") - 10)).alias("label")),
+    "cave_labels": lambda s, d: table(s, d, "part").select("p_partkey", N.cave_label(F.when(F.col("p_partkey") % 25 == 7, N.FULL_CAVE).otherwise((F.col("p_partkey") % 25 - 10).cast("int"))).alias("label")),
 }
 
 _BEST = "select layer, rx, rz, mtime_ms, size, is_zip, ord from (select *, row_number() over (partition by layer, rx, rz order by is_zip desc, mtime_ms desc, ord) n from {0}) where n = 1"
@@ -121,5 +121,5 @@ ORACLES = {
     "nether_regions": with_views("select cast(floor(floor(x * 16 / 8.0) / 512.0) as int) rx, count(*) n from hl where dim = 'minecraft:overworld' group by 1", "hl"),
     "packed_numbers": "select o_orderkey, o_orderkey % 4096 - case when o_orderkey % 4096 >= 2048 then 4096 else 0 end height, cast(((v >> 11 & 31) * 255 + 15) // 31 as int) r, cast(((v >> 5 & 63) * 255 + 31) // 63 as int) g, cast(((v & 31) * 255 + 15) // 31 as int) b from (select *, o_custkey * 37 % 65536 v from orders)",
     "dimension_names": with_views("select ord, dim, replace(replace(dim, ':', '$'), '/', '%') folder, regexp_extract(dim, '[^/:]*$') shown, case when regexp_matches(replace(dim, '$', 'x'), '^[a-z0-9_./-]+:[a-z0-9_./-]+$') then replace(dim, '$', 'x') else '-' end normal from (select ord, regexp_replace(replace(name, '%', '/'), '\\$', ':') dim from names where starts_with(name, 'minecraft$'))", "names"),
-    "cave_labels": "select n_nationkey, case when n_nationkey = 7 then 'Cave (full column)' else 'Cave Y ' || cast((n_nationkey - 10) * 16 as varchar) || '..' || cast((n_nationkey - 10) * 16 + 15 as varchar) end as label from nation",
+    "cave_labels": "select p_partkey, case when p_partkey % 25 = 7 then 'Cave (full column)' else 'Cave Y ' || cast((p_partkey % 25 - 10) * 16 as varchar) || '..' || cast((p_partkey % 25 - 10) * 16 + 15 as varchar) end as label from part",
 }

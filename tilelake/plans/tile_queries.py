@@ -25,7 +25,7 @@ QUERIES = {
     "pixel_box_downscale": lambda s, d: T.box_downscale(pixels(s, d), 4),
     "pixel_sub_pixel": lambda s, d: T.sub_pixel(pixels(s, d), 4).select("region", *(F.round(c, 6).alias(c) for c in "rgba")),
     "cell_downscale": _cells,
-    "tile_tiers": lambda s, d: table(s, d, "nation").select("n_nationkey", F.expr("shiftright(512, cast(n_nationkey % 9 as int))").alias("cell")).select("n_nationkey", "cell", T.tier(F.col("cell")).alias("tier")),
+    "tile_tiers": lambda s, d: table(s, d, "part").select("p_partkey", F.expr("shiftright(512, cast(p_partkey % 9 as int))").alias("cell")).select("p_partkey", "cell", T.tier(F.col("cell")).alias("tier")),
     "tile_last_wins": lambda s, d: _tiles(s, d, "A"),
     "tile_coalesce": lambda s, d: T.coalesce_tiles(_tiles(s, d, "A"), _tiles(s, d, "B"), ["dim", "x", "z"], ["height", "found_time"]),
     "palette_intern": lambda s, d: T.intern(highlights(s, d), "dim", "height", "ord"),
@@ -42,7 +42,7 @@ ORACLES = {
     "pixel_box_downscale": with_views("select region, px // 4 px, pz // 4 pz, case when sum(a) > 0 then cast(sum(r * a) // greatest(sum(a), 1) as bigint) else 0 end r, case when sum(a) > 0 then cast(sum(g * a) // greatest(sum(a), 1) as bigint) else 0 end g, case when sum(a) > 0 then cast(sum(b * a) // greatest(sum(a), 1) as bigint) else 0 end b, cast(sum(a) // 16 as bigint) a from pix group by region, px // 4, pz // 4", "pix"),
     "pixel_sub_pixel": with_views("select region, round(sum(r * a) / sum(a), 6) r, round(sum(g * a) / sum(a), 6) g, round(sum(b * a) / sum(a), 6) b, round(greatest(64.0::double, 255 * least(1.0::double, sum(a) / 255.0::double / 256.0::double)), 6) a from pix group by region", "pix"),
     "cell_downscale": with_views("select vec_id, cx // 2 cx, cz // 2 cz, cast(sum(v) // 4 as bigint) v, count(*) n from cells group by vec_id, cx // 2, cz // 2", "cells"),
-    "tile_tiers": "select n_nationkey, cell, case when cell <= 8 then 'mip' when cell <= 32 then 'thumb' else 'full' end tier from (select n_nationkey, cast(512 >> (n_nationkey % 9) as int) cell from nation)",
+    "tile_tiers": "select p_partkey, cell, case when cell <= 8 then 'mip' when cell <= 32 then 'thumb' else 'full' end tier from (select p_partkey, cast(512 >> cast(p_partkey % 9 as int) as int) cell from part)",
     "tile_last_wins": with_views("select * from a", "hl", _TILE.format("a", "hl where side = 'A'")),
     "tile_coalesce": with_views("select dim, x, z, case when a.ord is null then b.height else a.height end height, case when a.ord is null then b.found_time else a.found_time end found_time, a.ord is null from_second from a full join b using (dim, x, z)", "hl", _TILE.format("a", "hl where side = 'A'"), _TILE.format("b", "hl where side = 'B'")),
     "palette_intern": with_views("select dim, height, row_number() over (partition by dim order by f, height) - 1 idx from (select dim, height, min(ord) f from hl group by 1, 2)", "hl"),
