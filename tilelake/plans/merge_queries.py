@@ -28,7 +28,7 @@ def _settings_files(o, file):
 
 
 def _settings(s, d):
-    """All orders, in files of up to 500 lines; the side of a file's newer half differs from _settings_all's."""
+    """All orders, in files of up to 500 lines."""
     return _settings_files(table(s, d, "orders"), F.floor(F.col("o_orderkey") / 500))
 
 
