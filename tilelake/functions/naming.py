@@ -148,3 +148,27 @@ def binary_bytes(n: Column) -> Column:
         text = F.concat(F.when(v < 100, F.format_string("%.1f", F.bround(v, 1))).otherwise(F.format_string("%.0f", F.bround(v, 0))), F.lit(f" {unit}"))
         out = out.when(v < 1024, text) if k < 5 else out.otherwise(text)
     return out
+
+
+def layer_of_spec(spec: Column, prefix: str = "cave:") -> Column:
+    """surface, or the number behind the prefix, as text; null for anything else. No spec means the surface."""
+    number = _int(spec, f"^{prefix}([+-]?[0-9]+)$", 1)
+    return F.when(spec.isNull() | (spec == "surface"), "surface").otherwise(number.cast("string"))
+
+
+def tint(text: Column) -> Column:
+    """RRGGBB, with or without #, as a number; null for anything else."""
+    digits = F.regexp_extract(text, r"\A\s*#*([0-9a-fA-F]{6})\s*\z", 1)
+    return F.when(digits != "", F.conv(digits, 16, 10).cast("int"))
+
+
+def roof(text: Column) -> tuple[Column, Column]:
+    """Opacities of obsidian and snow in a see-through roof, from two numbers up to 255 with a comma between."""
+    pattern = r"\A\s*\+?([0-9]+)\s*,\s*\+?([0-9]+)\s*\z"
+    obsidian, snow = _int(text, pattern, 1), _int(text, pattern, 2)
+    both = (obsidian <= 255) & (snow <= 255)
+    return F.when(both, obsidian), F.when(both, snow)
+
+
+def cave_mode(number: Column) -> Column:
+    return F.when(number == 0, "Off").when(number == 1, "Layered").when(number == 2, "Full")

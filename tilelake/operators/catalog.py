@@ -11,6 +11,13 @@ from tilelake.functions import naming as N
 SHAPES = ("_stairs", "_slab", "_wall", "_fence_gate", "_fence", "_button", "_pressure_plate", "_trapdoor", "_door")
 KINDS = (("_leaves$", "minecraft:oak_leaves"), ("(?:_log|_wood|_planks)$", "minecraft:oak_planks"), ("(?:_ore|stone)$", "minecraft:stone"), ("water", "minecraft:water"))
 UNKNOWN_COLOUR = 0x7F7F7FFF
+#: Blocks that shine by themselves, blocks that are air, and how opaque a block on top is without a colour.
+SHINING = (
+    "lava", "glowstone", "shroomlight", "sea_lantern", "jack_o_lantern", "lantern", "soul_lantern", "campfire", "soul_campfire", "fire", "soul_fire", "torch", "wall_torch", "soul_torch", "soul_wall_torch",
+    "nether_portal", "end_rod", "beacon", "conduit", "crying_obsidian", "ochre_froglight", "verdant_froglight", "pearlescent_froglight", "lava_cauldron", "light", "end_gateway",
+)
+AIR = ("air", "cave_air", "void_air")
+LIQUID_ALPHA, ICE_ALPHA, OTHER_ALPHA = 191, 216, 127
 DRAWING_KEYS = {"highlights": ["dim", "x", "z"], "lines": ["dim", "x1", "z1", "x2", "z2"], "texts": ["dim", "x", "z"], "ellipses": ["dim", "centerX", "centerZ", "radiusX", "radiusZ"]}
 BORDER = {"minecraft:overworld": 30_000_000, "minecraft:the_nether": 3_750_000}
 
@@ -76,6 +83,20 @@ def colours(blocks: DataFrame, table: DataFrame, aliases: DataFrame) -> DataFram
     return blocks.select("name").distinct().join(best, "name", "left").select("name", F.coalesce("b.rgba", F.lit(UNKNOWN_COLOUR).cast("long")).alias("rgba"), F.coalesce(F.col("b.rank") == 5, F.lit(True)).alias("missing"))
 
 
+def block_kinds(blocks: DataFrame) -> DataFrame:
+    """air, shining, alpha (of 255, as a block on top) and roof of blocks (name, alpha; 0 where no colour is known)."""
+    named = lambda names: F.col("name").isin(*(f"minecraft:{n}" for n in names))
+    liquid = F.contains("name", F.lit("water")) | F.contains("name", F.lit("lava"))
+    alpha = F.when(F.col("alpha") != 0, F.col("alpha")).when(liquid, LIQUID_ALPHA).when(F.contains("name", F.lit("ice")), ICE_ALPHA).otherwise(OTHER_ALPHA)
+    roof = F.when(named(("obsidian", "crying_obsidian")), "obsidian").when(named(("snow",)), "snow").otherwise("none")
+    return blocks.withColumns({"air": named(AIR), "shining": named(SHINING), "alpha": alpha, "roof": roof})
+
+
+def drawing_counts(drawings: DataFrame) -> DataFrame:
+    """Drawings of each dimension and family (dim, family), so that an empty overlay differs from one that isn't there."""
+    return drawings.groupBy("dim", "family").agg(F.count("*").alias("n"))
+
+
 def pyramid_levels(sets: DataFrame) -> DataFrame:
     """dataset, z, rows, cols, tiles of each level of tile pyramids (dataset, z_min, z_max, rows, cols at z_max)."""
     levels = sets.select("dataset", F.explode(F.sequence("z_min", "z_max")).alias("z"), "z_max", "rows", "cols")

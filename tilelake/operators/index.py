@@ -81,6 +81,16 @@ def totals(stats: DataFrame) -> DataFrame:
     return out.withColumn("layer", F.coalesce("layer", F.lit("all")))
 
 
+def probe_versions(probes: DataFrame) -> DataFrame:
+    """How many probed files (layer, version) of each layer are of each save version; ? where it couldn't be read."""
+    return probes.groupBy("layer", F.coalesce("version", F.lit("?")).alias("version")).agg(F.count("*").alias("n"))
+
+
+def probe_stats(probes: DataFrame) -> DataFrame:
+    """Files probed in each layer, those cut short or unreadable, and chunks found (layer, truncated, error, chunks)."""
+    return probes.groupBy("layer").agg(F.count("*").alias("sampled"), F.count_if("truncated").alias("truncated"), F.count("error").alias("unreadable"), F.sum("chunks").alias("chunks"))
+
+
 def explored_estimate(sampled: Column, chunks: Column, sampleable: Column) -> Column:
     """Explored chunks of a layer from those in its sampled regions; null without a sample."""
     return F.when(sampled > 0, F.round(chunks / sampled * sampleable).cast("bigint"))

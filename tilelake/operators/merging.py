@@ -6,35 +6,57 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilelake.functions.naming import base_domain
+from tilelake.operators.highlights import palette_field
 
 
 def pair_worlds(a: DataFrame, b: DataFrame, aliases: DataFrame | None = None, auto: bool = False) -> DataFrame:
-    """world_a, world_b, how: exact names first, then aliases (either way round), then names of one server.
+    """world_a, world_b, how, taken_by: exact names first, then aliases (either way round), then names of one server.
 
-    Each world has one partner at most. The first two passes are joins on keys; the third pairs the n-th unpaired world of
-    a server with its n-th on the other side, by name, and only suggests unless auto.
+    A world of a claims the first world of b, by name, that a pass offers; the first claimant gets it, and each world has one
+    partner at most. A claim on a world that has a partner is blocked (taken_by: that partner) and such a world may still
+    claim in the next pass. Names of one server are only suggested unless auto. As a claim is the first of all that b offers,
+    taken or not, each pass is an aggregate and a join, in whatever order the rows come.
     """
     a, b = a.select(F.col("world").alias("world_a")).distinct(), b.select(F.col("world").alias("world_b")).distinct()
-    out = a.join(b, a["world_a"] == b["world_b"]).select("world_a", "world_b", F.lit("exact").alias("how"))
-    rest = lambda side, name, done: side.join(done.select(name), name, "left_anti")
+    pairs = a.join(b, a["world_a"] == b["world_b"]).select("world_a", "world_b", F.lit("exact").alias("how"))
+    blocked = None
     if aliases is not None:
-        both = aliases.select(F.col("x").alias("world_a"), F.col("y").alias("world_b")).union(aliases.select("y", "x")).distinct()
-        found = both.join(rest(a, "world_a", out), "world_a", "left_semi").join(rest(b, "world_b", out), "world_b", "left_semi")
-        found = _first(_first(found, "world_a", "world_b"), "world_b", "world_a")
-        out = out.union(found.select("world_a", "world_b", F.lit("alias")))
-    left, right = (rest(s, n, out).withColumn("server", base_domain(F.col(n))).withColumn("n", F.row_number().over(Window.partitionBy("server").orderBy(n))) for s, n in ((a, "world_a"), (b, "world_b")))
-    return out.union(left.join(right, ["server", "n"]).select("world_a", "world_b", F.lit("domain" if auto else "suggested")))
-
-
-def _first(pairs: DataFrame, key: str, other: str) -> DataFrame:
-    return pairs.groupBy(key).agg(F.min(other).alias(other)).select("world_a", "world_b")
+        both = aliases.select(F.col("x").alias("world_a"), F.col("y").alias("world_b")).union(aliases.select("y", "x"))
+        pairs, blocked = _pass(pairs, blocked, both.join(a, "world_a", "left_semi").join(b, "world_b", "left_semi"), "alias")
+    left, right = (s.withColumn("server", base_domain(F.col(n))) for s, n in ((a, "world_a"), (b, "world_b")))
+    firsts = right.groupBy("server").agg(F.min("world_b").alias("world_b"))
+    offered = left.join(firsts, "server").where("world_a <> world_b")
+    if auto:
+        pairs, blocked = _pass(pairs, blocked, offered, "domain")
+        suggested = None
+    else:
+        free, taken = _claims(pairs, offered)
+        blocked = taken if blocked is None else blocked.union(taken)
+        suggested = free.select("world_a", "world_b", F.lit("suggested"), F.lit(None).cast("string"))
+    out = pairs.withColumn("taken_by", F.lit(None).cast("string")).union(blocked)
+    return out if suggested is None else out.union(suggested)
+
+
+def _claims(pairs: DataFrame, offered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Claims of worlds without a partner: on free worlds, and blocked ones."""
+    claim = offered.join(pairs.select("world_a"), "world_a", "left_anti").groupBy("world_a").agg(F.min("world_b").alias("world_b"))
+    taken = claim.join(pairs.select("world_b", F.col("world_a").alias("taken_by")), "world_b").select("world_a", "world_b", F.lit("blocked").alias("how"), "taken_by")
+    return claim.join(pairs.select("world_b"), "world_b", "left_anti").select("world_a", "world_b"), taken
+
+
+def _pass(pairs: DataFrame, blocked: DataFrame | None, offered: DataFrame, how: str) -> tuple[DataFrame, DataFrame]:
+    free, taken = _claims(pairs, offered)
+    won = free.groupBy("world_b").agg(F.min("world_a").alias("world_a")).select("world_a", "world_b", F.lit(how).alias("how"))
+    late = free.join(won.select("world_b", F.col("world_a").alias("taken_by")), "world_b").where("world_a <> taken_by").select("world_a", "world_b", F.lit("blocked").alias("how"), "taken_by")
+    out = taken.union(late)
+    return pairs.union(won), out if blocked is None else blocked.union(out)
 
 
 def plan(a: DataFrame, b: DataFrame, prefer: str = "newer") -> DataFrame:
     """What a merge does with each region (layer, rx, rz) of indexes a and b: the dry run.
 
     action: copy_a, copy_b or merge; primary: the side whose tiles win (newer, of equal times a; or the preferred side);
-    mtime_ms: that of the result.
+    mtime_ms: that of the result; a_ms, b_ms: those of the sides.
     """
     keys = ["layer", "rx", "rz"]
     x, y = (s.select(*keys, F.col("mtime_ms").alias(f"{n}_ms"), F.col("size").alias(f"{n}_size")) for s, n in ((a, "a"), (b, "b")))
@@ -43,7 +65,7 @@ def plan(a: DataFrame, b: DataFrame, prefer: str = "newer") -> DataFrame:
     newer = F.when(F.col("action") == "copy_b", "b").when((F.col("action") == "merge") & (F.col("b_ms") > F.col("a_ms")), "b").otherwise("a")
     side = newer if prefer == "newer" else F.when(F.col("action") == "merge", prefer).otherwise(newer)
     out = both.withColumn("action", action)
-    return out.select(*keys, "action", side.alias("primary"), F.greatest("a_ms", "b_ms").alias("mtime_ms"), (F.coalesce("a_size", F.lit(0)) + F.coalesce("b_size", F.lit(0))).alias("bytes"))
+    return out.select(*keys, "action", side.alias("primary"), F.greatest("a_ms", "b_ms").alias("mtime_ms"), "a_ms", "b_ms", (F.coalesce("a_size", F.lit(0)) + F.coalesce("b_size", F.lit(0))).alias("bytes"))
 
 
 def plan_report(planned: DataFrame) -> DataFrame:
@@ -55,8 +77,38 @@ def plan_report(planned: DataFrame) -> DataFrame:
 
 
 def mixed_units(layers: DataFrame) -> DataFrame:
-    """Worlds of one side that name the overworld both ways (null and DIM0): these cannot be paired."""
-    return layers.where(F.col("dim").isin("null", "DIM0")).groupBy("side", "world").agg(F.countDistinct("dim").alias("n")).where("n > 1").select("side", "world")
+    """Layers (side, world, dim, mw, layer) whose dimension one side names both ways (null and DIM0): these cannot be paired."""
+    return layers.where(F.col("dim").isin("null", "DIM0")).groupBy("side", "world", "mw", "layer").agg((F.min("dim") < F.max("dim")).alias("mixed")).where("mixed").drop("mixed")
+
+
+def merge_meaning(names: DataFrame, group: str) -> DataFrame:
+    """For each group of file names (group, name), destination included: height if any of them holds heights, else timestamp."""
+    height = F.max(palette_field(F.col("name"), 3) == "height")
+    return names.groupBy(group).agg(F.when(height, "height").otherwise("timestamp").alias("meaning"))
+
+
+def merge_tiles(planned: DataFrame, a: DataFrame, b: DataFrame, bad: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The merge itself: tiles (layer, rx, rz, tx, tz, ...) of the result, and regions with mtime_ms, tiles and note.
+
+    planned: of plan. Where both sides have a tile the primary's counts, whole. bad (layer, rx, rz, side): files that cannot be
+    read; the other side is then kept as it is, with its own time, and the note says so; of a region that neither side can
+    be read of nothing is left. A region copied from one side alone is as it was, readable or not. Tiles are grouped once, by
+    their own key, and meet the plan by region.
+    """
+    keys = ["layer", "rx", "rz"]
+    flags = bad.groupBy(*keys).agg(F.max(F.lower("side") == "a").alias("bad_a"), F.max(F.lower("side") == "b").alias("bad_b"))
+    known = planned.join(flags, keys, "left").withColumns({c: F.coalesce(c, F.lit(False)) & (F.col("action") == "merge") for c in ("bad_a", "bad_b")})
+    note = F.when(F.col("bad_a") & F.col("bad_b"), "both unreadable").when(F.col("bad_a"), "a unreadable, copied b").when(F.col("bad_b"), "b unreadable, copied a")
+    known = known.withColumn("note", note)
+    values = [c for c in a.columns if c not in (*keys, "tx", "tz")]
+    both = a.select(*keys, "tx", "tz", F.struct(*values).alias("v"), F.lit("a").alias("from_side")).union(b.select(*keys, "tx", "tz", F.struct(*values).alias("v"), F.lit("b").alias("from_side")))
+    placed = both.join(known.select(*keys, "primary", "bad_a", "bad_b"), keys).where("not (from_side = 'a' and bad_a or from_side = 'b' and bad_b)")
+    best = placed.groupBy(*keys, "tx", "tz").agg(F.max_by(F.struct("v", "from_side"), (F.col("from_side") == F.col("primary")).cast("int")).alias("t"))
+    tiles = best.select(*keys, "tx", "tz", "t.v.*", "t.from_side")
+    time = F.when(F.col("bad_a") & F.col("bad_b"), None).when(F.col("bad_a"), F.col("b_ms")).when(F.col("bad_b"), F.col("a_ms")).otherwise(F.col("mtime_ms"))
+    counted = tiles.groupBy(*keys).agg(F.count("*").alias("tiles"), F.count_if(F.col("from_side") == "b").alias("from_b"))
+    regions = known.join(counted, keys, "left").select(*keys, "action", time.alias("mtime_ms"), F.coalesce("tiles", F.lit(0)).alias("tiles"), F.coalesce("from_b", F.lit(0)).alias("from_b"), "note")
+    return tiles, regions
 
 
 def merge_settings(lines: DataFrame, key: str, id_of: Column) -> DataFrame:

@@ -42,6 +42,12 @@ def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values, order), order).alias("__v")).select(*keys, "__v.*")
 
 
+def thumbnails(stored: DataFrame, index: DataFrame, x0: int, z0: int, x1: int, z1: int) -> DataFrame:
+    """Stored thumbnails (layer, roof_obsidian, roof_snow, rx, rz, mtime_ms, ...) of the closed box that are of their region's present time."""
+    box = stored.where(F.col("rx").between(x0, x1) & F.col("rz").between(z0, z1))
+    return box.join(index.select("layer", "rx", "rz", "mtime_ms"), ["layer", "rx", "rz", "mtime_ms"], "left_semi")
+
+
 def intern(rows: DataFrame, group: str, value: str, order: str) -> DataFrame:
     """A palette for each group: distinct values numbered from 0 by first appearance."""
     first = rows.groupBy(group, value).agg(F.min(order).alias("first"))

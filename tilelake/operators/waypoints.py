@@ -51,6 +51,29 @@ def union_lines(lines: DataFrame, group: list[str]) -> DataFrame:
     return first.select(*group, "line", "at.side", "at.ord")
 
 
+def union_files(lines: DataFrame, group: list[str]) -> DataFrame:
+    """One waypoint file of two sides' lines (group, side, ord, line): group, part, side, ord, pos, text in that order.
+
+    Names of sets come first (part 0), then records as the game writes them (1), then other lines (2), each text once, at its
+    first place: a's before b's. Comments and blank lines go. A file that only one side has stays as it is (part 3).
+    """
+    sides = lines.groupBy(*group).agg((F.min("side") != F.max("side")).alias("both"))
+    known = lines.join(sides, group)
+    verbatim = known.where("not both").select(*group, F.lit(3).alias("part"), "side", "ord", F.lit(0).alias("pos"), F.col("line").alias("text"))
+    text = known.where("both").withColumn("line", F.regexp_replace("line", r"\r+$", "")).where("line <> '' and not startswith(line, '#')")
+    names = text.where("startswith(line, 'sets:')").select(*group, "side", "ord", F.posexplode(F.split(F.substring("line", 6, F.length("line")), ":")).alias("pos", "text")).where("text <> ''")
+    rest = text.where("not startswith(line, 'sets:')")
+    records = parse(rest)
+    written = records.select(*group, F.lit(1).alias("part"), "side", "ord", F.lit(0).alias("pos"), format_line().alias("text"))
+    f = F.split("line", ":")
+    record = F.col("line").startswith("waypoint:") & (F.size(f) >= 10) & _whole(F.get(f, F.lit(3))).isNotNull() & _whole(F.get(f, F.lit(5))).isNotNull()
+    other = rest.where(~record).select(*group, F.lit(2).alias("part"), "side", "ord", F.lit(0).alias("pos"), F.col("line").alias("text"))
+    first = F.min(F.struct("part", "side", "ord", "pos")).alias("at")
+    sets = names.select(*group, F.lit(0).alias("part"), "side", "ord", "pos", "text").groupBy(*group, "text").agg(first)
+    body = written.union(other).groupBy(*group, "text").agg(first)
+    return sets.union(body).select(*group, "at.*", "text").union(verbatim)
+
+
 def sync(vault: DataFrame, batch: DataFrame, scanned: DataFrame, now_ms: int) -> DataFrame:
     """The history after a scan.
 
@@ -105,6 +128,13 @@ def key_values(lines: DataFrame, line: str = "line") -> DataFrame:
     return out.withColumns({"key": F.substring_index(line, ":", 1), "value": F.regexp_extract(line, "(?s)^[^:]*:(.*)$", 1)})
 
 
+def dimension_types(lines: DataFrame, line: str = "line") -> DataFrame:
+    """level and type of dimensionType:level:type lines, in which $ stands for the colon."""
+    pattern = r"(?s)\AdimensionType:([^:]*):(.*?)\r*\z"
+    field = lambda k: F.replace(F.regexp_extract(line, pattern, k), F.lit("$"), F.lit(":"))
+    return lines.where(F.col(line).rlike(pattern)).withColumns({"level": field(1), "type": field(2)})
+
+
 def first_values(pairs: DataFrame, group: list[str], order: str) -> DataFrame:
     """Of a key that is set several times, the first value."""
     return pairs.groupBy(*group, "key").agg(F.min_by("value", order).alias("value"))

@@ -5,18 +5,39 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tilelake.operators import merging as M
+from tilelake.operators.tiles import last_wins
 from tilelake.plans.index_queries import _A, _B, _side
-from tilelake.plans.views import table, with_views
+from tilelake.plans.views import region_index, table, with_views
 
 
 def _plan(s, d):
     return M.plan(_side(s, d, "A"), _side(s, d, "B"))
 
 
-def _worlds(s, d):
+def _tiles(s, d):
+    """Each file of the index as a tile of its region, the last of each place; of every 13th size the file can't be read."""
+    rows = region_index(s, d).select("side", "layer", "rx", "rz", (F.col("ord") % 4).alias("tx"), (F.floor(F.col("ord") / 4) % 4).alias("tz"), "size", "ord")
+    tiles = lambda side: last_wins(rows.where(F.col("side") == side).drop("side"), ["layer", "rx", "rz", "tx", "tz"], "ord")
+    bad = [_side(s, d, side).where("size % 13 = 0").select("layer", "rx", "rz", F.lit(side).alias("side")) for side in "AB"]
+    return M.merge_tiles(M.plan(_side(s, d, "A"), _side(s, d, "B")), tiles("A"), tiles("B"), bad[0].union(bad[1]))
+
+
+def _mixed(s, d):
+    k = F.col("o_orderkey")
+    world = F.concat(F.lit("w"), F.col("o_custkey").cast("string"))
+    return M.mixed_units(table(s, d, "orders").select(F.when(k % 2 == 0, "A").otherwise("B").alias("side"), world.alias("world"), F.when(k % 3 == 0, "null").when(k % 3 == 1, "DIM0").otherwise("DIM1").alias("dim"), F.lit("mw$default").alias("mw"), (k % 2).alias("layer")))
+
+
+def _meaning(s, d):
+    p = F.col("p_partkey")
+    name = F.when(p % 11 == 0, "XLavaColumns.db").otherwise(F.concat(F.lit("Portals"), p.cast("string"), F.lit(".db")))
+    return M.merge_meaning(table(s, d, "part").select(F.floor(p / 4).alias("merge"), name.alias("name")), "merge")
+
+
+def _worlds(s, d, auto=False):
     w = table(s, d, "customer").select("c_custkey", F.concat(F.when(F.col("c_custkey") % 3 == 0, "Multiplayer_").otherwise(""), F.lit("play"), (F.col("c_custkey") % 37).cast("string"), F.when(F.col("c_custkey") % 2 == 0, ".net").otherwise(".com")).alias("world"))
     aliases = s.range(12).select(F.concat(F.lit("play"), F.col("id").cast("string"), F.lit(".net")).alias("x"), F.concat(F.lit("play"), (F.col("id") + 1).cast("string"), F.lit(".com")).alias("y"))
-    return M.pair_worlds(w.where("c_custkey % 5 < 2"), w.where("c_custkey % 5 > 1"), aliases)
+    return M.pair_worlds(w.where("c_custkey % 5 < 2"), w.where("c_custkey % 5 > 1"), aliases, auto).withColumn("taken_by", F.coalesce("taken_by", F.lit("-")))
 
 
 def _settings_files(o, file):
@@ -38,7 +59,12 @@ def _settings_all(s, d):
 
 
 QUERIES = {
-    "merge_plan": _plan,
+    "merge_plan": lambda s, d: _plan(s, d).drop("a_ms", "b_ms"),
+    "merge_tiles": lambda s, d: _tiles(s, d)[0],
+    "merge_tile_regions": lambda s, d: _tiles(s, d)[1].withColumns({"mtime_ms": F.coalesce("mtime_ms", F.lit(-1)), "note": F.coalesce("note", F.lit("-"))}),
+    "merge_mixed_units": _mixed,
+    "merge_meaning": _meaning,
+    "merge_world_pairs_auto": lambda s, d: _worlds(s, d, True),
     "merge_plan_report": lambda s, d: M.plan_report(_plan(s, d)),
     "merge_settings": _settings,
     "merge_settings_all": _settings_all,
@@ -62,16 +88,31 @@ _MERGED = [
     "ad: select file, coalesce(aft, -1) aft, 1 late, t.ord, line from t left join lasts using (file) left join known using (file, id) where not own and id is not null and known.ord is null",
 ]
 _CW = "w: select distinct c_custkey % 5 k, case when c_custkey % 3 = 0 then 'Multiplayer_' else '' end || 'play' || c_custkey % 37 || case when c_custkey % 2 = 0 then '.net' else '.com' end world from customer"
+_SERVER = "lower(regexp_replace(regexp_replace(replace({0}, 'Multiplayer_', ''), '(\\.net)+$', ''), '(\\.com)+$', ''))"
+_CLAIMS = [
+    _CW, "a: select distinct world world_a from w where k < 2", "b: select distinct world world_b from w where k > 1", "e: select world_a, world_b from a join b on world_a = world_b",
+    "al: select 'play' || i || '.net' x, 'play' || (i + 1) || '.com' y from range(12) r(i)", "al0: select x world_a, y world_b from al union select y, x from al",
+    "al1: select world_a, min(world_b) world_b from al0 where world_a in (select world_a from a) and world_b in (select world_b from b) and world_a not in (select world_a from e) group by 1",
+    "al2: select *, min(world_a) over (partition by world_b) f from al1 where world_b not in (select world_b from e)",
+    "bl1: select x.world_a, x.world_b, 'blocked' how, e.world_a taken_by from al1 x join e using (world_b) union all select world_a, world_b, 'blocked', f from al2 where world_a <> f",
+    "p2: select world_a, world_b, 'exact' how, '-' taken_by from e union all select world_a, world_b, 'alias', '-' from al2 where world_a = f",
+    f"dm: select world_a, min(world_b) world_b from (select world_a, {_SERVER.format('world_a')} srv from a where world_a not in (select world_a from p2)) x join (select world_b, {_SERVER.format('world_b')} srv from b) y using (srv) where world_a <> world_b group by 1",
+]
+_TILED = [
+    "idx", _A, _B,
+    "pl: select *, action = 'merge' and asz % 13 = 0 ba, action = 'merge' and bsz % 13 = 0 bb from (select layer, rx, rz, a.mtime_ms am, b.mtime_ms bm, a.size asz, b.size bsz, case when b.size is null then 'copy_a' when a.size is null then 'copy_b' else 'merge' end as action, case when a.size is null or b.mtime_ms > a.mtime_ms then 'b' else 'a' end pri from a full join b using (layer, rx, rz))",
+    "ti: select * from (select lower(side) from_side, layer, rx, rz, ord % 4 tx, ord // 4 % 4 tz, size, ord, row_number() over (partition by side, layer, rx, rz, ord % 4, ord // 4 % 4 order by ord desc) n from idx) where n = 1",
+    "mt: select * from (select ti.*, row_number() over (partition by layer, rx, rz, tx, tz order by from_side = pri desc) best from ti join pl using (layer, rx, rz) where not (from_side = 'a' and ba or from_side = 'b' and bb)) where best = 1",
+]
 ORACLES = {
     "merge_plan": with_views("select * from p", "idx", _A, _B, _PLAN),
     "merge_plan_report": with_views("select layer, count(*) filter (action = 'copy_a') only_a, count(*) filter (action = 'copy_b') only_b, count(*) filter (action = 'merge') conflicts, count(*) regions_out, cast(sum(bytes) as bigint) bytes from p group by layer", "idx", _A, _B, _PLAN),
     "merge_settings": _settings_sql(500),
     "merge_settings_all": _settings_sql(1000),
-    "merge_world_pairs": with_views("""select * from e union all select world_a, world_b, 'alias' from al2 union all select x.world_a, y.world_b, 'suggested' from (select *, row_number() over (partition by server order by world_a) n from ra) x join (select *, row_number() over (partition by server order by world_b) n from rb) y using (server, n)""",
-        _CW, "a: select distinct world world_a from w where k < 2", "b: select distinct world world_b from w where k > 1", "e: select world_a, world_b, 'exact' how from a join b on world_a = world_b",
-        "al: select 'play' || i || '.net' x, 'play' || (i + 1) || '.com' y from range(12) r(i)", "al0: select x world_a, y world_b from al union select y, x from al",
-        "al1: select world_a, min(world_b) world_b from al0 where world_a in (select world_a from a) and world_b in (select world_b from b) and world_a not in (select world_a from e) and world_b not in (select world_b from e) group by 1",
-        "al2: select min(world_a) world_a, world_b from al1 group by world_b",
-        "ra: select world_a, lower(regexp_replace(regexp_replace(replace(world_a, 'Multiplayer_', ''), '(\\.net)+$', ''), '(\\.com)+$', '')) server from a where world_a not in (select world_a from e union select world_a from al2)",
-        "rb: select world_b, lower(regexp_replace(regexp_replace(replace(world_b, 'Multiplayer_', ''), '(\\.net)+$', ''), '(\\.com)+$', '')) server from b where world_b not in (select world_b from e union select world_b from al2)"),
+    "merge_world_pairs": with_views("select world_a, world_b, how, taken_by from p2 union all select * from bl1 union all select x.world_a, x.world_b, 'blocked', p2.world_a from dm x join p2 using (world_b) union all select world_a, world_b, 'suggested', '-' from dm where world_b not in (select world_b from p2)", *_CLAIMS),
+    "merge_world_pairs_auto": with_views("select world_a, world_b, how, taken_by from p2 union all select * from bl1 union all select x.world_a, x.world_b, 'blocked', p2.world_a from dm x join p2 using (world_b) union all select world_a, world_b, case when world_a = f then 'domain' else 'blocked' end, case when world_a = f then '-' else f end from (select *, min(world_a) over (partition by world_b) f from dm where world_b not in (select world_b from p2))", *_CLAIMS),
+    "merge_tiles": with_views("select layer, rx, rz, tx, tz, size, ord, from_side from mt", *_TILED),
+    "merge_tile_regions": with_views("select layer, rx, rz, any_value(action) as action, any_value(case when ba and bb then -1 when ba then bm when bb then am else greatest(am, bm) end) mtime_ms, count(mt.tx) tiles, count(mt.tx) filter (from_side = 'b') from_b, any_value(case when ba and bb then 'both unreadable' when ba then 'a unreadable, copied b' when bb then 'b unreadable, copied a' else '-' end) note from pl left join mt using (layer, rx, rz) group by layer, rx, rz", *_TILED),
+    "merge_mixed_units": "select case when o_orderkey % 2 = 0 then 'A' else 'B' end side, 'w' || o_custkey world, 'mw$default' mw, o_orderkey % 2 layer from orders where o_orderkey % 3 < 2 group by 1, 2, 3, 4 having count(distinct o_orderkey % 3) = 2",
+    "merge_meaning": "select p_partkey // 4 as merge, case when bool_or(p_partkey % 11 = 0) then 'height' else 'timestamp' end meaning from part group by 1",
 }
