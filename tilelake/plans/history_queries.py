@@ -29,6 +29,16 @@ def _synced(s, d):
     return W.sync(_vault(s, d), _batch(s, d), _records(s, d).where("side = 'A'"), NOW_MS)
 
 
+def _union_files(s, d):
+    """A waypoint file for each 40 customers: sets, comments, notes, records too short and records that repeat."""
+    k = F.col("c_custkey")
+    text = lambda v: v.cast("string")
+    record = F.concat(F.lit("waypoint:n"), text(k % 6), F.lit(":N:"), text(k % 3), F.lit(":~:5:1:false:0:set"))
+    line = F.when(k % 10 == 0, F.concat(F.lit("sets:gui.default:"), text(k % 3), F.lit("::x"))).when(k % 10 == 1, "# comment").when(k % 10 == 2, F.concat(F.lit("note "), text(k % 4))).when(k % 10 == 3, "").when(k % 10 == 4, "waypoint:short").otherwise(record)
+    side = F.when((F.floor(k / 40) % 5 == 0) | (k % 2 == 0), "A").otherwise("B")
+    return W.union_files(table(s, d, "customer").select(F.floor(k / 40).alias("file"), side.alias("side"), k.alias("ord"), line.alias("line")), ["file"])
+
+
 def _first_settings(s, d, line):
     """The first value of each key that a document's lines set, a dot or colon between them."""
     lines = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
@@ -65,6 +75,7 @@ QUERIES = {
     "waypoint_parse": lambda s, d: _records(s, d).select("ord", "name", "initials", "x", F.coalesce("y", F.lit(-1)).alias("y"), "z", "color", "disabled", "wp_set", "y_key", W.colour(F.col("color")).alias("rgb")),
     "waypoint_format": lambda s, d: _records(s, d).select("ord", W.format_line().alias("line")),
     "waypoint_union": lambda s, d: W.union_lines(waypoint_lines(s, d).select("side", "world", "ord", F.regexp_replace("line", "[0-9]", "").alias("line")), ["world"]),
+    "waypoint_union_files": _union_files,
     "waypoint_sync": lambda s, d: _synced(s, d).select("world", "mw_file", "name", "x", "y_key", "z", "color", "present", "first_seen", "last_seen"),
     "waypoint_sync_report": lambda s, d: W.sync_report(_synced(s, d), 0, NOW_MS).drop("seen"),
     "waypoint_world_counts": lambda s, d: W.world_counts(_synced(s, d)),
@@ -99,6 +110,9 @@ ORACLES = {
     "waypoint_parse": with_views("select ord, name, initials, x, coalesce(y, -1) y, z, color, disabled, wp_set, y_key, list_extract(['#000000', '#0000aa', '#00aa00', '#00aaaa', '#aa0000', '#aa00aa', '#ffaa00', '#aaaaaa', '#555555', '#5555ff', '#55ff55', '#55ffff', '#ff5555', '#ff55ff', '#ffff55', '#ffffff', '#c74ebd', '#3ab3da', '#80c71f', '#f38baa'], color % 20 + 1) rgb from r", "wp", _WP),
     "waypoint_format": with_views(f"select ord, {_LINE} as line from r", "wp", _WP),
     "waypoint_union": with_views("select world, line, side, ord from (select *, row_number() over (partition by world, line order by side, ord) n from (select side, world, ord, regexp_replace(line, '[0-9]', '', 'g') line from wp)) where n = 1", "wp"),
+    "waypoint_union_files": with_views("select file, part, side, ord, pos, text from (select *, row_number() over (partition by file, part = 0, text order by part, side, ord, pos) r from (select * from st union all select file, case when k < 5 then 2 else 1 end part, side, ord, 0 pos, case when k < 5 then line else line || ':false:0:0:false' end as text from b where k not in (0, 1, 3))) where r = 1 union all select file, 3, side, ord, 0, line from l where file % 5 = 0 or file not in (select file from b)",
+        "l: select c_custkey // 40 file, c_custkey % 10 k, case when c_custkey // 40 % 5 = 0 or c_custkey % 2 = 0 then 'A' else 'B' end side, c_custkey ord, case c_custkey % 10 when 0 then 'sets:gui.default:' || c_custkey % 3 || '::x' when 1 then '# comment' when 2 then 'note ' || c_custkey % 4 when 3 then '' when 4 then 'waypoint:short' else 'waypoint:n' || c_custkey % 6 || ':N:' || c_custkey % 3 || ':~:5:1:false:0:set' end as line from customer",
+        "b: select * from l where file in (select file from l group by 1 having count(distinct side) = 2)", "st: select file, 0 part, side, ord, i - 1 pos, list_extract(['gui.default', cast(ord % 3 as varchar), '', 'x'], i) as text from b, range(1, 5) r(i) where k = 0 and i <> 3"),
     "waypoint_sync": with_views("select world, mw_file, name, x, y_key, z, color, present, first_seen, last_seen from sy", "wp", _WP, _V, _B, _S),
     "waypoint_sync_report": with_views("select count(*) filter (was is null) added, count(*) filter (last_seen = 1700000000000 and not was) revived, count(*) filter (was and not present) newly_archived, count(*) total, count(*) filter (not present) archived_total from sy", "wp", _WP, _V, _B, _S),
     "waypoint_world_counts": with_views("select world, count(*) total, count(*) filter (not present) archived from sy group by world", "wp", _WP, _V, _B, _S),

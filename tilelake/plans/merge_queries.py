@@ -34,10 +34,17 @@ def _meaning(s, d):
     return M.merge_meaning(table(s, d, "part").select(F.floor(p / 4).alias("merge"), name.alias("name")), "merge")
 
 
+def _world_name(k):
+    end = F.element_at(F.array(F.lit(""), F.lit(".net"), F.lit(".com"), F.lit(".org.net")), (k % 4 + 1).cast("int"))
+    return F.concat(F.when(k % 3 == 0, "Multiplayer_").otherwise(""), F.lit("Play"), F.floor(k / 4).cast("string"), end)
+
+
 def _worlds(s, d, auto=False):
-    w = table(s, d, "customer").select("c_custkey", F.concat(F.when(F.col("c_custkey") % 3 == 0, "Multiplayer_").otherwise(""), F.lit("play"), (F.col("c_custkey") % 37).cast("string"), F.when(F.col("c_custkey") % 2 == 0, ".net").otherwise(".com")).alias("world"))
-    aliases = s.range(12).select(F.concat(F.lit("play"), F.col("id").cast("string"), F.lit(".net")).alias("x"), F.concat(F.lit("play"), (F.col("id") + 1).cast("string"), F.lit(".com")).alias("y"))
-    return M.pair_worlds(w.where("c_custkey % 5 < 2"), w.where("c_custkey % 5 > 1"), aliases, auto).withColumn("taken_by", F.coalesce("taken_by", F.lit("-")))
+    """A world for each customer, of every fifth on both sides, four to a server; aliases between neighbours."""
+    k, c = F.col("c_custkey"), table(s, d, "customer")
+    w = c.select(k, _world_name(k).alias("world"))
+    aliases = c.where("c_custkey % 7 = 0").select(_world_name(k).alias("x"), _world_name(k + k % 4 + 1).alias("y"))
+    return M.pair_worlds(w.where("c_custkey % 5 <= 2"), w.where("c_custkey % 5 >= 2"), aliases, auto).withColumn("taken_by", F.coalesce("taken_by", F.lit("-")))
 
 
 def _settings_files(o, file):
@@ -87,11 +94,12 @@ _MERGED = [
     "lasts: select file, max(ord) aft from known group by 1",
     "ad: select file, coalesce(aft, -1) aft, 1 late, t.ord, line from t left join lasts using (file) left join known using (file, id) where not own and id is not null and known.ord is null",
 ]
-_CW = "w: select distinct c_custkey % 5 k, case when c_custkey % 3 = 0 then 'Multiplayer_' else '' end || 'play' || c_custkey % 37 || case when c_custkey % 2 = 0 then '.net' else '.com' end world from customer"
-_SERVER = "lower(regexp_replace(regexp_replace(replace({0}, 'Multiplayer_', ''), '(\\.net)+$', ''), '(\\.com)+$', ''))"
+_WORLD = "case when ({0}) % 3 = 0 then 'Multiplayer_' else '' end || 'Play' || ({0}) // 4 || list_extract(['', '.net', '.com', '.org.net'], ({0}) % 4 + 1)"
+_CW = f"w: select c_custkey % 5 k, {_WORLD.format('c_custkey')} world from customer"
+_SERVER = "lower(regexp_replace(regexp_replace(regexp_replace(replace({0}, 'Multiplayer_', ''), '(\\.org)+$', ''), '(\\.net)+$', ''), '(\\.com)+$', ''))"
 _CLAIMS = [
-    _CW, "a: select distinct world world_a from w where k < 2", "b: select distinct world world_b from w where k > 1", "e: select world_a, world_b from a join b on world_a = world_b",
-    "al: select 'play' || i || '.net' x, 'play' || (i + 1) || '.com' y from range(12) r(i)", "al0: select x world_a, y world_b from al union select y, x from al",
+    _CW, "a: select distinct world world_a from w where k <= 2", "b: select distinct world world_b from w where k >= 2", "e: select world_a, world_b from a join b on world_a = world_b",
+    f"al: select {_WORLD.format('c_custkey')} x, {_WORLD.format('c_custkey + c_custkey % 4 + 1')} y from customer where c_custkey % 7 = 0", "al0: select x world_a, y world_b from al union select y, x from al",
     "al1: select world_a, min(world_b) world_b from al0 where world_a in (select world_a from a) and world_b in (select world_b from b) and world_a not in (select world_a from e) group by 1",
     "al2: select *, min(world_a) over (partition by world_b) f from al1 where world_b not in (select world_b from e)",
     "bl1: select x.world_a, x.world_b, 'blocked' how, e.world_a taken_by from al1 x join e using (world_b) union all select world_a, world_b, 'blocked', f from al2 where world_a <> f",
