@@ -92,6 +92,28 @@ def test_flushes_wait(spark):
     assert got == [("d", 0, 1), ("d", 2000, 2), ("e", 100, 1), ("f", 0, 1), ("f", 10_000, None)]
 
 
+def test_flushes_of_parts_are_those_of_a_loop(spark):
+    """Quiet times cut a dimension into parts; what waits at the end of one counts in the next one's first flush."""
+    import random
+
+    dice, rows = random.Random(5), []
+    for dim in "ab":
+        t = 0
+        for _ in range(700):
+            t += dice.choice([0, 1, 30, 900, 2500, 9_999, 10_000, 30_000]) if dice.random() < 0.3 else dice.choice([0, 1, 2])
+            rows.append((dim, t, f"p{dice.randrange(600)}"))
+    want, state = [], {}
+    for dim, t, place in sorted(rows):
+        last, waiting = state.setdefault(dim, (None, set()))
+        waiting.add(place)
+        if last is None or t - last >= (2_000 if len(waiting) <= 64 else 10_000):
+            want.append((dim, t, len(waiting) if len(waiting) <= 512 else None))
+            state[dim] = (t, set())
+    got = sorted(map(tuple, L.flushes(spark.createDataFrame(rows, "dim string, t_ms long, place string")).collect()))
+    assert len(want) > 50 and got == want
+    assert L.flushes(spark.createDataFrame([], "dim string, t_ms long, place string")).count() == 0
+
+
 def test_canvas_keeps_the_latest(spark):
     schema = "dim string, cx int, cz int, first long, last long, value string"
     stored = spark.createDataFrame([("d", 0, 0, 1, 1, "old"), ("d", 1, 0, 2, 2, "b")], schema)

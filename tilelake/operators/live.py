@@ -122,24 +122,42 @@ def flushes(changes: DataFrame) -> DataFrame:
     """dim, t_ms, n of each flush of changed places (dim, t_ms, place): the first at once, later ones ten seconds after the
     last, or two where at most 64 places wait; n is null where more than 512 wait, which means all.
 
-    When a flush is due depends on the flushes before it, so rows are folded in order, each dimension by the task that
-    holds it; a task keeps at most 513 waiting places.
+    When a flush is due depends on the flushes before it, so rows are folded in order; but after ten quiet seconds the next
+    row always flushes. Dimensions are cut there, found from one row for each ten seconds, and the parts are folded on their
+    own; what still waits at the end of a part is counted into the next one's first flush. A task keeps at most 513 places.
     """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        dim, last, waiting = None, None, set()
+        at, last, waiting = None, None, set()
+        tail = lambda: (*at[:1], at[1] + 1, -1, None, None, None, sorted(waiting))
         for rows in batches:
             out = []
-            for who, t, place in rows.itertuples(index=False):
-                if who != dim:
-                    dim, last, waiting = who, None, set()
+            for dim, part, t, place in rows.itertuples(index=False):
+                if (dim, part) != at:
+                    if at is not None:
+                        out.append(tail())
+                    at, last, waiting = (dim, part), t, set()
+                    out.append((dim, part, -1, t, None, place, None))
+                    continue
                 if len(waiting) <= MOST_PLACES:
                     waiting.add(place)
-                if last is None or t - last >= (QUICK_FLUSH_MS if len(waiting) <= QUICK_PLACES else FLUSH_MS):
-                    out.append((dim, t, len(waiting) if len(waiting) <= MOST_PLACES else None))
+                if t - last >= (QUICK_FLUSH_MS if len(waiting) <= QUICK_PLACES else FLUSH_MS):
+                    out.append((dim, part, t, t, len(waiting) if len(waiting) <= MOST_PLACES else None, None, None))
                     last, waiting = t, set()
             if out:
-                yield pd.DataFrame(out, columns=["dim", "t_ms", "n"])
-
-    ordered = changes.select("dim", "t_ms", "place").repartition("dim").sortWithinPartitions("dim", "t_ms", "place")
-    return ordered.mapInPandas(fold, "dim string, t_ms long, n long")
+                yield pd.DataFrame(out, columns=names)
+        if at is not None:
+            yield pd.DataFrame([tail()], columns=names)
+
+    names = ["dim", "part", "slot", "t_ms", "n", "place", "waiting"]
+    beat = F.floor(F.col("t_ms") / FLUSH_MS).alias("beat")
+    beats = changes.groupBy("dim", beat).agg(F.min("t_ms").alias("t0"), F.max("t_ms").alias("t1"))
+    before = F.lag("t1").over(Window.partitionBy("dim").orderBy("beat"))
+    beats = beats.withColumn("quiet", F.when(F.col("t0") - before >= FLUSH_MS, 1).otherwise(0))
+    beats = beats.select("dim", "beat", F.sum("quiet").over(Window.partitionBy("dim").orderBy("beat")).alias("part"))
+    ordered = changes.select("dim", "t_ms", "place", beat).join(beats, ["dim", "beat"]).select("dim", "part", "t_ms", "place")
+    ordered = ordered.repartition("dim", "part").sortWithinPartitions("dim", "part", "t_ms", "place")
+    found = ordered.mapInPandas(fold, "dim string, part long, slot long, t_ms long, n long, place string, waiting array<string>")
+    found = found.groupBy("dim", "part", "slot").agg(*(F.max(c).alias(c) for c in ("t_ms", "n", "place", "waiting"))).where("t_ms is not null")
+    first = F.size(F.array_union(F.coalesce("waiting", F.array().cast("array<string>")), F.array("place"))).cast("bigint")
+    return found.select("dim", "t_ms", F.when(F.col("place").isNull(), F.col("n")).when(first <= MOST_PLACES, first).alias("n"))
