@@ -114,6 +114,22 @@ def test_flushes_of_parts_are_those_of_a_loop(spark):
     assert L.flushes(spark.createDataFrame([], "dim string, t_ms long, place string")).count() == 0
 
 
+def test_stream_folds_its_deltas(spark, tmp_path):
+    """Whatever batch the table is read after, and however often one comes, the oldest sighting of each chunk is there."""
+    from tilelake.streaming.live import merge_highlights, merged_highlights
+
+    table, seen = str(tmp_path / "t"), {}
+    fold = merge_highlights(table, every=2)
+    for number in range(5):
+        rows = [("d", k, 0, 100 - 7 * number * (k % 3) + k) for k in range(number, number + 4)]
+        for _, x, _, t in rows:
+            seen[x] = min(t, seen.get(x, t))
+        batch = spark.createDataFrame(rows, "dim string, x int, z int, found_time long")
+        fold(batch, number)
+        fold(batch, number)
+        assert {r["x"]: r["found_time"] for r in merged_highlights(spark, table, every=2).collect()} == seen
+
+
 def test_canvas_keeps_the_latest(spark):
     schema = "dim string, cx int, cz int, first long, last long, value string"
     stored = spark.createDataFrame([("d", 0, 0, 1, 1, "old"), ("d", 1, 0, 2, 2, "b")], schema)

@@ -92,6 +92,15 @@ def block_kinds(blocks: DataFrame) -> DataFrame:
     return blocks.withColumns({"air": named(AIR), "shining": named(SHINING), "alpha": alpha, "roof": roof})
 
 
+def drawing_report(dest: DataFrame, source: DataFrame) -> DataFrame:
+    """What a merge of drawings (dim, family, key) does to each table: rows of the source, of the destination before and after, and
+    rows of the source whose key the destination has. key: a family's key columns as one text or struct."""
+    both = dest.select("dim", "family", "key", F.lit(1).alias("d"), F.lit(0).alias("s")).union(source.select("dim", "family", "key", F.lit(0), F.lit(1)))
+    keyed = both.groupBy("dim", "family", "key").agg(F.sum("d").alias("d"), F.sum("s").alias("s"))
+    out = keyed.groupBy("dim", "family").agg(F.sum("s").alias("source_rows"), F.sum("d").alias("dest_before"), F.sum(F.when(F.col("d") > 0, F.col("s")).otherwise(0)).alias("overlap"))
+    return out.where("source_rows > 0").withColumn("dest_after", F.col("dest_before") + F.col("source_rows") - F.col("overlap"))
+
+
 def drawing_counts(drawings: DataFrame) -> DataFrame:
     """Drawings of each dimension and family (dim, family), so that an empty overlay differs from one that isn't there."""
     return drawings.groupBy("dim", "family").agg(F.count("*").alias("n"))

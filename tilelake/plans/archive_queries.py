@@ -125,6 +125,11 @@ def _kinds(s, d):
     return C.block_kinds(table(s, d, "part").select("p_partkey", F.concat(F.lit("minecraft:"), _pick(("lava", "obsidian", "snow", "ice", "cave_air", "stone", "light", "water"), p)).alias("name"), F.when(p % 3 == 0, F.col("p_size")).otherwise(0).cast("int").alias("alpha")))
 
 
+def _drawn_both(s, d):
+    rows = highlights(s, d).select("side", "dim", _pick(tuple(C.DRAWING_KEYS), F.col("x") + 128).alias("family"), F.concat_ws(",", "x", "z").alias("key")).distinct()
+    return C.drawing_report(rows.where("side = 'A'"), rows.where("side = 'B'"))
+
+
 def _drawn(s, d):
     return C.drawing_counts(highlights(s, d).select("dim", F.element_at(F.array(*map(F.lit, C.DRAWING_KEYS)), (F.col("src") % 4 + 1).cast("int")).alias("family")))
 
@@ -153,6 +158,7 @@ QUERIES = {
     "settings_level_types": _level_types,
     "block_kinds": _kinds,
     "drawing_counts": _drawn,
+    "drawing_report": _drawn_both,
     "thumbnails_current": _thumbs,
 }
 
@@ -186,5 +192,6 @@ ORACLES = {
     "settings_level_types": "select p_partkey, replace(p_name, ' ', ':') as level, replace(p_type, ' ', ':') as type from part where p_partkey % 3 <> 1 and p_partkey % 5 > 0",
     "block_kinds": f"select p_partkey, 'minecraft:' || b as name, case when p_partkey % 3 = 0 then p_size when b in ('lava', 'water') then 191 when b = 'ice' then 216 else 127 end alpha, b = 'cave_air' air, b in ('lava', 'light') shining, case b when 'obsidian' then 'obsidian' when 'snow' then 'snow' else 'none' end roof from (select *, {_at(('lava', 'obsidian', 'snow', 'ice', 'cave_air', 'stone', 'light', 'water'), 'p_partkey')} b from part)",
     "drawing_counts": with_views(f"select dim, {_at(tuple(C.DRAWING_KEYS), 'src')} family, count(*) n from hl group by 1, 2", "hl"),
+    "drawing_report": with_views("select dim, family, count(*) source_rows, any_value(n) dest_before, count(k) overlap, any_value(n) + count(*) - count(k) dest_after from (select * from r where side = 'B') b left join (select dim, x, z, 1 k from r where side = 'A') a using (dim, x, z) join (select dim, family, count(*) n from r where side = 'A' group by 1, 2) using (dim, family) group by 1, 2", "hl", f"r: select distinct side, dim, x, z, {_at(tuple(C.DRAWING_KEYS), 'x + 128')} family from hl"),
     "thumbnails_current": with_views("select t.* from t join f using (layer, rx, rz, mtime_ms) where rx between -20 and 20 and rz between -20 and 20", "idx", _ALL, "t: select layer, roof_obsidian, 0 roof_snow, rx, rz, mtime_ms, size, ord from (select *, case when is_zip then 200 else 0 end roof_obsidian, row_number() over (partition by layer, is_zip, rx, rz order by ord desc) n from idx) where n = 1"),
 }

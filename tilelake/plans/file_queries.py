@@ -86,9 +86,7 @@ def stream_merge(s, d):
     out = shared_folder(s)
     rows = highlights(_Streamed(s), d).select(*KEYS, "found_time")
     _run(rows.writeStream.foreachBatch(stream.merge_highlights(f"{out}/table")).option("checkpointLocation", f"{out}/offsets").trigger(availableNow=True).start())
-    versions = s.read.parquet(f"{out}/table")
-    last = versions.agg(F.max("version")).first()[0]
-    return versions.where(F.col("version") == last).select(*KEYS, "found_time")
+    return stream.merged_highlights(s, f"{out}/table").select(*KEYS, "found_time")
 
 
 class _Streamed:

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -14,22 +14,38 @@ from tilelake.operators.highlights import merge
 from tilelake.operators.live import admit
 
 
-def merge_highlights(table: str, keys: tuple[str, ...] = ("dim", "x", "z")) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: folds a batch into the table in folder table, one version for each batch.
+#: Batches after which a stream's deltas are folded into one table.
+FOLD_EVERY = 16
 
-    The merge takes minima, so a batch that comes twice changes nothing; a version is written once and read by the next.
+
+def merge_highlights(table: str, keys: tuple[str, ...] = ("dim", "x", "z"), every: int = FOLD_EVERY) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: keeps each batch's minima in folder table/delta and folds every so many batches into table/base.
+
+    A batch reads nothing but itself; only each fold reads and writes the whole. A batch that comes twice writes the same
+    delta again, and a fold is made of the base and deltas before it, so a restart changes nothing.
     """
 
     def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = merge(batch, keys=keys)
-        if number > 0:
-            new = merge(spark.read.parquet(f"{table}/version={number - 1}"), new, keys=keys)
-        new.write.mode("overwrite").parquet(f"{table}/version={number}")
+        merge(batch, keys=keys).write.mode("overwrite").parquet(f"{table}/delta/batch={number}")
+        if (number + 1) % every == 0:
+            merged_highlights(batch.sparkSession, table, number, keys, every, folded=False).write.mode("overwrite").parquet(f"{table}/base/upto={number + 1}")
 
     return fold
 
 
+def merged_highlights(spark: SparkSession, table: str, last: int | None = None, keys: tuple[str, ...] = ("dim", "x", "z"), every: int = FOLD_EVERY, folded: bool = True) -> DataFrame:
+    """The table after batch last (the newest if not given): the latest base and the deltas after it, which partitions prune.
+
+    folded: whether a base that last itself completes is there already.
+    """
+    deltas = spark.read.parquet(f"{table}/delta")
+    if last is None:
+        last = deltas.agg(F.max("batch")).first()[0]
+    base = (last + 1 if folded else last) // every * every
+    new = deltas.where(F.col("batch").between(base, last)).drop("batch")
+    return merge(spark.read.parquet(f"{table}/base/upto={base}"), new, keys=keys) if base else merge(new, keys=keys)
+
+
 def latest_positions(events: DataFrame) -> DataFrame:
     """Each player's last position: a running aggregate, for update or complete mode."""
     return events.groupBy("player").agg(F.max_by(F.struct("event_id", "t_ms", "dim", "x", "z"), F.struct("t_ms", "event_id")).alias("p")).select("player", "p.*")
