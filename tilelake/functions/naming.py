@@ -172,3 +172,13 @@ def roof(text: Column) -> tuple[Column, Column]:
 
 def cave_mode(number: Column) -> Column:
     return F.when(number == 0, "Off").when(number == 1, "Layered").when(number == 2, "Full")
+
+
+def safe_dimension_key(name: Column) -> Column:
+    """Whether a client may name this dimension: lower case, namespace and path, at most 128 characters."""
+    return name.rlike(r"\A[a-z0-9:_./-]{1,128}\z") & F.contains(name, F.lit(":"))
+
+
+def day(ms: Column) -> Column:
+    """YYYY-MM-DD of milliseconds since 1970, in UTC whatever the session's zone."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ms / 86_400_000).cast("int")).cast("string")

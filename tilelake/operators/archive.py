@@ -169,6 +169,20 @@ def alternates_examples(others: DataFrame) -> DataFrame:
     return issues(found).withColumnRenamed("detail", "layer")
 
 
+def counterparts(points: DataFrame, maps: DataFrame) -> DataFrame:
+    """Where points (id, world, type, mw, x, z) of the overworld are in the nether and the other way round: id, dim, mw, x, z.
+
+    maps: world, type, pos, mw. The other dimension's multiworld is the one of the same name, else its first.
+    """
+    other = F.when(F.col("type") == "minecraft:overworld", "minecraft:the_nether").when(F.col("type") == "minecraft:the_nether", "minecraft:overworld")
+    first = maps.groupBy("world", "type").agg(F.min_by("mw", "pos").alias("first_mw"))
+    same = maps.select("world", "type", "mw", F.lit(True).alias("same")).distinct()
+    moved = points.select("id", "world", F.col("type").alias("own"), other.alias("type"), "mw", "x", "z").where("type is not null")
+    out = moved.join(first, ["world", "type"]).join(same, ["world", "type", "mw"], "left")
+    scaled = lambda c: F.floor(F.when(F.col("own") == "minecraft:overworld", F.col(c) / 8).otherwise(F.col(c) * 8)).cast("bigint")
+    return out.select("id", F.col("type").alias("dim"), F.when(F.col("same"), F.col("mw")).otherwise(F.col("first_mw")).alias("mw"), scaled("x").alias("x"), scaled("z").alias("z"))
+
+
 def tiles_hit(tiles: DataFrame, regions: DataFrame, deepest: int = 16) -> DataFrame:
     """Tiles (z <= 0, x, y; each 2^-z regions wide) that changed regions (rx, rz) lie in.
 

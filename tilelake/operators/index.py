@@ -127,6 +127,25 @@ def coverage(index: DataFrame, now_ms: int) -> DataFrame:
     return index.select(*KEY, F.least(age / 720, F.lit(1.0)).alias("age_tint"))
 
 
+#: Pixels of a tile's side, and the fixed colours of coverage: for a new region, less so much for one of 720 days or more.
+TILE_PIXELS, NEW_COLOUR, FADED, FADE_DAYS, COVERAGE_ALPHA = 512, (110, 150, 190), (40, 60, 80), 720, 230
+
+
+def coverage_rectangles(index: DataFrame, zoom: int, now_ms: int) -> DataFrame:
+    """layer, x, y, px, py, side, r, g, b, a: where regions lie in tiles 2^-zoom regions wide (zoom below 0), tinted by age.
+
+    Regions smaller than a pixel share it; the last in the order of coordinates shows. One aggregate by pixel.
+    """
+    span = 1 << -zoom
+    days = F.least(F.floor(F.greatest(F.lit(0), F.lit(now_ms) - F.col("mtime_ms")) / DAY_MS), F.lit(FADE_DAYS))
+    colour = [F.floor((FADE_DAYS * new - less * days) / FADE_DAYS).alias(c) for c, new, less in zip("rgb", NEW_COLOUR, FADED)]
+    pixel = lambda c: F.floor(F.pmod(F.col(c), F.lit(span)) * TILE_PIXELS / span).cast("int")
+    tile = lambda c: F.floor(F.col(c) / span).cast("bigint")
+    placed = index.select("layer", tile("rx").alias("x"), tile("rz").alias("y"), pixel("rx").alias("px"), pixel("rz").alias("py"), F.struct("rx", "rz").alias("at"), F.struct(*colour).alias("c"))
+    shown = placed.groupBy("layer", "x", "y", "px", "py").agg(F.max_by("c", "at").alias("c"))
+    return shown.select("layer", "x", "y", "px", "py", F.lit(max(1, TILE_PIXELS // span)).alias("side"), "c.*", F.lit(COVERAGE_ALPHA).alias("a"))
+
+
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     """For each layer: regions that only a has, only b has, and that both have."""
     both = a.select(*KEY, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(*KEY, F.lit(0).alias("a"), F.lit(1).alias("b")))

@@ -49,6 +49,18 @@ def path_length(events: DataFrame) -> DataFrame:
     return events.withColumn("step", step).groupBy("player", "dim").agg(F.sum("step").alias("blocks"))
 
 
+def nether_blocks(lengths: DataFrame) -> DataFrame:
+    """Lengths of overworld paths with what they are in the nether, an eighth, in whole blocks; null elsewhere."""
+    return lengths.withColumn("nether_blocks", F.when(F.col("dim") == "minecraft:overworld", F.floor(F.col("blocks") / 8 + 0.5)))
+
+
+def roster_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """player and event of two rosters (player): added or removed."""
+    both = before.select("player", F.lit(1).alias("b"), F.lit(0).alias("a")).union(after.select("player", F.lit(0), F.lit(1)))
+    seen = both.groupBy("player").agg(F.max("b").alias("b"), F.max("a").alias("a")).where("a <> b")
+    return seen.select("player", F.when(F.col("a") == 1, "added").otherwise("removed").alias("event"))
+
+
 def roster(events: DataFrame, now_ms: int) -> DataFrame:
     return latest(events).select("player", "t_ms", (F.lit(now_ms) - F.col("t_ms") > STALE_MS).alias("stale"))
 

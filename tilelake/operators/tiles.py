@@ -42,6 +42,17 @@ def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values, order), order).alias("__v")).select(*keys, "__v.*")
 
 
+def compose(pixels: DataFrame, zoom: int, cell: int, key: str = "layer") -> DataFrame:
+    """Pixels (key, rx, rz, px, pz, r, g, b, a) of regions drawn at cell pixels, at their places in tiles 2^-zoom regions wide.
+
+    A tile is the pixels that share its key, x and y: a projection, so tiles are grouped only by who writes them.
+    """
+    span = 1 << -zoom
+    tile = lambda c: F.floor(F.col(c) / span).cast("bigint")
+    at = lambda c, p: (F.pmod(F.col(c), F.lit(span)) * cell + F.col(p)).cast("bigint")
+    return pixels.select(key, tile("rx").alias("x"), tile("rz").alias("y"), at("rx", "px").alias("tx"), at("rz", "pz").alias("tz"), *"rgba")
+
+
 def thumbnails(stored: DataFrame, index: DataFrame, x0: int, z0: int, x1: int, z1: int) -> DataFrame:
     """Stored thumbnails (layer, roof_obsidian, roof_snow, rx, rz, mtime_ms, ...) of the closed box that are of their region's present time."""
     box = stored.where(F.col("rx").between(x0, x1) & F.col("rz").between(z0, z1))

@@ -8,11 +8,12 @@ from tilelake.functions import naming as N
 from tilelake.operators import archive as R
 from tilelake.operators import catalog as C
 from tilelake.operators import index as I
+from tilelake.operators import live as L
 from tilelake.operators import tiles as T
 from tilelake.operators import waypoints as W
 from tilelake.plans.catalog_queries import _pick, _q
-from tilelake.plans.index_queries import _A, _ALL, _OTHERS, _all, _others
-from tilelake.plans.views import highlights, region_index, table, with_views
+from tilelake.plans.index_queries import _A, _ALL, _OTHERS, NOW_MS, _all, _others
+from tilelake.plans.views import epoch_ms, highlights, positions, region_index, table, with_views
 
 
 ROOTED = ("xaero/world-map/", "world-map/", "", "xaero/world-map/")
@@ -139,6 +140,34 @@ def _thumbs(s, d):
     return T.thumbnails(T.last_wins(rows, ["layer", "roof_obsidian", "roof_snow", "rx", "rz"], "ord"), _all(s, d), -20, -20, 20, 20)
 
 
+def _composed(s, d):
+    h = table(s, d, "lineitem")
+    cell = lambda c: F.pmod(F.floor(F.col(c) / 64), F.lit(8)).cast("bigint")
+    rows = h.select((F.col("l_suppkey") % 5).alias("layer"), (F.col("l_partkey") % 64 - 32).alias("rx"), (F.col("l_orderkey") % 64 - 32).alias("rz"), cell("l_partkey").alias("px"), cell("l_orderkey").alias("pz"), "l_linenumber")
+    keys = ["layer", "rx", "rz", "px", "pz"]
+    one = rows.groupBy(*keys).agg(F.max("l_linenumber").cast("bigint").alias("r"), F.count("*").alias("g"))
+    return T.compose(one.select(*keys, "r", "g", F.lit(0).alias("b"), F.lit(255).alias("a")), -6, 8)
+
+
+def _counterparts(s, d):
+    p = positions(s, d)
+    points = p.select(F.col("event_id").alias("id"), _text(F.col("player") % 20, "w").alias("world"), F.col("dim").alias("type"), _text(F.col("event_id") % 3, "mw$").alias("mw"), "x", "z")
+    c = F.col("c_custkey")
+    maps = table(s, d, "customer").select(_text(c % 20, "w").alias("world"), F.when(c % 3 == 0, "minecraft:overworld").otherwise("minecraft:the_nether").alias("type"), c.alias("pos"), _text(c % 2, "mw$").alias("mw"))
+    return R.counterparts(points, maps)
+
+
+def _roster_changes(s, d):
+    p = positions(s, d).withColumn("player", F.col("player") * 50 + F.col("x") % 50)
+    return L.roster_changes(p.where("event_id % 2 = 0"), p.where("event_id % 2 = 1"))
+
+
+def _days(s, d):
+    key = F.replace("o_orderpriority", F.lit("-"), F.element_at(F.array(F.lit(":"), F.lit("_"), F.lit("/")), (_k() % 3 + 1).cast("int")))
+    key = F.when(_k() % 2 == 0, F.lower(F.replace(key, F.lit(" "), F.lit("")))).otherwise(key)
+    return table(s, d, "orders").select("o_orderkey", N.day(epoch_ms("o_orderdate") - _k() * 1000).alias("day"), N.safe_dimension_key(key).alias("safe"))
+
+
 QUERIES = {
     "archive_roots": lambda s, d: R.world_files(_rooted(s, d)).groupBy("root", "layout", "world").agg(F.count("*").alias("files"), F.min("rest").alias("first"), F.max("rest").alias("last")),
     "archive_minimap_worlds": _minimap,
@@ -159,12 +188,20 @@ QUERIES = {
     "block_kinds": _kinds,
     "drawing_counts": _drawn,
     "drawing_report": _drawn_both,
+    "region_coverage_rectangles": lambda s, d: I.coverage_rectangles(_all(s, d), -4, NOW_MS),
+    "region_coverage_pixels": lambda s, d: I.coverage_rectangles(_all(s, d), -11, NOW_MS),
+    "tile_compose": _composed,
+    "live_path_nether": lambda s, d: L.nether_blocks(L.path_length(positions(s, d)).withColumn("blocks", F.floor(F.coalesce("blocks", F.lit(0.0))))).select("player", "dim", "blocks", F.coalesce("nether_blocks", F.lit(-1)).alias("nether_blocks")),
+    "live_roster_changes": _roster_changes,
+    "nether_counterparts": _counterparts,
+    "days_and_keys": _days,
     "thumbnails_current": _thumbs,
 }
 
 _at = lambda values, by: f"list_extract([{_q(values)}], cast({by} as bigint) % {len(values)} + 1)"
 _WORLDS = "ws: select n_nationkey ord, 'v' || n_nationkey world, case when n_nationkey = 5 then 's' else 's/w' || n_nationkey end root from nation where n_nationkey < 8"
 _PROBES = "pr: select layer, case when size % 7 > 0 then (size % 7) || '.' || (size % 3) else '?' end version, size % 11 = 0 truncated, size % 13 = 0 bad, size % 1024 chunks from f"
+_RECTANGLES = f"select layer, x, y, px, py, {{4}} side, floor((79200 - 40 * age) / 720.0::double)::bigint r, floor((108000 - 60 * age) / 720.0::double)::bigint g, floor((136800 - 80 * age) / 720.0::double)::bigint b, 230 a from (select *, row_number() over (partition by layer, x, y, px, py order by rx desc, rz desc) n from (select *, cast((rx - x * {{0}}) * 512 // {{1}} as int) px, cast((rz - y * {{0}}) * 512 // {{1}} as int) py from (select layer, rx, rz, cast(floor(rx / {{2}}.0::double) as bigint) x, cast(floor(rz / {{3}}.0::double) as bigint) y, least(greatest(0, {NOW_MS} - mtime_ms) // 86400000, 720) age from f))) where n = 1"
 ORACLES = {
     "archive_roots": with_views("select 'home/' || root root, lay layout, case when root = 'r4' then 'r4' else 'w' || k0 % 3 end world, count(*) files, min(rest) as first, max(rest) as last from (select *, folder || '/mw$default/' || k0 || '_0.zip' rest from p where folder <> 'cache') group by 1, 2, 3",
         f"p: select k0, case when k % 8 = 7 then 'config/xaero/world-map/' when k % 5 = 4 then '' else {_at(ROOTED, 'k')} end lay, case when k % 8 = 7 then 'r3' when k % 5 = 4 then 'r4' else 'r' || k % 4 end root, case when k % 8 = 7 then 'DIM1' when k % 5 <> 4 and k % 4 = 3 then 'cache' when k0 // 7 % 2 = 0 then 'null' else 'DIM-1' end folder from (select o_orderkey k0, o_orderkey % 40 k from orders)"),
@@ -192,6 +229,15 @@ ORACLES = {
     "settings_level_types": "select p_partkey, replace(p_name, ' ', ':') as level, replace(p_type, ' ', ':') as type from part where p_partkey % 3 <> 1 and p_partkey % 5 > 0",
     "block_kinds": f"select p_partkey, 'minecraft:' || b as name, case when p_partkey % 3 = 0 then p_size when b in ('lava', 'water') then 191 when b = 'ice' then 216 else 127 end alpha, b = 'cave_air' air, b in ('lava', 'light') shining, case b when 'obsidian' then 'obsidian' when 'snow' then 'snow' else 'none' end roof from (select *, {_at(('lava', 'obsidian', 'snow', 'ice', 'cave_air', 'stone', 'light', 'water'), 'p_partkey')} b from part)",
     "drawing_counts": with_views(f"select dim, {_at(tuple(C.DRAWING_KEYS), 'src')} family, count(*) n from hl group by 1, 2", "hl"),
+    "region_coverage_rectangles": with_views(_RECTANGLES.format(16, 16, 16, 16, 32), "idx", _ALL),
+    "region_coverage_pixels": with_views(_RECTANGLES.format(2048, 2048, 2048, 2048, 1), "idx", _ALL),
+    "tile_compose": "select l_suppkey % 5 layer, cast(case when rx < 0 then -1 else 0 end as bigint) x, cast(case when rz < 0 then -1 else 0 end as bigint) y, case when rx < 0 then rx + 64 else rx end * 8 + px tx, case when rz < 0 then rz + 64 else rz end * 8 + pz tz, cast(max(l_linenumber) as bigint) r, count(*) g, 0 b, 255 a from (select *, l_partkey % 64 - 32 rx, l_orderkey % 64 - 32 rz, l_partkey // 64 % 8 px, l_orderkey // 64 % 8 pz from lineitem) group by 1, 2, 3, 4, 5",
+    "live_path_nether": with_views("select player, dim, blocks, case when dim = 'minecraft:overworld' then cast(floor(blocks / 8.0::double + 0.5) as bigint) else -1 end nether_blocks from (select player, dim, cast(floor(coalesce(sum(step), 0)) as bigint) blocks from (select player, dim, sqrt(power(x - lag(x) over w, 2) + power(z - lag(z) over w, 2)) step from pos window w as (partition by player, dim order by t_ms, event_id)) group by 1, 2)", "pos"),
+    "live_roster_changes": with_views("select player, case when bool_or(event_id % 2 = 1) then 'added' else 'removed' end as event from (select event_id, player * 50 + x % 50 player from pos) group by player having count(distinct event_id % 2) = 1", "pos"),
+    "nether_counterparts": with_views("select id, dim, coalesce((select any_value(mw) from m where m.world = o.world and m.type = o.dim and m.mw = o.mw), f.mw) mw, cast(floor(case when dim = 'minecraft:the_nether' then x / 8.0::double else x * 8 end) as bigint) x, cast(floor(case when dim = 'minecraft:the_nether' then z / 8.0::double else z * 8 end) as bigint) z from o join f on f.world = o.world and f.type = o.dim", "pos",
+        "m: select 'w' || c_custkey % 20 world, case when c_custkey % 3 = 0 then 'minecraft:overworld' else 'minecraft:the_nether' end as type, c_custkey pos, 'mw$' || c_custkey % 2 mw from customer", "f: select world, type, min_by(mw, pos) mw from m group by 1, 2",
+        "o: select event_id id, 'w' || player % 20 world, case dim when 'minecraft:overworld' then 'minecraft:the_nether' when 'minecraft:the_nether' then 'minecraft:overworld' end dim, 'mw$' || event_id % 3 mw, x, z from pos"),
+    "days_and_keys": "select o_orderkey, strftime(epoch_ms(epoch_ms(o_orderdate) - o_orderkey * 1000), '%Y-%m-%d') as day, regexp_full_match(k, '[a-z0-9:_./-]+') and contains(k, ':') safe from (select *, case when o_orderkey % 2 = 0 then lower(replace(k0, ' ', '')) else k0 end k from (select *, replace(o_orderpriority, '-', list_extract([':', '_', '/'], o_orderkey % 3 + 1)) k0 from orders))",
     "drawing_report": with_views("select dim, family, count(*) source_rows, any_value(n) dest_before, count(k) overlap, any_value(n) + count(*) - count(k) dest_after from (select * from r where side = 'B') b left join (select dim, x, z, 1 k from r where side = 'A') a using (dim, x, z) join (select dim, family, count(*) n from r where side = 'A' group by 1, 2) using (dim, family) group by 1, 2", "hl", f"r: select distinct side, dim, x, z, {_at(tuple(C.DRAWING_KEYS), 'x + 128')} family from hl"),
     "thumbnails_current": with_views("select t.* from t join f using (layer, rx, rz, mtime_ms) where rx between -20 and 20 and rz between -20 and 20", "idx", _ALL, "t: select layer, roof_obsidian, 0 roof_snow, rx, rz, mtime_ms, size, ord from (select *, case when is_zip then 200 else 0 end roof_obsidian, row_number() over (partition by layer, is_zip, rx, rz order by ord desc) n from idx) where n = 1"),
 }
