@@ -11,8 +11,10 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step handles; bounds a worker's memory whatever the batch.
 SLICE_BYTES = 2 << 20
@@ -85,6 +87,52 @@ def crc32_text(col) -> F.Column:
     return F.crc32(F.encode(col, "UTF-8"))
 
 
+# --- places within groups of any size -------------------------------------------------------------------------------
+
+
+def _counted(group: str):
+    """Rows of a sorted partition with their place in their group's run there, and whether that run opens the partition."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, done, opening = TaskContext.get().partitionId(), None, 0, True
+        for batch in batches:
+            n, keys = len(batch), batch.column(group)
+            if not n:
+                continue
+            fresh = np.ones(n, bool)
+            fresh[1:] = pc.not_equal(keys.slice(1), keys.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            fresh[0] = last is not None and keys[0].as_py() != last
+            at = np.where(fresh, np.arange(n), -1)
+            start = np.maximum.accumulate(at)
+            local = np.where(start < 0, np.arange(n) + done, np.arange(n) - start)
+            first = (start < 0) & opening
+            last, done, opening = keys[n - 1].as_py(), int(local[-1]) + 1, bool(first[-1])
+            yield pa.record_batch([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(local, pa.int64()), pa.array(first)], names=[*batch.schema.names, "_part", "_local", "_first"])
+
+    return run
+
+
+def numbered(df: DataFrame, group: str, order: list, place: str = "pos") -> DataFrame:
+    """df with each row's place, from 0, in its group by order: one range sort, in which a large group lies in many parts.
+
+    Each task numbers its own rows; the place at which a partition's first group goes on is found from one row for each
+    partition. Copies of one row are dealt to several parts as well. group may not be null; order takes nulls first. The
+    rows with their local places are written to the shared folder, so that a second attempt can't deal them anew.
+    """
+    rows = df.withColumn("_deal", F.monotonically_increasing_id() % 256)
+    keys = [group, *order, "_deal"]
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in (("_part", T.IntegerType()), ("_local", T.LongType()), ("_first", T.BooleanType())))])
+    dealt = stage(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_deal").mapInArrow(_counted(group), schema))
+    ends = dealt.groupBy("_part").agg(F.min(group).alias("head"), F.max(F.struct(group, "_local")).alias("tail")).orderBy("_part").collect()
+    before, open_group, so_far = [], None, 0
+    for part, head, tail in ends:  # one row a partition
+        carried = so_far if head == open_group else 0
+        before.append((part, carried))
+        open_group, so_far = tail[0], tail[1] + 1 + (carried if head == tail[0] else 0)
+    offsets = df.sparkSession.createDataFrame(before, "_part int, _before long")
+    at = F.col("_local") + F.when(F.col("_first"), F.col("_before")).otherwise(0)
+    return dealt.join(F.broadcast(offsets), "_part").select(*(F.col(f"`{c}`") for c in df.columns), at.alias(place))
+
+
 # --- Arrow text buffers ---------------------------------------------------------------------------------------------
 
 

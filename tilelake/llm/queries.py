@@ -3,6 +3,8 @@
 from tilelake.llm.bpe import op9_byte_bpe
 from tilelake.llm.fingerprints import op8_fingerprints
 from tilelake.llm.media import op3_media_columns
+from tilelake.llm.merkle import SQL as MERKLE_SQL
+from tilelake.llm.merkle import op11_merkle_manifest
 from tilelake.llm.ngram_join import op1_ngram_join
 from tilelake.llm.packing import op5_packing
 from tilelake.llm.pii import op6_personal_data
@@ -22,5 +24,6 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_secret_scan": op10_secret_scan,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_merkle_manifest": MERKLE_SQL}
