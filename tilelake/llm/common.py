@@ -115,13 +115,15 @@ def numbered(df: DataFrame, group: str, order: list, place: str = "pos") -> Data
     """df with each row's place, from 0, in its group by order: one range sort, in which a large group lies in many parts.
 
     Each task numbers its own rows; the place at which a partition's first group goes on is found from one row for each
-    partition. Copies of one row are dealt to several parts as well. group may not be null; order takes nulls first. The
-    rows with their local places are written to the shared folder, so that a second attempt can't deal them anew.
+    partition. Copies of one row are dealt to several parts as well. group may not be null; order takes nulls first. df is
+    written to the shared folder before the sort, which reads its input twice, and after it with the local places, so that
+    a second attempt can't deal rows anew: give it narrow rows.
     """
-    rows = df.withColumn("_deal", F.monotonically_increasing_id() % 256)
+    rows = stage(df.withColumn("_deal", F.monotonically_increasing_id() % 256))
     keys = [group, *order, "_deal"]
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in (("_part", T.IntegerType()), ("_local", T.LongType()), ("_first", T.BooleanType())))])
     dealt = stage(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_deal").mapInArrow(_counted(group), schema))
+    drop_staged(rows)
     ends = dealt.groupBy("_part").agg(F.min(group).alias("head"), F.max(F.struct(group, "_local")).alias("tail")).orderBy("_part").collect()
     before, open_group, so_far = [], None, 0
     for part, head, tail in ends:  # one row a partition

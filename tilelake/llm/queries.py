@@ -2,6 +2,7 @@
 
 from tilelake.llm.bpe import op9_byte_bpe
 from tilelake.llm.fingerprints import op8_fingerprints
+from tilelake.llm.langid import op13_language_id
 from tilelake.llm.media import op3_media_columns
 from tilelake.llm.merkle import SQL as MERKLE_SQL
 from tilelake.llm.merkle import op11_merkle_manifest
@@ -12,6 +13,8 @@ from tilelake.llm.secrets import op10_secret_scan
 from tilelake.llm.sharding import op7_hilbert_shards
 from tilelake.llm.substring_dedup import op2_substring_dedup
 from tilelake.llm.toxicity import op4_toxicity
+from tilelake.llm.trie import SQL as TRIE_SQL
+from tilelake.llm.trie import op12_prefix_trie
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
@@ -25,5 +28,7 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_secret_scan": op10_secret_scan,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_language_id": op13_language_id,
 }
-ORACLE_SQL: dict[str, str] = {"op11_merkle_manifest": MERKLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_merkle_manifest": MERKLE_SQL, "op12_prefix_trie": TRIE_SQL}
