@@ -204,7 +204,7 @@ CRC = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_
 SQL = f"""
 WITH RECURSIVE rows_ AS (
   SELECT doc_id, lang, {_row("n_chars")} AS leaf,
-    CASE WHEN {CRC.format("doc_id")} % 7 = 0 THEN {_row("(n_chars::hugeint + 1)")} ELSE {_row("n_chars")} END AS changed
+    CASE WHEN doc_id IS NOT NULL AND {CRC.format("doc_id")} % 7 = 0 THEN {_row("(n_chars::hugeint + 1)")} ELSE {_row("n_chars")} END AS changed
   FROM documents),
 leaves AS (
   SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,

@@ -146,19 +146,17 @@ def _walk(members: DataFrame, shared: DataFrame) -> DataFrame:
 def _rolled_up(shared: DataFrame, walk: DataFrame) -> DataFrame:
     """(conv, depth, n_leaves, saved_tokens) of shared nodes, by centroid decomposition of their parent edges."""
     spark, done = shared.sparkSession, []
-    top = shared.where("depth = 0").select("conv").first()
-    fields = ["conv", "depth", "top_conv", "top_depth", "weight", "leaves", "saved", "below_leaves", "below_saved"]
+    top = shared.where("depth = 0").select("conv", "weight").first()
+    fields = ["conv", "depth", "top_conv", "top_depth", "total", "weight", "leaves", "saved", "below_leaves", "below_saved"]
     schema = ", ".join(f"{c} long" for c in ("conv", "depth", "n_leaves", "saved_tokens"))
     if top is None:
         return spark.createDataFrame([], schema)
     long = lambda v: F.lit(v).cast("long")
     leaves = F.when(F.col("n_children") == 0, 1).otherwise(0) + F.col("lone")
-    nodes = stage(shared.select("conv", "depth", long(top[0]).alias("top_conv"), long(0).alias("top_depth"), "weight", leaves.alias("leaves"), ((F.col("n_convs") - 1) * F.col("bytes")).alias("saved"), long(0).alias("below_leaves"), long(0).alias("below_saved")))
+    nodes = shared.select("conv", "depth", long(top[0]).alias("top_conv"), long(0).alias("top_depth"), long(top[1]).alias("total"), "weight", leaves.alias("leaves"), ((F.col("n_convs") - 1) * F.col("bytes")).alias("saved"), long(0).alias("below_leaves"), long(0).alias("below_saved"))
     comp = ["top_conv", "top_depth"]
     while True:
-        totals = nodes.groupBy(*comp).agg(F.max("weight").alias("total"))
-        heavy = nodes.join(totals, comp).where(F.col("weight") * 2 > F.col("total"))
-        centroids = heavy.groupBy(*comp).agg(F.max_by(F.struct("conv", "depth", "weight"), "depth").alias("c"))
+        centroids = nodes.where(F.col("weight") * 2 > F.col("total")).groupBy(*comp).agg(F.max_by(F.struct("conv", "depth", "weight"), "depth").alias("c"))
         # Where a node is deeper than the centroid, its own member tells what it passes below there; where it is
         # shallower, the centroid's member tells whether the path passes through it.
         deeper = F.col("depth") > F.col("c.depth")
@@ -171,16 +169,22 @@ def _rolled_up(shared: DataFrame, walk: DataFrame) -> DataFrame:
             .when((F.col("depth") < F.col("c.depth")) & (F.col("node") == F.col("conv")), "above")
             .otherwise("aside")
         )
-        split = stage(asked.join(known, ["at", "place"], "left").select(*fields, F.col("c.depth").alias("c_depth"), F.col("c.weight").alias("c_weight"), "node", side.alias("side")))
-        sums = split.where(F.col("side").isin("centroid", "below")).groupBy(*comp).agg(F.sum("leaves").alias("sum_leaves"), F.sum("saved").alias("sum_saved"))
-        on_path = F.col("side").isin("centroid", "above")
-        below = F.col("side") == "below"
-        after = split.join(sums, comp).select(
+        is_below = F.col("side") == "below"
+        split = asked.join(known, ["at", "place"], "left").select(*fields, F.col("c.depth").alias("c_depth"), F.col("c.weight").alias("c_weight"), "node", side.alias("side"))
+        # The top of the component that a node is in from now on.
+        split = stage(split.withColumns({"new_conv": F.when(is_below, F.col("node")).otherwise(F.col("top_conv")), "new_depth": F.when(is_below, F.col("c_depth") + 1).otherwise(F.col("top_depth"))}))
+        fallen = split.where(F.col("side").isin("centroid", "below")).groupBy(*comp).agg(F.sum("leaves").alias("sum_leaves"), F.sum("saved").alias("sum_saved"))
+        fallen = fallen.select(F.col("top_conv").alias("new_conv"), F.col("top_depth").alias("new_depth"), "sum_leaves", "sum_saved", F.lit(None).cast("long").alias("new_total"))
+        tops = split.where(is_below & (F.col("conv") == F.col("node")) & (F.col("depth") == F.col("c_depth") + 1))
+        tops = tops.select("new_conv", "new_depth", F.lit(None).cast("long").alias("sum_leaves"), F.lit(None).cast("long").alias("sum_saved"), F.col("weight").alias("new_total"))
+        on_path, less = F.col("side").isin("centroid", "above"), F.when(F.col("side") == "above", F.col("c_weight")).otherwise(0)
+        after = split.join(fallen.union(tops), ["new_conv", "new_depth"]).select(
             "conv",
             "depth",
-            F.when(below, F.col("node")).otherwise(F.col("top_conv")).alias("top_conv"),
-            F.when(below, F.col("c_depth") + 1).otherwise(F.col("top_depth")).alias("top_depth"),
-            (F.col("weight") - F.when(F.col("side") == "above", F.col("c_weight")).otherwise(0)).alias("weight"),
+            F.col("new_conv").alias("top_conv"),
+            F.col("new_depth").alias("top_depth"),
+            F.coalesce("new_total", F.col("total") - F.col("c_weight")).alias("total"),
+            (F.col("weight") - less).alias("weight"),
             "leaves",
             "saved",
             (F.col("below_leaves") + F.when(on_path, F.col("sum_leaves")).otherwise(0)).alias("below_leaves"),
