@@ -575,6 +575,17 @@ def test_classifier_by_plain_counts(spark):
             assert abs(weights[f"{kind} {f}"] - np.log((a + 1) / (yes + 2)) + np.log((b + 1) / (len(own) - yes + 2))) < 1e-9
 
 
+def test_secret_sample_is_bounded(spark, monkeypatch):
+    """Repeated ids count once, with their least text, and don't keep others out."""
+    monkeypatch.setattr(secrets, "TRAIN_DOCUMENTS", 3)
+    rows = [(1, f"word{k} here") for k in range(300)] + [(k, f"plain text {k}") for k in range(2, 6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(secrets, "_pairs", lambda strings: seen.append(strings.count()) or {})
+    secrets.train(frame)
+    assert seen[1] <= 9 and seen[1] > 0
+
+
 def test_markov_models_by_plain_counts(spark):
     rows = [(k, prose(random.Random(k), 30) + f" identifierName token={k:032x}") for k in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -116,3 +116,22 @@ def test_held_out_labels_are_not_learnt(spark, folder):
     assert labels.where(held).count() > 30
     scores = [{r["row"]["doc_id"]: r["score"] for r in toxicity.score(docs, x).collect()} for x in (labels, labels.where(~held), labels.withColumn("toxic", turned))]
     assert scores[0] == scores[1] == scores[2]
+
+
+def test_stages_keep_odd_columns(spark, folder):
+    """A map, and names with dots, with back-ticks and of the stages' own columns go through every stage."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(60)
+    extra = {"a.b": F.concat("source", F.lit("!")), "x`y": F.lit(2), "__key": F.lit(3), "row": F.lit("r"), "__new": F.lit(4), "__all": F.lit(5), "class": F.col("doc_id"), "m": F.create_map(F.lit("k"), F.col("doc_id")), "kept": F.lit(6)}
+    odd = docs.withColumns(extra)
+    odd = odd.union(odd.where("doc_id < 9"))
+    plain = docs.union(docs.where("doc_id < 9"))
+    for name, function in corpus_pipeline.STAGES:
+        if name == "packing":
+            assert function(spark, odd, folder).count() == function(spark, plain, folder).count()
+            continue
+        odd, plain = (common.stage(function(spark, x, folder)) for x in (odd, plain))
+        assert odd.columns == [*docs.columns, *extra]
+        text = lambda r: (r["doc_id"], r["text"])
+        rows = odd.collect()
+        assert sorted(map(text, rows), key=str) == sorted(map(text, plain.collect()), key=str)
+        assert all(r["m"] == {"k": r["doc_id"]} and r["a.b"] == r["source"] + "!" and r["class"] == r["doc_id"] for r in rows)

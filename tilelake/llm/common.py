@@ -82,6 +82,11 @@ def staging() -> Iterator[Callable[[DataFrame], DataFrame]]:
         _delete(path, _staged.pop(path))
 
 
+def named(column: str) -> F.Column:
+    """The column of exactly this name, whatever dots and back-ticks it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def crc32_text(col) -> F.Column:
     """CRC-32 of a string's UTF-8 bytes, as an unsigned long."""
     return F.crc32(F.encode(col, "UTF-8"))

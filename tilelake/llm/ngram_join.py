@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tilelake.llm.common import components, drop_staged, long_lists, mix, shingle_sets, slices, stage, staging, table
+from tilelake.llm.common import components, drop_staged, long_lists, mix, named, shingle_sets, slices, stage, staging, table
 
 SHINGLE_WORDS, PERCENT = 5, 80
 #: log2 of the sketch's counters, at least and at most (64 MB as 32-bit numbers), and of its blocks; bytes of text a counter.
@@ -309,12 +309,14 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the row with the smallest id stays; without ids any row counts as larger.
 
-    Rows with one id and unlike texts are documents of their own; of rows with equal id and text, the one whose columns,
-    in their order, are least stays. Rows without words are near copies of nothing: all stay.
+    Rows with one id and unlike texts are documents of their own; of rows with equal id and text, the one whose other
+    columns, written as JSON, come first stays. Rows without words are near copies of nothing: all stay.
     """
     _, classes = linked(docs)
     best = classes.groupBy("c").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "r")).alias("row")).select(F.col("row.r").alias("__key"), F.col("row.doc_id").alias("__id"))
     worded, number = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)), F.col("doc_id").cast("long")
-    rows = docs.where(worded).groupBy(F.xxhash64(number, "text").alias("__key"), number.alias("__id")).agg(F.min(F.struct(*docs.columns)).alias("__row")).alias("rows")
+    others = F.to_json(F.struct(F.lit(0).alias("0"), *(named(c) for c in docs.columns if c != "text")))
+    row = F.min_by(F.struct(*map(named, docs.columns)), others).alias("__row")
+    rows = docs.where(worded).groupBy(F.xxhash64(number, "text").alias("__key"), number.alias("__id")).agg(row).alias("rows")
     kept = rows.join(best.alias("best"), (F.col("rows.__key") == F.col("best.__key")) & F.col("rows.__id").eqNullSafe(F.col("best.__id")), "left_semi")
-    return kept.select(*(F.col(f"__row.`{c}`").alias(c) for c in docs.columns)).unionByName(docs.where(~worded))
+    return kept.select(*(F.col("__row")[c].alias(c) for c in docs.columns)).unionByName(docs.where(~worded))

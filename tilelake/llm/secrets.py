@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilelake.llm.common import table
+from tilelake.llm.common import named, table
 from tilelake.llm.spans import find, free, joined, replaced
 
 KINDS = ("assign", "access", "hex", "random")
@@ -58,9 +58,13 @@ def _pairs(strings: DataFrame) -> dict[tuple[str, str], int]:
 
 def train(docs: DataFrame) -> list[float]:
     """Log-likelihood ratios of all pairs of characters, row by row of the alphabet."""
-    chosen = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCUMENTS).distinct()
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")  # 2000 ids: texts stay where they are
-    sample = sample.select("text", F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{HEX}", " ").alias("rest"))
+    ids = docs.select("doc_id").where("doc_id is not null")
+    n = ids.agg(F.approx_count_distinct("doc_id")).first()[0]
+    # Ids with small hashes, some four times those wanted, made distinct; of these the ones with the smallest hashes.
+    low = F.xxhash64("doc_id") < min(int(-(2.0**63) + 4 * TRAIN_DOCUMENTS / max(n, 1) * 2.0**64), 2**63 - 1)
+    chosen = ids.where(low).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCUMENTS)
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2000 ids: texts stay where they are
+    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text")).select("text", F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{HEX}", " ").alias("rest"))
     known = rules(sample.select("text"))
     value = F.transform("assign", lambda s: F.regexp_extract(s["text"], ASSIGN, 1))
     found = known.select(F.explode(F.concat(value, F.col("access.text"), F.col("hex.text"))).alias("s"))
@@ -114,10 +118,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents keep their rows; the characters of secrets are replaced by [SECRET]."""
-    plain = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"), F.col("doc_id"))
+    plain = docs.select(F.struct(*map(named, docs.columns)).alias("row"), F.col("text"), F.col("doc_id"))
     found = scan(plain).withColumn("__all", F.concat("assign", "access", "hex", "random"))
     found = replaced(found, "__new", "text", "__all", "[SECRET]")
-    own = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("__new")}
+    own = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("__new")}
     if "n_chars" in own:
         own["n_chars"] = F.when(F.size("__all") > 0, F.length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
     return found.select(*(own[c].alias(c) for c in docs.columns))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilelake.llm.common import Words, mix, slices, stage, table, text_buffer, window_hashes
+from tilelake.llm.common import Words, mix, named, slices, stage, table, text_buffer, window_hashes
 
 WINDOW_WORDS = 35
 #: Bytes of text in a chunk on average, at least and at most; a bucket's windows come from twice as many.
@@ -237,7 +237,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW_WORDS, passed: tuple[str,
     shares = docs.groupBy(F.pmod(place, F.lit(CLASSES)).alias("class")).agg(F.sum(F.octet_length("text")).alias("size"))
     nbytes, largest = (x or 0 for x in shares.agg(F.sum("size"), F.max("size")).first())
     chunks, buckets = _sizes(nbytes)
-    rows = docs.select(F.struct(*passed).alias("row"), "text", place.alias("place"))
+    rows = docs.select(F.struct(*map(named, passed)).alias("row"), "text", place.alias("place"))
     if largest > SPLIT_BYTES + 4 * nbytes // CLASSES:
         rows = stage(rows.withColumn("number", F.monotonically_increasing_id())).withColumn("place", F.xxhash64("place", "number"))
     dealt = rows.select(F.pmod("place", F.lit(chunks)).cast("int").alias("chunk"), "row", "text").repartition("chunk")
@@ -258,5 +258,5 @@ def stage_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Each document keeps the words outside repeated windows; documents in which nothing repeats keep their exact text."""
     others = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
     out = remove_repeats(docs, passed=others, exact=True)
-    own = {c: F.col(f"row.`{c}`") for c in others} | {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    own = {c: F.col("row")[c] for c in others} | {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return out.select(*(own[c].alias(c) for c in docs.columns))

@@ -9,7 +9,7 @@ offender. The trained model then scores every sentence of every document and loc
 
 The model is fitted from at most TRAIN_DOCUMENTS labelled documents, those with the smallest hashes of their ids, outside
 the held-out fold (CRC-32 of the id as text, modulo 5, is 0), and of these from as many, in that order, as have
-TRAIN_BYTES of text together. Spark counts in how many toxic and clean documents each feature occurs; only features that
+TRAIN_BYTES of text together; texts of more than LONGEST bytes are scored but don't train. Spark counts in how many toxic and clean documents each feature occurs; only features that
 differ by label are kept, and only where they occur (a sentence without any adds nothing to a gradient) comes to the
 driver, where the weights are fitted. The model is a vector of 2^FEATURE_BITS weights (1 MB), broadcast to the scan, which
 needs no shuffle. Labels, language, source and id are no inputs of a score.
@@ -30,10 +30,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilelake.llm.common import Words, crc32_text, drop_staged, slices, stage, table, text_buffer
+from tilelake.llm.common import Words, crc32_text, drop_staged, named, slices, stage, table, text_buffer
 
-#: Bounds of the training sample: documents, and bytes of their texts.
-TRAIN_DOCUMENTS, TRAIN_BYTES, FOLDS = 6000, 256 << 20, 5
+#: Bounds of the training sample: documents, bytes of their texts, and bytes of one text (longer ones teach nothing).
+TRAIN_DOCUMENTS, TRAIN_BYTES, LONGEST, FOLDS = 6000, 256 << 20, 16 << 20, 5
 FEATURE_BITS = 18
 #: A word counts with its whole form and with its first bytes, so that rare inflections share a weight.
 PREFIX_BYTES = (4, 5, 6)
@@ -183,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.coalesce(F.min("text"), F.lit("")).alias("text"))
     sized = stage(texts.withColumn("size", F.octet_length("text")))
     upto = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # one row a document of the sample
-    within = sized.select("doc_id", "size").where(F.col("size") <= TRAIN_BYTES // 16).withColumn("upto", upto).where(F.col("upto") <= TRAIN_BYTES).select("doc_id")
+    within = sized.select("doc_id", "size").where(F.col("size") <= LONGEST).withColumn("upto", upto).where(F.col("upto") <= TRAIN_BYTES).select("doc_id")
     sample = sized.join(F.broadcast(within), "doc_id").select("doc_id", F.col("toxic"), "text")
     bad, n = sample.agg(F.sum("toxic"), F.count("*")).first()
     weights = np.zeros(1 << FEATURE_BITS, np.float32)
@@ -220,7 +220,7 @@ def _score(model):
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """row (a struct of the columns of docs), score, and the offending sentences as start:end in code points."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+    rows = docs.select(F.struct(*map(named, docs.columns)).alias("row"), F.col("text"))
     return rows.mapInArrow(_score(model), T.StructType([rows.schema["row"], *_SCORED]))
 
 
@@ -235,4 +235,4 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5 stay, with all their columns."""
     kept = score(docs, table(spark, sf_dir, "labels")).where("score < 0.5")
-    return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
