@@ -100,3 +100,77 @@ def test_keyed_table(spark, tmp_path):
     assert len(os.listdir(tmp_path / "t/manifest")) <= 2 and t.read().count() == 100
     used = {p.split("/")[1] for p in t.manifest()["parts"].values()}
     assert set(Folder(spark, f"file://{tmp_path}/t").names("data")) == used
+
+
+def test_vault_rewrites_scanned_files_only(spark, tmp_path):
+    """Two scans: buckets of files that weren't read keep their files, and the rows are those of the operator."""
+    from tilelake.operators import waypoints as W
+    from tilelake.plans.history_queries import _records
+    from tilelake.sources import vault
+
+    records = _records(spark, os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
+    t = vault.vault(spark, f"file://{tmp_path}/v", records.schema, buckets=16)
+    vault.sync(t, records, records, 10)
+    first = t.manifest()["parts"]
+    one = records.where("world = 'world1' and side = 'A'")
+    vault.sync(t, one.where("ord % 2 = 0"), one, 20)
+    moved = {b for b, p in t.manifest()["parts"].items() if first[b] != p}
+    assert len(moved) == 1 and len(first) > 3
+    plain = W.sync(W.sync(t.read().limit(0), records, records, 10).drop("was_present"), one.where("ord % 2 = 0"), one, 20).drop("was_present")
+    columns = [*W.KEY, "color", "present", "first_seen", "last_seen"]
+    assert sorted(map(str, t.read().select(*columns).collect())) == sorted(map(str, plain.select(*columns).collect()))
+    assert vault.export(t.read(), f"file://{tmp_path}/none", world="nowhere").count() == 0
+
+
+def test_feed_by_a_plain_loop(spark, tmp_path):
+    """Batches of notices with floods and lost ones, full looks at most each 30 s, and batches that come twice."""
+    from tilelake.streaming import changes
+
+    disk, rows, batches = {}, [], []
+    import random
+
+    rng = random.Random(4)
+    for k in range(9):
+        now = 1_000 + k * 8_000
+        own = {(f"l{rng.randint(0, 1)}", rng.randint(0, 5), rng.randint(0, 5)) for _ in range(12 if k in (2, 3, 6) else 4)}
+        for place in own:
+            if rng.random() < 0.25:
+                disk.pop(place, None)
+            else:
+                disk[place] = (now, rng.randint(1, 3), True)
+        seen = [p for p in own if rng.random() < 0.7] if k in (2, 6) else sorted(own)
+        batches.append(([(*p, now, False) for p in seen] + ([("", None, None, now, True)] if k == 5 else []), dict(disk), now))
+    state = {}
+
+    def look(places, now):
+        frame = spark.createDataFrame([(*p, *m) for p, m in state.items()], changes.INDEX)
+        return frame if places is None else frame.join(places, ["layer", "rx", "rz"], "left_semi")
+
+    table = changes.index_table(spark, f"file://{tmp_path}/i", buckets=4)
+    feed = changes.IndexFeed(table, look, f"file://{tmp_path}/log", cap=8)
+    index, log, waiting, last = {}, [], False, None
+    for number, (notices, there, now) in enumerate(batches):
+        state.clear()
+        state.update(there)
+        frame = spark.createDataFrame(notices, "layer string, rx int, rz int, t_ms long, lost boolean")
+        feed(frame, number)
+        if number % 3 == 0:
+            feed(frame, number)  # comes again after it was taken
+        places = {n[:3] for n in notices if not n[4]}
+        flooded = any(n[4] for n in notices) or len(places) > 8
+        waiting = waiting or flooded
+        full = waiting and (last is None or now - last >= 30_000)
+        if full:
+            waiting, last, places = False, now, set(index) | set(there)
+        elif flooded:
+            continue
+        for p in places:
+            if index.get(p) != there.get(p):
+                log.append((number, *p, "added" if p not in index else "changed" if p in there else "removed", full))
+                index.pop(p, None)
+                if p in there:
+                    index[p] = there[p]
+    got = {(r["layer"], r["rx"], r["rz"]): (r["mtime_ms"], r["size"], r["is_zip"]) for r in table.read().collect()}
+    assert got == index and waiting == table.manifest()["note"]["waiting"]
+    assert sorted((r["batch"], r["layer"], r["rx"], r["rz"], r["change"], r["full"]) for r in changes.changes(spark, f"file://{tmp_path}/log").collect()) == sorted(log)
+    assert {r[5] for r in log} == {True, False}

@@ -169,3 +169,20 @@ def upload_plan(stored: DataFrame, uploads: DataFrame) -> DataFrame:
 def cold(index: DataFrame, thumbs: DataFrame) -> DataFrame:
     """Regions whose thumbnail isn't there or is of another time."""
     return index.join(thumbs.select(*KEY, "mtime_ms"), [*KEY, "mtime_ms"], "left_anti")
+
+
+#: What a region file's row says of the file.
+META = ("mtime_ms", "size", "is_zip")
+
+
+def deltas(old: DataFrame, new: DataFrame) -> DataFrame:
+    """layer, rx, rz, change and the new META: what turns index old into index new. Rows that agree are left out."""
+    both = old.select(*KEY, F.struct(*META).alias("o")).join(new.select(*KEY, F.struct(*META).alias("n")), list(KEY), "full_outer")
+    change = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").when(~F.col("o").eqNullSafe(F.col("n")), "changed")
+    return both.select(*KEY, change.alias("change"), *(F.col(f"n.{c}") for c in META)).where("change is not null")
+
+
+def apply_deltas(index: DataFrame, changes: DataFrame) -> DataFrame:
+    """index after deltas."""
+    fresh = changes.where("change <> 'removed'").select(*KEY, *META)
+    return index.select(*KEY, *META).join(changes.select(*KEY), list(KEY), "left_anti").unionByName(fresh)

@@ -91,6 +91,15 @@ class KeyedTable:
         """All rows anew."""
         return self._publish(rows, set(range(self.buckets)), note)
 
+    def remark(self, note: dict) -> int:
+        """A version with the same rows and another note."""
+        old = self.manifest()
+        self._name(old["version"] + 1, old["parts"], old["note"] | note)
+        return old["version"] + 1
+
+    def _name(self, version: int, parts: dict, note: dict) -> None:
+        self.folder.create(f"manifest/{version:012d}.json", json.dumps({"version": version, "parts": parts, "note": note}))
+
     def _publish(self, rows: DataFrame, touched: set[int], note: dict | None) -> int:
         old = self.manifest()
         version = old["version"] + 1
@@ -103,7 +112,7 @@ class KeyedTable:
             raise ValueError("an update may not move rows to other buckets")
         parts = {b: p for b, p in old["parts"].items() if int(b) not in touched} | {str(b): f"{data}/bucket={b}" for b in sorted(written)}
         try:
-            self.folder.create(f"manifest/{version:012d}.json", json.dumps({"version": version, "parts": parts, "note": old["note"] | (note or {})}))
+            self._name(version, parts, old["note"] | (note or {}))
         except FileExistsError:
             self.folder.delete(data)
             raise
