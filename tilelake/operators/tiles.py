@@ -95,3 +95,73 @@ def tint_mean(pixels: DataFrame, value: str, key: str = "region") -> DataFrame:
 def tinted(block: Column, tint: Column) -> Column:
     """A grey texture's channel under a tint."""
     return F.floor(block * tint / 255).cast("bigint")
+
+
+#: Stored sizes of a region's picture, smallest first, and the side of a whole one.
+TIERS, SIZES = ("mip", "thumb", "full"), {"mip": MIP_PIXELS, "thumb": THUMB_PIXELS, "full": 512}
+
+
+def tile_span(index: DataFrame, x: int, y: int, zoom: int) -> DataFrame:
+    """Regions of the tile (x, y) at zoom 0 or below, which is 2^-zoom regions wide."""
+    span = 1 << -zoom
+    return index.where(F.col("rx").between(x * span, x * span + span - 1) & F.col("rz").between(y * span, y * span + span - 1))
+
+
+def sources(index: DataFrame, stored: DataFrame, cell: int, sizes: dict[str, int] = SIZES) -> DataFrame:
+    """layer, rx, rz, mtime_ms, tier: from which stored size each region of index is drawn at cell pixels.
+
+    stored (layer, rx, rz, mtime_ms, tier) says which sizes are there; one counts if it is of the region's present time.
+    Taken is the smallest that has cell pixels at least (0: the smallest of all), so that a size that isn't there, or is of
+    another time, is replaced by the next larger one, for that region alone. Regions of which nothing fits are left out.
+    """
+    fits = [t for t in TIERS if sizes[t] >= cell]
+    rank = F.array_position(F.array(*map(F.lit, TIERS)), F.col("tier"))
+    best = stored.where(F.col("tier").isin(fits)).groupBy("layer", "rx", "rz", "mtime_ms").agg(F.min_by("tier", rank).alias("tier"))
+    return index.select("layer", "rx", "rz", "mtime_ms").join(best, ["layer", "rx", "rz", "mtime_ms"])
+
+
+def shrunk(pixels: DataFrame, factor: int, keys: list[str]) -> DataFrame:
+    """box_downscale by regions of several key columns; a factor of 1 leaves pixels as they are."""
+    if factor == 1:
+        return pixels.select(*keys, "px", "pz", *"rgba")
+    whole = pixels.withColumn("region", F.struct(*keys))
+    return box_downscale(whole, factor).select("region.*", "px", "pz", *"rgba")
+
+
+def tile_from_tiers(index: DataFrame, pictures: dict[str, DataFrame], zoom: int, sizes: dict[str, int] = SIZES, tile: int = 512) -> DataFrame:
+    """layer, x, y, tx, tz, r, g, b, a: all tiles 2^-zoom regions wide, each region from the best size stored of it.
+
+    pictures: by tier, pixels (layer, rx, rz, mtime_ms, px, pz, r, g, b, a) of what is stored. Each table is joined once,
+    with the regions that are drawn from it, so a region is read at one size only; then it is box-filtered to its cell and
+    put in its place. Regions narrower than a pixel share it (see sub_pixel): colour by alpha, alpha by covered area.
+    """
+    keys = ["layer", "rx", "rz"]
+    cell = tile >> -zoom
+    here = None
+    for name, pixels in pictures.items():
+        own = pixels.select(*keys, "mtime_ms", F.lit(name).alias("tier")).distinct()
+        here = own if here is None else here.union(own)
+    chosen = sources(index, here, cell, sizes)
+    parts = []
+    for name, pixels in pictures.items():
+        if sizes[name] >= cell:
+            own = pixels.join(chosen.where(F.col("tier") == name).select(*keys, "mtime_ms"), [*keys, "mtime_ms"], "left_semi")
+            parts.append(shrunk(own, sizes[name] // max(cell, 1), keys) if cell else own.select(*keys, *"rgba", F.lit(sizes[name]).alias("side")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    if cell:
+        return compose(out, zoom, cell)
+    return _dots(out, zoom, tile)
+
+
+def _dots(pixels: DataFrame, zoom: int, tile: int) -> DataFrame:
+    """Pixels of regions narrower than a pixel, gathered in whole numbers: a region weighs by its mean alpha."""
+    span, shared = 1 << -zoom, ((1 << -zoom) // tile) ** 2
+    at = lambda c: F.floor(F.pmod(F.col(c), F.lit(span)) * tile / span).cast("bigint")
+    own = pixels.groupBy("layer", "rx", "rz", "side").agg(*(F.sum(F.col(c) * F.col("a")).alias(c) for c in "rgb"), F.sum("a").alias("a"))
+    area = F.expr("side * side")
+    weigh = own.select("layer", *(F.floor(F.col(c) / span).cast("bigint").alias(o) for c, o in (("rx", "x"), ("rz", "y"))), at("rx").alias("tx"), at("rz").alias("tz"), *((F.col(c) / area).alias(c) for c in "rgba"))
+    sums = weigh.groupBy("layer", "x", "y", "tx", "tz").agg(*(F.sum(c).alias(c) for c in "rgba")).where("a > 0")
+    cover = F.least(F.lit(255.0), F.col("a") / shared)
+    return sums.select("layer", "x", "y", "tx", "tz", *(F.floor(F.least(F.col(c) / F.col("a"), F.lit(255.0)) + 1e-9).cast("bigint").alias(c) for c in "rgb"), F.floor(F.greatest(cover, F.lit(64.0)) + 1e-9).cast("bigint").alias("a"))
