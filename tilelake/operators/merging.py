@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilelake.functions.naming import base_domain
+from tilelake.functions.naming import base_domain, dimension_of_folder
 from tilelake.operators.highlights import palette_field
 
 
@@ -68,6 +68,22 @@ def plan(a: DataFrame, b: DataFrame, prefer: str = "newer") -> DataFrame:
     return out.select(*keys, "action", side.alias("primary"), F.greatest("a_ms", "b_ms").alias("mtime_ms"), "a_ms", "b_ms", (F.coalesce("a_size", F.lit(0)) + F.coalesce("b_size", F.lit(0))).alias("bytes"))
 
 
+def layer_units(layers: DataFrame) -> DataFrame:
+    """Layers (side, world, dim, mw, cave) of paired worlds, matched by what the folder means: world, key, mw, cave, a, b, folder.
+
+    key is the dimension's resource key, or the folder's own name where it is none; a and b are the sides' folders, folder
+    the result's: b's, else a's. Where one side has two folders of one meaning, a or b is null and mixed says which side: these
+    two must be made one before a merge.
+    """
+    key = F.coalesce(dimension_of_folder(F.col("dim")), "dim").alias("key")
+    own = lambda side: F.when(F.lower("side") == side, F.col("dim"))
+    out = layers.groupBy("world", key, "mw", "cave").agg(*(f(own(s)).alias(f"{s}{n}") for s in "ab" for n, f in ((0, F.min), (1, F.max))))
+    two = lambda s: F.col(f"{s}0") < F.col(f"{s}1")
+    mixed = F.when(two("a") & two("b"), "ab").when(two("a"), "a").when(two("b"), "b")
+    one = lambda s: F.when(F.col(f"{s}0") == F.col(f"{s}1"), F.col(f"{s}0"))
+    return out.select("world", "key", "mw", "cave", one("a").alias("a"), one("b").alias("b"), F.coalesce("b1", "a1").alias("folder"), mixed.alias("mixed"))
+
+
 def plan_report(planned: DataFrame) -> DataFrame:
     """For each layer: regions only in a, only in b and in both, regions out and bytes read."""
     return planned.groupBy("layer").agg(
@@ -111,15 +127,24 @@ def merge_tiles(planned: DataFrame, a: DataFrame, b: DataFrame, bad: DataFrame)
     return tiles, regions
 
 
-def merge_settings(lines: DataFrame, key: str, id_of: Column) -> DataFrame:
+#: A settings line that names a multiworld: the id is what stands before the second colon; without one there is no id, but
+#: the line still says where named lines stand.
+NAMED = "MWName:"
+
+
+def named_id(line: Column) -> Column:
+    return F.when(line.rlike("^MWName:[^:]*:"), F.regexp_extract(line, "^MWName:([^:]*):", 1))
+
+
+def merge_settings(lines: DataFrame, key: str, id_of: Column | None = None) -> DataFrame:
     """Lines (key, side, mtime_ms, ord, line) of two sides' settings files as one file: key, ord, line.
 
     The newer file (of equal ones a) keeps all its lines; the older one adds the named lines whose id the newer hasn't,
-    after the newer's last named line, or at the top if it has none.
+    after the newer's last line that names one, with or without id, or at the top if it has none.
     """
     newest = lines.groupBy(key).agg(F.max_by("side", F.struct("mtime_ms", F.when(F.col("side") == "A", 1).otherwise(0).alias("first"))).alias("primary"))
-    tagged = lines.withColumn("id", id_of).join(newest, key).withColumn("own", F.col("side") == F.col("primary"))
-    last = tagged.where("own and id is not null").groupBy(key).agg(F.max("ord").alias("last"))
+    tagged = lines.withColumn("id", named_id(F.col("line")) if id_of is None else id_of).join(newest, key).withColumn("own", F.col("side") == F.col("primary"))
+    last = tagged.where(F.col("own") & F.col("line").startswith(NAMED)).groupBy(key).agg(F.max("ord").alias("last"))
     known = tagged.where("own and id is not null").select(key, "id").distinct()
     added = tagged.where("not own and id is not null").join(known, [key, "id"], "left_anti").join(last, key, "left")
     added = added.select(key, F.coalesce("last", F.lit(-1)).alias("after"), F.lit(1).alias("late"), "ord", "line")

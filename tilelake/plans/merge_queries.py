@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tilelake.operators import merging as M
+from tilelake.operators.index import best_files
+from tilelake.operators.merge_run import Archive, MergeRun, Options
 from tilelake.operators.tiles import last_wins
 from tilelake.plans.index_queries import _A, _B, _side
-from tilelake.plans.views import region_index, table, with_views
+from tilelake.plans.file_queries import shared_folder
+from tilelake.plans.views import epoch_ms, highlights, region_index, table, with_views
 
 
 def _plan(s, d):
@@ -49,10 +52,10 @@ def _worlds(s, d, auto=False):
 
 def _settings_files(o, file):
     """Lines of orders as settings files of two sides, merged."""
-    line = F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("MWName:mw"), (F.col("o_custkey") % 13).cast("string"), F.lit(":n"))).otherwise(F.concat(F.lit("note "), F.col("o_custkey").cast("string")))
+    line = F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("MWName:mw"), (F.col("o_custkey") % 13).cast("string"), F.when(F.col("o_orderkey") % 7 == 0, "").otherwise(":n"))).otherwise(F.concat(F.lit("note "), F.col("o_custkey").cast("string")))
     side = F.when(F.floor(F.col("o_orderkey") / 40) % 2 == 0, "A").otherwise("B")
     lines = o.select(file.alias("file"), side.alias("side"), (file % 3 * F.when(side == "B", 1).otherwise(0)).alias("mtime_ms"), F.col("o_orderkey").alias("ord"), line.alias("line"))
-    return M.merge_settings(lines, "file", F.when(F.col("line").startswith("MWName:"), F.regexp_extract("line", "^MWName:([^:]*)", 1)))
+    return M.merge_settings(lines, "file")
 
 
 def _settings(s, d):
@@ -65,7 +68,57 @@ def _settings_all(s, d):
     return _settings_files(table(s, d, "orders"), F.floor(F.col("o_orderkey") / 1000))
 
 
+def _world_of(side, number):
+    """Six worlds of each side, of which four have the same name."""
+    return F.concat(F.lit("w"), (number % 6 + F.when(side == "A", 0).otherwise(2)).cast("string"))
+
+
+def _archive(s, d, name):
+    """One side of two archives made of the tables: regions and tiles of orders, files of customers, highlights of items."""
+    k, c, side = F.col("o_orderkey"), F.col("o_custkey"), F.lit(name)
+    orders = table(s, d, "orders").where(F.floor(k / 97) % 2 == (0 if name == "A" else 1))
+    regions = orders.select(
+        _world_of(side, c).alias("world"), F.when(k % 3 == 0, "DIM-1").otherwise("null" if name == "A" else "DIM0").alias("dim"), F.lit("mw$default").alias("mw"), F.when(c % 4 == 0, 3).alias("cave"),
+        (c % 200).cast("int").alias("rx"), (k % 50).cast("int").alias("rz"), epoch_ms("o_orderdate").alias("mtime_ms"), F.floor("o_totalprice").cast("long").alias("size"), (k % 2 == 0).alias("is_zip"), k.alias("ord"),
+    )
+    place = ["world", "dim", "mw", "cave", "rx", "rz"]
+    tiles = regions.groupBy(*place, (F.col("ord") % 4).alias("tx"), (F.floor(F.col("ord") / 4) % 4).alias("tz")).agg(F.max("ord").alias("value"))
+    layer = F.struct(*(F.coalesce(F.col(x).cast("string"), F.lit("-")).alias(x) for x in place[:4]))
+    bad = best_files(regions.withColumn("layer", layer)).where("size % 13 = 0").select("layer.world", "layer.dim", "layer.mw", F.expr("try_cast(layer.cave as int)").alias("cave"), "rx", "rz")
+    n = F.col("c_custkey")
+    customers = table(s, d, "customer").where(n % 2 == (0 if name == "A" else 1))
+    files = customers.groupBy(_world_of(side, n).alias("world"), F.concat(F.lit("f"), (F.floor(n / 4) % 50).cast("string")).alias("path")).agg(F.max(n).alias("mtime_ms"), F.count("*").alias("size"))
+    path = F.concat(F.lit("d"), (F.floor(k / 500)).cast("string"))
+    line = F.when(c % 3 == 0, F.concat(F.lit("MWName:mw"), (c % 13).cast("string"), F.lit(":n"))).otherwise(F.concat(F.lit("note "), c.cast("string")))
+    settings = orders.select(_world_of(side, F.floor(k / 500)).alias("world"), path.alias("path"), F.lit(5).cast("long").alias("mtime_ms"), k.alias("ord"), line.alias("line"))
+    points = customers.select(_world_of(side, n).alias("world"), F.concat(F.lit("p"), (F.floor(n / 50)).cast("string")).alias("path"), F.lit(5).cast("long").alias("mtime_ms"), n.alias("ord"), F.concat(F.lit("note "), (n % 9).cast("string")).alias("line"))
+    h = highlights(s, d).where(F.col("side") == name)
+    spots = h.select(_world_of(side, F.floor(F.col("ord") / 10)).alias("world"), F.concat(F.lit("h"), (F.col("src") % 2).cast("string"), F.lit(".db")).alias("path"), F.lit(7 if name == "A" else 9).cast("long").alias("mtime_ms"), "dim", "x", "z", "found_time")
+    return Archive(f"archive://{name}", regions, tiles, bad, files, settings, points, spots)
+
+
+def _run(s, d):
+    """The whole merge, and once more: the second run makes nothing and reads what the first one wrote."""
+    a, b, out = _archive(s, d, "A"), _archive(s, d, "B"), shared_folder(s)
+    MergeRun(s, a, b, out, Options(apply=True)).run()
+    again = MergeRun(s, a, b, out, Options(apply=True, resume=True))
+    report = again.run()
+    if again.made:
+        raise AssertionError(f"made again: {again.made}")
+    return report
+
+
+def _run_tiles(s, d):
+    """Tiles that a dry run says would be written."""
+    dry = MergeRun(s, _archive(s, d, "A"), _archive(s, d, "B"), "archive://out")
+    dry.run()
+    t = dry.rows("tiles")
+    return t.select("layer.world", "layer.key", F.col("layer.cave").alias("cave"), "rx", "rz", "tx", "tz", "value", "from_side")
+
+
 QUERIES = {
+    "merge_run_report": _run,
+    "merge_run_tiles": _run_tiles,
     "merge_plan": lambda s, d: _plan(s, d).drop("a_ms", "b_ms"),
     "merge_tiles": lambda s, d: _tiles(s, d)[0],
     "merge_tile_regions": lambda s, d: _tiles(s, d)[1].withColumns({"mtime_ms": F.coalesce("mtime_ms", F.lit(-1)), "note": F.coalesce("note", F.lit("-"))}),
@@ -82,7 +135,7 @@ _PLAN = "p: select layer, rx, rz, case when b.size is null then 'copy_a' when a.
 def _settings_sql(lines):
     return with_views(
         "select file, row_number() over (partition by file order by aft, late, ord) - 1 ord, line from (select file, ord aft, 0 late, ord, line from t where own union all select * from ad)",
-        f"l: select o_orderkey // {lines} file, case when o_orderkey // 40 % 2 = 0 then 'A' else 'B' end side, o_orderkey ord, case when o_custkey % 3 = 0 then 'MWName:mw' || o_custkey % 13 || ':n' else 'note ' || o_custkey end line, case when o_custkey % 3 = 0 then 'mw' || o_custkey % 13 end id from orders",
+        f"l: select o_orderkey // {lines} file, case when o_orderkey // 40 % 2 = 0 then 'A' else 'B' end side, o_orderkey ord, case when o_custkey % 3 = 0 then 'MWName:mw' || o_custkey % 13 || case when o_orderkey % 7 = 0 then '' else ':n' end else 'note ' || o_custkey end line, case when o_custkey % 3 = 0 and o_orderkey % 7 > 0 then 'mw' || o_custkey % 13 end id from orders",
         *_MERGED,
     )
 
@@ -91,7 +144,7 @@ _MERGED = [
     "sides: select file, case when bool_or(side = 'B') and (file % 3 > 0 or not bool_or(side = 'A')) then 'B' else 'A' end own_side from l group by file",
     "t: select l.*, side = own_side own from l join sides using (file)",
     "known: select file, id, max(ord) ord from t where own and id is not null group by 1, 2",
-    "lasts: select file, max(ord) aft from known group by 1",
+    "lasts: select file, max(ord) aft from t where own and starts_with(line, 'MWName:') group by 1",
     "ad: select file, coalesce(aft, -1) aft, 1 late, t.ord, line from t left join lasts using (file) left join known using (file, id) where not own and id is not null and known.ord is null",
 ]
 _WORLD = "case when ({0}) % 3 = 0 then 'Multiplayer_' else '' end || 'Play' || ({0}) // 4 || list_extract(['', '.net', '.com', '.org.net'], ({0}) % 4 + 1)"
@@ -112,7 +165,35 @@ _TILED = [
     "ti: select * from (select lower(side) from_side, layer, rx, rz, ord % 4 tx, ord // 4 % 4 tz, size, ord, row_number() over (partition by side, layer, rx, rz, ord % 4, ord // 4 % 4 order by ord desc) n from idx) where n = 1",
     "mt: select * from (select ti.*, row_number() over (partition by layer, rx, rz, tx, tz order by from_side = pri desc) best from ti join pl using (layer, rx, rz) where not (from_side = 'a' and ba or from_side = 'b' and bb)) where best = 1",
 ]
+_SIDE_WORLD = "'w' || (({0}) % 6 + case when side = 'A' then 0 else 2 end)"
+_RUN = [
+    f"rg: select *, {_SIDE_WORLD.format('c')} world, case when k % 3 = 0 then 'minecraft:the_nether' else 'minecraft:overworld' end as key, case when c % 4 = 0 then '3' else 'surface' end cave from (select o_orderkey k, o_custkey c, case when o_orderkey // 97 % 2 = 0 then 'A' else 'B' end side, o_custkey % 200 rx, o_orderkey % 50 rz, epoch_ms(o_orderdate) mtime_ms, cast(floor(o_totalprice) as bigint) size from orders)",
+    "bf: select * from (select *, row_number() over (partition by side, world, key, cave, rx, rz order by k % 2 = 0 desc, mtime_ms desc, k) n from rg) where n = 1",
+    "pn: select world, key, cave, rx, rz, a.mtime_ms am, b.mtime_ms bm, a.size asz, b.size bsz, a.size is not null and b.size is not null both_, coalesce(a.size % 13 = 0, false) and b.size is not null ba, coalesce(b.size % 13 = 0, false) and a.size is not null bb, case when a.size is null or b.mtime_ms > a.mtime_ms then 'b' else 'a' end pri from (select * from bf where side = 'A') a full join (select * from bf where side = 'B') b using (world, key, cave, rx, rz)",
+    "ti2: select lower(side) from_side, world, key, cave, rx, rz, k % 4 tx, k // 4 % 4 tz, max(k) as value from rg group by all",
+    "mt2: select * from (select t.*, row_number() over (partition by world, key, cave, rx, rz, tx, tz order by from_side = pri desc) best from ti2 t join pn using (world, key, cave, rx, rz) where not (from_side = 'a' and ba or from_side = 'b' and bb)) where best = 1",
+]
+_RUN_REST = [
+    f"hs: select distinct side, {_SIDE_WORLD.format('ord // 10')} world, 'h' || src % 2 || '.db' path, dim, x, z from hl",
+    "hb: select world, path, dim, x, z, bool_or(side = 'B') d, bool_or(side = 'A') s from hs where (world, path) in (select (world, path) from hs group by world, path having count(distinct side) = 2) group by 1, 2, 3, 4, 5",
+    "dbr: select world, path, dim, count(*) filter (s) source_rows, count(*) filter (d) dest_before, count(*) filter (s and d) overlap, count(*) dest_after from hb group by 1, 2, 3",
+    "lay: select world, key || '/mw$default/' || cave item, count(*) filter (bsz is null) only_a, count(*) filter (asz is null) only_b, count(*) filter (both_) conflicts, count(*) regions_out, cast(sum(coalesce(asz, 0) + coalesce(bsz, 0)) as bigint) bytes from pn group by 1, 2",
+    f"cu: select c_custkey n, case when c_custkey % 2 = 0 then 'A' else 'B' end side, {_SIDE_WORLD.format('c_custkey')} world from (select *, case when c_custkey % 2 = 0 then 'A' else 'B' end side from customer)",
+    "ws: select side, world from rg union select side, world from cu",
+]
+_EACH = "select '{0}' as section, world, {1} item, '{2}' as name, cast({2} as bigint) n from {3}"
+_REPORT = " union all ".join([
+    "select 'world' as section, world, case when count(*) = 2 then world else '-' end item, case when count(*) = 2 then 'exact' when min(side) = 'A' then 'only a' else 'only b' end as name, cast(1 as bigint) n from ws group by world",
+    *(_EACH.format("layer", "item", c, "lay") for c in ("only_a", "only_b", "conflicts", "regions_out", "bytes")),
+    "select 'note' as section, world, key || '/mw$default/' || cave || '/' || rx || '/' || rz item, case when ba and bb then 'both unreadable' when ba then 'a unreadable, copied b' else 'b unreadable, copied a' end as name, cast(1 as bigint) n from pn where ba or bb",
+    *(_EACH.format("database", "path || '/' || dim", c, "dbr") for c in ("source_rows", "dest_before", "overlap", "dest_after")),
+    "select 'files' as section, world, '-' item, 'files' as name, count(distinct n // 4 % 50) n from cu group by world",
+    "select 'files' as section, world, '-' item, 'waypoints' as name, count(distinct n // 50) n from cu group by world",
+    f"select 'files' as section, {_SIDE_WORLD.format('k // 500')} world, '-' item, 'settings' as name, count(distinct k // 500) n from rg group by 2",
+])
 ORACLES = {
+    "merge_run_report": with_views(_REPORT, "hl", *_RUN, *_RUN_REST),
+    "merge_run_tiles": with_views("select world, key, cave, rx, rz, tx, tz, value, from_side from mt2", *_RUN),
     "merge_plan": with_views("select * from p", "idx", _A, _B, _PLAN),
     "merge_plan_report": with_views("select layer, count(*) filter (action = 'copy_a') only_a, count(*) filter (action = 'copy_b') only_b, count(*) filter (action = 'merge') conflicts, count(*) regions_out, cast(sum(bytes) as bigint) bytes from p group by layer", "idx", _A, _B, _PLAN),
     "merge_settings": _settings_sql(500),
