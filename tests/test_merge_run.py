@@ -88,6 +88,9 @@ def test_dry_run_writes_nothing(spark, sides, tmp_path):
     run = MergeRun(spark, sides[0][0], sides[1][0], f"file://{tmp_path}/out")
     names = {r["name"] for r in run.run().where("section = 'world'").collect()}
     assert names == {"exact", "suggested", "only a", "only b"} and not (tmp_path / "out").exists()
+    scratch = MergeRun(spark, sides[0][0], sides[1][0], f"file://{tmp_path}/out", scratch=f"file://{tmp_path}/scratch")
+    assert sorted(map(tuple, scratch.run().collect())) == sorted(map(tuple, MergeRun(spark, sides[0][0], sides[1][0], f"file://{tmp_path}/wet", Options(apply=True)).run().collect()))
+    assert not (tmp_path / "out").exists()
 
 
 def test_resume_goes_on_where_it_broke_off(spark, sides, tmp_path, monkeypatch):

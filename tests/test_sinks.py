@@ -174,3 +174,62 @@ def test_feed_by_a_plain_loop(spark, tmp_path):
     assert got == index and waiting == table.manifest()["note"]["waiting"]
     assert sorted((r["batch"], r["layer"], r["rx"], r["rz"], r["change"], r["full"]) for r in changes.changes(spark, f"file://{tmp_path}/log").collect()) == sorted(log)
     assert {r[5] for r in log} == {True, False}
+
+
+def test_uploads_by_a_plain_fold(spark, tmp_path):
+    """Uploads one after another in any times, in batches of any size, some twice; refused ones are set aside."""
+    import random
+
+    from tilelake.streaming import uploads as U
+
+    rng, stored, backup, refused, rows = random.Random(6), {}, {}, [], []
+    for number in range(120):
+        region, player, mtime = ("l", rng.randint(0, 2), 0), f"p{rng.randint(0, 1)}", rng.randint(1, 9)
+        tiles = {(rng.randint(0, 2), rng.randint(0, 1)): f"v{number}" for _ in range(rng.randint(0, 3))}
+        error, truncated = rng.choice([None] * 9 + ["odd"]), rng.random() < 0.1
+        rows.append((number, player, *region, mtime, number * 10, error, truncated, [(*t, v) for t, v in tiles.items()]))
+        if error or truncated:
+            refused.append(number)
+            continue
+        backup[player, region] = number
+        known, own = stored.get(region, (0, {}))
+        stored[region] = (max(known, mtime), {**tiles, **own} if known > mtime else {**own, **tiles})
+    feed = U.UploadFeed(spark, f"file://{tmp_path}/u", buckets=4)
+    for k, (lo, hi) in enumerate(((0, 1), (1, 40), (40, 100), (100, 120))):
+        batch = spark.createDataFrame(rows[lo:hi], U.UPLOAD)
+        feed(batch, k)
+        feed(batch, k)
+    got = {}
+    for r in feed.merged.read().collect():
+        got.setdefault((r["layer"], r["rx"], r["rz"]), (r["mtime_ms"], {}))[1].update({} if r["tx"] is None else {(r["tx"], r["tz"]): r["value"]})
+    assert got == stored
+    assert {(r["player"], (r["layer"], r["rx"], r["rz"])): r["number"] for r in feed.players.read().collect()} == backup
+    assert sorted(r["number"] for r in spark.read.parquet(f"file://{tmp_path}/u/refused").collect()) == refused
+    # a batch that broke off after the players' table was written is taken by the other one when it comes again
+    more = spark.createDataFrame([(500, "p9", "l", 9, 9, 5, 0, None, False, [(0, 0, "late")])], U.UPLOAD)
+    feed.players.remark({"batch": 4})
+    feed(more, 4)
+    assert feed.merged.read().where("rx = 9").count() == 1 and feed.players.read().where("player = 'p9'").count() == 0
+
+
+def test_evictions_wait(spark, tmp_path):
+    """A preview goes when the watermark has passed its upload by the delay, not before, and once for each time."""
+    from tilelake.streaming import uploads as U
+
+    folder, schema = f"{tmp_path}/in", "layer string, rx int, rz int, ts timestamp"
+    seen = []
+
+    def note(batch, number):
+        seen.append(sorted((r["rx"], r["due_ms"]) for r in batch.collect()))
+
+    def put(k, *rows):
+        spark.createDataFrame([(1, x, t) for x, t in rows], "k int, rx int, t long").select(F.lit("l").alias("layer"), "rx", F.lit(0).alias("rz"), F.timestamp_millis("t").alias("ts")).coalesce(1).write.parquet(f"{folder}/{k}")
+        query = U.evictions(spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(folder)).writeStream.foreachBatch(note).outputMode("append")
+        query.option("checkpointLocation", f"{tmp_path}/offsets").trigger(availableNow=True).start().awaitTermination()
+        return sorted(x for s in seen for x in s)
+
+    assert put(0, (1, 10_000), (2, 11_000), (1, 10_000)) == []
+    assert put(1, (3, 12_400), (1, 11_400)) == []
+    assert put(2, (4, 12_600)) == [(1, 12_500)]
+    assert put(3, (4, 14_000)) == [(1, 12_500), (1, 13_900), (2, 13_500)]
+    assert put(4, (4, 60_000)) == [(1, 12_500), (1, 13_900), (2, 13_500), (3, 14_900), (4, 15_100), (4, 16_500)]

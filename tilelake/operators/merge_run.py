@@ -6,7 +6,8 @@ where they are. A run that was broken off is resumed by running it again: a step
 step without one leaves at most a folder that nobody names. A resumed run must be the same run, so the ledger begins with
 a digest of its settings and of the archives' regions and files.
 
-Without apply nothing is written, and the report says what would be done.
+Without apply nothing is written below out, and the report says what would be done. A dry run of large archives should be
+given a scratch folder for its steps' rows: without one each step is planned and computed with all steps before it.
 """
 
 from __future__ import annotations
@@ -76,8 +77,8 @@ def overlap(a: str, b: str) -> bool:
 class MergeRun:
     """run() gives the report; rows(step) what a step wrote or, in a dry run, would write."""
 
-    def __init__(self, spark: SparkSession, a: Archive, b: Archive, out: str, options: Options = Options()):
-        self.spark, self.a, self.b, self.out, self.options = spark, a, b, out.rstrip("/"), options
+    def __init__(self, spark: SparkSession, a: Archive, b: Archive, out: str, options: Options = Options(), scratch: str | None = None):
+        self.spark, self.a, self.b, self.out, self.options, self.scratch = spark, a, b, out.rstrip("/"), options, scratch
         self.folder: Folder | None = None
         self.done: dict[str, str] = {}
         #: Steps that this run made, in order; those that it found in the ledger aren't among them.
@@ -125,7 +126,11 @@ class MergeRun:
     def _step(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """A step's rows: from the ledger, or made, written and entered."""
         if self.folder is None:
-            self._rows[name] = make()
+            rows = make()
+            if self.scratch:
+                rows.write.parquet(f"{self.scratch}/{name}")
+                rows = self.spark.read.parquet(f"{self.scratch}/{name}")
+            self._rows[name] = rows
         else:
             if name not in self.done:
                 at = f"steps/{name}-{uuid.uuid4().hex}"

@@ -110,7 +110,7 @@ def _run(s, d):
 
 def _run_tiles(s, d):
     """Tiles that a dry run says would be written."""
-    dry = MergeRun(s, _archive(s, d, "A"), _archive(s, d, "B"), "archive://out")
+    dry = MergeRun(s, _archive(s, d, "A"), _archive(s, d, "B"), "archive://out", scratch=shared_folder(s))
     dry.run()
     t = dry.rows("tiles")
     return t.select("layer.world", "layer.key", F.col("layer.cave").alias("cave"), "rx", "rz", "tx", "tz", "value", "from_side")

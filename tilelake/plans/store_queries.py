@@ -10,7 +10,7 @@ from tilelake.plans.file_queries import shared_folder
 from tilelake.plans.history_queries import _B, _LINE, _WP, NOW_MS, _batch, _records
 from tilelake.plans.views import positions, table, with_views
 from tilelake.sources import file_sink, vault
-from tilelake.streaming import changes
+from tilelake.streaming import changes, uploads
 
 EXTENSIONS = (".zip", ".xaero")
 
@@ -67,7 +67,47 @@ def _followed(s, d):
     return index, f"{folder}/log"
 
 
+def _uploads(s, d):
+    """A region for each order: uploads of customers in the order of keys, some unreadable or cut short, a tile for each item."""
+    o, k = table(s, d, "orders"), F.col("o_orderkey")
+    tiles = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set(F.struct((F.col("l_linenumber") % 3).cast("int").alias("tx"), F.lit(0).alias("tz"))).alias("at"))
+    own = F.transform("at", lambda t: F.struct(t["tx"].alias("tx"), t["tz"].alias("tz"), F.concat(F.lit("v"), k.cast("string")).alias("value")))
+    return o.join(tiles, "o_orderkey").select(
+        k.alias("number"), F.concat(F.lit("p"), (F.col("o_custkey") % 20).cast("string")).alias("player"), F.lit("surface").alias("layer"), (F.col("o_custkey") / 10).cast("int").alias("rx"), (k % 4).cast("int").alias("rz"),
+        (k * 7919 % 1000).alias("mtime_ms"), (k * 10).alias("t_ms"), F.when(k % 17 == 0, "no stream").alias("error"), (k % 13 == 0).alias("truncated"), own.alias("tiles"),
+    )
+
+
+def _uploaded(s, d):
+    rows, folder = _uploads(s, d), shared_folder(s)
+    third = rows.agg(F.max("number")).first()[0] // SLICES + 1
+    for k in range(SLICES):
+        rows.where(F.floor(F.col("number") / third) == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    feed = uploads.UploadFeed(s, folder, buckets=8)
+    source = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    source.writeStream.foreachBatch(feed).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return feed
+
+
+def _evicted(s, d):
+    """Evictions by a stream's timers; a last row, of another layer, moves the watermark past all that is due."""
+    folder = shared_folder(s)
+    rows = _uploads(s, d).where("error is null and not truncated").select("layer", "rx", "rz", F.timestamp_millis("t_ms").alias("ts"))
+    end = rows.agg(F.max("ts")).first()[0]
+    rows.write.parquet(f"{folder}/in")
+    for k, layer in enumerate(("end", "over")):
+        s.range(1).select(F.lit(layer).alias("layer"), F.lit(0).alias("rx"), F.lit(0).alias("rz"), (F.lit(end) + F.expr(f"make_interval(0, 0, 0, 0, {k + 1})")).alias("ts")).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    source = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/in")
+    out = uploads.evictions(source).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/offsets").outputMode("append")
+    out.trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema("layer string, rx int, rz int, due_ms long").parquet(f"{folder}/out").where("layer = 'surface'")
+
+
 QUERIES = {
+    "upload_merged": lambda s, d: _uploaded(s, d).merged.read(),
+    "upload_players": lambda s, d: _uploaded(s, d).players.read().select("player", "layer", "rx", "rz", "mtime_ms", "number"),
+    "upload_refused": lambda s, d: uploads.refused(_uploads(s, d)),
+    "upload_evictions": _evicted,
     "file_sink_versions": _sink,
     "waypoint_vault": lambda s, d: _vault(s, d).select("world", "mw_file", "name", "x", "y_key", "z", "color", "present", "first_seen", "last_seen"),
     "waypoint_export_ordered": lambda s, d: vault.export(_vault(s, d), shared_folder(s), with_archived=True).select("world", "line", "number"),
@@ -81,7 +121,16 @@ _SY2 = f"""s2: select world, dim, mw_file, name, x, y_key, z, coalesce(b.initial
     b.ord is not null or not (mw_file = 'mwA' and exists (select 1 from r where r.world = r1.world and r.side = 'A')) present,
     case when r1.ord is not null then {NOW_MS - 5} else {NOW_MS} end first_seen, case when b.ord is not null then {NOW_MS} else {NOW_MS - 5} end last_seen
     from (select * from r where ord % 3 <> 0) r1 full join b using (world, dim, mw_file, name, x, y_key, z)"""
+_UP = [
+    "up: select o_orderkey number, 'p' || o_custkey % 20 player, 'surface' layer, cast(o_custkey // 10 as int) rx, cast(o_orderkey % 4 as int) rz, o_orderkey * 7919 % 1000 mtime_ms, o_orderkey * 10 t_ms, case when o_orderkey % 17 = 0 then 'unreadable: no stream' when o_orderkey % 13 = 0 then 'truncated' end why from orders where o_orderkey in (select l_orderkey from lineitem)",
+    "tk: select *, coalesce(mtime_ms >= max(mtime_ms) over (partition by rx, rz order by number rows between unbounded preceding and 1 preceding), true) put from up where why is null",
+    "tl: select distinct rx, rz, number, put, max(mtime_ms) over (partition by rx, rz) mtime_ms, cast(l_linenumber % 3 as int) tx from tk join lineitem on l_orderkey = number",
+]
 ORACLES = {
+    "upload_merged": with_views("select 'surface' layer, rx, rz, max(mtime_ms) mtime_ms, tx, 0 tz, 'v' || max_by(number, (put, case when put then number else -number end)) as value from tl group by rx, rz, tx", *_UP),
+    "upload_players": with_views("select player, layer, rx, rz, mtime_ms, number from (select *, row_number() over (partition by player, rx, rz order by number desc) n from tk) where n = 1", *_UP),
+    "upload_refused": with_views("select number, player, layer, rx, rz, why from up where why is not null", *_UP),
+    "upload_evictions": with_views("select distinct layer, rx, rz, t_ms + 2500 due_ms from tk", *_UP),
     "file_sink_versions": "select 'w' || doc_id % 7 || '/' || doc_id || case when doc_id % 5 > 0 and doc_id % 3 = 0 then '.zip' else '.xaero' end path, cast(strlen(body) as bigint) bytes, n_chars + case when doc_id % 5 = 0 then 2 when doc_id % 3 = 0 then 1 else 0 end mtime_ms, md5(body) md5 from (select *, text || case when doc_id % 5 = 0 then '?' when doc_id % 3 = 0 then '!' else '' end body from documents)",
     "waypoint_vault": with_views("select world, mw_file, name, x, y_key, z, color, present, first_seen, last_seen from s2", "wp", _WP, _B, _SY2),
     "waypoint_export_ordered": with_views(f"select world, {_LINE} as line, row_number() over (order by world, dim, name, mw_file, x, y_key, z) number from s2", "wp", _WP, _B, _SY2),
