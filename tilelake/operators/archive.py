@@ -12,8 +12,6 @@ from tilelake.operators.index import issues
 LAYOUTS = ("xaero/world-map/", "config/xaero/world-map/", "world-map/", "")
 WORLD_FILE, DATABASE, DATABASE_BACKUPS, NOT_A_WORLD = "server_config.txt", r"^XaeroPlus.*\.db$", "XaeroPlus-db-backups", "temp_to_add"
 DEFAULT_MULTIWORLD = "mw$default"
-#: Levels that a file's folder lies below its archive at most.
-DEPTH = 64
 
 
 def _part(parts: Column, k: int) -> Column:
@@ -90,7 +88,7 @@ def default_layers(layers: DataFrame) -> DataFrame:
 def ancestors(path: Column) -> Column:
     """Folders above a path, the outermost first."""
     parts = F.split(path, "/")
-    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.least(F.size(parts) - 1, F.lit(DEPTH))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).otherwise(F.array().cast("array<string>"))
 
 
 def classify(events: DataFrame, worlds: DataFrame, maps: DataFrame, databases: DataFrame) -> DataFrame:
@@ -197,3 +195,78 @@ def tiles_hit(tiles: DataFrame, regions: DataFrame, deepest: int = 16) -> DataFr
 def merge_stats(parts: DataFrame, key: str, sums: list[str]) -> DataFrame:
     """Statistics of conversions by key: sums, and the first error that any part reports, in the order of ord."""
     return parts.groupBy(key).agg(*(F.sum(c).alias(c) for c in sums), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("ord"))).alias("first_error"))
+
+
+#: Where a root's live waypoint trees lie, and how folders begin that hold copies of whole trees.
+LIVE_TREES, TREE_COPIES = ("xaero/minimap", "config/xaero/minimap", "minimap"), "XaeroWaypoints"
+
+
+def normal_path(path: Column) -> Column:
+    """A path without empty parts and single dots."""
+    return F.array_join(F.filter(F.split(path, "/"), lambda p: (p != "") & (p != ".")), "/")
+
+
+def waypoint_trees(paths: DataFrame, roots: DataFrame) -> DataFrame:
+    """root, tree, kind, world, folder, dim, mw, path of the waypoint files among paths, each once by its normal path.
+
+    A tree is tree/world/[dimension folder/]file, one of a root's three live ones or a folder that holds a copy of one.
+    Backup folders of any depth repeat the shape of what they lie in: before the world they are trees of their own, in a
+    world they hold its dimension folders; what lies in one, or in a copied tree, is archived. Where roots lie in one
+    another a file belongs to the innermost in whose trees it is. Each path meets its own ancestors by equality.
+    """
+    file = paths.select(normal_path(F.col("path")).alias("path")).distinct()
+    above = file.select("path", F.explode(F.array_prepend(ancestors(F.col("path")), F.lit(""))).alias("root"))
+    below = above.join(roots.select(normal_path(F.col("root")).alias("root")).distinct(), "root")
+    inner = F.when(F.col("root") == "", F.col("path")).otherwise(F.substring("path", F.length("root") + 2, F.length("path")))
+    below = below.withColumn("inner", inner)
+    live = None
+    for t in LIVE_TREES:
+        hit = F.startswith("inner", F.lit(f"{t}/"))
+        live = F.when(hit, t) if live is None else live.when(hit, t)
+    copied = F.when(F.startswith("inner", F.lit(TREE_COPIES)) & F.contains("inner", F.lit("/")), F.substring_index("inner", "/", 1))
+    below = below.withColumns({"live": live, "tree": F.coalesce(live, copied)}).where("tree is not null")
+    folders = F.split(F.substring("inner", F.length("tree") + 2, F.length("inner")), "/")
+    below = below.withColumns({"name": F.element_at(folders, -1), "folders": F.slice(folders, F.lit(1), F.size(folders) - 1)})
+
+    def leading_backups(parts: Column) -> Column:
+        """How many folders at the start of a path are backups."""
+        other = F.array_position(F.transform(parts, N.is_minimap_backup), False)
+        return F.when(other > 0, other - 1).otherwise(F.size(parts)).cast("int")
+
+    below = below.withColumn("outer", leading_backups(F.col("folders"))).withColumn("world", F.get("folders", F.col("outer")))
+    below = below.where(F.col("world").isNotNull() & (F.col("world") != NOT_A_WORLD))
+    rest = F.slice("folders", F.col("outer") + 2, F.size("folders"))
+    below = below.withColumn("rest", rest).withColumn("nested", leading_backups(F.col("rest")))
+    mw, known = N.waypoint_file(F.col("name"))
+    folder = F.get("rest", F.col("nested"))
+    found = below.where(known.isNotNull() & (F.size("rest") - F.col("nested") <= 1) & (folder.isNull() | (folder != NOT_A_WORLD)))
+    kind = F.when(F.col("live").isNull() | (F.col("outer") + F.col("nested") > 0), "archived").otherwise("live")
+    tree = F.array_join(F.concat(F.array("tree"), F.slice("folders", F.lit(1), F.col("outer"))), "/")
+    found = found.select("path", "root", tree.alias("tree"), kind.alias("kind"), "world", folder.alias("folder"), N.dimension_of_minimap_folder(folder).alias("dim"), mw.alias("mw"))
+    values = F.struct("root", "tree", "kind", "world", "folder", "dim", "mw")
+    return found.groupBy("path").agg(F.max_by(values, F.length("root")).alias("f")).select("f.*", "path")
+
+
+def world_rows(files: DataFrame, waypoints: DataFrame) -> DataFrame:
+    """root, world, dims, databases, waypoint_files: what a scan shows of each world of world_files (root, world, rest).
+
+    dims are dimension folders, the game's own first (overworld, nether, end), then others by name; databases are the names
+    of the world's own. waypoints (world, path): how many live files a world has. A world without either is none.
+    """
+    parts = F.split("rest", "/")
+    place = lambda f: F.when(f.isin("null", "DIM0"), 0).when(f == "DIM-1", 1).when(f == "DIM1", 2).otherwise(3)
+    folder = F.when((F.size(parts) > 1) & N.dimension_of_folder(_part(parts, 0)).isNotNull(), _part(parts, 0))
+    database = F.when((F.size(parts) == 1) & F.col("rest").rlike(DATABASE), F.col("rest"))
+    # One row a folder or database before they are gathered: a world has few of either, whatever the files in them.
+    each = files.select("root", "world", folder.alias("folder"), database.alias("database")).where("folder is not null or database is not null").distinct()
+    gathered = each.groupBy("root", "world").agg(F.sort_array(F.collect_set(F.when(F.col("folder").isNotNull(), F.struct(place(F.col("folder")).alias("p"), "folder")))).alias("d"), F.sort_array(F.collect_set("database")).alias("databases"))
+    counted = waypoints.groupBy("world").agg(F.count("*").alias("n"))
+    out = gathered.join(counted, "world", "left")
+    return out.select("root", "world", F.col("d.folder").alias("dims"), "databases", F.coalesce("n", F.lit(0)).alias("waypoint_files"))
+
+
+def named_layers(layers: DataFrame, settings: DataFrame) -> DataFrame:
+    """Layers (world, folder, mw, ...) with display: the name that the folder's settings (world, folder, ord, id, value) give the
+    multiworld, the last of several, else the multiworld's own."""
+    names = settings.groupBy("world", "folder", F.col("id").alias("mw")).agg(F.max_by("value", "ord").alias("named"))
+    return layers.join(names, ["world", "folder", "mw"], "left").withColumn("display", F.coalesce("named", "mw")).drop("named")

@@ -134,3 +134,64 @@ def in_bitset(rows: DataFrame, bits: str = "bits") -> DataFrame:
     k = F.col("iy") * F.col("side") + F.col("ix")
     byte = F.conv(F.hex(F.substring(bits, F.floor(k / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return rows.withColumn("__byte", byte).withColumn("set", F.expr("shiftright(__byte, cast(7 - (iy * side + ix) % 8 as int)) & 1") == 1).drop("__byte")
+
+
+#: State numbers are 16-bit: a table of them has so many rows at most, so it may be broadcast. What isn't in it is air.
+MOST_STATES, AIR_STATE = 1 << 16, "minecraft:air"
+
+
+def state_table(names: DataFrame) -> DataFrame:
+    """id and key of states (id, name): the name with its properties sorted, however they were written.
+
+    Fails if there are more than fit, if two states share a key, or if none is air.
+    """
+    block = F.substring_index("name", "[", 1)
+    inner = F.regexp_extract("name", r"^[^\[]*\[(.*?)\]?$", 1)
+    pairs = F.transform(F.split(inner, ","), lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), F.substring(p, F.instr(p, F.lit("=")) + 1, F.length(p)).alias("value")))
+    keyed = names.select("id", F.when(inner == "", block).otherwise(canonical_state(block, F.map_from_entries(pairs))).alias("key"))
+    n, air, several = keyed.agg(F.count("*"), F.count_if(F.col("key") == AIR_STATE), F.count("*") - F.countDistinct("key")).first()
+    if n > MOST_STATES or not air or several:
+        raise ValueError(f"{n} states, {air} of them air, {several} keys that others have")
+    return keyed
+
+
+def state_ids(entries: DataFrame, states: DataFrame) -> DataFrame:
+    """entries (block, properties) with key, id and known: the number of their state, air's where there is none."""
+    air = states.where(F.col("key") == AIR_STATE).select(F.col("id").alias("air"))
+    keyed = entries.withColumn("key", canonical_state(F.col("block"), F.col("properties")))
+    out = keyed.join(F.broadcast(states), "key", "left")
+    return out.withColumn("known", F.col("id").isNotNull()).withColumn("id", F.coalesce("id", F.lit(air.first()[0])))
+
+
+def unknown_states(resolved: DataFrame, weight: str | None = None) -> DataFrame:
+    """key and n: what state_ids took for air, how often."""
+    n = F.count("*") if weight is None else F.sum(weight)
+    return resolved.where("not known").groupBy("key").agg(n.cast("bigint").alias("n"))
+
+
+def clipped(segments: DataFrame) -> DataFrame:
+    """The parts of segments (ax, az, bx, bz) inside their windows (x0, z0, x1, z1), as the same columns; others go.
+
+    Each side of the window cuts the range [t0, t1] of the segment's parameter that is inside; a segment along a side is
+    inside if it isn't beyond it. A segment that only touches a window is a point of it.
+    """
+    dx, dz = F.col("bx") - F.col("ax"), F.col("bz") - F.col("az")
+    low, high, inside = F.lit(0.0), F.lit(1.0), F.lit(True)
+    for step, room in ((-dx, F.col("ax") - F.col("x0")), (dx, F.col("x1") - F.col("ax")), (-dz, F.col("az") - F.col("z0")), (dz, F.col("z1") - F.col("az"))):
+        t = room.cast("double") / F.when(step != 0, step)
+        low = F.when(step < 0, F.greatest(low, t)).otherwise(low)
+        high = F.when(step > 0, F.least(high, t)).otherwise(high)
+        inside = inside & ((step != 0) | (room >= 0))
+    out = segments.withColumns({"t0": low, "t1": high}).where(inside & (F.col("t0") <= F.col("t1")))
+    at = lambda a, d, t, end, b: F.when(F.col(t) == end, F.col(b).cast("double")).otherwise(F.col(a) + F.col(t) * d)
+    ends = {"ax": at("ax", dx, "t0", 0.0, "ax"), "az": at("az", dz, "t0", 0.0, "az"), "bx": at("ax", dx, "t1", 1.0, "bx"), "bz": at("az", dz, "t1", 1.0, "bz")}
+    kept = [c for c in segments.columns if c not in ends]
+    return out.select(*kept, *(v.alias(k) for k, v in ends.items()))
+
+
+def guides(views: DataFrame) -> DataFrame:
+    """Guide lines of windows (x0, z0, x1, z1, limit): kind (border, axis, diagonal) and the ends of what shows of each line."""
+    n, p, o = -F.col("limit"), F.col("limit"), F.lit(0).cast("bigint")
+    lines = [("border", n, n, p, n), ("border", n, p, p, p), ("border", n, n, n, p), ("border", p, n, p, p), ("axis", n, o, p, o), ("axis", o, n, o, p), ("diagonal", n, n, p, p), ("diagonal", n, p, p, n)]
+    each = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(i).alias("line"), *(c.alias(name) for name, c in zip(("ax", "az", "bx", "bz"), cs))) for i, (k, *cs) in enumerate(lines)))
+    return clipped(views.withColumn("s", F.explode(each)).select(*views.columns, "s.*"))

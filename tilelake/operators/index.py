@@ -86,6 +86,12 @@ def probe_versions(probes: DataFrame) -> DataFrame:
     return probes.groupBy("layer", F.coalesce("version", F.lit("?")).alias("version")).agg(F.count("*").alias("n"))
 
 
+def version_histogram(probes: DataFrame) -> DataFrame:
+    """How many probed files of each layer, and of the whole archive as layer 'all', are of each save version."""
+    own = probe_versions(probes)
+    return own.unionByName(own.groupBy("version").agg(F.sum("n").alias("n")).withColumn("layer", F.lit("all")))
+
+
 def probe_stats(probes: DataFrame) -> DataFrame:
     """Files probed in each layer, those cut short or unreadable, and chunks found (layer, truncated, error, chunks)."""
     return probes.groupBy("layer").agg(F.count("*").alias("sampled"), F.count_if("truncated").alias("truncated"), F.count("error").alias("unreadable"), F.sum("chunks").alias("chunks"))

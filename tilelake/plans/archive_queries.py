@@ -168,7 +168,40 @@ def _days(s, d):
     return table(s, d, "orders").select("o_orderkey", N.day(epoch_ms("o_orderdate") - _k() * 1000).alias("day"), N.safe_dimension_key(key).alias("safe"))
 
 
+TREES = ("xaero/minimap/", "config/xaero/minimap/", "minimap/", "XaeroWaypoints_BACKUP24/", "XaeroWaypoints/backup/", "xaero/minimap/backup--/", "other/", "minimap/backup/backup-/")
+WORLD_FOLDERS = ("", "Overworld/", "dim%-1/", "backup/dim%mod$a/", "backup-/backup/", "temp_to_add/", "Nether/deep/", "odd/")
+
+
+def _trees(s, d):
+    """Waypoint files below two roots, one in the other; some paths are written in two ways."""
+    o, k, c = table(s, d, "orders"), _k(), F.col("o_custkey")
+    root = F.when(k % 3 == 0, "/arch/").when(k % 3 == 1, "/arch/x//").otherwise("/else/")
+    world = F.when(c % 11 == 0, "temp_to_add").otherwise(_text(c, "w"))
+    path = F.concat(root, F.when(k % 2 == 0, "./").otherwise(""), _pick(TREES, F.floor(k / 5)), world, F.lit("/"), _pick(WORLD_FOLDERS, F.floor(k / 7)), _pick(MINI_FILES, F.floor(k / 11)))
+    roots = s.createDataFrame([("/arch",), ("/arch/x",), ("/none",)], "root string")
+    return R.waypoint_trees(o.select(path.alias("path")), roots)
+
+
+def _world_rows(s, d):
+    o, k = table(s, d, "orders"), _k()
+    rest = F.when(k % 5 == 0, F.concat(F.lit("XaeroPlus"), _text(k % 3), F.lit(".db"))).when(k % 5 == 1, "notes/x.zip").otherwise(F.concat(_pick(("null", "DIM1", "DIM-1", "a$b%c", "mod$z"), F.floor(k / 5)), F.lit("/mw$default/0_0.zip")))
+    files = o.select(F.lit("r").alias("root"), _text(F.col("o_custkey"), "w").alias("world"), rest.alias("rest"))
+    points = o.where("o_orderkey % 3 = 0").select(_text(F.col("o_custkey"), "w").alias("world"), _text(k).alias("path"))
+    return R.world_rows(files, points).select("world", F.array_join("dims", ",").alias("dims"), F.array_join("databases", ",").alias("databases"), "waypoint_files")
+
+
+def _named_layers(s, d):
+    o, k, c = table(s, d, "orders"), _k(), F.col("o_custkey")
+    place = [_text(c, "w").alias("world"), _pick(("null", "DIM1"), k).alias("folder")]
+    layers = o.select(*place, _text(k % 4, "mw$").alias("mw")).distinct()
+    return R.named_layers(layers, o.where("o_orderkey % 3 = 0").select(*place, k.alias("ord"), _text(k % 4, "mw$").alias("id"), _text(k, "name ").alias("value")))
+
+
 QUERIES = {
+    "archive_waypoint_trees": lambda s, d: _trees(s, d).select("root", "tree", "kind", "world", *(F.coalesce(c, F.lit("-")).alias(c) for c in ("folder", "dim", "mw")), "path"),
+    "archive_world_rows": _world_rows,
+    "archive_named_layers": _named_layers,
+    "archive_version_histogram": lambda s, d: I.version_histogram(_probes(s, d)),
     "archive_roots": lambda s, d: R.world_files(_rooted(s, d)).groupBy("root", "layout", "world").agg(F.count("*").alias("files"), F.min("rest").alias("first"), F.max("rest").alias("last")),
     "archive_minimap_worlds": _minimap,
     "archive_dimensions": _dimensions,
@@ -202,7 +235,19 @@ _at = lambda values, by: f"list_extract([{_q(values)}], cast({by} as bigint) % {
 _WORLDS = "ws: select n_nationkey ord, 'v' || n_nationkey world, case when n_nationkey = 5 then 's' else 's/w' || n_nationkey end root from nation where n_nationkey < 8"
 _PROBES = "pr: select layer, case when size % 7 > 0 then (size % 7) || '.' || (size % 3) else '?' end version, size % 11 = 0 truncated, size % 13 = 0 bad, size % 1024 chunks from f"
 _RECTANGLES = f"select layer, x, y, px, py, {{4}} side, floor((79200 - 40 * age) / 720.0::double)::bigint r, floor((108000 - 60 * age) / 720.0::double)::bigint g, floor((136800 - 80 * age) / 720.0::double)::bigint b, 230 a from (select *, row_number() over (partition by layer, x, y, px, py order by rx desc, rz desc) n from (select *, cast((rx - x * {{0}}) * 512 // {{1}} as int) px, cast((rz - y * {{0}}) * 512 // {{1}} as int) py from (select layer, rx, rz, cast(floor(rx / {{2}}.0::double) as bigint) x, cast(floor(rz / {{3}}.0::double) as bigint) y, least(greatest(0, {NOW_MS} - mtime_ms) // 86400000, 720) age from f))) where n = 1"
+_AT = "list_extract({0}, cast(({1}) % {2} as int) + 1)"
+
+
+def _listed(values, number):
+    return _AT.format("[" + ", ".join(f"'{v}'" for v in values) + "]", number, len(values))
+
+
+_TREE_PATHS = f"tp: select distinct k % 3 r, case k % 3 when 0 then 'arch/' when 1 then 'arch/x/' else 'else/' end pre, {_listed(TREES, 'k // 5')} t, case when c % 11 = 0 then 'temp_to_add' else 'w' || c end w, {_listed(WORLD_FOLDERS, 'k // 7')} f, {_listed(MINI_FILES, 'k // 11')} n from (select o_orderkey k, o_custkey c from orders)"
 ORACLES = {
+    "archive_waypoint_trees": with_views("select case r when 0 then 'arch' else 'arch/x' end root, rtrim(t, '/') tree, case when contains(t, 'backup') or starts_with(t, 'Xaero') or contains(f, 'backup') then 'archived' else 'live' end kind, w world, case f when 'Overworld/' then 'Overworld' when 'dim%-1/' then 'dim%-1' when 'backup/dim%mod$a/' then 'dim%mod$a' when 'odd/' then 'odd' else '-' end folder, case f when 'Overworld/' then 'minecraft:overworld' when 'dim%-1/' then 'minecraft:the_nether' when 'backup/dim%mod$a/' then 'mod:a' else '-' end dim, case n when 'waypoints.txt' then '-' else 'mw$default' end mw, pre || t || w || '/' || f || n path from tp where r < 2 and t <> 'other/' and w <> 'temp_to_add' and f not in ('temp_to_add/', 'Nether/deep/') and n <> 'config.txt'", _TREE_PATHS),
+    "archive_world_rows": "select * from (select world, coalesce(string_agg(distinct db, ',' order by db), '') databases, count(*) filter (k % 3 = 0) waypoint_files, concat_ws(',', case when bool_or(dim = 'null') then 'null' end, case when bool_or(dim = 'DIM-1') then 'DIM-1' end, case when bool_or(dim = 'DIM1') then 'DIM1' end, case when bool_or(dim = 'a$b%c') then 'a$b%c' end, case when bool_or(dim = 'mod$z') then 'mod$z' end) dims from (select 'w' || o_custkey world, o_orderkey k, case when o_orderkey % 5 > 1 then list_extract(['null', 'DIM1', 'DIM-1', 'a$b%c', 'mod$z'], cast(o_orderkey // 5 % 5 as int) + 1) end dim, case when o_orderkey % 5 = 0 then 'XaeroPlus' || o_orderkey % 3 || '.db' end db from orders) group by world) where dims <> '' or databases <> ''",
+    "archive_named_layers": "select world, folder, mw, coalesce(max_by('name ' || k, k) filter (k % 3 = 0), mw) display from (select 'w' || o_custkey world, case when o_orderkey % 2 = 0 then 'null' else 'DIM1' end folder, 'mw$' || o_orderkey % 4 mw, o_orderkey k from orders) group by 1, 2, 3",
+    "archive_version_histogram": with_views("select layer, version, count(*) n from pr group by 1, 2 union all select 'all', version, count(*) n from pr group by 2", "idx", _ALL, _PROBES),
     "archive_roots": with_views("select 'home/' || root root, lay layout, case when root = 'r4' then 'r4' else 'w' || k0 % 3 end world, count(*) files, min(rest) as first, max(rest) as last from (select *, folder || '/mw$default/' || k0 || '_0.zip' rest from p where folder <> 'cache') group by 1, 2, 3",
         f"p: select k0, case when k % 8 = 7 then 'config/xaero/world-map/' when k % 5 = 4 then '' else {_at(ROOTED, 'k')} end lay, case when k % 8 = 7 then 'r3' when k % 5 = 4 then 'r4' else 'r' || k % 4 end root, case when k % 8 = 7 then 'DIM1' when k % 5 <> 4 and k % 4 = 3 then 'cache' when k0 // 7 % 2 = 0 then 'null' else 'DIM-1' end folder from (select o_orderkey k0, o_orderkey % 40 k from orders)"),
     "archive_minimap_worlds": f"select 'w' || o_custkey world, count(*) files from (select o_custkey, {_at(MINI, 'o_orderkey')} folder, {_at(MINI_FILES, 'o_orderkey // 3')} file from orders) where folder in ('Overworld', 'dim%-1') and file <> 'config.txt' and o_custkey % 3 <> 0 group by 1",

@@ -52,7 +52,35 @@ def _boxes(s, d):
     return C.region_box(boxes, I.bounds(_all(s, d)))
 
 
+def _states(s, d):
+    """States of parts: a table of those with even keys, properties as written in any order, and what all parts resolve to."""
+    p = F.col("p_partkey")
+    part = table(s, d, "part")
+    odd = F.map_from_arrays(F.array(F.lit("waterlogged"), F.lit("facing")), F.array(F.when(p % 2 == 0, "true").otherwise("false"), (p % 4).cast("string")))
+    block = F.concat(F.lit("minecraft:b"), (F.floor(p / 4) % 5000).cast("string"))
+    name = F.concat(block, F.lit("[waterlogged="), F.when(p % 2 == 0, "true").otherwise("false"), F.lit(",facing="), (p % 4).cast("string"), F.lit("]"))
+    known = part.where("p_partkey % 3 > 0 and p_partkey < 20000").select((p + 1).alias("id"), name.alias("name"))
+    table_ = C.state_table(known.union(s.createDataFrame([(0, "minecraft:air")], "id long, name string")))
+    return C.state_ids(part.select("p_partkey", block.alias("block"), odd.alias("properties")), table_)
+
+
+def _segments(s, d):
+    """A segment and a window for each order, whole numbers, some along the window's sides or points."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return C.clipped(table(s, d, "orders").select(k.alias("o_orderkey"), (k * 7 % 41 - 20).alias("ax"), (c * 5 % 37 - 18).alias("az"), (k * 3 % 29 - 14).alias("bx"), (c * 11 % 43 - 21).alias("bz"), (k % 13 - 12).alias("x0"), (c % 9 - 10).alias("z0"), (k % 11).alias("x1"), (c % 7 + 1).alias("z1")))
+
+
+def _guides(s, d):
+    k = F.col("c_custkey")
+    return C.guides(table(s, d, "customer").select("c_custkey", (k * 97 % 7000 - 4000).alias("x0"), (k * 31 % 5000 - 3000).alias("z0"), (k * 97 % 7000 - 4000 + 1500).alias("x1"), (k * 31 % 5000 - 3000 + 1000).alias("z1"), F.lit(2500).cast("bigint").alias("limit")))
+
+
+_ENDS = ("ax", "az", "bx", "bz")
 QUERIES = {
+    "state_ids": lambda s, d: _states(s, d).select("p_partkey", "key", "id", "known"),
+    "state_unknown": lambda s, d: C.unknown_states(_states(s, d)),
+    "segments_clipped": lambda s, d: _segments(s, d).select("o_orderkey", *(F.round(F.col(c) + 0.0, 6).alias(c) for c in _ENDS)),
+    "guide_lines": lambda s, d: _guides(s, d).select("c_custkey", "line", "kind", *(F.round(F.col(c) + 0.0, 3).alias(c) for c in _ENDS)),
     "catalog_layers": lambda s, d: C.layers(_paths(s, d)),
     "catalog_select_worlds": lambda s, d: C.select_worlds(C.layers(_paths(s, d)).select("world").distinct(), "w1"),
     "drawing_merge": lambda s, d: C.merge_drawings(_drawings(s, d, "A"), _drawings(s, d, "B"), C.DRAWING_KEYS["highlights"]),
@@ -69,7 +97,24 @@ _q = lambda values: ", ".join(f"'{v}'" for v in values)
 _PATHS = f"pa: select 'w' || k % 3 world, list_extract([{_q(FOLDERS)}], k % 5 + 1) folder, list_extract([{_q(MULTI)}], k % 3 + 1) mw, k, k % 3 ext, cast(floor(o_totalprice) as bigint) size from (select o_orderkey k, o_totalprice from orders)"
 _LAYERS = "la: select world, folder, case when folder in ('null', 'DIM0') then 'minecraft:overworld' when folder = 'DIM-1' then 'minecraft:the_nether' else 'minecraft:x/y' end dim, mw, case when k % 4 = 1 then cast(k % 5 - 2 as varchar) else 'surface' end layer, count(*) files, cast(sum(size) as bigint) bytes from pa where ext < 2 and mw <> 'caves' and folder <> 'cache' and k % 4 <> 2 group by all"
 _CASE_KIND = "case when name like '%\\_leaves' escape '\\' then 4 when name like '%\\_ore' escape '\\' or name like '%stone' then 1 when contains(name, 'water') then 5 end"
+_ST = "st: select p_partkey, 'minecraft:b' || p_partkey // 4 % 5000 || '[facing=' || p_partkey % 4 || ',waterlogged=' || (p_partkey % 2 = 0) || ']' as key, from part"
+_KNOWN = "kn: select key, p_partkey + 1 id from st where p_partkey % 3 > 0 and p_partkey < 20000"
+_SEG = [
+    "sg: select o_orderkey, (o_orderkey * 7 % 41 - 20)::double ax, (o_custkey * 5 % 37 - 18)::double az, (o_orderkey * 3 % 29 - 14)::double bx, (o_custkey * 11 % 43 - 21)::double bz, o_orderkey % 13 - 12 x0, o_custkey % 9 - 10 z0, o_orderkey % 11 x1, o_custkey % 7 + 1 z1 from orders",
+    "cl: select *, greatest(0, case when bx < ax then (x1 - ax) / (bx - ax) when bx > ax then (x0 - ax) / (bx - ax) else 0 end, case when bz < az then (z1 - az) / (bz - az) when bz > az then (z0 - az) / (bz - az) else 0 end) t0, least(1, case when bx < ax then (x0 - ax) / (bx - ax) when bx > ax then (x1 - ax) / (bx - ax) else 1 end, case when bz < az then (z0 - az) / (bz - az) when bz > az then (z1 - az) / (bz - az) else 1 end) t1 from sg where (ax <> bx or ax between x0 and x1) and (az <> bz or az between z0 and z1)",
+]
+_VIEW = "vw: select c_custkey, greatest(x0, -2500) a, least(x0 + 1500, 2500) b, greatest(z0, -2500) c, least(z0 + 1000, 2500) d, x0, z0, x0 + 1500 x1, z0 + 1000 z1 from (select c_custkey, c_custkey * 97 % 7000 - 4000 x0, c_custkey * 31 % 5000 - 3000 z0 from customer)"
+_LINES = " union all ".join([
+    *(f"select c_custkey, {i} line, '{k}' kind, a::double ax, {z}::double az, b::double bx, {z}::double bz from vw where a <= b and {z} between z0 and z1" for i, k, z in ((0, "border", -2500), (1, "border", 2500), (4, "axis", 0))),
+    *(f"select c_custkey, {i} line, '{k}' kind, {x}::double ax, c::double az, {x}::double bx, d::double bz from vw where c <= d and {x} between x0 and x1" for i, k, x in ((2, "border", -2500), (3, "border", 2500), (5, "axis", 0))),
+    "select c_custkey, 6 line, 'diagonal' kind, greatest(a, c)::double ax, greatest(a, c)::double az, least(b, d)::double bx, least(b, d)::double bz from vw where greatest(a, c) <= least(b, d)",
+    "select c_custkey, 7 line, 'diagonal' kind, greatest(a, -d)::double ax, -greatest(a, -d)::double az, least(b, -c)::double bx, -least(b, -c)::double bz from vw where greatest(a, -d) <= least(b, -c)",
+])
 ORACLES = {
+    "state_ids": with_views("select p_partkey, key, coalesce(id, 0) id, id is not null known from st left join kn using (key)", _ST, _KNOWN),
+    "state_unknown": with_views("select key, count(*) n from st left join kn using (key) where id is null group by key", _ST, _KNOWN),
+    "segments_clipped": with_views("select o_orderkey, round(ax + t0 * (bx - ax) + 0.0, 6) ax, round(az + t0 * (bz - az) + 0.0, 6) az, round(ax + t1 * (bx - ax) + 0.0, 6) bx, round(az + t1 * (bz - az) + 0.0, 6) bz from cl where t0 <= t1", *_SEG),
+    "guide_lines": with_views(f"select c_custkey, line, kind, ax + 0.0 ax, az + 0.0 az, bx + 0.0 bx, bz + 0.0 bz from ({_LINES})", _VIEW),
     "catalog_layers": with_views("select * from la", _PATHS, _LAYERS),
     "catalog_select_worlds": with_views("select distinct world from la where world = 'w1'", _PATHS, _LAYERS),
     "drawing_merge": with_views("select dim, x, z, coalesce(a.color, b.color) color, a.color is null added from a full join b using (dim, x, z)", "hl", "a: select dim, x, z, max(height) color from hl where side = 'A' group by all", "b: select dim, x, z, max(height) color from hl where side = 'B' group by all"),
