@@ -270,3 +270,18 @@ def named_layers(layers: DataFrame, settings: DataFrame) -> DataFrame:
     multiworld, the last of several, else the multiworld's own."""
     names = settings.groupBy("world", "folder", F.col("id").alias("mw")).agg(F.max_by("value", "ord").alias("named"))
     return layers.join(names, ["world", "folder", "mw"], "left").withColumn("display", F.coalesce("named", "mw")).drop("named")
+
+
+def merged_counterparts(layers: DataFrame, merged: DataFrame) -> DataFrame:
+    """id, world of where layers (id, world, folder, mw, layer) lie among those of a merged archive (world, folder, mw, layer).
+
+    The merged world is that of the same name, or else the first by name of the same server; if that one lacks the folder,
+    multiworld or layer there is no counterpart, even if another world of the server has them.
+    """
+    worlds = merged.select("world").distinct()
+    own = layers.select("world").distinct()
+    same = own.join(worlds, "world", "left_semi").select("world", F.col("world").alias("other"))
+    firsts = worlds.groupBy(N.world_key(F.col("world")).alias("server")).agg(F.min("world").alias("other"))
+    alike = own.join(same, "world", "left_anti").withColumn("server", N.world_key(F.col("world"))).join(firsts, "server").select("world", "other")
+    to = layers.join(same.union(alike), "world").select("id", F.col("other").alias("world"), "folder", "mw", "layer")
+    return to.join(merged.select("world", "folder", "mw", "layer").distinct(), ["world", "folder", "mw", "layer"], "left_semi").select("id", "world")

@@ -11,6 +11,8 @@ from tilelake.functions import naming as N
 SHAPES = ("_stairs", "_slab", "_wall", "_fence_gate", "_fence", "_button", "_pressure_plate", "_trapdoor", "_door")
 KINDS = (("_leaves$", "minecraft:oak_leaves"), ("(?:_log|_wood|_planks)$", "minecraft:oak_planks"), ("(?:_ore|stone)$", "minecraft:stone"), ("water", "minecraft:water"))
 UNKNOWN_COLOUR = 0x7F7F7FFF
+#: Blocks that had another name before, and the biome that stands for unknown ones.
+RENAMED, COMMON_BIOME = {"minecraft:grass_path": "minecraft:dirt_path"}, "minecraft:plains"
 #: Blocks that shine by themselves, blocks that are air, and how opaque a block on top is without a colour.
 SHINING = (
     "lava", "glowstone", "shroomlight", "sea_lantern", "jack_o_lantern", "lantern", "soul_lantern", "campfire", "soul_campfire", "fire", "soul_fire", "torch", "wall_torch", "soul_torch", "soul_wall_torch",
@@ -66,7 +68,8 @@ def canonical_state(block: Column, properties: Column) -> Column:
 def colours(blocks: DataFrame, table: DataFrame, aliases: DataFrame) -> DataFrame:
     """name, rgba, missing for each block name.
 
-    Candidates are tried in order: the name, its alias, the material of a derived shape, a block of its kind (missing).
+    Candidates are tried in order: the name, its alias, its name of today, the material of a derived shape, a block of its
+    kind (missing).
     All become rows (name, rank, candidate), met with the small colour table once; the best that is known wins.
     """
     short = F.regexp_replace("name", "^minecraft:", "")
@@ -75,12 +78,22 @@ def colours(blocks: DataFrame, table: DataFrame, aliases: DataFrame) -> DataFram
     kind = None
     for pattern, stand_in in KINDS:
         kind = F.when(short.rlike(pattern), stand_in) if kind is None else kind.when(short.rlike(pattern), stand_in)
+    renamed = F.try_element_at(F.create_map(*(F.lit(v) for pair in RENAMED.items() for v in pair)), F.col("name"))
     shaped = lambda end: F.when(F.col("suffix") != "", F.concat(base, F.lit(end)))
     named = blocks.select("name").distinct().join(aliases.select(F.col("name"), F.col("target")), "name", "left").withColumn("suffix", suffix)
-    tried = named.select("name", F.posexplode(F.array("name", "target", shaped(""), shaped("_planks"), shaped("_block"), kind)).alias("rank", "candidate"))
+    tried = named.select("name", F.posexplode(F.array("name", "target", renamed, shaped(""), shaped("_planks"), shaped("_block"), kind)).alias("rank", "candidate"))
     found = tried.where("candidate is not null").join(table.select(F.col("name").alias("candidate"), "rgba"), "candidate")
     best = found.groupBy("name").agg(F.min_by(F.struct("rgba", "rank"), "rank").alias("b"))
-    return blocks.select("name").distinct().join(best, "name", "left").select("name", F.coalesce("b.rgba", F.lit(UNKNOWN_COLOUR).cast("long")).alias("rgba"), F.coalesce(F.col("b.rank") == 5, F.lit(True)).alias("missing"))
+    return blocks.select("name").distinct().join(best, "name", "left").select("name", F.coalesce("b.rgba", F.lit(UNKNOWN_COLOUR).cast("long")).alias("rgba"), F.coalesce(F.col("b.rank") == 6, F.lit(True)).alias("missing"))
+
+
+def biome_colours(biomes: DataFrame, table: DataFrame) -> DataFrame:
+    """name with its row of table (name and colours) for each biome, that of plains where it has none; known says which."""
+    values = [c for c in table.columns if c != "name"]
+    common = table.where(F.col("name") == COMMON_BIOME).select(F.struct(*values).alias("common"))
+    own = biomes.select("name").distinct().join(table.select("name", F.struct(*values).alias("own")), "name", "left")
+    both = own.join(F.broadcast(common.limit(1).withColumn("one", F.lit(1))), F.col("one") == 1, "left")  # one row
+    return both.select("name", F.coalesce("own", "common").alias("c"), F.col("own").isNotNull().alias("known")).select("name", "c.*", "known")
 
 
 def block_kinds(blocks: DataFrame) -> DataFrame:
@@ -92,6 +105,41 @@ def block_kinds(blocks: DataFrame) -> DataFrame:
     return blocks.withColumns({"air": named(AIR), "shining": named(SHINING), "alpha": alpha, "roof": roof})
 
 
+def drawings_in_window(drawings: DataFrame, dim: str, x0: int, x1: int, z0: int, z1: int) -> DataFrame:
+    """Drawn highlights (dim, x, z, color) of one dimension in a half-open window: comparisons alone, so they reach the scan."""
+    return drawings.where((F.col("dim") == dim) & (F.col("x") >= x0) & (F.col("x") < x1) & (F.col("z") >= z0) & (F.col("z") < z1))
+
+
+def merge_drawing_tables(dest: dict[str, DataFrame], source: dict[str, DataFrame], keys: dict[str, list[str]]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """All tables of either side after source went into dest, and a row of counts for each of source's.
+
+    keys: the key columns that each table declares. Of rows with equal keys the destination's counts; a table that declares
+    none takes all rows and has no overlap. Columns that only the source has are left out and those that only the
+    destination has are null in rows from the source; a table that the destination lacks is taken as it is.
+    """
+    merged, counts = dict(dest), None
+    for name, new in source.items():
+        own, key = dest.get(name), keys.get(name, [])
+        if own is None:
+            merged[name] = new.dropDuplicates(key) if key else new
+            rows = new.select(F.lit(0).alias("d"), F.lit(1).alias("s"))
+            overlap = F.lit(0)
+        else:
+            common = [c for c in new.columns if c in own.columns]
+            added = new.select(*common)
+            if key:
+                added = added.join(own.select(*key).distinct(), key, "left_anti").dropDuplicates(key)
+            merged[name] = own.unionByName(added, allowMissingColumns=True)
+            rows = own.select(*(key or [F.lit(1).alias("k")]), F.lit(1).alias("d"), F.lit(0).alias("s")).unionByName(new.select(*(key or [F.lit(1).alias("k")]), F.lit(0).alias("d"), F.lit(1).alias("s")))
+            if key:  # a row for each key: how many of either side
+                rows = rows.groupBy(*key).agg(F.sum("d").alias("d"), F.sum("s").alias("s"))
+            overlap = F.sum(F.when(F.col("d") > 0, F.col("s")).otherwise(0)) if key else F.lit(0)
+        one = rows.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("source_rows"), F.coalesce(F.sum("d"), F.lit(0)).alias("dest_before"), F.coalesce(overlap, F.lit(0)).alias("overlap"))
+        one = one.select(F.lit(name).alias("name"), *(F.col(c).cast("bigint").alias(c) for c in one.columns)).withColumn("dest_after", F.col("dest_before") + F.col("source_rows") - F.col("overlap"))
+        counts = one if counts is None else counts.union(one)
+    return merged, counts
+
+
 def drawing_report(dest: DataFrame, source: DataFrame) -> DataFrame:
     """What a merge of drawings (dim, family, key) does to each table: rows of the source, of the destination before and after, and
     rows of the source whose key the destination has. key: a family's key columns as one text or struct."""

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilelake.functions.coords import rgb565
+
 TRAIL_POINTS, TRAIL_MS, TELEPORT_BLOCKS_A_SECOND = 30, 60_000, 150
 STALE_MS = 30_000
 
@@ -173,3 +175,28 @@ def flushes(changes: DataFrame) -> DataFrame:
     found = found.groupBy("dim", "part", "slot").agg(*(F.max(c).alias(c) for c in ("t_ms", "n", "place", "waiting"))).where("t_ms is not null")
     first = F.size(F.array_union(F.coalesce("waiting", F.array().cast("array<string>")), F.array("place"))).cast("bigint")
     return found.select("dim", "t_ms", F.when(F.col("place").isNull(), F.col("n")).when(first <= MOST_PLACES, first).alias("n"))
+
+
+CHUNK_PIXELS, TILE_CHUNKS = 16, 32
+
+
+def preview_pixels(canvas: DataFrame, zoom: int) -> DataFrame:
+    """dim, x, y, tx, tz, r, g, b of preview tiles 2^-zoom regions wide, from chunks (dim, cx, cz, pixels, r, g, b).
+
+    pixels: 256 colours of 16 bits, row by row, 0 where there is nothing. While a chunk has two pixels or more of a tile's
+    side each takes the nearest sample; below that a chunk is one pixel of its mean colour r, g, b, and of several chunks
+    on one pixel the last by (cz, cx) shows.
+    """
+    span = 1 << -zoom
+    across, side = span * TILE_CHUNKS, CHUNK_PIXELS // span
+    tile = [F.floor(F.col(c) / across).cast("bigint").alias(o) for c, o in (("cx", "x"), ("cz", "y"))]
+    at = {c: F.pmod(F.col(c), F.lit(across)) for c in ("cx", "cz")}
+    if side >= 2:
+        step = CHUNK_PIXELS // side
+        cells = F.filter(F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda k: F.struct((k % side).alias("p"), F.floor(k / side).cast("int").alias("q"))), lambda s: F.get("pixels", (s["q"] * step * CHUNK_PIXELS + s["p"] * step).cast("int")) != 0)
+        each = canvas.select("dim", *tile, (at["cx"] * side).alias("fx"), (at["cz"] * side).alias("fz"), "pixels", F.explode(cells).alias("s"))
+        colour = rgb565(F.get("pixels", (F.col("s.q") * step * CHUNK_PIXELS + F.col("s.p") * step).cast("int")))
+        return each.select("dim", "x", "y", (F.col("fx") + F.col("s.p")).cast("bigint").alias("tx"), (F.col("fz") + F.col("s.q")).cast("bigint").alias("tz"), *(v.alias(k) for k, v in colour.items()))
+    place = [F.floor(at[c] * CHUNK_PIXELS / span).cast("bigint").alias(o) for c, o in (("cx", "tx"), ("cz", "tz"))]
+    shown = canvas.select("dim", *tile, *place, F.struct("cz", "cx").alias("order"), F.struct(*"rgb").alias("c"))
+    return shown.groupBy("dim", "x", "y", "tx", "tz").agg(F.max_by("c", "order").alias("c")).select("dim", "x", "y", "tx", "tz", "c.*")

@@ -197,7 +197,17 @@ def _named_layers(s, d):
     return R.named_layers(layers, o.where("o_orderkey % 3 = 0").select(*place, k.alias("ord"), _text(k % 4, "mw$").alias("id"), _text(k, "name ").alias("value")))
 
 
+def _merged_places(s, d):
+    """Layers of customers' worlds, and a merged archive that has some worlds by name and others of the same server."""
+    c, k = table(s, d, "customer"), F.col("c_custkey")
+    end = lambda n: _pick(("", ".net", ".com", ".org"), n)
+    world = lambda n: F.concat(F.lit("Multiplayer_"), F.lit("Play"), F.floor(n / 3).cast("string"), end(n))
+    rest = [_pick(("null", "DIM1"), F.col("c_nationkey")).alias("folder"), F.lit("mw$default").alias("mw"), _pick(("surface", "3"), F.floor(k / 2)).alias("layer")]
+    return R.merged_counterparts(c.select(k.alias("id"), world(k).alias("world"), *rest), c.where("c_custkey % 5 < 3").select(world(k + 1).alias("world"), *rest))
+
+
 QUERIES = {
+    "merged_counterparts": _merged_places,
     "archive_waypoint_trees": lambda s, d: _trees(s, d).select("root", "tree", "kind", "world", *(F.coalesce(c, F.lit("-")).alias(c) for c in ("folder", "dim", "mw")), "path"),
     "archive_world_rows": _world_rows,
     "archive_named_layers": _named_layers,
@@ -242,8 +252,12 @@ def _listed(values, number):
     return _AT.format("[" + ", ".join(f"'{v}'" for v in values) + "]", number, len(values))
 
 
+_PLAYED = "'Multiplayer_Play' || ({0}) // 3 || list_extract(['', '.net', '.com', '.org'], cast(({0}) % 4 as int) + 1)"
+_PLAYED_KEY = "lower(regexp_replace(replace({0}, 'Multiplayer_', ''), '\\.(org|net|com)$', ''))"
+_REST = "case when c_nationkey % 2 = 0 then 'null' else 'DIM1' end folder, case when c_custkey // 2 % 2 = 0 then 'surface' else '3' end layer"
 _TREE_PATHS = f"tp: select distinct k % 3 r, case k % 3 when 0 then 'arch/' when 1 then 'arch/x/' else 'else/' end pre, {_listed(TREES, 'k // 5')} t, case when c % 11 = 0 then 'temp_to_add' else 'w' || c end w, {_listed(WORLD_FOLDERS, 'k // 7')} f, {_listed(MINI_FILES, 'k // 11')} n from (select o_orderkey k, o_custkey c from orders)"
 ORACLES = {
+    "merged_counterparts": with_views("select l.id, l.other world from (select lo.*, case when lo.world in (select world from mg) then lo.world else (select min(world) from mg where mk = lk) end other from lo) l semi join mg on mg.world = l.other and mg.folder = l.folder and mg.layer = l.layer", f"lo: select c_custkey id, {_PLAYED.format('c_custkey')} world, {_PLAYED_KEY.format(_PLAYED.format('c_custkey'))} lk, {_REST} from customer", f"mg: select {_PLAYED.format('c_custkey + 1')} world, {_PLAYED_KEY.format(_PLAYED.format('c_custkey + 1'))} mk, {_REST} from customer where c_custkey % 5 < 3"),
     "archive_waypoint_trees": with_views("select case r when 0 then 'arch' else 'arch/x' end root, rtrim(t, '/') tree, case when contains(t, 'backup') or starts_with(t, 'Xaero') or contains(f, 'backup') then 'archived' else 'live' end kind, w world, case f when 'Overworld/' then 'Overworld' when 'dim%-1/' then 'dim%-1' when 'backup/dim%mod$a/' then 'dim%mod$a' when 'odd/' then 'odd' else '-' end folder, case f when 'Overworld/' then 'minecraft:overworld' when 'dim%-1/' then 'minecraft:the_nether' when 'backup/dim%mod$a/' then 'mod:a' else '-' end dim, case n when 'waypoints.txt' then '-' else 'mw$default' end mw, pre || t || w || '/' || f || n path from tp where r < 2 and t <> 'other/' and w <> 'temp_to_add' and f not in ('temp_to_add/', 'Nether/deep/') and n <> 'config.txt'", _TREE_PATHS),
     "archive_world_rows": "select * from (select world, coalesce(string_agg(distinct db, ',' order by db), '') databases, count(*) filter (k % 3 = 0) waypoint_files, concat_ws(',', case when bool_or(dim = 'null') then 'null' end, case when bool_or(dim = 'DIM-1') then 'DIM-1' end, case when bool_or(dim = 'DIM1') then 'DIM1' end, case when bool_or(dim = 'a$b%c') then 'a$b%c' end, case when bool_or(dim = 'mod$z') then 'mod$z' end) dims from (select 'w' || o_custkey world, o_orderkey k, case when o_orderkey % 5 > 1 then list_extract(['null', 'DIM1', 'DIM-1', 'a$b%c', 'mod$z'], cast(o_orderkey // 5 % 5 as int) + 1) end dim, case when o_orderkey % 5 = 0 then 'XaeroPlus' || o_orderkey % 3 || '.db' end db from orders) group by world) where dims <> '' or databases <> ''",
     "archive_named_layers": "select world, folder, mw, coalesce(max_by('name ' || k, k) filter (k % 3 = 0), mw) display from (select 'w' || o_custkey world, case when o_orderkey % 2 = 0 then 'null' else 'DIM1' end folder, 'mw$' || o_orderkey % 4 mw, o_orderkey k from orders) group by 1, 2, 3",

@@ -52,7 +52,7 @@ def _boxes(s, d):
     return C.region_box(boxes, I.bounds(_all(s, d)))
 
 
-def _states(s, d):
+def _resolved(s, d):
     """States of parts: a table of those with even keys, properties as written in any order, and what all parts resolve to."""
     p = F.col("p_partkey")
     part = table(s, d, "part")
@@ -76,9 +76,33 @@ def _guides(s, d):
 
 
 _ENDS = ("ax", "az", "bx", "bz")
+def _tables(s, d, side):
+    """Drawings of one side as three tables: keyed, without a key, and one that only side B has; side A's has a column more."""
+    h = highlights(s, d).where(F.col("side") == side)
+    spots = h.groupBy("dim", "x", "z").agg(F.max("height").alias("color"))
+    notes = h.where("ord % 50 = 0").select("dim", "x", "z")
+    out = {"spots": spots.withColumn("seen", F.lit(1)) if side == "A" else spots, "notes": notes}
+    return out if side == "A" else out | {"rings": h.groupBy("dim", "x").agg(F.count("*").alias("radius"))}
+
+
+def _merged_tables(s, d):
+    return C.merge_drawing_tables(_tables(s, d, "A"), _tables(s, d, "B"), {"spots": ["dim", "x", "z"], "rings": ["dim", "x"]})
+
+
+def _biomes(s, d):
+    names = table(s, d, "part").select(F.concat(F.lit("minecraft:"), F.element_at(F.split("p_type", " "), 1), (F.col("p_size") % 9).cast("string")).alias("name"))
+    known = table(s, d, "part").where("p_size % 9 < 5").select(F.concat(F.lit("minecraft:"), F.element_at(F.split("p_type", " "), 1), (F.col("p_size") % 9).cast("string")).alias("name")).distinct()
+    plains = s.createDataFrame([("minecraft:plains", 7, 8)], "name string, grass long, water long")
+    return C.biome_colours(names, plains.union(known.select("name", F.length("name").cast("long"), F.length("name").cast("long") + 1)))
+
+
 QUERIES = {
-    "state_ids": lambda s, d: _states(s, d).select("p_partkey", "key", "id", "known"),
-    "state_unknown": lambda s, d: C.unknown_states(_states(s, d)),
+    "drawing_tables": lambda s, d: _merged_tables(s, d)[1],
+    "drawing_tables_spots": lambda s, d: _merged_tables(s, d)[0]["spots"].select("dim", "x", "z", "color", F.coalesce("seen", F.lit(0)).alias("seen")),
+    "drawing_window": lambda s, d: C.drawings_in_window(_drawings(s, d, "A"), "minecraft:the_end", -20, 31, -45, 12),
+    "biome_colours": _biomes,
+    "state_ids": lambda s, d: _resolved(s, d).select("p_partkey", "key", "id", "known"),
+    "state_unknown": lambda s, d: C.unknown_states(_resolved(s, d)),
     "segments_clipped": lambda s, d: _segments(s, d).select("o_orderkey", *(F.round(F.col(c) + 0.0, 6).alias(c) for c in _ENDS)),
     "guide_lines": lambda s, d: _guides(s, d).select("c_custkey", "line", "kind", *(F.round(F.col(c) + 0.0, 3).alias(c) for c in _ENDS)),
     "catalog_layers": lambda s, d: C.layers(_paths(s, d)),
@@ -110,10 +134,16 @@ _LINES = " union all ".join([
     "select c_custkey, 6 line, 'diagonal' kind, greatest(a, c)::double ax, greatest(a, c)::double az, least(b, d)::double bx, least(b, d)::double bz from vw where greatest(a, c) <= least(b, d)",
     "select c_custkey, 7 line, 'diagonal' kind, greatest(a, -d)::double ax, -greatest(a, -d)::double az, least(b, -c)::double bx, -least(b, -c)::double bz from vw where greatest(a, -d) <= least(b, -c)",
 ])
+_SPOTS = [f"s{x}: select dim, x, z, max(height) color from hl where side = '{x}' group by 1, 2, 3" for x in "AB"]
+_RINGS = "rg: select distinct dim, x from hl where side = 'B'"
 ORACLES = {
+    "drawing_tables": with_views("select 'spots' as name, (select count(*) from sB) source_rows, (select count(*) from sA) dest_before, (select count(*) from sA join sB using (dim, x, z)) overlap, (select count(*) from sA full join sB using (dim, x, z)) dest_after union all select 'notes', b, a, 0, a + b from (select count(*) filter (side = 'A') a, count(*) filter (side = 'B') b from hl where ord % 50 = 0) union all select 'rings', n, 0, 0, n from (select count(*) n from rg)", "hl", *_SPOTS, _RINGS),
+    "drawing_tables_spots": with_views("select dim, x, z, coalesce(sA.color, sB.color) color, cast(sA.color is not null as int) seen from sA full join sB using (dim, x, z)", "hl", *_SPOTS),
+    "drawing_window": with_views("select * from sA where dim = 'minecraft:the_end' and x >= -20 and x < 31 and z >= -45 and z < 12", "hl", *_SPOTS),
+    "biome_colours": "select name, case when known then length(name) else 7 end grass, known, case when known then length(name) + 1 else 8 end water from (select 'minecraft:' || split_part(p_type, ' ', 1) || p_size % 9 as name, bool_or(p_size % 9 < 5) known from part group by 1)",
     "state_ids": with_views("select p_partkey, key, coalesce(id, 0) id, id is not null known from st left join kn using (key)", _ST, _KNOWN),
     "state_unknown": with_views("select key, count(*) n from st left join kn using (key) where id is null group by key", _ST, _KNOWN),
-    "segments_clipped": with_views("select o_orderkey, round(ax + t0 * (bx - ax) + 0.0, 6) ax, round(az + t0 * (bz - az) + 0.0, 6) az, round(ax + t1 * (bx - ax) + 0.0, 6) bx, round(az + t1 * (bz - az) + 0.0, 6) bz from cl where t0 <= t1", *_SEG),
+    "segments_clipped": with_views("select o_orderkey, round(ax + t0 * (bx - ax), 6) + 0.0::double ax, round(az + t0 * (bz - az), 6) + 0.0::double az, round(ax + t1 * (bx - ax), 6) + 0.0::double bx, round(az + t1 * (bz - az), 6) + 0.0::double bz from cl where t0 <= t1", *_SEG),
     "guide_lines": with_views(f"select c_custkey, line, kind, ax + 0.0 ax, az + 0.0 az, bx + 0.0 bx, bz + 0.0 bz from ({_LINES})", _VIEW),
     "catalog_layers": with_views("select * from la", _PATHS, _LAYERS),
     "catalog_select_worlds": with_views("select distinct world from la where world = 'w1'", _PATHS, _LAYERS),

@@ -68,7 +68,17 @@ def _evicted(s, d):
     return L.evict_regions(_canvas(s, d), positions(s, d).where("event_id % 50 = 0").select("dim", F.floor(F.col("x") / 512).cast("int").alias("rx"), F.floor(F.col("z") / 512).cast("int").alias("rz")))
 
 
+def _chunk_pixels(s, d, zoom):
+    """A chunk for each part: its pixels' colours go with their place, some are nothing."""
+    p = F.col("p_partkey")
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: ((p * 31 + k * 257) % 65536 * F.when((p + k) % 5 == 0, 0).otherwise(1)).cast("int"))
+    chunks = table(s, d, "part").select(F.when(p % 2 == 0, "o").otherwise("n").alias("dim"), (p % 40 - 20).cast("int").alias("cx"), (F.floor(p / 40) - 3).cast("int").alias("cz"), pixels.alias("pixels"), *((p * m % 256).alias(c) for c, m in (("r", 3), ("g", 5), ("b", 7))))
+    return L.preview_pixels(chunks, zoom)
+
+
 QUERIES = {
+    "live_preview_tiles": lambda s, d: _chunk_pixels(s, d, -2),
+    "live_preview_tiles_far": lambda s, d: _chunk_pixels(s, d, -6),
     "live_preview_canvas": _canvas,
     "live_preview_evicted": _evicted,
     "live_flushes": lambda s, d: L.flushes(positions(s, d).select("dim", F.floor(F.col("t_ms") / 100).alias("t_ms"), F.concat_ws("_", "x", "z").alias("place"))),
@@ -104,7 +114,11 @@ _S = f"""sy: select world, dim, mw_file, name, x, y_key, z, coalesce(b.initials,
 _LINE = "'waypoint:' || replace(name, ':', '§§') || ':' || initials || ':' || x || ':' || case when y_key = -100000 then '~' else cast(y_key as varchar) end || ':' || z || ':' || color || ':' || disabled || ':0:' || wp_set || ':false:0:0:false'"
 _STEP = "sqrt((x - lag(x) over w)::double ** 2 + (z - lag(z) over w)::double ** 2)"
 _CANVAS = "cv: select dim, cx, cz, first, last, value from (select *, row_number() over (partition by dim order by first desc, cx, cz) n from (select dim, cast(floor(x / 16.0) as int) cx, cast(floor(z / 16.0) as int) cz, min(event_id) as first, max(event_id) as last, max_by(player, event_id) as value from pos group by 1, 2, 3)) where n <= 500"
+_CHUNKS = "ch: select case when p_partkey % 2 = 0 then 'o' else 'n' end dim, p_partkey p, p_partkey % 40 - 20 cx, p_partkey // 40 - 3 cz from part"
+_CHANNEL = "cast(((v >> {0}) & {1}) * 255 + {1} // 2 as bigint) // {1} {2}"
 ORACLES = {
+    "live_preview_tiles": with_views(f"select dim, cast(floor(cx / 128.0) as bigint) x, cast(floor(cz / 128.0) as bigint) y, ((cx % 128 + 128) % 128) * 4 + k % 4 tx, ((cz % 128 + 128) % 128) * 4 + k // 4 tz, {_CHANNEL.format(11, 31, 'r')}, {_CHANNEL.format(5, 63, 'g')}, {_CHANNEL.format(0, 31, 'b')} from (select *, case when (p + s) % 5 = 0 then 0 else (p * 31 + s * 257) % 65536 end v from (select *, k // 4 * 4 * 16 + k % 4 * 4 s from ch, range(16) t(k))) where v <> 0", _CHUNKS),
+    "live_preview_tiles_far": with_views("select dim, x, y, tx, tz, p * 3 % 256 r, p * 5 % 256 g, p * 7 % 256 b from (select *, row_number() over (partition by dim, x, y, tx, tz order by cz desc, cx desc) n from (select *, cast(floor(cx / 2048.0) as bigint) x, cast(floor(cz / 2048.0) as bigint) y, ((cx % 2048 + 2048) % 2048) * 16 // 64 tx, ((cz % 2048 + 2048) % 2048) * 16 // 64 tz from ch)) where n = 1", _CHUNKS),
     "live_preview_canvas": with_views("select * from cv", "pos", _CANVAS),
     "live_preview_evicted": with_views("select * from cv where not exists (select 1 from pos p where p.event_id % 50 = 0 and p.dim = cv.dim and floor(p.x / 512.0) = floor(cv.cx / 32.0) and floor(p.z / 512.0) = floor(cv.cz / 32.0))", "pos", _CANVAS),
     "waypoint_parse": with_views("select ord, name, initials, x, coalesce(y, -1) y, z, color, disabled, wp_set, y_key, list_extract(['#000000', '#0000aa', '#00aa00', '#00aaaa', '#aa0000', '#aa00aa', '#ffaa00', '#aaaaaa', '#555555', '#5555ff', '#55ff55', '#55ffff', '#ff5555', '#ff55ff', '#ffff55', '#ffffff', '#c74ebd', '#3ab3da', '#80c71f', '#f38baa'], color % 20 + 1) rgb from r", "wp", _WP),

@@ -103,7 +103,20 @@ def _evicted(s, d):
     return s.read.schema("layer string, rx int, rz int, due_ms long").parquet(f"{folder}/out").where("layer = 'surface'")
 
 
+def _fresh_settings(s, d):
+    """Settings of folders, some of which had a file before: those stay."""
+    c, root = table(s, d, "customer"), shared_folder(s)
+    place = [F.concat(F.lit("w"), (F.col("c_custkey") % 400).cast("string")).alias("world"), F.when(F.col("c_nationkey") % 2 == 0, "DIM-1").otherwise("null").alias("folder")]
+    dim = F.when(F.col("folder") == "null", "minecraft:overworld").otherwise("minecraft:the_nether")
+    folders = c.select(*place).distinct().select("world", "folder", F.lit("mw$default").alias("mw"), dim.alias("dim"))
+    file_sink.save(file_sink.dimension_settings(folders.where("world < 'w2'")).withColumn("content", F.encode(F.lit("edited"), "UTF-8")), root)
+    for _ in range(2):
+        file_sink.save_missing(file_sink.dimension_settings(folders), root)
+    return file_sink.contents(file_sink.listing(s, root), root).select("path", F.decode("content", "UTF-8").alias("text"))
+
+
 QUERIES = {
+    "file_fresh_settings": _fresh_settings,
     "upload_merged": lambda s, d: _uploaded(s, d).merged.read(),
     "upload_players": lambda s, d: _uploaded(s, d).players.read().select("player", "layer", "rx", "rz", "mtime_ms", "number"),
     "upload_refused": lambda s, d: uploads.refused(_uploads(s, d)),
@@ -127,6 +140,7 @@ _UP = [
     "tl: select distinct rx, rz, number, put, max(mtime_ms) over (partition by rx, rz) mtime_ms, cast(l_linenumber % 3 as int) tx from tk join lineitem on l_orderkey = number",
 ]
 ORACLES = {
+    "file_fresh_settings": "select world || '/' || folder || '/dimension_config.txt' path, case when world < 'w2' then 'edited' else 'MWName:mw$default:Map 1' || chr(10) || 'caveModeType:0' || chr(10) || 'dimensionTypeId:' || case folder when 'null' then 'minecraft:overworld' else 'minecraft:the_nether' end || chr(10) end as text from (select distinct 'w' || c_custkey % 400 world, case when c_nationkey % 2 = 0 then 'DIM-1' else 'null' end folder from customer)",
     "upload_merged": with_views("select 'surface' layer, rx, rz, max(mtime_ms) mtime_ms, tx, 0 tz, 'v' || max_by(number, (put, case when put then number else -number end)) as value from tl group by rx, rz, tx", *_UP),
     "upload_players": with_views("select player, layer, rx, rz, mtime_ms, number from (select *, row_number() over (partition by player, rx, rz order by number desc) n from tk) where n = 1", *_UP),
     "upload_refused": with_views("select number, player, layer, rx, rz, why from up where why is not null", *_UP),

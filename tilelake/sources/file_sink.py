@@ -233,3 +233,15 @@ def place(files: DataFrame, root: str, target: str) -> DataFrame:
             yield pa.record_batch({"path": batch.column("path"), "bytes": batch.column("bytes"), "did": pa.array(done, pa.string())})
 
     return files.select("path", "place", "bytes", "mtime_ms").mapInArrow(run, "path string, bytes long, did string")
+
+
+def save_missing(files: DataFrame, root: str) -> None:
+    """Write those of files whose path isn't there yet: a second run changes nothing that someone may have edited."""
+    there = listing(files.sparkSession, root).select("path")
+    save(files.join(there, "path", "left_anti").select(*files.columns), root)
+
+
+def dimension_settings(folders: DataFrame) -> DataFrame:
+    """The settings file (path, content) of each world's dimension folder (world, folder, mw, dim), for a fresh archive."""
+    text = F.concat(F.lit("MWName:"), "mw", F.lit(":Map 1\ncaveModeType:0\ndimensionTypeId:"), "dim", F.lit("\n"))
+    return folders.select(F.concat_ws("/", "world", "folder", F.lit("dimension_config.txt")).alias("path"), F.encode(text, "UTF-8").alias("content"))
