@@ -233,3 +233,23 @@ def test_evictions_wait(spark, tmp_path):
     assert put(2, (4, 12_600)) == [(1, 12_500)]
     assert put(3, (4, 14_000)) == [(1, 12_500), (1, 13_900), (2, 13_500)]
     assert put(4, (4, 60_000)) == [(1, 12_500), (1, 13_900), (2, 13_500), (3, 14_900), (4, 15_100), (4, 16_500)]
+
+
+def test_folds_delete_what_they_cover(spark, tmp_path):
+    from tilelake.streaming import live
+
+    out, rows = f"file://{tmp_path}/t", []
+    fold = live.merge_highlights(out, every=3)
+    for number in range(11):
+        own = [("d", k % 7, number % 3, 100 * ((number * 7 + k) % 11)) for k in range(number, number + 5)]
+        rows += own
+        frame = spark.createDataFrame(own, "dim string, x int, z int, found_time long")
+        fold(frame, number)
+        if number in (2, 7, 8):
+            fold(frame, number)  # a batch that comes twice
+        least = {}
+        for d, x, z, t in rows:
+            least[d, x, z] = min(t, least.get((d, x, z), t))
+        assert {(r["dim"], r["x"], r["z"]): r["found_time"] for r in live.merged_highlights(spark, out, every=3).collect()} == least
+    assert sorted(os.listdir(tmp_path / "t/base")) == ["upto=6", "upto=9"]
+    assert len([n for n in os.listdir(tmp_path / "t/delta") if "=" in n]) == 5

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tilelake.operators.highlights import merge
 from tilelake.operators.live import admit
-
+from tilelake.sources.tables import Folder
 
 #: Batches after which a stream's deltas are folded into one table.
 FOLD_EVERY = 16
@@ -22,27 +22,37 @@ def merge_highlights(table: str, keys: tuple[str, ...] = ("dim", "x", "z"), ever
     """For foreachBatch: keeps each batch's minima in folder table/delta and folds every so many batches into table/base.
 
     A batch reads nothing but itself; only each fold reads and writes the whole. A batch that comes twice writes the same
-    delta again, and a fold is made of the base and deltas before it, so a restart changes nothing.
+    delta again, and a fold is made of the base and deltas before it, so a restart changes nothing. A fold deletes what the
+    fold before it covers, so two bases and the deltas since the older one are all there ever is.
     """
 
     def fold(batch: DataFrame, number: int) -> None:
         merge(batch, keys=keys).write.mode("overwrite").parquet(f"{table}/delta/batch={number}")
         if (number + 1) % every == 0:
             merged_highlights(batch.sparkSession, table, number, keys, every, folded=False).write.mode("overwrite").parquet(f"{table}/base/upto={number + 1}")
+            folder = Folder(batch.sparkSession, table)
+            for kind in ("delta", "base"):
+                for name, n in _numbered(folder, kind):
+                    if n < number + 1 - every:
+                        folder.delete(f"{kind}/{name}")
 
     return fold
 
 
+def _numbered(folder: Folder, kind: str) -> list[tuple[str, int]]:
+    """Names below a folder of deltas or bases, with their numbers."""
+    return [(n, int(n.partition("=")[2])) for n in folder.names(kind) if "=" in n]
+
+
 def merged_highlights(spark: SparkSession, table: str, last: int | None = None, keys: tuple[str, ...] = ("dim", "x", "z"), every: int = FOLD_EVERY, folded: bool = True) -> DataFrame:
     """The table after batch last (the newest if not given): the latest base and the deltas after it, which partitions prune.
 
     folded: whether a base that last itself completes is there already.
     """
-    deltas = spark.read.parquet(f"{table}/delta")
     if last is None:
-        last = deltas.agg(F.max("batch")).first()[0]
+        last = max(n for _, n in _numbered(Folder(spark, table), "delta"))
     base = (last + 1 if folded else last) // every * every
-    new = deltas.where(F.col("batch").between(base, last)).drop("batch")
+    new = spark.read.parquet(f"{table}/delta").where(F.col("batch").between(base, last)).drop("batch")
     return merge(spark.read.parquet(f"{table}/base/upto={base}"), new, keys=keys) if base else merge(new, keys=keys)
 
 
