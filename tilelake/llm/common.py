@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -143,6 +144,16 @@ def numbered(df: DataFrame, group: str, order: list, place: str = "pos") -> Data
 # --- Arrow text buffers ---------------------------------------------------------------------------------------------
 
 
+_libc = ctypes.CDLL(None)
+
+
+def trim() -> None:
+    """Give a worker's freed memory back: workers live on between tasks, and two of them share an executor's with the JVM."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts hold at most limit bytes together, or one row with a longer text."""
     lengths = pc.binary_length(batch.column(column).cast(pa.string())).fill_null(0).to_numpy(zero_copy_only=False)
@@ -152,6 +163,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         hi = max(lo + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(lo, hi - lo)
         lo = hi
+    trim()
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilelake.llm.common import stage, table
+from tilelake.llm.common import slices, stage, table
 
 TOKENIZER = "byte_bpe_50k.json"
 SEQUENCE, END_ID = 1024, 0
@@ -155,8 +155,8 @@ def _pack(path: str, with_ids: bool):
         partition, windows, encode, number = TaskContext.get().partitionId(), Windows(), encoder(path), 0
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part, done = batch.slice(lo, 256), []
+            for part in slices(batch):
+                done = []
                 for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                     ids = encode(text or "") + end
                     for pieces in windows.add((doc, ids), len(ids) // 4):

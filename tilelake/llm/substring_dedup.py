@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilelake.llm.common import Words, mix, named, slices, stage, table, text_buffer, window_hashes
+from tilelake.llm.common import Words, mix, named, slices, stage, table, text_buffer, trim, window_hashes
 
 WINDOW_WORDS = 35
 #: Bytes of text in a chunk on average, at least and at most; a bucket's windows come from twice as many.
@@ -228,6 +228,13 @@ def _sizes(nbytes: int) -> tuple[int, int]:
     return nbytes // chunk + 1, nbytes // (2 * chunk) + 1
 
 
+def _lean(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """run for one chunk or bucket, after which the worker gives its memory back."""
+    if run.__code__.co_argcount == 1:
+        return lambda group: (run(group), trim())[0]
+    return lambda docs, answers: (run(docs, answers), trim())[0]
+
+
 def remove_repeats(docs: DataFrame, size: int = WINDOW_WORDS, passed: tuple[str, ...] = ("doc_id",), exact: bool = False, first_bits: int = FIRST_BITS) -> DataFrame:
     """row (a struct of the passed columns), n_words, n_removed, kept (the text left), starts, ends (intervals, in words).
 
@@ -241,12 +248,12 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW_WORDS, passed: tuple[str,
     if largest > SPLIT_BYTES + 4 * nbytes // CLASSES:
         rows = stage(rows.withColumn("number", F.monotonically_increasing_id())).withColumn("place", F.xxhash64("place", "number"))
     dealt = rows.select(F.pmod("place", F.lit(chunks)).cast("int").alias("chunk"), "row", "text").repartition("chunk")
-    asked = dealt.groupBy("chunk").applyInArrow(_ask(size, buckets, first_bits), _BUCKET)
-    answers = asked.groupBy("bucket").applyInArrow(_count(-(-first_bits // 8)), _BUCKET).where(F.octet_length("twice") > 0)
-    again = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_ask_again(size, buckets, first_bits), _BUCKET)
-    answers = again.groupBy("bucket").applyInArrow(_count(8), _BUCKET).where(F.octet_length("twice") > 0)
+    asked = dealt.groupBy("chunk").applyInArrow(_lean(_ask(size, buckets, first_bits)), _BUCKET)
+    answers = asked.groupBy("bucket").applyInArrow(_lean(_count(-(-first_bits // 8))), _BUCKET).where(F.octet_length("twice") > 0)
+    again = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_lean(_ask_again(size, buckets, first_bits)), _BUCKET)
+    answers = again.groupBy("bucket").applyInArrow(_lean(_count(8)), _BUCKET).where(F.octet_length("twice") > 0)
     schema = T.StructType([dealt.schema["row"], *_FOUND])
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_keep(size, buckets, first_bits, exact), schema)
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_lean(_keep(size, buckets, first_bits, exact)), schema)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
