@@ -96,3 +96,23 @@ def test_clipping(spark):
     rows = [(k, *(rng.randint(-9, 9) for _ in range(4)), -rng.randint(0, 6), -rng.randint(0, 6), rng.randint(0, 6), rng.randint(0, 6)) for k in range(2000)]
     got = {r["k"]: tuple(round(r[c], 6) + 0.0 for c in ("ax", "az", "bx", "bz")) for r in C.clipped(spark.createDataFrame(rows, "k long, ax long, az long, bx long, bz long, x0 long, z0 long, x1 long, z1 long")).collect()}
     assert got == {r[0]: tuple(v + 0.0 for v in c) for r in rows if (c := exact(r[1:5], r[5:]))}
+
+
+def test_windows_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([("d", k, -k, 1, "x") for k in range(50)], "dim string, x long, z long, color long, more string").write.parquet(f"{tmp_path}/t")
+    found = C.drawings_in_window(spark.read.parquet(f"{tmp_path}/t"), "d", 3, 9, -7, 0).select("x")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(x,3)" in plan and "more" not in plan.split("ReadSchema")[1]
+    assert sorted(r["x"] for r in found.collect()) == [3, 4, 5, 6, 7]
+
+
+def test_tables_of_drawings(spark):
+    """A table that the destination lacks, one without declared keys, and columns that only one side has."""
+    frame = spark.createDataFrame
+    dest = {"a": frame([(1, "old", 5)], "k long, v string, own long"), "free": frame([(1,)], "k long")}
+    source = {"a": frame([(1, "new", 7), (2, "new", 7), (2, "again", 7)], "k long, v string, other long"), "free": frame([(1,), (1,)], "k long"), "fresh": frame([(4, 4)], "k long, w long")}
+    merged, counts = C.merge_drawing_tables(dest, source, {"a": ["k"], "fresh": ["k"]})
+    rows = sorted(map(tuple, merged["a"].collect()))
+    assert rows[0] == (1, "old", 5) and rows[1][0] == 2 and rows[1][2] is None and len(rows) == 2 and merged["a"].columns == ["k", "v", "own"]
+    assert merged["free"].count() == 3 and merged["fresh"].count() == 1
+    assert {r["name"]: tuple(r)[1:] for r in counts.collect()} == {"a": (3, 1, 1, 3), "free": (2, 1, 0, 3), "fresh": (1, 0, 0, 1)}

@@ -93,3 +93,18 @@ def test_plans(spark, small):
     """One row for each key without a window over keys; each cause's files are ranked in parts."""
     plan = lambda name: QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan("highlight_normalise") and "pmod" in plan("region_issues")
+
+
+#: Queries whose result is one row of sums or counts: the only ones that may gather partial rows in one task.
+ONE_ROW = {"drawing_tables", "highlight_overlap", "highlight_row_cap", "waypoint_sync_report"}
+
+
+def test_no_plan_gathers_or_multiplies(spark, small):
+    """No query's plan sends rows to one task, or joins without equal keys. Streams and stores run before they are planned."""
+    from tilelake.plans import file_queries, store_queries
+
+    eager = {*store_queries.QUERIES, *file_queries.QUERIES, "merge_run_report", "merge_run_tiles"}
+    for name in sorted(set(QUERIES) - eager):
+        plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+        assert "SinglePartition" not in plan or name in ONE_ROW, name

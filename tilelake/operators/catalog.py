@@ -90,10 +90,10 @@ def colours(blocks: DataFrame, table: DataFrame, aliases: DataFrame) -> DataFram
 def biome_colours(biomes: DataFrame, table: DataFrame) -> DataFrame:
     """name with its row of table (name and colours) for each biome, that of plains where it has none; known says which."""
     values = [c for c in table.columns if c != "name"]
-    common = table.where(F.col("name") == COMMON_BIOME).select(F.struct(*values).alias("common"))
+    common = table.where(F.col("name") == COMMON_BIOME).select(*values).first()
+    instead = F.struct(*(F.lit(None if common is None else common[c]).cast(table.schema[c].dataType).alias(c) for c in values))
     own = biomes.select("name").distinct().join(table.select("name", F.struct(*values).alias("own")), "name", "left")
-    both = own.join(F.broadcast(common.limit(1).withColumn("one", F.lit(1))), F.col("one") == 1, "left")  # one row
-    return both.select("name", F.coalesce("own", "common").alias("c"), F.col("own").isNotNull().alias("known")).select("name", "c.*", "known")
+    return own.select("name", F.coalesce("own", instead).alias("c"), F.col("own").isNotNull().alias("known")).select("name", "c.*", "known")
 
 
 def block_kinds(blocks: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def _colours(s, d):
     p = F.col("p_partkey")
     blocks = table(s, d, "part").select(F.concat(F.lit("minecraft:"), _pick(BLOCKS, p), _pick(SUFFIXES, F.floor(p / 6))).alias("name"))
     known = s.range(6).select(F.concat(F.lit("minecraft:"), _pick(("stone", "oak_planks", "brick_block", "oak_leaves", "water", "sand"), F.col("id"))).alias("name"), (F.col("id") + 1).alias("rgba"))
-    aliases = s.range(1).select(F.lit("minecraft:odd").alias("name"), F.lit("minecraft:sand").alias("target"))
+    aliases = s.createDataFrame([("minecraft:odd", "minecraft:sand")], "name string, target string")
     return C.colours(blocks, known, aliases)
 
 
