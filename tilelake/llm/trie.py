@@ -153,7 +153,7 @@ def _rolled_up(shared: DataFrame, walk: DataFrame) -> DataFrame:
         return spark.createDataFrame([], schema)
     long = lambda v: F.lit(v).cast("long")
     leaves = F.when(F.col("n_children") == 0, 1).otherwise(0) + F.col("lone")
-    nodes = shared.select("conv", "depth", long(top[0]).alias("top_conv"), long(0).alias("top_depth"), long(top[1]).alias("total"), "weight", leaves.alias("leaves"), ((F.col("n_convs") - 1) * F.col("bytes")).alias("saved"), long(0).alias("below_leaves"), long(0).alias("below_saved"))
+    nodes = stage(shared.select("conv", "depth", long(top[0]).alias("top_conv"), long(0).alias("top_depth"), long(top[1]).alias("total"), "weight", leaves.alias("leaves"), ((F.col("n_convs") - 1) * F.col("bytes")).alias("saved"), long(0).alias("below_leaves"), long(0).alias("below_saved")))
     comp = ["top_conv", "top_depth"]
     while True:
         centroids = nodes.where(F.col("weight") * 2 > F.col("total")).groupBy(*comp).agg(F.max_by(F.struct("conv", "depth", "weight"), "depth").alias("c"))
