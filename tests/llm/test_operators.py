@@ -679,6 +679,34 @@ def test_sharding_of_copies(spark):
     assert sum(n > 1 for c, n in split.items() if c != zlib.crc32(b"copy")) <= 7
 
 
+def test_ranks_by_plain_sorting(spark, monkeypatch):
+    """Quantiles of sizes, a group's least language and source, the curve's order, then hashes: by plain sorting."""
+    import xxhash
+
+    monkeypatch.setattr(sharding, "LARGE", 20)
+    rng = random.Random(13)
+    rows = [(k, rng.choice(["copy", "other copy", None, ""]) if k % 3 == 0 else prose(rng, rng.randint(1, 30)), rng.choice(["en", "de", None, "fr"]), f"s{rng.randint(0, 9)}") for k in range(400)]
+    got = {r["doc_id"]: (r["curve_index"], r["shard"], r["slot"]) for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(7), 8).collect()}
+    signed = lambda n: n - (1 << 64) if n >> 63 else n
+    hashed = lambda data: signed(xxhash.xxh64(data, seed=42).intdigest())
+    size = {k: len((t or "").encode()) + 1 for k, t, _, _ in rows}
+    ordered, steps = sorted(size.values()), 1 << sharding.BITS
+    quantiles = [ordered[-(-k * len(rows) // steps) - 1] for k in range(1, steps)]
+    groups = {}
+    for k, t, lang, source in rows:
+        groups.setdefault(t or "", []).append((zlib.crc32((lang or "").encode()) % steps, zlib.crc32((source or "").encode()) % steps))
+    index, keyed = sharding.curve(), []
+    for k, t, _, _ in rows:
+        h, own = hashed((t or "").encode()), groups[t or ""]
+        cell = (sum(size[k] > q for q in quantiles) * steps + min(a for a, _ in own)) * steps + min(b for _, b in own)
+        large, u = len(own) * 20 > len(rows), hashed(k.to_bytes(8, "little")) % (1 << sharding.ID_BITS)
+        keyed.append(((index[cell], h % (1 << 64) >> 64 - sharding.TEXT_BITS, h if large else 0, u if large else 0, h, k), k))
+    assert any(x[2] for x, _ in keyed) and not all(x[2] for x, _ in keyed)
+    for rank, (key, k) in enumerate(sorted(keyed)):
+        shard = rank * 8 // len(rows)
+        assert got[k] == (key[0], shard, rank - (shard * len(rows) + 7) // 8)
+
+
 def test_shards_prune_better_than_ids(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     by_curve = sharding.shard(docs, 16).select("doc_id", "shard").join(docs, "doc_id")
