@@ -175,3 +175,29 @@ def test_settings_of_whole_lines(spark, tmp_path):
                 key, _, value = line.replace(".", ":").partition(":")
                 want.setdefault((k, key), value)
     assert {(r["doc_id"], r["key"]): r["value"] for r in QUERIES["settings_whole_lines"](spark, str(tmp_path)).collect()} == want
+
+
+@pytest.mark.parametrize("size", [1, 3, 10**9])
+def test_blocks_of_events(spark, size):
+    """Running maxima and paths by blocks of any size are those of a plain walk."""
+    import math
+    import random
+
+    rng = random.Random(size)
+    rows = [(k, rng.randint(0, 2), rng.randint(0, 60), rng.choice("ab"), rng.randint(-9, 9), rng.randint(-9, 9)) for k in range(200)] + [(500, 9, 1, "a", 0, 0)]
+    events = spark.createDataFrame(rows, "event_id long, player long, t_ms long, dim string, x long, z long").repartition(3)
+    top, kept = {}, []
+    for e in sorted(rows):
+        if e[2] >= top.get(e[1], -1):
+            kept.append(e)
+        top[e[1]] = max(top.get(e[1], -1), e[2])
+    assert sorted(map(tuple, L.in_order(events, size).collect())) == kept
+    paths, last = {}, {}
+    for _, player, _, dim, x, z in sorted(rows, key=lambda e: (e[2], e[0])):
+        key = (player, dim)
+        paths.setdefault(key, None)
+        if key in last:
+            paths[key] = (paths[key] or 0) + math.hypot(x - last[key][0], z - last[key][1])
+        last[key] = x, z
+    got = {(r["player"], r["dim"]): r["blocks"] for r in L.path_length(events, size).collect()}
+    assert set(got) == set(paths) and all(got[k] == pytest.approx(paths[k]) for k in paths)

@@ -13,6 +13,8 @@ from tilelake.functions.coords import rgb565
 
 TRAIL_POINTS, TRAIL_MS, TELEPORT_BLOCKS_A_SECOND = 30, 60_000, 150
 STALE_MS = 30_000
+#: Arrivals, and milliseconds, that one task puts in order at a time.
+ORDER_BLOCK, PATH_BLOCK_MS = 1 << 16, 3_600_000
 
 
 def latest(events: DataFrame) -> DataFrame:
@@ -21,10 +23,20 @@ def latest(events: DataFrame) -> DataFrame:
     return events.groupBy("player").agg(F.max_by(values, F.struct("t_ms", "event_id")).alias("p")).select("player", "p.*")
 
 
-def in_order(events: DataFrame) -> DataFrame:
-    """Events in order of arrival (event_id) that aren't older than one before them."""
-    before = Window.partitionBy("player").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return events.withColumn("latest", F.max("t_ms").over(before)).where("latest is null or t_ms >= latest").drop("latest")
+def in_order(events: DataFrame, block: int = ORDER_BLOCK) -> DataFrame:
+    """Events in order of arrival (event_id) that aren't older than one of their player before them.
+
+    A player's running maximum is taken in blocks of arrivals: within a block over its rows, before it over one row a block,
+    so that a task sorts a block or a player's blocks, never all of a player's events.
+    """
+    columns, events = events.columns, events.withColumn("block", F.floor(F.col("event_id") / block))
+    tops = events.groupBy("player", "block").agg(F.max("t_ms").alias("top"))
+    earlier = Window.partitionBy("player").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("player", "block", F.max("top").over(earlier).alias("earlier"))
+    inner = Window.partitionBy("player", "block").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    both = events.withColumn("inner", F.max("t_ms").over(inner)).join(tops, ["player", "block"])
+    latest_ = F.greatest("inner", "earlier")
+    return both.where(latest_.isNull() | (F.col("t_ms") >= latest_)).select(*columns)
 
 
 def trails(events: DataFrame) -> DataFrame:
@@ -44,11 +56,21 @@ def trails(events: DataFrame) -> DataFrame:
     return ranked.where((F.col("back") <= TRAIL_POINTS) & (F.col("part") == F.col("last_part"))).select("player", "event_id", "t_ms", "x", "z")
 
 
-def path_length(events: DataFrame) -> DataFrame:
-    """Blocks walked by each player in each dimension, point to point."""
-    order = Window.partitionBy("player", "dim").orderBy("t_ms", "event_id")
-    step = F.hypot(F.col("x") - F.lag("x").over(order), F.col("z") - F.lag("z").over(order))
-    return events.withColumn("step", step).groupBy("player", "dim").agg(F.sum("step").alias("blocks"))
+def path_length(events: DataFrame, block_ms: int = PATH_BLOCK_MS) -> DataFrame:
+    """Blocks walked by each player in each dimension, point to point.
+
+    Points are put in order within stretches of block_ms; from one stretch to the next goes a step from its last point to the
+    other's first, found among one row a stretch.
+    """
+    order, place = F.struct("t_ms", "event_id"), F.struct("x", "z")
+    far = lambda x, z, a, b: F.hypot(x - a, z - b)
+    events = events.withColumn("block", F.floor(F.col("t_ms") / block_ms))
+    inside = Window.partitionBy("player", "dim", "block").orderBy("t_ms", "event_id")
+    steps = events.select("player", "dim", far(F.col("x"), F.col("z"), F.lag("x").over(inside), F.lag("z").over(inside)).alias("step"))
+    ends = events.groupBy("player", "dim", "block").agg(F.min_by(place, order).alias("first"), F.max_by(place, order).alias("last"))
+    along = F.lag("last").over(Window.partitionBy("player", "dim").orderBy("block"))
+    across = ends.withColumn("from", along).select("player", "dim", far(F.col("first.x"), F.col("first.z"), F.col("from.x"), F.col("from.z")).alias("step"))
+    return steps.union(across).groupBy("player", "dim").agg(F.sum("step").alias("blocks"))
 
 
 def nether_blocks(lengths: DataFrame) -> DataFrame:

@@ -50,9 +50,10 @@ def _worlds(s, d, auto=False):
     return M.pair_worlds(w.where("c_custkey % 5 <= 2"), w.where("c_custkey % 5 >= 2"), aliases, auto).withColumn("taken_by", F.coalesce("taken_by", F.lit("-")))
 
 
-def _settings_files(o, file):
-    """Lines of orders as settings files of two sides, merged."""
-    line = F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("MWName:mw"), (F.col("o_custkey") % 13).cast("string"), F.when(F.col("o_orderkey") % 7 == 0, "").otherwise(":n"))).otherwise(F.concat(F.lit("note "), F.col("o_custkey").cast("string")))
+def _settings_files(o, file, end=":n"):
+    """Lines of orders as settings files of two sides, merged. end: what a named line ends in."""
+    end = F.lit(end) if isinstance(end, str) else end
+    line = F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("MWName:mw"), (F.col("o_custkey") % 13).cast("string"), end)).otherwise(F.concat(F.lit("note "), F.col("o_custkey").cast("string")))
     side = F.when(F.floor(F.col("o_orderkey") / 40) % 2 == 0, "A").otherwise("B")
     lines = o.select(file.alias("file"), side.alias("side"), (file % 3 * F.when(side == "B", 1).otherwise(0)).alias("mtime_ms"), F.col("o_orderkey").alias("ord"), line.alias("line"))
     return M.merge_settings(lines, "file")
@@ -63,6 +64,11 @@ def _settings(s, d):
     return _settings_files(table(s, d, "orders"), F.floor(F.col("o_orderkey") / 500))
 
 
+def _settings_loose(s, d):
+    """The same, but every seventh order's line has no second colon: it names nothing, though it has its place."""
+    return _settings_files(table(s, d, "orders"), F.floor(F.col("o_orderkey") / 500), F.when(F.col("o_orderkey") % 7 == 0, "").otherwise(":n"))
+
+
 def _settings_all(s, d):
     """All orders, in files of up to 1000 lines: their number grows with the table."""
     return _settings_files(table(s, d, "orders"), F.floor(F.col("o_orderkey") / 1000))
@@ -128,14 +134,15 @@ QUERIES = {
     "merge_plan_report": lambda s, d: M.plan_report(_plan(s, d)),
     "merge_settings": _settings,
     "merge_settings_all": _settings_all,
+    "merge_settings_loose": _settings_loose,
     "merge_world_pairs": _worlds,
 }
 
 _PLAN = "p: select layer, rx, rz, case when b.size is null then 'copy_a' when a.size is null then 'copy_b' else 'merge' end as action, case when a.size is null or b.mtime_ms > a.mtime_ms then 'b' else 'a' end as \"primary\", greatest(a.mtime_ms, b.mtime_ms) mtime_ms, coalesce(a.size, 0) + coalesce(b.size, 0) bytes from a full join b using (layer, rx, rz)"
-def _settings_sql(lines):
+def _settings_sql(lines, loose="false"):
     return with_views(
         "select file, row_number() over (partition by file order by aft, late, ord) - 1 ord, line from (select file, ord aft, 0 late, ord, line from t where own union all select * from ad)",
-        f"l: select o_orderkey // {lines} file, case when o_orderkey // 40 % 2 = 0 then 'A' else 'B' end side, o_orderkey ord, case when o_custkey % 3 = 0 then 'MWName:mw' || o_custkey % 13 || case when o_orderkey % 7 = 0 then '' else ':n' end else 'note ' || o_custkey end line, case when o_custkey % 3 = 0 and o_orderkey % 7 > 0 then 'mw' || o_custkey % 13 end id from orders",
+        f"l: select o_orderkey // {lines} file, case when o_orderkey // 40 % 2 = 0 then 'A' else 'B' end side, o_orderkey ord, case when o_custkey % 3 = 0 then 'MWName:mw' || o_custkey % 13 || case when {loose} then '' else ':n' end else 'note ' || o_custkey end line, case when o_custkey % 3 = 0 and not {loose} then 'mw' || o_custkey % 13 end id from orders",
         *_MERGED,
     )
 
@@ -198,6 +205,7 @@ ORACLES = {
     "merge_plan_report": with_views("select layer, count(*) filter (action = 'copy_a') only_a, count(*) filter (action = 'copy_b') only_b, count(*) filter (action = 'merge') conflicts, count(*) regions_out, cast(sum(bytes) as bigint) bytes from p group by layer", "idx", _A, _B, _PLAN),
     "merge_settings": _settings_sql(500),
     "merge_settings_all": _settings_sql(1000),
+    "merge_settings_loose": _settings_sql(500, "o_orderkey % 7 = 0"),
     "merge_world_pairs": with_views("select world_a, world_b, how, taken_by from p2 union all select * from bl1 union all select x.world_a, x.world_b, 'blocked', p2.world_a from dm x join p2 using (world_b) union all select world_a, world_b, 'suggested', '-' from dm where world_b not in (select world_b from p2)", *_CLAIMS),
     "merge_world_pairs_auto": with_views("select world_a, world_b, how, taken_by from p2 union all select * from bl1 union all select x.world_a, x.world_b, 'blocked', p2.world_a from dm x join p2 using (world_b) union all select world_a, world_b, case when world_a = f then 'domain' else 'blocked' end, case when world_a = f then '-' else f end from (select *, min(world_a) over (partition by world_b) f from dm where world_b not in (select world_b from p2))", *_CLAIMS),
     "merge_tiles": with_views("select layer, rx, rz, tx, tz, size, ord, from_side from mt", *_TILED),
