@@ -108,3 +108,14 @@ def test_one_sides_waypoints_stay_as_they_are(spark):
     lines = [("f", "A", 0, "#"), ("f", "A", 1, "sets:b:b"), ("g", "A", 0, "sets:b:a"), ("g", "A", 1, "note"), ("g", "B", 0, "sets:c:b"), ("g", "B", 1, "note"), ("g", "B", 2, "#x"), ("g", "B", 3, "own\r")]
     out = W.union_files(spark.createDataFrame(lines, "file string, side string, ord int, line string"), ["file"]).orderBy("file", "part", "side", "ord", "pos").collect()
     assert [(r["file"], r["part"], r["text"]) for r in out] == [("f", 3, "#"), ("f", 3, "sets:b:b"), ("g", 0, "b"), ("g", 0, "a"), ("g", 0, "c"), ("g", 2, "note"), ("g", 2, "own")]
+
+
+def test_ancestors_stop_at_the_deepest_root(spark):
+    """A path meets as many of its ancestors as can be roots, not all of them."""
+    from pyspark.sql import functions as F
+
+    from tilelake.operators import archive as R
+
+    rows = spark.createDataFrame([("a/b/c/d/e.txt",), ("a/f",), ("g",)], "path string").select(R.ancestors_to(F.col("path"), 2).alias("x")).collect()
+    assert [r["x"] for r in rows] == [["", "a", "a/b"], ["", "a"], [""]]
+    assert spark.range(1).select(R.ancestors_to(F.lit("a/b"), 0).alias("x")).first()["x"] == [""]

@@ -215,38 +215,37 @@ def waypoint_trees(paths: DataFrame, roots: DataFrame) -> DataFrame:
     another a file belongs to the innermost in whose trees it is. Each path meets its own ancestors by equality.
     """
     file = paths.select(normal_path(F.col("path")).alias("path")).distinct()
-    above = file.select("path", F.explode(F.array_prepend(ancestors(F.col("path")), F.lit(""))).alias("root"))
-    below = above.join(roots.select(normal_path(F.col("root")).alias("root")).distinct(), "root")
+    roots = roots.select(normal_path(F.col("root")).alias("root")).distinct()
+    # No folder below the deepest root can be one, so no path needs more of its ancestors.
+    deepest = roots.agg(F.max(F.when(F.col("root") == "", 0).otherwise(F.size(F.split("root", "/"))))).first()[0] or 0
+    above = file.select("path", F.explode(ancestors_to(F.col("path"), deepest)).alias("root"))
+    below = above.join(roots, "root")
     inner = F.when(F.col("root") == "", F.col("path")).otherwise(F.substring("path", F.length("root") + 2, F.length("path")))
-    below = below.withColumn("inner", inner)
-    live = None
-    for t in LIVE_TREES:
-        hit = F.startswith("inner", F.lit(f"{t}/"))
-        live = F.when(hit, t) if live is None else live.when(hit, t)
-    copied = F.when(F.startswith("inner", F.lit(TREE_COPIES)) & F.contains("inner", F.lit("/")), F.substring_index("inner", "/", 1))
-    below = below.withColumns({"live": live, "tree": F.coalesce(live, copied)}).where("tree is not null")
-    folders = F.split(F.substring("inner", F.length("tree") + 2, F.length("inner")), "/")
-    below = below.withColumns({"name": F.element_at(folders, -1), "folders": F.slice(folders, F.lit(1), F.size(folders) - 1)})
-
-    def leading_backups(parts: Column) -> Column:
-        """How many folders at the start of a path are backups."""
-        other = F.array_position(F.transform(parts, N.is_minimap_backup), False)
-        return F.when(other > 0, other - 1).otherwise(F.size(parts)).cast("int")
-
-    below = below.withColumn("outer", leading_backups(F.col("folders"))).withColumn("world", F.get("folders", F.col("outer")))
-    below = below.where(F.col("world").isNotNull() & (F.col("world") != NOT_A_WORLD))
-    rest = F.slice("folders", F.col("outer") + 2, F.size("folders"))
-    below = below.withColumn("rest", rest).withColumn("nested", leading_backups(F.col("rest")))
+    below = below.select("path", "root", inner.alias("inner")).where(F.col("inner").rlike(IN_TREE))
+    part = lambda k: F.regexp_extract("inner", IN_TREE, k)
+    fields = {"top": part(1), "outer": part(2), "world": part(3), "nested": part(4), "folder": F.when(part(5) != "", part(5)), "name": part(6)}
+    below = below.select("path", "root", *(v.alias(k) for k, v in fields.items()))
     mw, known = N.waypoint_file(F.col("name"))
-    folder = F.get("rest", F.col("nested"))
-    found = below.where(known.isNotNull() & (F.size("rest") - F.col("nested") <= 1) & (folder.isNull() | (folder != NOT_A_WORLD)))
-    kind = F.when(F.col("live").isNull() | (F.col("outer") + F.col("nested") > 0), "archived").otherwise("live")
-    tree = F.array_join(F.concat(F.array("tree"), F.slice("folders", F.lit(1), F.col("outer"))), "/")
-    found = found.select("path", "root", tree.alias("tree"), kind.alias("kind"), "world", folder.alias("folder"), N.dimension_of_minimap_folder(folder).alias("dim"), mw.alias("mw"))
+    folder = F.col("folder")
+    found = below.where(known.isNotNull() & (F.col("world") != NOT_A_WORLD) & (folder.isNull() | (folder != NOT_A_WORLD)))
+    kind = F.when(~F.col("top").isin(*LIVE_TREES) | (F.col("outer") != "") | (F.col("nested") != ""), "archived").otherwise("live")
+    tree = F.rtrim(F.concat_ws("/", "top", "outer"), F.lit("/"))
+    found = found.select("path", "root", tree.alias("tree"), kind.alias("kind"), "world", "folder", N.dimension_of_minimap_folder(folder).alias("dim"), mw.alias("mw"))
     values = F.struct("root", "tree", "kind", "world", "folder", "dim", "mw")
     return found.groupBy("path").agg(F.max_by(values, F.length("root")).alias("f")).select("f.*", "path")
 
 
+def ancestors_to(path: Column, deepest: int) -> Column:
+    """The root and the folders above a path down to a depth."""
+    parts = F.size(F.split(path, "/"))
+    return F.array_compact(F.array(F.lit(""), *(F.when(parts > k, F.substring_index(path, "/", k)) for k in range(1, deepest + 1))))
+
+
+#: What lies in a tree, by its path below the root: tree, backups before the world, world, backups in it, folder, name. The
+#: first tree that fits counts, and leading backups are all taken, as nothing is given back.
+IN_TREE = rf"(?s)\A(?>({'|'.join(LIVE_TREES)}|{TREE_COPIES}[^/]*)/)((?:backup-*/)*+)([^/]+)/((?:backup-*/)*+)(?:([^/]+)/)?([^/]+)\z"
+
+
 def world_rows(files: DataFrame, waypoints: DataFrame) -> DataFrame:
     """root, world, dims, databases, waypoint_files: what a scan shows of each world of world_files (root, world, rest).
 
