@@ -253,3 +253,29 @@ def test_folds_delete_what_they_cover(spark, tmp_path):
         assert {(r["dim"], r["x"], r["z"]): r["found_time"] for r in live.merged_highlights(spark, out, every=3).collect()} == least
     assert sorted(os.listdir(tmp_path / "t/base")) == ["upto=6", "upto=9"]
     assert len([n for n in os.listdir(tmp_path / "t/delta") if "=" in n]) == 5
+
+
+def test_large_buckets_are_written_by_several_tasks(spark, tmp_path):
+    """A bucket with many rows isn't one task's; its rows stay whole."""
+    from tilelake.sources.tables import KeyedTable
+
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "64k")
+    try:
+        table = KeyedTable(spark, f"file://{tmp_path}/t", "k int, v string", ("k",), 1)
+        table.replace(spark.range(0, 100_000, 1, 4).selectExpr("cast(id as int) k", "sha2(cast(id as string), 256) v"))
+    finally:
+        spark.conf.unset(size)
+    assert len(list((tmp_path / "t" / "data").rglob("*.parquet"))) > 1
+    assert table.read().distinct().count() == 100_000
+
+
+def test_vault_reads_what_it_parsed_once(spark, small, monkeypatch):
+    """The scans' lines are parsed once a query, whatever its steps."""
+    from tilelake.plans import store_queries
+
+    read = []
+    monkeypatch.setattr(store_queries.vault, "sync", lambda table, batch, scanned, now: read.extend((batch, scanned)))
+    store_queries._vault(spark, small)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in read]
+    assert len(plans) == 4 and not any("c_custkey" in p for p in plans)

@@ -20,8 +20,7 @@ def _whole(text: Column) -> Column:
 
 def parse(lines: DataFrame, line: str = "line") -> DataFrame:
     """Waypoint records of text lines; other lines, and records without ten fields or whole x and z, are left out."""
-    f = F.split(F.col(line), ":")
-    at = lambda k: F.get(f, F.lit(k))
+    at = lambda k: F.get("__fields", F.lit(k))
     text = lambda k: F.replace(at(k), F.lit(COLON), F.lit(":"))
     flag = lambda k: F.coalesce(at(k) == "true", F.lit(False))
     number = lambda k: F.coalesce(_whole(at(k)), F.lit(0))
@@ -29,7 +28,9 @@ def parse(lines: DataFrame, line: str = "line") -> DataFrame:
         "name": text(1), "initials": text(2), "x": _whole(at(3)), "y": _whole(at(4)), "z": _whole(at(5)), "color": number(6), "disabled": flag(7), "purpose": number(8), "wp_set": at(9),
         "rotate_on_tp": flag(10), "tp_yaw": number(11), "visibility_type": number(12), "destination": flag(13),
     }
-    out = lines.where(F.col(line).startswith("waypoint:") & (F.size(f) >= 10)).withColumns(fields)
+    # A line is split once, in a step of its own, not for each field.
+    cut = lines.where(F.col(line).startswith("waypoint:")).withColumn("__fields", F.split(F.col(line), ":"))
+    out = cut.where(F.size("__fields") >= 10).withColumns(fields).drop("__fields")
     return out.where("x is not null and z is not null").withColumn("y_key", F.coalesce("y", F.lit(NO_HEIGHT)))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tilelake.operators import live as L
 from tilelake.operators import waypoints as W
-from tilelake.plans.views import positions, table, waypoint_lines, with_views
+from tilelake.plans.views import dealt, positions, table, waypoint_lines, with_views
 
 NOW_MS = 1_700_000_000_000
 
@@ -21,8 +21,12 @@ def _vault(s, d):
     return old.select(*W.KEY, *W.ATTRIBUTES, "source", (F.col("ord") % 4 != 1).alias("present"), F.lit(1000).cast("bigint").alias("first_seen"), F.lit(NOW_MS - 5).cast("bigint").alias("last_seen"))
 
 
+def _of_batch(records):
+    return records.where("ord % 5 < 3 and side = 'A'").withColumn("color", F.col("color") + 1)
+
+
 def _batch(s, d):
-    return _records(s, d).where("ord % 5 < 3 and side = 'A'").withColumn("color", F.col("color") + 1)
+    return _of_batch(_records(s, d))
 
 
 def _synced(s, d):

@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
+    """A table whose rows are few bytes but much work: dealt by keys, as all of a small file's rows would be one task's."""
+    return table(spark, sf_dir, name).repartition(*keys)
+
+
 def epoch_ms(column: str) -> F.Column:
     """Milliseconds since 1970 of a timestamp without zone, whatever the session's zone."""
     return F.expr(f"timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', cast({column} as timestamp_ntz))")
@@ -69,7 +74,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def waypoint_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ord, side, world, line: waypoint records as text, some too short or without a height."""
-    c = table(spark, sf_dir, "customer")
+    c = dealt(spark, sf_dir, "customer", "c_custkey")
     y = F.when(F.col("c_custkey") % 7 == 0, "~").otherwise((F.col("c_custkey") % 256).cast("string"))
     fields = [
         F.lit("waypoint"), F.concat(F.replace("c_name", F.lit("#"), F.lit("§§")), F.when(F.col("c_custkey") % 5 == 0, " b").otherwise("")), F.substring("c_mktsegment", 1, 2),

@@ -105,7 +105,8 @@ class KeyedTable:
         version = old["version"] + 1
         data = f"data/{version:012d}-{uuid.uuid4().hex}"
         placed = rows.select(*(F.col(f"`{f.name}`").cast(f.dataType) for f in self.schema), self.bucket().alias("bucket"))
-        placed.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder.root}/{data}")
+        # A bucket of many rows is several tasks' and files: tables may have fewer buckets than a cluster has cores.
+        placed.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.folder.root}/{data}")
         written = {int(n.split("=")[1]) for n in self.folder.names(data) if n.startswith("bucket=")}
         if not written <= touched:
             self.folder.delete(data)
