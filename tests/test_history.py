@@ -201,3 +201,12 @@ def test_blocks_of_events(spark, size):
         last[key] = x, z
     got = {(r["player"], r["dim"]): r["blocks"] for r in L.path_length(events, size).collect()}
     assert set(got) == set(paths) and all(got[k] == pytest.approx(paths[k]) for k in paths)
+
+
+def test_preview_samples_alone_are_exploded(spark, small):
+    """Chunks are dealt over tasks before their pixels are made, and no sample carries its chunk's pixels along."""
+    from tilelake.plans.history_queries import QUERIES
+
+    plan = QUERIES["live_preview_tiles"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    generate, below = plan.split("Generate ", 1)[1].split("\n", 1)
+    assert generate.startswith("posexplode(array(") and "RepartitionByExpression [p_partkey" in below

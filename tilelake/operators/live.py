@@ -215,10 +215,11 @@ def preview_pixels(canvas: DataFrame, zoom: int) -> DataFrame:
     at = {c: F.pmod(F.col(c), F.lit(across)) for c in ("cx", "cz")}
     if side >= 2:
         step = CHUNK_PIXELS // side
-        cells = F.filter(F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda k: F.struct((k % side).alias("p"), F.floor(k / side).cast("int").alias("q"))), lambda s: F.get("pixels", (s["q"] * step * CHUNK_PIXELS + s["p"] * step).cast("int")) != 0)
-        each = canvas.select("dim", *tile, (at["cx"] * side).alias("fx"), (at["cz"] * side).alias("fz"), "pixels", F.explode(cells).alias("s"))
-        colour = rgb565(F.get("pixels", (F.col("s.q") * step * CHUNK_PIXELS + F.col("s.p") * step).cast("int")))
-        return each.select("dim", "x", "y", (F.col("fx") + F.col("s.p")).cast("bigint").alias("tx"), (F.col("fz") + F.col("s.q")).cast("bigint").alias("tz"), *(v.alias(k) for k, v in colour.items()))
+        # The samples alone go through explode, never a chunk's 256 pixels once for each.
+        samples = F.array(*(F.get("pixels", F.lit(q * step * CHUNK_PIXELS + p * step)) for q in range(side) for p in range(side))) if step > 1 else F.col("pixels")
+        each = canvas.select("dim", *tile, (at["cx"] * side).alias("fx"), (at["cz"] * side).alias("fz"), F.posexplode(samples).alias("k", "v")).where("v <> 0")
+        place = (F.col("fx") + F.col("k") % side).cast("bigint").alias("tx"), (F.col("fz") + F.expr(f"k div {side}")).cast("bigint").alias("tz")
+        return each.select("dim", "x", "y", *place, *(v.alias(k) for k, v in rgb565(F.col("v")).items()))
     place = [F.floor(at[c] * CHUNK_PIXELS / span).cast("bigint").alias(o) for c, o in (("cx", "tx"), ("cz", "tz"))]
     shown = canvas.select("dim", *tile, *place, F.struct("cz", "cx").alias("order"), F.struct(*"rgb").alias("c"))
     return shown.groupBy("dim", "x", "y", "tx", "tz").agg(F.max_by("c", "order").alias("c")).select("dim", "x", "y", "tx", "tz", "c.*")

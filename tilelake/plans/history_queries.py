@@ -76,7 +76,7 @@ def _chunk_pixels(s, d, zoom):
     """A chunk for each part: its pixels' colours go with their place, some are nothing."""
     p = F.col("p_partkey")
     pixels = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: ((p * 31 + k * 257) % 65536 * F.when((p + k) % 5 == 0, 0).otherwise(1)).cast("int"))
-    chunks = table(s, d, "part").select(F.when(p % 2 == 0, "o").otherwise("n").alias("dim"), (p % 40 - 20).cast("int").alias("cx"), (F.floor(p / 40) - 3).cast("int").alias("cz"), pixels.alias("pixels"), *((p * m % 256).alias(c) for c, m in (("r", 3), ("g", 5), ("b", 7))))
+    chunks = dealt(s, d, "part", "p_partkey").select(F.when(p % 2 == 0, "o").otherwise("n").alias("dim"), (p % 40 - 20).cast("int").alias("cx"), (F.floor(p / 40) - 3).cast("int").alias("cz"), pixels.alias("pixels"), *((p * m % 256).alias(c) for c, m in (("r", 3), ("g", 5), ("b", 7))))
     return L.preview_pixels(chunks, zoom)
 
 
