@@ -97,3 +97,14 @@ def test_waypoint_text_round_trip(spark, tmp_path):
     (r,) = got.withColumns({"again": W.format_line(), "rgb": W.colour(got["color"])}).collect()
     assert (r["name"], r["y"], r["z"], r["disabled"], r["destination"], r["rgb"]) == ("a:b", None, -2, True, True, "#0000aa")
     assert r["again"] == lines[1]
+
+
+def test_sums_of_times_beyond_64_bits(spark, tmp_path):
+    """Times whose sum no bigint holds come out whole; sums that fit one are bigints."""
+    from tilelake.plans.file_queries import summed_times
+
+    rows = spark.createDataFrame([("a", 1, 2, 1 << 62), ("a", 1, 3, 1 << 62), ("a", 1, 4, 5), ("b", 0, 0, 7)], "dim string, x int, z int, found_time long")
+    found = summed_times(rows, f"file://{tmp_path}/large")
+    assert {tuple(map(str, r)) for r in found.collect()} == {("a", "3", str((1 << 63) + 5), "3009"), ("b", "1", "7", "0")}
+    found = summed_times(rows.where("dim = 'b'"), f"file://{tmp_path}/small")
+    assert found.dtypes == [("dim", "string"), ("n", "bigint"), ("time", "bigint"), ("place", "bigint")] and found.first()["time"] == 7

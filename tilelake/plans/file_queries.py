@@ -27,7 +27,23 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def _batches(s, d):
-    return files.decoded_batches(sinks.batches(highlights(s, d)), ["dim"]).where("error is null").groupBy("dim").agg(F.count("*").alias("n"), F.sum("found_time").alias("time"), F.sum(F.col("x").cast("bigint") * 1000 + F.col("z")).alias("place"))
+    """Counts and sums of each dimension, through batches and back.
+
+    Times of some 10^7 rows add up to more than 64 bits hold. They are summed as decimals, and time is a bigint, as the SQL
+    says, while all sums fit one; beyond that (where the SQL's own cast fails) it is decimal(38, 0), never wrapped or null.
+    """
+    rows = files.decoded_batches(sinks.batches(highlights(s, d)), ["dim"]).where("error is null")
+    return summed_times(rows, shared_folder(s))
+
+
+def summed_times(rows, folder: str) -> DataFrame:
+    """dim, n, time, place of rows (dim, x, z, found_time); folder: where the few sums are kept, as their size gives the type."""
+    place = F.sum(F.col("x").cast("bigint") * 1000 + F.col("z")).alias("place")
+    rows.groupBy("dim").agg(F.count("*").alias("n"), F.sum(F.col("found_time").cast("decimal(20,0)")).cast("decimal(38,0)").alias("time"), place).write.parquet(folder)
+    sums = rows.sparkSession.read.schema("dim string, n long, time decimal(38,0), place long").parquet(folder)
+    least, most = sums.agg(F.min("time"), F.max("time")).first()
+    fits = most is None or (least >= -(1 << 63) and most < 1 << 63)
+    return sums.withColumn("time", F.col("time").cast("bigint")) if fits else sums
 
 
 def _containers(s, d):
