@@ -108,3 +108,17 @@ def test_sums_of_times_beyond_64_bits(spark, tmp_path):
     assert {tuple(map(str, r)) for r in found.collect()} == {("a", "3", str((1 << 63) + 5), "3009"), ("b", "1", "7", "0")}
     found = summed_times(rows.where("dim = 'b'"), f"file://{tmp_path}/small")
     assert found.dtypes == [("dim", "string"), ("n", "bigint"), ("time", "bigint"), ("place", "bigint")] and found.first()["time"] == 7
+
+
+def test_containers_leave_workers_in_pieces():
+    """Rows go on in batches bounded by bytes, a larger row by itself, and none is lost."""
+    import pyarrow as pa
+
+    from tilelake.sources.files import pieces
+
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
+    rows = [(str(k), bytes(n)) for k, n in enumerate([400] * 10 + [5000, 0, 10])]
+    found = list(pieces(iter(rows), schema, 1000))
+    assert [r for b in found for r in zip(b["path"].to_pylist(), b["content"].to_pylist())] == rows
+    assert all(b.num_rows == 1 or sum(len(c) for c in b["content"].to_pylist()) <= 1000 for b in found)
+    assert list(pieces(iter([]), schema)) == []

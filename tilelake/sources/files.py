@@ -6,14 +6,16 @@ file that cannot be decoded becomes a row with its error, and other files go on.
 
 from __future__ import annotations
 
+import ctypes
 import io
 import re
 import sqlite3
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ from tilelake.operators.highlights import LEGACY_DIMENSIONS
 REGION_ENTRY, MOST_STREAM = "region.xaero", 64 << 20
 HIGHLIGHT_MAGIC, PREVIEW_MAGIC, BATCH_VERSION = b"XTHL", b"XTPV", 1
 MOST_ROWS, MOST_CHUNKS, MOST_COORDINATE = 4096, 256, 2_600_000
-ROWS_A_BATCH = 50_000
+ROWS_A_BATCH, PIECE_BYTES = 50_000, 8 << 20
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
@@ -73,11 +75,44 @@ def make_container(stream: bytes) -> bytes:
 def containers(files: DataFrame) -> DataFrame:
     """path, stream, error of files (path, content)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            yield pd.DataFrame([_tried(p, c, open_container) for p, c in zip(rows["path"], rows["content"])], columns=["path", "stream", "error"])
+    schema = pa.schema([("path", pa.string()), ("stream", pa.binary()), ("error", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return pieces((_tried(p.as_py(), c.as_py(), open_container) for b in batches for p, c in zip(b["path"], b["content"])), schema)
+
+    return files.select("path", "content").mapInArrow(run, "path string, stream binary, error string")
+
+
+def pieces(rows: Iterable[tuple], schema: pa.Schema, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of some most bytes, or one larger row; freed memory is given back after each.
 
-    return files.select("path", "content").mapInPandas(run, "path string, stream binary, error string")
+    A worker holds what Spark sends at a time, which it doesn't copy, and one such batch, however many files there are.
+    """
+    own, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.record_batch([pa.array(column, f.type) for column, f in zip(zip(*own), schema)], schema=schema)
+
+    for row in rows:
+        wide = sum(len(v) for v in row if isinstance(v, (bytes, str)))
+        if own and size + wide > most:
+            yield batch()
+            own, size = [], 0
+            _give_back()
+        own.append(row)
+        size += wide
+    if own:
+        yield batch()
+        own = []
+        _give_back()
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def _tried(path: str, data: bytes, decode: Callable[[bytes], bytes]) -> tuple:

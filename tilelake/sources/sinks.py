@@ -10,10 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilelake.sources.files import highlight_batch, highlight_database, make_container
+from tilelake.sources.files import highlight_batch, highlight_database, make_container, pieces
 
 FILES = "path string, content binary"
 
@@ -43,11 +44,12 @@ def tile_pictures(grids: DataFrame, cells: int, rgb: int, tile_size: int = 512)
 def containers(streams: DataFrame) -> DataFrame:
     """Region streams (path, stream) in their containers."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            yield pd.DataFrame({"path": rows["path"], "content": [make_container(bytes(s)) for s in rows["stream"]]})
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return pieces(((p.as_py(), make_container(s.as_py())) for b in batches for p, s in zip(b["path"], b["stream"])), schema)
 
-    return streams.select("path", "stream").mapInPandas(run, FILES)
+    return streams.select("path", "stream").mapInArrow(run, FILES)
 
 
 def databases(highlights: DataFrame) -> DataFrame:
