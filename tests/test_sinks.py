@@ -279,3 +279,24 @@ def test_vault_reads_what_it_parsed_once(spark, small, monkeypatch):
     store_queries._vault(spark, small)
     plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in read]
     assert len(plans) == 4 and not any("c_custkey" in p for p in plans)
+
+
+def test_uploads_come_in_bounded_batches_and_buckets(spark, small, monkeypatch):
+    """Batches and buckets grow in number with the orders, not in size; what is merged is the same as at once."""
+    from tilelake.plans import store_queries
+    from tilelake.streaming import uploads as U
+
+    monkeypatch.setattr(store_queries, "BATCH_ROWS", 400)
+    monkeypatch.setattr(store_queries, "BUCKET_ROWS", 100)
+    feed, rows = store_queries._uploaded(spark, small), U.taken(store_queries._uploads(spark, small))
+    assert feed.merged.manifest()["note"]["batch"] >= 3 and feed.merged.buckets == spark.read.parquet(f"{small}/orders.parquet").count() // 100
+    whole = U.merged(spark.createDataFrame([], U.STORED), rows)
+    assert sorted(map(str, feed.merged.read().collect())) == sorted(map(str, whole.collect()))
+
+
+def test_evictions_wait_without_python(spark, tmp_path):
+    """What waits is the stream's own state; no worker is asked for each region."""
+    from tilelake.streaming import uploads as U
+
+    plan = U.evictions(spark.readStream.schema("layer string, rx int, rz int, ts timestamp").parquet(str(tmp_path)))._jdf.queryExecution().analyzed().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "EventTimeWatermark" in plan

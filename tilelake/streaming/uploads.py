@@ -9,17 +9,14 @@ it, an older one only fills gaps, and the stored time is the greater of the two.
 for each region and one aggregate for each tile, so a batch may hold any number of uploads.
 
 Previews of an uploaded region are evicted later, when its tiles have had time to arrive: evictions() holds each region
-for DELAY_MS of event time, by timers in a stream's state.
+for DELAY_MS of event time, in a stream's state until the watermark has passed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tilelake.operators import index as I
 from tilelake.sources.tables import KeyedTable
@@ -96,27 +93,18 @@ class UploadFeed:
 def evictions(uploads: DataFrame, delay_ms: int = DELAY_MS, late: str = "0 seconds") -> DataFrame:
     """layer, rx, rz, due_ms: previews to evict, for each upload delay_ms after it came; several due at once are one.
 
-    uploads: a stream of layer, rx, rz, ts (a timestamp). A region's times wait in its state, and a timer at the earliest
-    of them wakes it when the watermark has passed; what is due then goes out together.
+    uploads: a stream of layer, rx, rz, ts (a timestamp). What is due waits as the stream's state, one row for each region
+    and time; it goes out, once, when the watermark has passed it, and nothing of it is kept after. The watermark lies the
+    delay behind what is due, and thus late behind the uploads: none that is on time for these is too late for its eviction.
     """
+    waits = (F.col("ts") + F.make_dt_interval(secs=F.lit(delay_ms / 1000).cast("decimal(18,6)"))).alias("due")
+    known = uploads.select(*I.KEY, waits).withWatermark("due", f"{_millis(late) + delay_ms} milliseconds")
+    return known.groupBy(*I.KEY, "due").agg(F.count("*").alias("n")).select(*I.KEY, F.unix_millis("due").alias("due_ms"))
+
 
-    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        due = list(state.get[0]) if state.exists else []
-        for rows in parts:
-            due += [int(t.value // 10**6) + delay_ms for t in rows["ts"]]
-        # A timer goes off once the watermark is past its time: nothing that is due by then can still come.
-        now = state.getCurrentWatermarkMs()
-        ripe, due = sorted({t for t in due if t <= now}), sorted({t for t in due if t > now})
-        if due:
-            state.update((due,))
-            state.setTimeoutTimestamp(due[0])
-        elif state.exists:
-            state.remove()
-        if ripe:
-            yield pd.DataFrame({"layer": key[0], "rx": key[1], "rz": key[2], "due_ms": ripe})
-
-    known = uploads.withWatermark("ts", late).groupBy(*I.KEY)
-    return known.applyInPandasWithState(fold, "layer string, rx int, rz int, due_ms long", "due array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+def _millis(interval: str) -> int:
+    """Milliseconds of an interval such as '10 seconds'."""
+    return round(pd.Timedelta(interval).total_seconds() * 1000)
 
 
 def due(uploads: DataFrame, delay_ms: int = DELAY_MS) -> DataFrame:
