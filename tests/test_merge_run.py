@@ -145,3 +145,29 @@ def test_named_lines_without_an_id(spark):
     rows = [("f", "A", 2, k, v) for k, v in enumerate(["x", "MWName:loose", "y", "MWName:one:1", "MWName:last", "z"])] + [("f", "B", 1, k, v) for k, v in enumerate(["MWName:loose:now", "MWName:one:2", "MWName:free", "q"])]
     got = M.merge_settings(spark.createDataFrame(rows, "file string, side string, mtime_ms long, ord long, line string"), "file")
     assert [r["line"] for r in got.orderBy("ord").collect()] == ["x", "MWName:loose", "y", "MWName:one:1", "MWName:last", "MWName:loose:now", "z"]
+
+
+def counted(df, seen):
+    """The same rows; seen counts them whenever a task reads them."""
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(count, df.schema)
+
+
+def test_each_table_is_read_once(spark, sides, tmp_path):
+    """Regions are read for the digest and once more; tiles, settings and highlights once. What is written aside goes."""
+    seen = {n: spark.sparkContext.accumulator(0) for n in ("regions", "tiles", "settings", "highlights")}
+    left, right = (Archive(s.root, *(counted(getattr(s, n), seen[n]) if n in seen else getattr(s, n) for n in ("regions", "tiles", "unreadable", "files", "settings", "waypoints", "highlights"))) for s in (sides[0][0], sides[1][0]))
+    rows = {n: sum(getattr(s[0], n).count() for s in sides) for n in seen}
+    run = MergeRun(spark, left, right, f"file://{tmp_path}/out", Options(apply=True))
+    run.run()
+    assert {n: seen[n].value for n in ("tiles", "settings", "highlights")} == {n: rows[n] for n in ("tiles", "settings", "highlights")}
+    # Whether a side has worlds is asked first, which reads no more than its regions again.
+    assert 2 * rows["regions"] <= seen["regions"].value <= 3 * rows["regions"]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["ledger", "steps"]
+    newer = {tuple(r) for r in run.rows("databases").select("world", "path", "source_rows", "dest_before", "overlap", "dest_after").collect()}
+    places = [{(r["x"], r["z"]) for r in s[0].highlights.where("world = 'two'").collect()} for s in sides]
+    assert newer == {("two", "Old.db", len(places[0]), len(places[1]), len(places[0] & places[1]), len(places[0] | places[1]))}

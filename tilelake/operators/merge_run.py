@@ -18,10 +18,9 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tilelake.operators import highlights as H
 from tilelake.operators import index as I
 from tilelake.operators import merging as M
 from tilelake.operators import waypoints as W
@@ -49,8 +48,9 @@ class Archive:
     waypoints: DataFrame
     highlights: DataFrame
 
-    def worlds(self) -> DataFrame:
-        return self.regions.select("world").union(self.files.select("world")).union(self.waypoints.select("world")).distinct()
+    def has_worlds(self) -> bool:
+        """Whether there is any: regions, other files and waypoints say which."""
+        return not all(rows.isEmpty() for rows in (self.regions, self.files, self.waypoints))
 
 
 @dataclass
@@ -84,6 +84,7 @@ class MergeRun:
         #: Steps that this run made, in order; those that it found in the ledger aren't among them.
         self.made: list[str] = []
         self._rows: dict[str, DataFrame] = {}
+        self._asides: dict[str, tuple[str | None, DataFrame]] = {}
 
     # --- guards and the ledger ---
 
@@ -104,7 +105,7 @@ class MergeRun:
             if overlap(self.out, side.root):
                 raise MergeError(f"the output overlaps side {name}, and sources are never written to")
         for name, side in (("a", self.a), ("b", self.b)):
-            if side.worlds().isEmpty():
+            if not side.has_worlds():
                 raise MergeError(f"side {name} has no worlds")
         if not self.options.apply:
             return
@@ -144,14 +145,49 @@ class MergeRun:
     def rows(self, step: str) -> DataFrame:
         return self._rows[step]
 
+    def _aside(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """Rows that several steps read, so that what they are made of is read once: written beside the steps, without an entry."""
+        if name not in self._asides:
+            rows, root, at = make(), self.out if self.folder is not None else self.scratch, None
+            if root:
+                at = f"{root}/aside-{name}-{uuid.uuid4().hex}"
+                rows.write.parquet(at)
+                rows = self.spark.read.schema(rows.schema).parquet(at)
+            self._asides[name] = at, rows
+        return self._asides[name][1]
+
+    def _clear(self) -> None:
+        """Once no step is left that reads them, what was written aside goes."""
+        for at, _ in self._asides.values():
+            if at:
+                Folder(self.spark, at).delete("")
+        self._asides.clear()
+
     # --- the steps ---
 
-    def _kept(self, worlds: DataFrame) -> DataFrame:
+    def _listed(self) -> DataFrame:
+        """side, world, dim, mw, cave and the best file of each place: one aggregate over all regions, before any join."""
+        place = F.struct("world", "dim", "mw", "cave").alias("layer")
+
+        def make():
+            a, b = (I.best_files(s.regions.select(place, "rx", "rz", *I.META, "ord")).select(F.lit(n).alias("side"), "layer.*", "rx", "rz", *I.META) for n, s in (("A", self.a), ("B", self.b)))
+            return a.union(b)
+
+        return self._aside("listed", make)
+
+    def _worlds(self, side: str) -> DataFrame:
+        def make():
+            found = self._listed().select("side", "world")
+            for n, s in (("A", self.a), ("B", self.b)):
+                found = found.union(s.files.select(F.lit(n), "world")).union(s.waypoints.select(F.lit(n), "world"))
+            return found.distinct()
+
+        worlds = self._aside("worlds", make).where(F.col("side") == side).select("world")
         return worlds.where(F.col("world").isin(*self.options.servers)) if self.options.servers else worlds
 
     def _pairs(self) -> DataFrame:
         """world_a, world_b, how, taken_by, out: what belongs together, and worlds that are copied whole under their names."""
-        a, b = self._kept(self.a.worlds()), self._kept(self.b.worlds())
+        a, b = self._worlds("A"), self._worlds("B")
         aliases = self.spark.createDataFrame([*self.options.aliases], "x string, y string") if self.options.aliases else None
         found = M.pair_worlds(a, b, aliases, self.options.auto_alias)
         paired = found.where(F.col("how").isin("exact", "alias", "domain"))
@@ -167,11 +203,9 @@ class MergeRun:
         return rows.join(to, "world").drop("world").withColumnRenamed("out", "world")
 
     def _units(self) -> DataFrame:
-        layers = None
-        for name, side in (("A", self.a), ("B", self.b)):
-            own = self._side(name.lower(), side.regions).select(F.lit(name).alias("side"), "world", "dim", "mw", "cave").distinct()
-            layers = own if layers is None else layers.union(own)
-        return M.layer_units(layers)
+        layers = self._listed().select("side", "world", "dim", "mw", "cave").distinct()
+        a, b = (self._side(n.lower(), layers.where(F.col("side") == n)).select("side", "world", "dim", "mw", "cave") for n in "AB")
+        return M.layer_units(a.union(b))
 
     def _layered(self, name: str, rows: DataFrame, *more: str) -> DataFrame:
         """Rows of a side by layer: the unit's columns packed as one, a place's columns, and more."""
@@ -182,17 +216,24 @@ class MergeRun:
         return own.join(at, ["world", "dim", "mw", "depth"]).select("layer", "rx", "rz", *more)
 
     def _plan(self) -> DataFrame:
-        a, b = (I.best_files(self._layered(n, s.regions, *I.META, "ord")) for n, s in (("a", self.a), ("b", self.b)))
+        a, b = (self._layered(n.lower(), self._listed().where(F.col("side") == n), "mtime_ms", "size") for n in "AB")
         return M.plan(a, b, self.options.prefer)
 
-    def _tiles(self) -> tuple[Callable[[], DataFrame], Callable[[], DataFrame]]:
-        def parts():
-            values = [c for c in self.a.tiles.columns if c not in ("world", "dim", "mw", "cave", "rx", "rz")]
-            a, b = (self._layered(n, s.tiles, *values) for n, s in (("a", self.a), ("b", self.b)))
-            bad = [self._layered(n.lower(), s.unreadable).withColumn("side", F.lit(n)) for n, s in (("A", self.a), ("B", self.b))]
-            return M.merge_tiles(self._rows["plan"], a, b, bad[0].union(bad[1]))
+    def _unreadable(self) -> DataFrame:
+        def make():
+            a, b = (self._layered(n.lower(), s.unreadable).withColumn("side", F.lit(n)) for n, s in (("A", self.a), ("B", self.b)))
+            return a.union(b)
+
+        return self._aside("unreadable", make)
 
-        return lambda: parts()[0], lambda: parts()[1]
+    def _tiles(self) -> DataFrame:
+        values = [c for c in self.a.tiles.columns if c not in ("world", "dim", "mw", "cave", "rx", "rz")]
+        a, b = (self._layered(n, s.tiles, *values) for n, s in (("a", self.a), ("b", self.b)))
+        return M.merge_tiles(self._rows["plan"], a, b, self._unreadable())[0]
+
+    def _regions(self) -> DataFrame:
+        """Counted in the tiles that were written: these aren't merged again."""
+        return M.merged_regions(self._rows["plan"], self._rows["tiles"], self._unreadable())
 
     def _both(self, what: str, *columns: str) -> DataFrame:
         a, b = (self._side(n.lower(), getattr(s, what)).select(F.lit(n).alias("side"), *columns) for n, s in (("A", self.a), ("B", self.b)))
@@ -210,31 +251,43 @@ class MergeRun:
         return W.union_files(self._both("waypoints", "world", "path", "ord", "line"), ["world", "path"])
 
     def _highlights(self) -> DataFrame:
-        return H.merge(self._both("highlights", "world", "path", "dim", "x", "z", "found_time"), keys=("world", "path", "dim", "x", "z"))
+        """Each place's oldest sighting, whether each side has the place, and the time of that side's file: all highlights once."""
+        rows = self._both("highlights", "world", "path", "mtime_ms", "dim", "x", "z", "found_time")
+        of = {s: F.col("side") == s.upper() for s in "ab"}
+        has, times = (F.max(own).alias(f"in_{s}") for s, own in of.items()), (F.max(F.when(own, F.col("mtime_ms"))).alias(f"{s}_ms") for s, own in of.items())
+        return rows.groupBy("world", "path", "dim", "x", "z").agg(F.min("found_time").alias("found_time"), *has, *times)
 
     def _databases(self) -> DataFrame:
-        """For each database of both sides and dimension: rows before, of the other side, of both and after; the newer is the base."""
-        keys = ["world", "path"]
-        rows = self._both("highlights", *keys, "mtime_ms", "dim", "x", "z")
-        base = rows.groupBy(*keys).agg(F.max_by("side", F.struct("mtime_ms", F.when(F.col("side") == "A", 1).otherwise(0).alias("first"))).alias("base"), (F.min("side") < F.max("side")).alias("two"))
-        known = rows.join(base.where("two").drop("two"), keys).withColumn("dim", F.struct(*keys, "dim"))
-        return H.merge_report(known.where("side = base"), known.where("side <> base")).select("dim.*", "source_rows", "dest_before", "overlap", "dest_after")
+        """For each database of both sides and dimension: rows before, of the other side, of both and after; the newer is the base.
+
+        Counted in the merged rows that were written, so the databases aren't read again.
+        """
+        counts = {"a": F.count_if("in_a"), "b": F.count_if("in_b"), "overlap": F.count_if(F.col("in_a") & F.col("in_b")), "dest_after": F.count("*")}
+        dims = self._rows["highlights"].groupBy("world", "path", "dim").agg(*(v.alias(k) for k, v in counts.items()), F.max("a_ms").alias("a_ms"), F.max("b_ms").alias("b_ms"))
+        database = Window.partitionBy("world", "path")
+        known = dims.withColumns({"a_all": F.sum("a").over(database), "b_all": F.sum("b").over(database), "a_ms": F.max("a_ms").over(database), "b_ms": F.max("b_ms").over(database)}).where("a_all > 0 and b_all > 0")
+        by_b = M.newer_is_b()
+        source, dest = F.when(by_b, F.col("a")).otherwise(F.col("b")), F.when(by_b, F.col("b")).otherwise(F.col("a"))
+        return known.select("world", "path", "dim", source.alias("source_rows"), dest.alias("dest_before"), "overlap", "dest_after")
 
     # --- the run ---
 
     def run(self) -> DataFrame:
         """section, world, item, name, n: pairs, layers, databases and files of the merge, a row for each count or message."""
         self._guard()
+        try:
+            return self._run()
+        finally:
+            self._clear()
+
+    def _run(self) -> DataFrame:
         self._step("pairs", self._pairs)
         units = self._step("units", self._units)
         mixed = units.where("mixed is not null").select("world", "key", "mixed").first()
         if mixed is not None:
             raise MergeError(f"world {mixed[0]}: side {mixed[2]} has two folders of {mixed[1]}: make them one first")
         self._step("plan", self._plan)
-        tiles, regions = self._tiles()
-        self._step("tiles", tiles)
-        self._step("regions", regions)
-        for name, make in (("files", self._files), ("settings", self._settings), ("waypoints", self._waypoints), ("highlights", self._highlights), ("databases", self._databases)):
+        for name, make in (("tiles", self._tiles), ("regions", self._regions), ("files", self._files), ("settings", self._settings), ("waypoints", self._waypoints), ("highlights", self._highlights), ("databases", self._databases)):
             self._step(name, make)
         return self._step("report", self._report)
 

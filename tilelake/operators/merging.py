@@ -112,19 +112,30 @@ def merge_tiles(planned: DataFrame, a: DataFrame, b: DataFrame, bad: DataFrame)
     their own key, and meet the plan by region.
     """
     keys = ["layer", "rx", "rz"]
-    flags = bad.groupBy(*keys).agg(F.max(F.lower("side") == "a").alias("bad_a"), F.max(F.lower("side") == "b").alias("bad_b"))
-    known = planned.join(flags, keys, "left").withColumns({c: F.coalesce(c, F.lit(False)) & (F.col("action") == "merge") for c in ("bad_a", "bad_b")})
-    note = F.when(F.col("bad_a") & F.col("bad_b"), "both unreadable").when(F.col("bad_a"), "a unreadable, copied b").when(F.col("bad_b"), "b unreadable, copied a")
-    known = known.withColumn("note", note)
+    known = _readable(planned, bad)
     values = [c for c in a.columns if c not in (*keys, "tx", "tz")]
     both = a.select(*keys, "tx", "tz", F.struct(*values).alias("v"), F.lit("a").alias("from_side")).union(b.select(*keys, "tx", "tz", F.struct(*values).alias("v"), F.lit("b").alias("from_side")))
     placed = both.join(known.select(*keys, "primary", "bad_a", "bad_b"), keys).where("not (from_side = 'a' and bad_a or from_side = 'b' and bad_b)")
     best = placed.groupBy(*keys, "tx", "tz").agg(F.max_by(F.struct("v", "from_side"), (F.col("from_side") == F.col("primary")).cast("int")).alias("t"))
     tiles = best.select(*keys, "tx", "tz", "t.v.*", "t.from_side")
+    return tiles, merged_regions(planned, tiles, bad)
+
+
+def _readable(planned: DataFrame, bad: DataFrame) -> DataFrame:
+    """Planned regions with bad_a and bad_b: which side of a merge cannot be read."""
+    keys = ["layer", "rx", "rz"]
+    flags = bad.groupBy(*keys).agg(F.max(F.lower("side") == "a").alias("bad_a"), F.max(F.lower("side") == "b").alias("bad_b"))
+    return planned.join(flags, keys, "left").withColumns({c: F.coalesce(c, F.lit(False)) & (F.col("action") == "merge") for c in ("bad_a", "bad_b")})
+
+
+def merged_regions(planned: DataFrame, tiles: DataFrame, bad: DataFrame) -> DataFrame:
+    """Regions of the result, counted in its tiles (of merge_tiles, or as these were written): action, mtime_ms, tiles, from_b, note."""
+    keys = ["layer", "rx", "rz"]
+    note = F.when(F.col("bad_a") & F.col("bad_b"), "both unreadable").when(F.col("bad_a"), "a unreadable, copied b").when(F.col("bad_b"), "b unreadable, copied a")
     time = F.when(F.col("bad_a") & F.col("bad_b"), None).when(F.col("bad_a"), F.col("b_ms")).when(F.col("bad_b"), F.col("a_ms")).otherwise(F.col("mtime_ms"))
     counted = tiles.groupBy(*keys).agg(F.count("*").alias("tiles"), F.count_if(F.col("from_side") == "b").alias("from_b"))
-    regions = known.join(counted, keys, "left").select(*keys, "action", time.alias("mtime_ms"), F.coalesce("tiles", F.lit(0)).alias("tiles"), F.coalesce("from_b", F.lit(0)).alias("from_b"), "note")
-    return tiles, regions
+    known = _readable(planned, bad).withColumn("note", note).join(counted, keys, "left")
+    return known.select(*keys, "action", time.alias("mtime_ms"), F.coalesce("tiles", F.lit(0)).alias("tiles"), F.coalesce("from_b", F.lit(0)).alias("from_b"), "note")
 
 
 #: A settings line that names a multiworld: the id is what stands before the second colon; without one there is no id, but
@@ -136,17 +147,28 @@ def named_id(line: Column) -> Column:
     return F.when(line.rlike("^MWName:[^:]*:"), F.regexp_extract(line, "^MWName:([^:]*):", 1))
 
 
+def newer_is_b() -> Column:
+    """Whether, of a file that both sides have (a_ms, b_ms), b's is the newer; equal ones are a's, and no time is the oldest."""
+    return F.col("b_ms").isNotNull() & (F.col("a_ms").isNull() | (F.col("b_ms") > F.col("a_ms")))
+
+
 def merge_settings(lines: DataFrame, key: str, id_of: Column | None = None) -> DataFrame:
     """Lines (key, side, mtime_ms, ord, line) of two sides' settings files as one file: key, ord, line.
 
     The newer file (of equal ones a) keeps all its lines; the older one adds the named lines whose id the newer hasn't,
-    after the newer's last line that names one, with or without id, or at the top if it has none.
+    after the newer's last line that names one, with or without id, or at the top if it has none. Lines are read and
+    shuffled once, by file; within their task they are sorted by id, and then as they are written.
     """
-    newest = lines.groupBy(key).agg(F.max_by("side", F.struct("mtime_ms", F.when(F.col("side") == "A", 1).otherwise(0).alias("first"))).alias("primary"))
-    tagged = lines.withColumn("id", named_id(F.col("line")) if id_of is None else id_of).join(newest, key).withColumn("own", F.col("side") == F.col("primary"))
-    last = tagged.where(F.col("own") & F.col("line").startswith(NAMED)).groupBy(key).agg(F.max("ord").alias("last"))
-    known = tagged.where("own and id is not null").select(key, "id").distinct()
-    added = tagged.where("not own and id is not null").join(known, [key, "id"], "left_anti").join(last, key, "left")
-    added = added.select(key, F.coalesce("last", F.lit(-1)).alias("after"), F.lit(1).alias("late"), "ord", "line")
-    both = tagged.where("own").select(key, F.col("ord").alias("after"), F.lit(0).alias("late"), "ord", "line").union(added)
-    return both.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("after", "late", "ord")) - 1).cast("bigint").alias("ord"), "line")
+    of = {s: F.col("side") == s.upper() for s in "ab"}
+    by_id, by_file = Window.partitionBy(key, "id"), Window.partitionBy(key)
+    tagged = lines.where(F.col(key).isNotNull()).withColumn("id", named_id(F.col("line")) if id_of is None else id_of)
+    tagged = tagged.withColumns({f"id_{s}": F.max(own).over(by_id) for s, own in of.items()})
+    named = F.when(F.col("line").startswith(NAMED), F.col("ord"))
+    facts = {f"{s}_ms": F.max(F.when(own, F.col("mtime_ms"))).over(by_file) for s, own in of.items()}
+    facts |= {f"last_{s}": F.max(F.when(own, named)).over(by_file) for s, own in of.items()} | {f"in_{s}": F.max(own).over(by_file) for s, own in of.items()}
+    known = tagged.withColumns(facts).withColumn("by_b", F.col("in_b") & (~F.col("in_a") | newer_is_b()))
+    own = of["b"] == F.col("by_b")
+    of_newer = lambda n: F.when(F.col("by_b"), F.col(f"{n}_b")).otherwise(F.col(f"{n}_a"))
+    kept = known.where(own | (F.col("id").isNotNull() & ~of_newer("id")))
+    placed = kept.select(key, F.when(own, F.col("ord")).otherwise(F.coalesce(of_newer("last"), F.lit(-1))).alias("after"), (~own).cast("int").alias("late"), "ord", "line")
+    return placed.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("after", "late", "ord")) - 1).cast("bigint").alias("ord"), "line")
