@@ -171,3 +171,13 @@ def test_each_table_is_read_once(spark, sides, tmp_path):
     newer = {tuple(r) for r in run.rows("databases").select("world", "path", "source_rows", "dest_before", "overlap", "dest_after").collect()}
     places = [{(r["x"], r["z"]) for r in s[0].highlights.where("world = 'two'").collect()} for s in sides]
     assert newer == {("two", "Old.db", len(places[0]), len(places[1]), len(places[0] & places[1]), len(places[0] | places[1]))}
+
+
+def test_dry_run_reads_each_table_once(spark, sides, tmp_path):
+    """With a scratch folder a dry run reads as little as a merge, without the digest, and leaves its steps alone there."""
+    seen = {n: spark.sparkContext.accumulator(0) for n in ("tiles", "settings", "highlights")}
+    left, right = (Archive(s.root, *(counted(getattr(s, n), seen[n]) if n in seen else getattr(s, n) for n in ("regions", "tiles", "unreadable", "files", "settings", "waypoints", "highlights"))) for s in (sides[0][0], sides[1][0]))
+    run = MergeRun(spark, left, right, f"file://{tmp_path}/out", scratch=f"file://{tmp_path}/scratch")
+    run.run()
+    assert {n: seen[n].value for n in seen} == {n: sum(getattr(s[0], n).count() for s in sides) for n in seen}
+    assert not [p.name for p in (tmp_path / "scratch").iterdir() if p.name.startswith("aside")] and run.rows("tiles").count() > 0
