@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tilelake.operators import index as I
 from tilelake.operators import merging as M
 from tilelake.operators.merge_run import Archive, MergeError, MergeRun, Options, overlap
 
@@ -181,3 +183,54 @@ def test_dry_run_reads_each_table_once(spark, sides, tmp_path):
     run.run()
     assert {n: seen[n].value for n in seen} == {n: sum(getattr(s[0], n).count() for s in sides) for n in seen}
     assert not [p.name for p in (tmp_path / "scratch").iterdir() if p.name.startswith("aside")] and run.rows("tiles").count() > 0
+
+
+def test_unreadable_files_by_a_condition(spark, sides, tmp_path):
+    """A condition on the best files says the same as the files that it holds for, and regions are read no more often."""
+    found, seen = [], spark.sparkContext.accumulator(0)
+    odd = F.col("mtime_ms") % 2 == 1
+    for given in (False, True):
+        pair = []
+        for s in sides:
+            a = s[0]
+            bad = odd if given else a.regions.where(odd).select("world", "dim", "mw", "cave", "rx", "rz")
+            regions = counted(a.regions, seen) if given else a.regions
+            pair.append(Archive(a.root, regions, a.tiles, bad, a.files, a.settings, a.waypoints, a.highlights))
+        run = MergeRun(spark, *pair, f"file://{tmp_path}/out", scratch=f"file://{tmp_path}/{given}")
+        report = sorted(map(tuple, run.run().collect()))
+        found.append((report, *(sorted(map(str, run.rows(n).collect())) for n in ("tiles", "regions"))))
+    assert found[0] == found[1] and any(r[0] == "note" for r in found[0][0])
+    # Once for the best files, and no more than again for whether a side has worlds.
+    assert seen.value <= 2 * sum(s[0].regions.count() for s in sides)
+
+
+def test_query_finds_best_files_once(spark, small):
+    """The archives of the queries leave best files to the run: unreadable ones are a condition on these."""
+    from tilelake.plans.merge_queries import _archive
+
+    assert isinstance(_archive(spark, small, "A").unreadable, Column)
+
+
+def test_best_files_sorted_by_a_hash(spark):
+    """Keys that begin with a hash of the place give the same files, nulls included, of ties the first listed."""
+    rows = [(w, c, x, m, s, z, k) for k, (w, c, x, m, s, z) in enumerate((f"w{k % 3}", None if k % 2 else 3, k % 4, k % 5, k, k % 7 < 3) for k in range(500))]
+    files = spark.createDataFrame(rows, "world string, cave int, rx int, mtime_ms long, size long, is_zip boolean, ord long")
+    best = {}
+    for w, c, x, m, s, z, k in rows:
+        best[w, c, x] = max(best.get((w, c, x), (-1,)), (z, m, -k, s))
+    place = ("world", "cave", "rx")
+    got = I.best_files(files.withColumn("hash", F.xxhash64(*place)), ("hash", *place)).collect()
+    assert {(r["world"], r["cave"], r["rx"]): (r["is_zip"], r["mtime_ms"], -r["ord"], r["size"]) for r in got} == best and len(got) == len(best)
+
+
+def test_settings_are_shuffled_once(spark):
+    lines = spark.createDataFrame([("f", "A", 1, 0, "x")], "file string, side string, mtime_ms long, ord long, line string")
+    plan = M.merge_settings(lines, "file")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 == plan.count("Exchange ")
+
+
+def test_ids_are_what_stands_before_the_second_colon(spark):
+    text = ["MWName:a:b", "MWName:a:b:c", "MWName::b", "MWName:a", "MWName:", "MWNam:a:b", " MWName:a:b", "", None, "MWName:é§:n", "MWName:a\nb:c"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(text)], "k int, line string")
+    got = [r["id"] for r in df.select("k", M.named_id(F.col("line")).alias("id")).orderBy("k").collect()]
+    assert got == ["a", "a", "", None, None, None, None, None, None, "é§", "a\nb"]

@@ -11,11 +11,14 @@ KEY = ("layer", "rx", "rz")
 DAY_MS = 86_400_000
 
 
-def best_files(files: DataFrame) -> DataFrame:
-    """One file for each coordinate: a .zip beats a bare one, then the newest, then the first listed."""
+def best_files(files: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
+    """One file for each coordinate: a .zip beats a bare one, then the newest, then the first listed.
+
+    Structs are compared, so files are sorted by keys: of many files of a place, the first key had better tell places apart.
+    """
     rank = F.struct(F.col("is_zip").cast("int").alias("zip"), F.col("mtime_ms"), (-F.col("ord")).alias("neg"))
     kept = F.struct("mtime_ms", "size", "is_zip", "ord")
-    return files.groupBy(*KEY).agg(F.max_by(kept, rank).alias("f")).select(*KEY, "f.*")
+    return files.groupBy(*keys).agg(F.max_by(kept, rank).alias("f")).select(*keys, "f.*")
 
 
 def bounds(index: DataFrame) -> DataFrame:

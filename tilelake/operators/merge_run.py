@@ -18,7 +18,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilelake.operators import index as I
@@ -34,7 +34,8 @@ class Archive:
     """One side. cave is null for the surface.
 
     regions: world, dim (folder), mw, cave, rx, rz, mtime_ms, size, is_zip, ord; as listed, several files of a place allowed.
-    tiles: world, dim, mw, cave, rx, rz, tx, tz and values; unreadable: world, dim, mw, cave, rx, rz.
+    tiles: world, dim, mw, cave, rx, rz, tx, tz and values. unreadable: world, dim, mw, cave, rx, rz, or a condition on the
+    best file of a place (mtime_ms, size, is_zip), so that nobody has to find these files twice.
     files: world, path (below the world), mtime_ms, size; of these the newer counts, none is merged.
     settings, waypoints: world, path, mtime_ms, ord, line. highlights: world, path, mtime_ms, dim, x, z, found_time.
     """
@@ -42,7 +43,7 @@ class Archive:
     root: str
     regions: DataFrame
     tiles: DataFrame
-    unreadable: DataFrame
+    unreadable: DataFrame | Column
     files: DataFrame
     settings: DataFrame
     waypoints: DataFrame
@@ -167,10 +168,12 @@ class MergeRun:
 
     def _listed(self) -> DataFrame:
         """side, world, dim, mw, cave and the best file of each place: one aggregate over all regions, before any join."""
-        place = F.struct("world", "dim", "mw", "cave").alias("layer")
+        place = ("world", "dim", "mw", "cave", "rx", "rz")
 
         def make():
-            a, b = (I.best_files(s.regions.select(place, "rx", "rz", *I.META, "ord")).select(F.lit(n).alias("side"), "layer.*", "rx", "rz", *I.META) for n, s in (("A", self.a), ("B", self.b)))
+            # A hash of the place goes first, as files are sorted by place: one number is compared, not four names.
+            files = (s.regions.select(F.xxhash64(*place).alias("hash"), *place, *I.META, "ord") for s in (self.a, self.b))
+            a, b = (I.best_files(f, ("hash", *place)).select(F.lit(n).alias("side"), *place, *I.META) for n, f in zip("AB", files))
             return a.union(b)
 
         return self._aside("listed", make)
@@ -221,7 +224,8 @@ class MergeRun:
 
     def _unreadable(self) -> DataFrame:
         def make():
-            a, b = (self._layered(n.lower(), s.unreadable).withColumn("side", F.lit(n)) for n, s in (("A", self.a), ("B", self.b)))
+            bad = {n: self._listed().where(F.col("side") == n).where(s.unreadable) if isinstance(s.unreadable, Column) else s.unreadable for n, s in (("A", self.a), ("B", self.b))}
+            a, b = (self._layered(n.lower(), rows).withColumn("side", F.lit(n)) for n, rows in bad.items())
             return a.union(b)
 
         return self._aside("unreadable", make)

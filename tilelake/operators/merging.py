@@ -144,7 +144,8 @@ NAMED = "MWName:"
 
 
 def named_id(line: Column) -> Column:
-    return F.when(line.rlike("^MWName:[^:]*:"), F.regexp_extract(line, "^MWName:([^:]*):", 1))
+    rest = F.substring(line, len(NAMED) + 1, F.length(line))
+    return F.when(line.startswith(NAMED) & F.contains(rest, F.lit(":")), F.substring_index(rest, ":", 1))
 
 
 def newer_is_b() -> Column:
@@ -157,11 +158,11 @@ def merge_settings(lines: DataFrame, key: str, id_of: Column | None = None) -> D
 
     The newer file (of equal ones a) keeps all its lines; the older one adds the named lines whose id the newer hasn't,
     after the newer's last line that names one, with or without id, or at the top if it has none. Lines are read and
-    shuffled once, by file; within their task they are sorted by id, and then as they are written.
+    shuffled once, by file, as both windows ask for; within their task they are sorted by id, and then as they are written.
     """
     of = {s: F.col("side") == s.upper() for s in "ab"}
     by_id, by_file = Window.partitionBy(key, "id"), Window.partitionBy(key)
-    tagged = lines.where(F.col(key).isNotNull()).withColumn("id", named_id(F.col("line")) if id_of is None else id_of)
+    tagged = lines.where(F.col(key).isNotNull()).repartition(key).withColumn("id", named_id(F.col("line")) if id_of is None else id_of)
     tagged = tagged.withColumns({f"id_{s}": F.max(own).over(by_id) for s, own in of.items()})
     named = F.when(F.col("line").startswith(NAMED), F.col("ord"))
     facts = {f"{s}_ms": F.max(F.when(own, F.col("mtime_ms"))).over(by_file) for s, own in of.items()}

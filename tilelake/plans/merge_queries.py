@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tilelake.operators import merging as M
-from tilelake.operators.index import best_files
 from tilelake.operators.merge_run import Archive, MergeRun, Options
 from tilelake.operators.tiles import last_wins
 from tilelake.plans.index_queries import _A, _B, _side
@@ -89,8 +88,7 @@ def _archive(s, d, name):
     )
     place = ["world", "dim", "mw", "cave", "rx", "rz"]
     tiles = regions.groupBy(*place, (F.col("ord") % 4).alias("tx"), (F.floor(F.col("ord") / 4) % 4).alias("tz")).agg(F.max("ord").alias("value"))
-    layer = F.struct(*(F.coalesce(F.col(x).cast("string"), F.lit("-")).alias(x) for x in place[:4]))
-    bad = best_files(regions.withColumn("layer", layer)).where("size % 13 = 0").select("layer.world", "layer.dim", "layer.mw", F.expr("try_cast(layer.cave as int)").alias("cave"), "rx", "rz")
+    bad = F.col("size") % 13 == 0
     n = F.col("c_custkey")
     customers = table(s, d, "customer").where(n % 2 == (0 if name == "A" else 1))
     files = customers.groupBy(_world_of(side, n).alias("world"), F.concat(F.lit("f"), (F.floor(n / 4) % 50).cast("string")).alias("path")).agg(F.max(n).alias("mtime_ms"), F.count("*").alias("size"))
